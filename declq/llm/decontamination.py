@@ -26,6 +26,7 @@ BOUND_BITS = 20
 def with_shingles(texts: DataFrame, text: str = "text") -> DataFrame:
     """`texts` with column `shingles`: array of 64-bit hashes, in the order of the text, repeats included; empty for no words.
 
+    Explode it with explode_outer: explode would infer a size filter that Catalyst pushes to the scan, with all of the hashing.
     Hashes of two, four and five words are built from each other, so each word costs four hash calls however long the text.
     """
     part = lambda x, start, less: F.slice(x, start, F.greatest(F.col("_n") - less, F.lit(0)))
@@ -49,7 +50,7 @@ def _below(h: Column, bound: Column) -> Column:
 def item_sets(benchmark: DataFrame) -> DataFrame:
     """(item_id, h, n_item, bound): the distinct shingles of every item, its set size and the bound of its size partition."""
     each = with_shingles(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null"))
-    each = each.select("item_id", F.explode("shingles").alias("h")).distinct()
+    each = each.select("item_id", F.explode_outer("shingles").alias("h")).where("h is not null").distinct()
     sizes = each.groupBy(F.col("item_id").alias("id")).agg(F.count(F.lit(1)).alias("n_item"))
     low = F.pow(F.lit(2.0), F.floor(F.log2("n_item")))
     sizes = sizes.withColumn("bound", F.least(F.lit(1 << BOUND_BITS), F.ceil(F.lit(SKETCH << BOUND_BITS) / low)).cast("long"))
@@ -65,11 +66,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = SI
     items = item_sets(benchmark)
     widest = items.agg(F.max("bound")).first()[0] or 0
     texts = plain(docs).where("doc_id is not null")
-    sketch = with_shingles(texts).select("doc_id", F.explode("shingles").alias("h")).where(_below(F.col("h"), F.lit(widest)))
+    sketch = with_shingles(texts).select("doc_id", F.explode_outer("shingles").alias("h")).where(_below(F.col("h"), F.lit(widest)))
     sketch_items = small_side(items.where(_below(F.col("h"), F.col("bound"))).select("item_id", F.col("h").alias("ih")))
     candidates = cut(sketch.join(sketch_items, sketch.h == F.col("ih")).select("doc_id", "item_id").distinct())
     wanted = small_side(cut(candidates.select(F.col("doc_id").alias("want")).distinct()))
-    again = with_shingles(texts.join(wanted, texts.doc_id == F.col("want"), "left_semi")).select("doc_id", F.explode("shingles").alias("h"))
+    again = with_shingles(texts.join(wanted, texts.doc_id == F.col("want"), "left_semi")).select("doc_id", F.explode_outer("shingles").alias("h"))
     full = small_side(items.select(F.col("item_id").alias("full_id"), F.col("h").alias("ih"), "n_item"))
     hits = again.join(full, again.h == F.col("ih")).select("doc_id", "full_id", "n_item", "h").distinct()
     counted = hits.groupBy("doc_id", "full_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"))

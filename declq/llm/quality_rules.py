@@ -48,11 +48,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
         .withColumn("_d8", F.size("_h8") - F.size(F.array_distinct("_h8")))
     )
     # Start positions of windows found twice or more, ascending; a window adds min(8, distance to the next start) words.
-    located = F.array_sort(F.transform("_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    located = F.sort_array(F.transform("_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     staged = staged.withColumn("_s", F.when(F.col("_d8") > 0, located))
     same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
     marked = F.filter("_s", lambda x, k: same(x, F.get("_s", k - 1)) | same(x, F.get("_s", k + 1)))
-    staged = staged.withColumn("_at", F.when(F.col("_d8") > 0, F.array_sort(F.transform(marked, lambda x: x["i"]))))
+    staged = staged.withColumn("_at", F.when(F.col("_d8") > 0, F.sort_array(F.transform(marked, lambda x: x["i"]))))
     covered = F.aggregate(
         "_at",
         F.struct(F.lit(0).alias("sum"), F.lit(-WINDOW).alias("last")),
@@ -72,9 +72,9 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def normal_line(line: Column) -> Column:
-    """Lower case, single spaces, none at the ends: equal results are the same line."""
-    return F.trim(F.regexp_replace(F.lower(line), SPACE_RE, " "))
+def line_words(line: Column) -> Column:
+    """The words of a line in lower case: lines with equal words are the same line."""
+    return F.array_remove(F.split(F.lower(line), SPACE_RE), "")
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -83,12 +83,9 @@ def line_table(docs: DataFrame) -> DataFrame:
     _key tells texts apart that share a doc_id. The table holds no text; it is cut, as two passes read it.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    parsed = F.transform(
-        F.split(text, "\n"),
-        lambda x, i: F.struct(i.alias("pos"), F.xxhash64(normal_line(x)).alias("line"), F.size(F.array_remove(F.split(x, SPACE_RE), "")).alias("words")),
-    )
-    rows = docs.select(host_of(docs).alias("_host"), docs["doc_id"].cast("long").alias("_id"), F.xxhash64(text, F.length(text)).alias("_key"), F.explode(parsed).alias("_l"))
-    return cut(rows.select("_host", "_id", "_key", F.col("_l.pos").alias("_pos"), F.col("_l.line").alias("_line"), F.col("_l.words").alias("_words")).where("_words > 0"))
+    rows = docs.select(host_of(docs).alias("_host"), docs["doc_id"].cast("long").alias("_id"), F.xxhash64(text, F.length(text)).alias("_key"), F.posexplode_outer(F.split(text, "\n")).alias("_pos", "_text"))
+    rows = rows.withColumn("_w", line_words(F.col("_text"))).select("_host", "_id", "_key", "_pos", F.xxhash64("_w").alias("_line"), F.size("_w").alias("_words"))
+    return cut(rows).where("_words > 0")  # filtered after the cut: before it, Catalyst would push the filter, and so the splitting, below
 
 
 def host_of(docs: DataFrame) -> Column:
@@ -127,6 +124,6 @@ def line_frequency_filter(docs: DataFrame, most_docs: int = MOST_DOCS_PER_HOST,
     joined = joined.withColumn("removed_words", F.coalesce("_gone", F.lit(0)).cast("long"))
     joined = joined.withColumn("depleted", (F.col("removed_words") > 0) & ((left < LEAST_WORDS) | (left < least_left * F.col("n_words"))))
     joined = joined.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-    is_bad = lambda x: F.array_contains("_bad", F.xxhash64(normal_line(x)))
+    is_bad = lambda x: F.array_contains("_bad", F.xxhash64(line_words(x)))
     clean = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x: ~is_bad(x)), "\n"))
     return joined.withColumn("clean_text", clean).drop("_row_host", "_row_id", "_row_key", "_host", "_id", "_key", "_gone", "_bad")

@@ -8,17 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declq.llm import bpe, decontamination, quality_rules, sharding, token_counts
+from declq.llm import bpe, decontamination, quality_mil, quality_rules, sharding, token_counts, toxicity
 from declq.llm.common import SHINGLE, SIMILARITY, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.line_frequency_filter(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "depleted")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.interleave(table(spark, sf_dir, "documents"), shards=16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
@@ -38,7 +46,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_quality_rules, op6_sharding, op7_token_counts, op9_benchmark_decontamination, op10_byte_bpe)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op5_quality_classifier, op6_sharding, op7_token_counts, op9_benchmark_decontamination, op10_byte_bpe)
 }
 
 _OP2_SQL = f"""
@@ -54,7 +62,7 @@ again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM w
 marks AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + {quality_rules.WINDOW - 1})) AS p FROM again WHERE c > 1) GROUP BY doc_id),
 lines AS (
-  SELECT doc_id, host, trim(regexp_replace(lower(x), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS line,
+  SELECT doc_id, host, array_to_string(list_filter(regexp_split_to_array(lower(x), '[\\x20\\x09-\\x0D]+'), lambda y: y <> ''), ' ') AS line,
          len(list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '')) AS n
   FROM (SELECT doc_id, host, unnest(ls) AS x FROM words)),
 bad AS (SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT doc_id) > {quality_rules.MOST_DOCS_PER_HOST}),
