@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from declq.llm.common import plain, slices, small_side, split_words
+from declq.llm.common import mix, plain, slices, small_side, split_words
 
 #: Labelled rows per class that a model is fitted on at most, and the longest text among them: bounds the driver's share.
 TRAIN_PER_CLASS = 1500
@@ -85,11 +84,62 @@ def score_documents(docs: DataFrame, logits: Callable[[list[bytes]], np.ndarray]
     return source.mapInArrow(run, schema)
 
 
-def buckets(words: list[bytes], bits: int, affixes: bool = True) -> np.ndarray:
-    """Hash buckets of each word: itself and, with `affixes`, its first four and six and its last four bytes."""
-    bare = [w.strip(PUNCTUATION) or w for w in words]
-    mask = (1 << bits) - 1
-    columns = [[crc32(w) & mask for w in bare]]
-    if affixes:
-        columns += [[crc32(w[:4], 1) & mask for w in bare], [crc32(w[:6], 2) & mask for w in bare], [crc32(w[-4:], 3) & mask for w in bare]]
-    return np.array(columns, np.int32).reshape(len(columns), -1)
+_IS_PUNCTUATION = np.isin(np.arange(256), list(PUNCTUATION))
+
+
+class Letters:
+    """The bytes of many words at once, so that hashes and counts of all words are a few array operations."""
+
+    def __init__(self, words: list[bytes]):
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        self.bytes = np.frombuffer(b"".join(words), np.uint8)
+        self.starts = np.cumsum(lens) - lens
+        self.of = np.repeat(np.arange(len(words)), lens)
+
+    def total(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.starts) if len(self.starts) else values[:0]
+
+    def hashes(self, kept: np.ndarray, from_end: bool = False, first: int | None = None, values: np.ndarray | None = None, salt: int = 0) -> np.ndarray:
+        """A hash of each word's kept bytes in order; `first`: of only so many of them, counted from the end if `from_end`."""
+        order = np.cumsum(kept)
+        order -= np.repeat(order[self.starts] - kept[self.starts], np.diff(self.starts, append=len(self.bytes)))
+        if from_end:
+            order = self.total(kept.astype(np.int64))[self.of] + 1 - order
+        if first:
+            kept = kept & (order <= first)
+        cell = (self.bytes if values is None else values).astype(np.uint64) + (order.astype(np.uint64) << np.uint64(8)) + np.uint64(salt << 40)
+        return mix(self.total(np.where(kept, mix(cell), np.uint64(0))))
+
+
+def buckets(words: list[bytes], bits: int) -> np.ndarray:
+    """Hash buckets (rows) of each word without punctuation: itself, its first four and six and its last four bytes."""
+    if not words:
+        return np.zeros((4, 0), np.int32)
+    x = Letters(words)
+    kept = ~_IS_PUNCTUATION[x.bytes]
+    kept |= (x.total(kept.astype(np.int64)) == 0)[x.of]
+    found = [x.hashes(kept), x.hashes(kept, first=4, salt=1), x.hashes(kept, first=6, salt=2), x.hashes(kept, from_end=True, first=4, salt=3)]
+    return (np.stack(found) & np.uint64((1 << bits) - 1)).astype(np.int32)
+
+
+class WordCache:
+    """Rows of features per word, kept between slices of a task; emptied when `limit` words are held (some 50 MB)."""
+
+    def __init__(self, compute: Callable[[list[bytes]], np.ndarray], limit: int = 250_000):
+        self.compute, self.limit, self.at, self.rows = compute, limit, {}, None
+
+    def features(self, words: list[bytes]) -> np.ndarray:
+        if len(self.at) > self.limit:
+            self.at, self.rows = {}, None
+        new = [w for w in words if w not in self.at]
+        if new or self.rows is None:
+            made = self.compute(new)
+            old = len(self.at)
+            if self.rows is None or old + len(new) > len(self.rows):
+                grown = np.zeros((max(2 * (old + len(new)), 1024), made.shape[1]), np.float32)
+                if self.rows is not None:
+                    grown[:old] = self.rows[:old]
+                self.rows = grown
+            self.rows[old : old + len(new)] = made
+            self.at.update(zip(new, range(old, old + len(new))))
+        return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]

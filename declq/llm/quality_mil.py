@@ -7,9 +7,7 @@ passage weighs, and the weighted passage representation is scored. The whole tex
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,23 +20,29 @@ BITS, DIM, STATS, HIDDEN, GATE = 14, 16, 7, 24, 12
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.05, 5
 #: Score from which a document is kept; the best cut of the calibration slice is moved there.
 KEEP_AT = 0.7
-_RUNS = re.compile(rb"(.)\1+", re.S)
-_SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
+#: Class of each byte in a word's shape: 0 capital, 1 other letter (or part of one), 2 digit, else the symbol itself.
+_SHAPE = np.array([0 if 65 <= c <= 90 else 1 if 97 <= c <= 122 or c >= 128 else 2 if 48 <= c <= 57 else c for c in range(256)], np.uint8)
 
 
 def word_table(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets (rows: word and affixes, shape) and the counts of each word: bytes, capitals, digits, symbols, length over 12."""
-    shapes = [_RUNS.sub(rb"\1", w.translate(_SHAPE)) for w in words]
-    at = np.concatenate([nn.buckets([w.lower() for w in words], BITS), np.array([crc32(s, 9) & ((1 << BITS) - 1) for s in shapes], np.int32).reshape(1, -1)])
-    kept = [w.translate(_SHAPE) for w in words]
-    counts = np.array([[len(w), w.count(b"A"), w.count(b"0"), len(w) - w.count(b"A") - w.count(b"a") - w.count(b"0") - w.count(b".") - w.count(b",")] for w in kept], np.float32).reshape(-1, 4)
-    return at, counts
+    """Buckets (rows: word and affixes in lower case, shape) and counts of each word: bytes, capitals, digits, symbols."""
+    if not words:
+        return np.zeros((5, 0), np.int32), np.zeros((0, 4), np.float32)
+    x = nn.Letters(words)
+    shape = _SHAPE[x.bytes]
+    turn = np.ones(len(shape), bool)  # a shape's runs count once
+    turn[1:] = (shape[1:] != shape[:-1]) | (x.of[1:] != x.of[:-1])
+    of_shape = (x.hashes(turn, values=shape, salt=9) & np.uint64((1 << BITS) - 1)).astype(np.int32)
+    total = lambda mask: x.total(mask.astype(np.float32))
+    symbol = (shape > 2) & (x.bytes != 44) & (x.bytes != 46)
+    counts = np.stack([total(np.ones(len(shape), bool)), total(shape == 0), total(shape == 2), total(symbol)], 1)
+    return np.concatenate([nn.buckets([w.lower() for w in words], BITS), of_shape[None]]), counts
 
 
 class Bag:
     """Texts as passages: where passages start among the words, which text each belongs to, and their statistics."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], cache: nn.WordCache | None = None):
         self.words = nn.Words(texts)
         lens = np.diff(self.words.ends)
         per = np.maximum(-(-lens // PASSAGE), 1)  # a text without words has one empty passage
@@ -47,7 +51,12 @@ class Bag:
         within = np.arange(per.sum()) - self.text_starts[self.of_text]
         self.starts = self.words.ends[:-1][self.of_text] + within * PASSAGE
         self.sizes = np.minimum(lens[self.of_text] - within * PASSAGE, PASSAGE).astype(np.int64)
-        self.at, counts = word_table(self.words.unique)
+        if cache:
+            known = cache.features(self.words.unique)
+            self.at, self.vectors, counts = None, known[:, :DIM], known[:, DIM:]
+        else:
+            self.at, counts = word_table(self.words.unique)
+            self.vectors = None
         ids = self.words.ids
         self.passage = np.repeat(np.arange(len(self.starts)), self.sizes)
         total = lambda v: np.bincount(self.passage, v, len(self.starts))
@@ -56,7 +65,8 @@ class Bag:
         if len(ids) > 1:
             same[1:] = (ids[1:] == ids[:-1]) & (self.passage[1:] == self.passage[:-1])
         key = self.passage.astype(np.int64) * (len(self.words.unique) + 1) + ids
-        distinct = np.bincount((np.unique(key) // (len(self.words.unique) + 1)).astype(np.int64), minlength=len(self.starts)) if len(ids) else np.zeros(len(self.starts))
+        key.sort()
+        distinct = np.bincount(key[np.diff(key, prepend=-1) != 0] // (len(self.words.unique) + 1), minlength=len(self.starts))
         n, size = np.maximum(self.sizes, 1), np.maximum(sums[0], 1)
         self.stats = np.stack([sums[1] / size, sums[2] / size, sums[3] / size, sums[0] / n / 12, total(same) / n, distinct / n, self.sizes / PASSAGE], 1).astype(np.float32)
 
@@ -75,7 +85,7 @@ class Mil:
         self.shift = 0.0
 
     def forward(self, bag: Bag) -> dict[str, np.ndarray]:
-        vectors = self.embedding[bag.at].mean(0)
+        vectors = self.embedding[bag.at].mean(0) if bag.vectors is None else bag.vectors
         if len(bag.words.ids):
             sums = np.zeros((len(bag.starts), DIM), np.float32)
             full = bag.sizes > 0
@@ -116,7 +126,15 @@ class Mil:
 
     def calibrated(self, texts: list[bytes]) -> np.ndarray:
         """Logits of whole texts, moved so that the calibrated cut has a score of KEEP_AT."""
-        return self.forward(Bag(texts))["logit"] + self.shift if texts else np.zeros(0)
+        if not texts:
+            return np.zeros(0)
+        if not hasattr(self, "_cache"):
+            self._cache = nn.WordCache(self._features)
+        return self.forward(Bag(texts, self._cache))["logit"] + self.shift
+
+    def _features(self, words: list[bytes]) -> np.ndarray:
+        at, counts = word_table(words)
+        return np.concatenate([self.embedding[at].mean(0), counts], 1)
 
 
 def fit(texts: list[bytes], y: np.ndarray) -> Mil | None:
@@ -129,11 +147,9 @@ def fit(texts: list[bytes], y: np.ndarray) -> Mil | None:
     state = {k: np.zeros_like(v) for k, v in net.p.items()}
     cell_state = np.zeros_like(net.embedding)
     weight = np.where(y == 1, 0.5 / max(y[rows].mean(), 1e-3), 0.5 / max(1 - y[rows].mean(), 1e-3)).astype(np.float32)
+    batches = [(some, Bag([texts[i] for i in some])) for some in np.array_split(rng.permutation(rows), max(len(rows) // BATCH, 1))]
     for _ in range(EPOCHS if len(rows) >= 1000 else 4 * EPOCHS):
-        rng.shuffle(rows)
-        for b in range(0, len(rows), BATCH):
-            some = rows[b : b + BATCH]
-            bag = Bag([texts[i] for i in some])
+        for some, bag in (batches[i] for i in rng.permutation(len(batches))):
             f = net.forward(bag)
             error = ((nn.sigmoid(f["logit"]) - y[some]) * weight[some] / len(some)).astype(np.float32)
             g, g_mean = net.gradients(bag, f, error)

@@ -1,7 +1,7 @@
 """Toxicity: a convolutional text classifier trained in numpy, with thresholds calibrated by language.
 
 Words (ASCII lower case, outer punctuation off) are hashed to buckets together with their affixes; a word's embedding is the
-mean of its buckets'. Filters of widths 1, 2 and 3 slide over the whole text, the maximum of each over the text goes through
+mean of its buckets', of which only those that several texts of the sample use have a vector. Filters of widths 1, 2 and 3 slide over the whole text, the maximum of each over the text goes through
 a ReLU into one linear unit. After fitting, a slice of the sample sets a threshold for each language; a text's language is
 guessed from its own function words, never from a column. The logit is moved so that the threshold is a score of 0.5.
 """
@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from declq.llm import nn
 from declq.llm.common import held_out
 
-BITS, DIM, FILTERS, WIDTHS = 14, 16, 16, (1, 2, 3)
+BITS, DIM, FILTERS, WIDTHS = 18, 16, 16, (1, 2, 3)
+#: A bucket gets an embedding if so many texts of the sample use it; all others are zero, so chance words can't be learned.
+LEAST_TEXTS = 4
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.05, 11
 #: Least validation rows of each class for a language to get its own threshold; else the common one holds.
 CALIBRATION_ROWS = 15
@@ -31,20 +33,30 @@ LANGUAGES = list(FUNCTION_WORDS)
 
 
 class ConvNet:
-    """Parameters and the forward pass; small enough (about 1.1 MB) to travel with the task."""
+    """Parameters and the forward pass; a few MB at most, as the sample is bounded. Row 0 of the embedding stays zero."""
 
-    def __init__(self) -> None:
+    def __init__(self, texts: list[bytes]) -> None:
         rng = np.random.default_rng(SEED)
-        self.embedding = (rng.standard_normal((1 << BITS, DIM)) * 0.1).astype(np.float32)
+        uses = np.zeros(1 << BITS, np.int32)
+        for t in texts:
+            uses[np.unique(nn.buckets(list(set(t.split())), BITS))] += 1
+        often = np.flatnonzero(uses >= LEAST_TEXTS)
+        self.row = np.zeros(1 << BITS, np.int32)
+        self.row[often] = np.arange(1, len(often) + 1)
+        self.embedding = (rng.standard_normal((len(often) + 1, DIM)) * 0.1).astype(np.float32)
+        self.embedding[0] = 0
         self.taps = [(rng.standard_normal((w, DIM, FILTERS)) * 0.2).astype(np.float32) for w in WIDTHS]
         self.bias = np.zeros(len(WIDTHS) * FILTERS, np.float32)
         self.out = (rng.standard_normal(len(WIDTHS) * FILTERS) * 0.2).astype(np.float32)
         self.offset = np.zeros(1, np.float32)
         self.cuts = np.zeros(len(LANGUAGES) + 1)
 
-    def embed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        at = nn.buckets(words, BITS)
-        return at, np.concatenate([self.embedding[at].mean(0), np.zeros((1, DIM), np.float32)])
+    def rows_of(self, words: list[bytes]) -> np.ndarray:
+        return self.row[nn.buckets(words, BITS)]
+
+    def embed(self, at: np.ndarray) -> np.ndarray:
+        """The words' vectors, and one of zeros for padding."""
+        return np.concatenate([self.embedding[at].mean(0), np.zeros((1, DIM), np.float32)])
 
     def layout(self, x: nn.Words) -> tuple[np.ndarray, np.ndarray]:
         """Word positions with padding after each text (one word at least, and a window's reach), and where texts start."""
@@ -70,7 +82,9 @@ class ConvNet:
         ids, starts = self.layout(x)
         if not len(starts):
             return np.zeros(0)
-        _, vectors = self.embed(x.unique)
+        if not hasattr(self, "_cache"):
+            self._cache = nn.WordCache(lambda words: self.embed(self.rows_of(words))[:-1])
+        vectors = np.concatenate([self._cache.features(x.unique), np.zeros((1, DIM), np.float32)])
         lens = np.maximum(np.diff(x.ends), 1)
         valid = np.zeros(len(ids) - max(WIDTHS) + 1, bool)
         valid[np.repeat(starts, lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)] = True
@@ -104,20 +118,20 @@ def fit(texts: list[bytes], y: np.ndarray) -> ConvNet | None:
     """Train on four fifths of the sample and calibrate on the rest; None without rows of both classes."""
     if len(y) < 8 or y.min() == y.max():
         return None
-    net, rng = ConvNet(), np.random.default_rng(SEED)
+    rng = np.random.default_rng(SEED)
     check = np.arange(len(y)) % 5 == 4
-    rows = np.flatnonzero(~check)
+    rows = rng.permutation(np.flatnonzero(~check))
+    lowered = [t.lower() for t in texts]
+    net = ConvNet([lowered[i] for i in rows])
     state = {k: np.zeros_like(v) for k, v in (("embedding", net.embedding), ("bias", net.bias), ("out", net.out), ("offset", net.offset))}
     tap_state = [np.zeros_like(t) for t in net.taps]
-    lowered = [t.lower() for t in texts]
     weight = np.where(y == 1, 0.5 / max(y[rows].mean(), 1e-3), 0.5 / max(1 - y[rows].mean(), 1e-3)).astype(np.float32)
+    batches = [(some, nn.Words([lowered[i] for i in some])) for some in np.array_split(rows, max(len(rows) // BATCH, 1))]
+    batches = [(some, x, net.rows_of(x.unique)) for some, x in batches]
     for _ in range(EPOCHS if len(rows) >= 1000 else 4 * EPOCHS):
-        rng.shuffle(rows)
-        for b in range(0, len(rows), BATCH):
-            some = rows[b : b + BATCH]
-            x = nn.Words([lowered[i] for i in some])
+        for some, x, at in (batches[i] for i in rng.permutation(len(batches))):
             ids, starts = net.layout(x)
-            at, vectors = net.embed(x.unique)
+            vectors = net.embed(at)
             lens = np.maximum(np.diff(x.ends), 1)
             places, values = [], []
             for k in range(len(WIDTHS)):
@@ -148,6 +162,7 @@ def fit(texts: list[bytes], y: np.ndarray) -> ConvNet | None:
             np.add.at(g_cells, inverse.ravel(), np.tile(g_vectors[touched] / len(at), (len(at), 1)))
             state["embedding"][cells] += g_cells * g_cells
             net.embedding[cells] -= RATE * g_cells / (np.sqrt(state["embedding"][cells]) + 1e-6)
+            net.embedding[0] = 0
     held = np.flatnonzero(check)
     raw = net.logits([texts[i] for i in held])
     language, common = net._language, nn.best_cut(raw, y[held])
@@ -155,6 +170,7 @@ def fit(texts: list[bytes], y: np.ndarray) -> ConvNet | None:
         own = language == k
         enough = k < len(LANGUAGES) and min(y[held][own].sum(), (1 - y[held][own]).sum()) >= CALIBRATION_ROWS
         net.cuts[k] = nn.best_cut(raw[own], y[held][own]) if enough else common
+    del net._cache  # its words need not travel
     return net
 
 
