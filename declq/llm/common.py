@@ -84,10 +84,8 @@ def shingle_hashes(words: np.ndarray, ends: np.ndarray, n: int = SHINGLE) -> tup
     at = np.repeat(ends[:-1] - offs[:-1], counts) + np.arange(offs[-1])
     out = full[at] if len(at) else np.zeros(0, np.uint64)
     for i in np.flatnonzero((lens > 0) & (lens < n)):
-        acc = np.uint64(lens[i])
-        for j in range(lens[i]):
-            acc = acc + words[ends[i] + j] * odd[j]
-        out[offs[i]] = acc
+        short = words[ends[i] : ends[i + 1]] * np.array(odd[: lens[i]])
+        out[offs[i]] = short.sum(dtype=np.uint64) ^ np.uint64(lens[i])
     return mix(out), offs
 
 
