@@ -63,7 +63,9 @@ def roots(n: int, linked: np.ndarray) -> np.ndarray:
     """Least index of each node's component in a symmetric boolean matrix."""
     label = np.arange(n)
     while True:
-        low = np.minimum(label, np.where(linked, label[None, :], n).min(1, initial=n))
+        low = label.copy()
+        for lo in range(0, n, 512):  # bounded copies of the matrix
+            low[lo : lo + 512] = np.minimum(low[lo : lo + 512], np.where(linked[lo : lo + 512], label[None, :], n).min(1, initial=n))
         low = low[low]
         if (low == label).all():
             return label

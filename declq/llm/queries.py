@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declq.llm import bpe, decontamination, ngram_join, quality_mil, quality_rules, sharding, token_counts, toxicity
+from declq.llm import bpe, decontamination, line_dedup, ngram_join, quality_mil, quality_rules, sharding, token_counts, toxicity
 from declq.llm.common import SHINGLE, SIMILARITY, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "depleted")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (line, first_doc, first_line) per document; the texts follow from them."""
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_left"), F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op4_ngram_jaccard_join, op5_quality_classifier, op6_sharding, op7_token_counts, op9_benchmark_decontamination, op10_byte_bpe)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_line_dedup, op4_ngram_jaccard_join, op5_quality_classifier, op6_sharding, op7_token_counts, op9_benchmark_decontamination, op10_byte_bpe)
 }
 
 _OP2_SQL = f"""
