@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declq.llm import bpe, decontamination, line_dedup, ngram_join, quality_mil, quality_rules, sharding, token_counts, toxicity
+from declq.llm import bpe, decontamination, hmm, line_dedup, ngram_join, quality_mil, quality_rules, sharding, token_counts, toxicity
 from declq.llm.common import SHINGLE, SIMILARITY, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(lengths))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_language(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +60,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_line_dedup, op4_ngram_jaccard_join, op5_quality_classifier, op6_sharding, op7_token_counts, op9_benchmark_decontamination, op10_byte_bpe)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_line_dedup, op4_ngram_jaccard_join, op5_quality_classifier, op6_sharding, op7_token_counts, op8_lm_scoring, op9_benchmark_decontamination, op10_byte_bpe)
 }
 
 _OP2_SQL = f"""
