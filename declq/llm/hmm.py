@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from declq.llm.common import cut, held_out, plain, slices, split_words
 from declq.llm.nn import Letters
 
-STATES, TOP_CLASSES, HASH_CLASSES, ROUNDS, SEED = 6, 4096, 2048, 5, 3
+STATES, TOP_CLASSES, HASH_CLASSES, ROUNDS, SEED = 6, 4096, 2048, 4, 3
 #: Words whose counts every task gets; all other counts are joined. A cache bound: results don't depend on it.
 SHARED_COUNTS = 100_000
 #: Word positions of a batch of the recursions; texts of like length share a batch.
-BATCH_TOKENS = 200_000
+BATCH_TOKENS = 1_200_000
 #: Distinct words that a counting task holds before it passes them on.
 FLUSH_WORDS = 300_000
 #: Added to each expected count, so that no transition or class has probability 0.
@@ -153,50 +153,56 @@ def batches_of(streams: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarr
         longest = len(streams[order[start]])
         some = order[start : start + max(1, BATCH_TOKENS // longest)]
         lens = np.array([len(streams[i]) for i in some])
-        padded = np.zeros((longest, len(some)), np.int64)
+        padded = np.zeros((longest, len(some)), np.uint16)
         for j, i in enumerate(some):
             padded[: lens[j], j] = streams[i]
         yield np.array(some), padded, lens
         start += len(some)
 
 
-def forward(model: Model, classes: np.ndarray, lens: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward recursion over a batch: log10 likelihoods, and with `keep` all states' shares and scales."""
+def _emissions(model: Model, classes: np.ndarray, kind: type) -> np.ndarray:
+    """(time, state, text): emission probabilities, looked up state by state."""
+    out = np.empty((len(classes), STATES, classes.shape[1]), kind)
+    for k in range(STATES):
+        out[:, k] = model.emit[:, k].astype(kind)[classes]
+    return out
+
+
+def forward(model: Model, classes: np.ndarray, lens: np.ndarray, kind: type = np.float64, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward recursion over a batch: log10 likelihoods; states' shares (with `keep`), scales and emissions by time."""
     steps, n = classes.shape
-    running = (lens[None, :] > np.arange(steps)[:, None]).sum(1)
-    alphas = np.zeros((steps, n, STATES)) if keep else None
-    scales = np.ones((steps, n))
-    now = np.tile(model.start, (n, 1))
-    for t in range(steps):
-        m = running[t]
-        now = (now[:m] @ model.move if t else now[:m]) * model.emit[classes[t, :m]]
-        scale = now.sum(1)
-        now /= scale[:, None]
+    running = (lens[None, :] > np.arange(steps)[:, None]).sum(1).tolist()
+    seen = _emissions(model, classes, kind)
+    alphas = np.zeros((steps, STATES, n), kind) if keep else np.zeros((0, STATES, n), kind)
+    scales = np.ones((steps, n), kind)
+    move, now = np.ascontiguousarray(model.move.T, kind), np.tile(model.start.astype(kind)[:, None], (1, n))
+    for t, m in enumerate(running):
+        now = (move @ now[:, :m] if t else now[:, :m]) * seen[t, :, :m]
+        scale = now.sum(0)
+        now /= scale
         scales[t, :m] = scale
         if keep:
-            alphas[t, :m] = now
-    return np.log10(scales).sum(0), alphas, scales
+            alphas[t, :, :m] = now
+    return np.log10(scales).sum(0, dtype=np.float64), alphas, scales, seen
 
 
 def expected_counts(model: Model, classes: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of a batch (forward-backward)."""
+    """Expected starts, moves and emissions of a batch (forward-backward in single precision, sums over texts in double)."""
     steps, n = classes.shape
-    _, alphas, scales = forward(model, classes, lens, keep=True)
-    running = (lens[None, :] > np.arange(steps)[:, None]).sum(1)
-    betas = np.zeros_like(alphas)
-    ahead = np.zeros((steps, n, STATES))  # emission times beta over scale, one step ahead
-    back = np.ones((n, STATES))
+    _, gamma, scales, seen = forward(model, classes, lens, np.float32, keep=True)
+    running = (lens[None, :] > np.arange(steps)[:, None]).sum(1).tolist()
+    seen /= scales[:, None, :]
+    move, moves, back = model.move.astype(np.float32), np.zeros((STATES, STATES)), np.ones((STATES, n), np.float32)
     for t in range(steps - 1, -1, -1):
         m = running[t]
-        betas[t, :m] = back[:m]
-        ahead[t, :m] = back[:m] * model.emit[classes[t, :m]] / scales[t, :m, None]
-        back[:m] = ahead[t, :m] @ model.move.T
-    gamma = alphas * betas
-    move = np.einsum("tnk,tnl->kl", alphas[:-1], ahead[1:], optimize=True) * model.move
-    live = np.arange(steps)[:, None] < lens[None, :]
-    cls = classes[live]
-    emit = np.stack([np.bincount(cls, gamma[:, :, k][live], N_CLASSES) for k in range(STATES)], 1)
-    return gamma[0].sum(0), move, emit
+        ahead = back[:, :m] * seen[t, :, :m]
+        if t:
+            moves += gamma[t - 1, :, :m] @ ahead.T  # still the forward shares: t - 1 is turned into gamma next
+        gamma[t, :, :m] *= back[:, :m]
+        back[:, :m] = move @ ahead
+    flat = classes.ravel().astype(np.int64)  # padding has gamma 0
+    emit = np.stack([np.bincount(flat, gamma[:, k].ravel(), N_CLASSES) for k in range(STATES)], 1)
+    return gamma[0].sum(1, dtype=np.float64), moves * model.move, emit
 
 
 def _streams(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
@@ -209,8 +215,8 @@ def _baum_welch(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((N_CLASSES, STATES))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                for _, classes, lens in batches_of(_streams(batch.slice(lo, 2000), 0)):
+            for lo in range(0, batch.num_rows, 20_000):
+                for _, classes, lens in batches_of(_streams(batch.slice(lo, 20_000), 0)):
                     s, m, e = expected_counts(model.value, classes, lens)
                     start, move, emit = start + s, move + m, emit + e
         used = np.flatnonzero(emit.sum(1))
@@ -227,8 +233,8 @@ def _score(model):
         for batch in batches:
             streams = _streams(batch, 1)
             score = np.zeros(len(streams))
-            for lo in range(0, len(streams), 2000):
-                for some, classes, lens in batches_of(streams[lo : lo + 2000]):
+            for lo in range(0, len(streams), 20_000):
+                for some, classes, lens in batches_of(streams[lo : lo + 20_000]):
                     score[lo + some] = forward(hmm, classes, lens)[0]
             inside = np.array([log_size[s].sum() for s in streams])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array([len(s) for s in streams], np.int64)), pa.array(score - inside)], ["row", "n_tokens", "class_score"])
