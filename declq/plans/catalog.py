@@ -53,7 +53,8 @@ class Entity:
         """Mapped name, else snake case; of a path only the last part counts when no relation is meant."""
         if prop in self.columns:
             return self.columns[prop]
-        last = prop.replace("_", ".").split(".")[-1] if "." in prop or "_" in prop else prop
+        last = prop.replace("_", ".").split(".")[-1]
+        last = last[:1].lower() + last[1:]
         return self.columns.get(last, snake(last))
 
 

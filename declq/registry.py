@@ -1,6 +1,448 @@
-"""Queries by name, and the SQL that gives the same rows on another engine."""
+"""Queries by name over the driver's tables, and the SQL that gives the same rows on another engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from datetime import datetime
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from declq.functions import naming, scalar
+from declq.operators import graph, report
+from declq.operators.pipeline import Pipeline
+from declq.plans import native, objectql, relax, truth
+from declq.plans.catalog import Catalog, Entity, Relation
+from declq.plans.derive import derive
+from declq.sources.tables import entity_rows, optional, parquet, parquet_catalog
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+ENTITIES = [
+    Entity("Region", "region", "r_regionkey", {"id": "r_regionkey", "regionKey": "r_regionkey", "name": "r_name"}),
+    Entity("Nation", "nation", "n_nationkey", {"id": "n_nationkey", "nationKey": "n_nationkey", "name": "n_name", "regionKey": "n_regionkey"}, {"region": Relation("Region", "n_regionkey", "r_regionkey", optional=False)}),
+    Entity("Customer", "customer", "c_custkey", {"id": "c_custkey", "custKey": "c_custkey", "name": "c_name", "nationKey": "c_nationkey", "balance": "c_acctbal", "segment": "c_mktsegment"}, {"nation": Relation("Nation", "c_nationkey", "n_nationkey", optional=False), "orders": Relation("Order", "c_custkey", "o_custkey", many=True)}),
+    Entity("Order", "orders", "o_orderkey", {"id": "o_orderkey", "orderKey": "o_orderkey", "custKey": "o_custkey", "orderStatus": "o_orderstatus", "totalPrice": "o_totalprice", "orderDate": "o_orderdate", "priority": "o_orderpriority"}, {"customer": Relation("Customer", "o_custkey", "c_custkey", optional=False)}),
+    Entity("LineItem", "lineitem", "l_orderkey", {"orderKey": "l_orderkey", "partKey": "l_partkey", "suppKey": "l_suppkey", "lineNumber": "l_linenumber", "quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "shipDate": "l_shipdate", "returnFlag": "l_returnflag"}, {"order": Relation("Order", "l_orderkey", "o_orderkey", optional=False), "part": Relation("Part", "l_partkey", "p_partkey")}),
+    Entity("Part", "part", "p_partkey", {"id": "p_partkey", "partKey": "p_partkey", "name": "p_name", "brand": "p_brand", "type": "p_type", "size": "p_size", "price": "p_retailprice"}),
+    Entity("Event", "events", "event_id", {"id": "event_id", "eventId": "event_id", "eventType": "event_type", "userId": "user_id", "value": "value"}),
+]
+
+
+def catalog(spark: SparkSession, folder: str) -> Catalog:
+    return parquet_catalog(spark, folder, ENTITIES)
+
+
+# --- derived queries -------------------------------------------------------------------------------------------------
+
+_DATE = datetime(1996, 1, 1)
+#: name, entity, method, arguments, SQL after "SELECT ", in the order of the operator inventory.
+_DERIVED: list[tuple[str, str, str, tuple[Any, ...], str]] = [
+    ("d_find_all", "Nation", "findAll", (), "* FROM nation"),
+    ("d_find_by_id", "Order", "getOne", (7,), "* FROM orders WHERE o_orderkey = 7"),
+    ("d_find_all_by_id", "Order", "findAllById", ([1, 2, 3, 99999999],), "* FROM orders WHERE o_orderkey IN (1, 2, 3, 99999999)"),
+    ("d_eq", "Order", "findByOrderStatus", ("F",), "* FROM orders WHERE o_orderstatus = 'F'"),
+    ("d_not", "Order", "findByOrderStatusNot", ("F",), "* FROM orders WHERE o_orderstatus <> 'F'"),
+    ("d_gt_lt", "Order", "findByTotalPriceGreaterThanAndTotalPriceLessThan", (100000.0, 200000.0), "* FROM orders WHERE o_totalprice > 100000 AND o_totalprice < 200000"),
+    ("d_gte_lte", "Part", "findBySizeGreaterThanEqualAndSizeLessThanEqual", (10, 20), "* FROM part WHERE p_size >= 10 AND p_size <= 20"),
+    ("d_before_after", "Order", "findByOrderDateBeforeOrOrderDateAfter", (_DATE, datetime(1998, 1, 1)), "* FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' OR o_orderdate > TIMESTAMP '1998-01-01'"),
+    ("d_between", "Part", "findBySizeBetween", (5, 9), "* FROM part WHERE p_size BETWEEN 5 AND 9"),
+    ("d_in", "Order", "readByOrderStatusIn", (["F", "P"],), "* FROM orders WHERE o_orderstatus IN ('F', 'P')"),
+    ("d_in_empty", "Order", "findByOrderStatusIn", ([],), "* FROM orders WHERE false"),
+    ("d_not_in", "Order", "queryByOrderStatusNotIn", (["F", "P"],), "* FROM orders WHERE o_orderstatus NOT IN ('F', 'P')"),
+    ("d_null", "Customer", "findByNameIsNull", (), "* FROM customer WHERE c_name IS NULL"),
+    ("d_not_null", "Customer", "findByNameIsNotNull", (), "* FROM customer WHERE c_name IS NOT NULL"),
+    ("d_like", "Part", "findByNameLike", ("%1%",), "* FROM part WHERE p_name LIKE '%1%'"),
+    ("d_not_like", "Part", "findByNameNotLike", ("%1%",), "* FROM part WHERE p_name NOT LIKE '%1%'"),
+    ("d_starts", "Customer", "findBySegmentStartingWith", ("B",), "* FROM customer WHERE starts_with(c_mktsegment, 'B')"),
+    ("d_ends", "Customer", "findBySegmentEndingWith", ("Y",), "* FROM customer WHERE c_mktsegment LIKE '%Y'"),
+    ("d_contains", "Customer", "findBySegmentContaining", ("UI",), "* FROM customer WHERE contains(c_mktsegment, 'UI')"),
+    ("d_not_contains", "Customer", "findBySegmentNotContaining", ("UI",), "* FROM customer WHERE NOT contains(c_mktsegment, 'UI')"),
+    ("d_ignore_case", "Customer", "findBySegmentIgnoreCase", ("building",), "* FROM customer WHERE lower(c_mktsegment) = 'building'"),
+    ("d_and_or", "Order", "findByOrderStatusAndPriorityOrTotalPriceLessThan", ("F", "1-URGENT", 5000.0), "* FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' OR o_totalprice < 5000"),
+    ("d_order_multi", "Customer", "findFirst50ByBalanceGreaterThanOrderBySegmentDescCustKeyAsc", (0.0,), "* FROM customer WHERE c_acctbal > 0 ORDER BY c_mktsegment DESC, c_custkey LIMIT 50"),
+    ("d_top_n", "Order", "findTop5ByOrderStatusAndTotalPriceGreaterThanOrderByTotalPriceDescOrderKeyAsc", ("F", 100000.0), "* FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 5"),
+    ("d_first", "Order", "findFirstByOrderStatusOrderByOrderKey", ("O",), "* FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 1"),
+    ("d_distinct", "Nation", "findDistinctNationByRegionKeyIn", ([1, 2],), "DISTINCT * FROM nation WHERE n_regionkey IN (1, 2)"),
+    ("d_count", "Order", "countByOrderStatus", ("F",), "count(*) AS count FROM orders WHERE o_orderstatus = 'F'"),
+    ("d_exists", "Order", "existsOrderByTotalPriceGreaterThan", (1e12,), "count(*) > 0 AS exists FROM orders WHERE o_totalprice > 1e12"),
+    ("d_delete_survivors", "Nation", "deleteByRegionKey", (1,), "* FROM nation WHERE n_regionkey <> 1"),
+    ("d_delete_by_ids", "Nation", "deleteAllByIdInBatch", ([3, 4],), "* FROM nation WHERE n_nationkey NOT IN (3, 4)"),
+    ("d_insert_default", "Region", "saveAndFlush", (), "* FROM region UNION ALL SELECT NULL, NULL"),
+    ("d_nested_property", "Order", "findByCustomer_CustKey", (10,), "* FROM orders WHERE o_custkey = 10"),
+]
+
+
+def _derived(entity: str, method: str, args: tuple[Any, ...]) -> Query:
+    return lambda spark, folder: derive(catalog(spark, folder), entity, method, *args)
+
+
+for _name, _entity, _method, _args, _sql in _DERIVED:
+    query(_name, f"SELECT {_sql}")(_derived(_entity, _method, _args))
+
+
+@query("d_true_false", "SELECT doc_id, quality = 1 AS good, toxic = 1 AS toxic FROM labels WHERE quality = 1 AND toxic <> 1")
+def d_true_false(spark: SparkSession, folder: str) -> DataFrame:
+    labels = parquet(spark, folder, "labels").select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    return derive(Catalog([Entity("Label", "labels", "doc_id")], lambda _: labels), "Label", "findByGoodIsTrueAndToxicIsFalse")
+
+
+@query("d_unknown_name_logged", "SELECT * FROM region")
+def d_unknown_name_logged(spark: SparkSession, folder: str) -> DataFrame:
+    return derive(catalog(spark, folder), "Region", "frobnicate", on_error="log")
+
+
+@query("d_like_compat", "SELECT * FROM customer WHERE c_mktsegment LIKE 'BUI'")
+def d_like_compat(spark: SparkSession, folder: str) -> DataFrame:
+    return derive(catalog(spark, folder), "Customer", "findBySegmentContaining", "BUI", compat=True)
+
+
+# --- object and native queries ---------------------------------------------------------------------------------------
+
+#: name, native, text, arguments, SQL.
+_TEXTS: list[tuple[str, bool, str, Any, str]] = [
+    ("q_path_join_inner", False, "SELECT o.orderKey AS order_key, c.name AS name FROM Order o JOIN o.customer c WHERE o.totalPrice > :low", {"low": 300000.0}, "SELECT o_orderkey AS order_key, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000"),
+    ("q_path_join_left", False, "SELECT l.orderKey AS order_key, l.lineNumber AS line, p.brand AS brand FROM LineItem l LEFT JOIN l.part p WHERE l.quantity >= ?1", [50.0], "SELECT l_orderkey AS order_key, l_linenumber AS line, p_brand AS brand FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50"),
+    ("q_path_join_chain", False, "SELECT l.order.customer.nation.region.name AS region, ROUND(SUM(l.price * (1 - l.discount)), 2) AS revenue FROM LineItem l WHERE l.order.orderDate >= :from GROUP BY l.order.customer.nation.region.name", {"from": _DATE}, "SELECT r_name AS region, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY r_name"),
+    ("q_explicit_on", False, "SELECT c.custKey AS cust_key, o.orderKey AS order_key FROM Customer c LEFT JOIN c.orders o ON c.custKey = o.custKey AND o.totalPrice > 250000", {}, "SELECT c_custkey AS cust_key, o_orderkey AS order_key FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000"),
+    ("q_group_having", False, "SELECT o.custKey AS cust_key, COUNT(o) AS n FROM Order o GROUP BY o.custKey HAVING COUNT(o) > 15", {}, "SELECT o_custkey AS cust_key, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15"),
+    ("q_case", False, "SELECT o.orderKey AS order_key, CASE WHEN o.totalPrice > 200000 THEN 'big' WHEN o.totalPrice > 100000 THEN 'mid' ELSE 'small' END AS class FROM Order o", {}, "SELECT o_orderkey AS order_key, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'small' END AS class FROM orders"),
+    ("q_case_simple", False, "SELECT o.orderKey AS order_key, CASE o.orderStatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS code FROM Order o", {}, "SELECT o_orderkey AS order_key, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS code FROM orders"),
+    ("q_sum_case_dto", False, "SELECT NEW stats.Dto(o.orderStatus AS status, SUM(CASE WHEN o.totalPrice > 150000 THEN 1 ELSE 0 END) AS big, CAST(COUNT(o) AS BIGINT) AS n) FROM Order o GROUP BY o.orderStatus", {}, "SELECT o_orderstatus AS status, CAST(SUM(CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END) AS BIGINT) AS big, count(*) AS n FROM orders GROUP BY o_orderstatus"),
+    ("q_count_entity", False, "SELECT COUNT(c) AS n FROM Customer c WHERE c.nation.region.name = 'ASIA'", {}, "SELECT count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"),
+    ("q_subselect", False, "SELECT s.status AS status, COUNT(*) AS n FROM (SELECT o.orderStatus AS status, o.custKey AS cust FROM Order o WHERE o.totalPrice > 100000) s GROUP BY s.status", {}, "SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus"),
+    ("q_exists", False, "SELECT c.custKey AS cust_key FROM Customer c WHERE EXISTS (SELECT o FROM Order o WHERE o.custKey = c.custKey AND o.totalPrice > 280000)", {}, "SELECT c_custkey AS cust_key FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 280000)"),
+    ("q_alias_star", False, "SELECT n FROM Nation n WHERE n.regionKey BETWEEN 1 AND 2 AND n.name IS NOT NULL", {}, "SELECT * FROM nation WHERE n_regionkey BETWEEN 1 AND 2"),
+    ("q_distinct", False, "SELECT DISTINCT p.brand AS brand FROM Part p WHERE NOT (p.size < 10)", {}, "SELECT DISTINCT p_brand AS brand FROM part WHERE p_size >= 10"),
+    ("q_like_wildcards", False, "SELECT p FROM Part p WHERE p.name LIKE %:part%", {"part": "11"}, "SELECT * FROM part WHERE p_name LIKE '%11%'"),
+    ("q_named_params", False, "SELECT o FROM Order o WHERE o.orderStatus IN (:statuses) AND o.totalPrice < :high", {"statuses": ["F", "P"], "high": 20000.0}, "SELECT * FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice < 20000"),
+    ("q_dotted_params", False, "SELECT c FROM Customer c WHERE c.segment = :#{#filter.getSegment()} AND c.balance > :#{#filter.low}", {"filter": {"segment": "BUILDING", "low": 5000.0}}, "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000"),
+    ("q_order_by", False, "SELECT c FROM Customer c ORDER BY c.balance DESC, c.custKey LIMIT 20", {}, "SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20"),
+    ("q_native_positional", True, "SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_totalprice BETWEEN ?1 AND ?2 AND o_orderpriority IN (?3) GROUP BY o_orderstatus", [50000.0, 150000.0, ["1-URGENT", "2-HIGH"]], "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 50000 AND 150000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY o_orderstatus"),
+    ("q_native_join", True, "SELECT n_name, COUNT(*) AS n FROM customer \\n JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = :segment GROUP BY n_name;", {"segment": "MACHINERY"}, "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'MACHINERY' GROUP BY n_name"),
+]
+
+
+def _text(is_native: bool, text: str, args: Any) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        if not is_native:
+            return objectql.run(spark, catalog(spark, folder), text, args)
+        for table in ("orders", "customer", "nation"):
+            parquet(spark, folder, table).createOrReplaceTempView(table)
+        return native.run(spark, text, args)
+
+    return run
+
+
+for _name, _native, _query, _args, _sql in _TEXTS:
+    query(_name, _sql)(_text(_native, _query, _args))
+
+
+@query("q_entity_rows", "SELECT r_regionkey AS id, r_regionkey AS \"regionKey\", r_name AS name FROM region")
+def q_entity_rows(spark: SparkSession, folder: str) -> DataFrame:
+    c = catalog(spark, folder)
+    return entity_rows(c.frame("Region"), c.entity("Region"))
+
+
+@query("q_optional", "SELECT o_orderkey FROM orders WHERE o_orderkey = 7")
+def q_optional(spark: SparkSession, folder: str) -> DataFrame:
+    return optional(derive(catalog(spark, folder), "Order", "findByOrderKey", 7))
+
+
+# --- relaxation ------------------------------------------------------------------------------------------------------
+
+_RELAX = "findByOrderStatusAndPriorityIsNotNullAndTotalPriceGreaterThan"
+
+
+@query("x_relaxed", "SELECT * FROM orders WHERE o_orderpriority IS NOT NULL AND o_orderstatus = 'P'")
+def x_relaxed(spark: SparkSession, folder: str) -> DataFrame:
+    return relax.relaxed(catalog(spark, folder), "Order", _RELAX, values={"orderStatus": ["P"]})[0]
+
+
+@query("x_sample_args", 'SELECT o_orderstatus AS "orderStatus", o_totalprice AS "totalPrice" FROM orders WHERE o_orderpriority IS NOT NULL ORDER BY o_orderkey LIMIT 1')
+def x_sample_args(spark: SparkSession, folder: str) -> DataFrame:
+    return relax.sample_arguments(catalog(spark, folder), "Order", _RELAX, "orderKey")
+
+
+@query("x_hit_miss", "SELECT 'present' AS path, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'empty', 0")
+def x_hit_miss(spark: SparkSession, folder: str) -> DataFrame:
+    return relax.hit_and_miss(catalog(spark, folder), "Order", _RELAX)
+
+
+# --- collection pipelines --------------------------------------------------------------------------------------------
+
+
+def _events(spark: SparkSession, folder: str) -> Pipeline:
+    return Pipeline(parquet(spark, folder, "events"), "event_type", "event_id")
+
+
+def _sizes(spark: SparkSession, folder: str) -> Pipeline:
+    return Pipeline(parquet(spark, folder, "part"), "p_size", "p_partkey")
+
+
+#: name, query, SQL.
+_PIPELINES: list[tuple[str, Query, str]] = [
+    ("s_filter_map", lambda s, d: _events(s, d).filter(lambda v: v.startswith("c")).map(F.upper).rows(), "SELECT upper(event_type) AS value FROM events WHERE event_type LIKE 'c%'"),
+    ("s_flat_map", lambda s, d: Pipeline(parquet(s, d, "customer"), "c_name", "c_custkey").flat_map(lambda v: F.split(v, "#")).rows(), "SELECT unnest(string_split(c_name, '#')) AS value FROM customer"),
+    ("s_take_while", lambda s, d: _sizes(s, d).take_while(lambda v: v != 50).rows(), "SELECT p_size AS value FROM part WHERE p_partkey < coalesce((SELECT min(p_partkey) FROM part WHERE p_size = 50), 9e18)"),
+    ("s_drop_while", lambda s, d: _sizes(s, d).drop_while(lambda v: v != 50).rows(), "SELECT p_size AS value FROM part WHERE p_partkey >= (SELECT min(p_partkey) FROM part WHERE p_size = 50)"),
+    ("s_distinct_first", lambda s, d: _sizes(s, d).distinct().limit(10).rows(), "SELECT p_size AS value FROM (SELECT p_size, min(p_partkey) AS k FROM part GROUP BY p_size ORDER BY k LIMIT 10)"),
+    ("s_peek", lambda s, d: _sizes(s, d).peek("seen").filter(lambda v: v > 45).rows(), "SELECT p_size AS value FROM part WHERE p_size > 45"),
+    ("s_sorted", lambda s, d: _sizes(s, d).sorted().limit(25).rows(), "SELECT p_size AS value FROM part ORDER BY p_size LIMIT 25"),
+    ("s_sorted_by", lambda s, d: _sizes(s, d).sorted(lambda v: v % 7, descending=True).limit(25).rows(), "SELECT p_size AS value FROM part ORDER BY p_size % 7 DESC, p_partkey LIMIT 25"),
+    ("s_limit_skip", lambda s, d: _sizes(s, d).skip(5).limit(10).rows(), "SELECT p_size AS value FROM part ORDER BY p_partkey LIMIT 10 OFFSET 5"),
+    ("s_find_first", lambda s, d: _events(s, d).filter(lambda v: v == "error").find_first(), "SELECT 'error' AS value FROM events WHERE event_type = 'error' LIMIT 1"),
+    ("s_any_match", lambda s, d: _sizes(s, d).any_match(lambda v: v > 49), "SELECT bool_or(p_size > 49) AS any FROM part"),
+    ("s_all_match", lambda s, d: _sizes(s, d).all_match(lambda v: v > 1), "SELECT bool_and(p_size > 1) AS all FROM part"),
+    ("s_none_match", lambda s, d: _sizes(s, d).filter(lambda v: v < 0).none_match(lambda v: v > 1), "SELECT true AS none"),
+    ("s_min", lambda s, d: _events(s, d).min(F.length), "SELECT event_type AS min FROM events ORDER BY length(event_type), event_id LIMIT 1"),
+    ("s_max", lambda s, d: _sizes(s, d).max(), "SELECT max(p_size) AS max FROM part"),
+    ("s_count", lambda s, d: _events(s, d).count(), "SELECT count(*) AS count FROM events"),
+    ("s_to_list", lambda s, d: _sizes(s, d).limit(20).to_list().select(F.array_join("list", ",").alias("list")), "SELECT string_agg(p_size, ',' ORDER BY p_partkey) AS list FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 20)"),
+    ("s_to_set", lambda s, d: _events(s, d).to_set().select(F.array_join("set", ",").alias("set")), "SELECT string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS set FROM events"),
+    ("s_reduce", lambda s, d: _sizes(s, d).limit(100).reduce(lambda a, x: F.greatest(a, x) - F.least(a, x) % 3), "WITH RECURSIVE x AS (SELECT p_size AS v, row_number() OVER (ORDER BY p_partkey) AS i FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 100)), f AS (SELECT i, v AS a FROM x WHERE i = 1 UNION ALL SELECT x.i, greatest(f.a, x.v) - least(f.a, x.v) % 3 FROM f JOIN x ON x.i = f.i + 1) SELECT a AS reduced FROM f ORDER BY i DESC LIMIT 1"),
+    ("s_fold_text", lambda s, d: _events(s, d).limit(12).reduce(lambda a, x: F.concat(a, F.substring(x, 1, 1)), identity=""), "SELECT string_agg(substr(event_type, 1, 1), '' ORDER BY event_id) AS reduced FROM (SELECT * FROM events ORDER BY event_id LIMIT 12)"),
+    ("s_collect_fold", lambda s, d: _sizes(s, d).limit(50).collect(F.lit(0), lambda a, x: a + x), "SELECT CAST(sum(p_size) AS INTEGER) AS collected FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 50)"),
+    ("s_group_by", lambda s, d: _sizes(s, d).limit(60).group_by(lambda v: v % 5).select("group", F.array_join("values", ",").alias("values")), "SELECT p_size % 5 AS group, string_agg(p_size, ',' ORDER BY p_partkey) AS values FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 60) GROUP BY 1"),
+    ("s_group_count", lambda s, d: _events(s, d).group_count(lambda v: v), "SELECT event_type AS group, count(*) AS count FROM events GROUP BY event_type"),
+    ("s_partition_by", lambda s, d: _sizes(s, d).partition_by(lambda v: v > 1000), "SELECT false AS side, count(*) AS count FROM part WHERE NOT p_size > 1000 UNION ALL SELECT true, count(*) FROM part WHERE p_size > 1000"),
+    ("s_num_sum", lambda s, d: _sizes(s, d).sum(), "SELECT CAST(sum(p_size) AS BIGINT) AS sum FROM part"),
+    ("s_num_stats", lambda s, d: _sizes(s, d).summary(), "SELECT count(*) AS count, CAST(sum(p_size) AS BIGINT) AS sum, min(p_size) AS min, max(p_size) AS max, avg(p_size) AS average FROM part"),
+    ("s_num_average_empty", lambda s, d: _sizes(s, d).filter(lambda v: v < 0).average(), "SELECT CAST(NULL AS DOUBLE) AS average"),
+    ("s_num_casts", lambda s, d: Pipeline(parquet(s, d, "part"), "p_retailprice", "p_partkey").cast("int").cast("bigint").rows(), "SELECT CAST(trunc(p_retailprice) AS BIGINT) AS value FROM part"),
+    ("s_range", lambda s, d: Pipeline.range(s, 3, 9).map(lambda v: v * v).rows(), "SELECT CAST(x * x AS INTEGER) AS value FROM range(3, 9) t(x)"),
+]
+for _name, _run, _sql in _PIPELINES:
+    query(_name, _sql)(_run)
+
+
+# --- scalar expressions ----------------------------------------------------------------------------------------------
+
+_PAIRS = "VALUES (1, 1, 'a'), (2, CAST(NULL AS INT), NULL), (CAST(NULL AS INT), CAST(NULL AS INT), 'c'), (-7, 2, 'd'), (7, -2, 'e'), (5, 0, 'f')"
+
+
+def _pairs(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {_PAIRS} AS t(a, b, s)")
+
+
+@query("e_null_safe_eq", f"SELECT a, b, a IS NOT DISTINCT FROM b AS eq, a IS DISTINCT FROM b AS ne FROM ({_PAIRS}) t(a, b, s)")
+def e_null_safe_eq(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return _pairs(spark).select("a", "b", scalar.equal(a, b).alias("eq"), scalar.not_equal(a, b).alias("ne"))
+
+
+@query("e_truthy_logic", f"SELECT a, b, coalesce(a > 0, false) AND coalesce(b > 0, false) AS both, coalesce(a > 0, false) OR coalesce(b > 0, false) AS either, NOT coalesce(a > 0, false) AS neg FROM ({_PAIRS}) t(a, b, s)")
+def e_truthy_logic(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = F.col("a") > 0, F.col("b") > 0
+    return _pairs(spark).select("a", "b", scalar.both(a, b).alias("both"), scalar.either(a, b).alias("either"), scalar.negate(a).alias("neg"))
+
+
+@query("e_int_arith", f"SELECT a, b, a + b AS plus, a - b AS minus, a * b AS times, CASE WHEN b <> 0 THEN a // b END AS quot, CASE WHEN b <> 0 THEN a % b END AS rest FROM ({_PAIRS}) t(a, b, s)")
+def e_int_arith(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return _pairs(spark).select("a", "b", *[scalar.arith(op, a, b).alias(n) for op, n in (("+", "plus"), ("-", "minus"), ("*", "times"), ("/", "quot"), ("%", "rest"))])
+
+
+@query("e_concat_null", f"SELECT coalesce(s, 'null') || coalesce(CAST(a AS VARCHAR), 'null') AS joined FROM ({_PAIRS}) t(a, b, s)")
+def e_concat_null(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(spark).select(scalar.concat(F.col("s"), F.col("a")).alias("joined"))
+
+
+@query("e_compare", f"SELECT a, b, CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN a < b THEN -1 WHEN a > b THEN 1 WHEN a = b THEN 0 END AS sign FROM ({_PAIRS}) t(a, b, s)")
+def e_compare(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(spark).select("a", "b", scalar.compare(F.col("a"), F.col("b")).alias("sign"))
+
+
+@query("e_ternary_item", f"SELECT a, CASE WHEN coalesce(a > 1, false) THEN 'yes' ELSE 'no' END AS choice, CASE WHEN a = 1 THEN 20 END AS item FROM ({_PAIRS}) t(a, b, s)")
+def e_ternary_item(spark: SparkSession, folder: str) -> DataFrame:
+    array = F.array(F.lit(10), F.lit(20))
+    at = F.when(F.col("a") == 1, F.lit(1)).otherwise(F.lit(9))
+    return _pairs(spark).select("a", scalar.choose(F.col("a") > 1, F.lit("yes"), F.lit("no")).alias("choice"), scalar.item(array, at).alias("item"))
+
+
+@query("e_empty_parse", f"SELECT s, coalesce(length(s) = 0, true) AS empty, try_cast(s AS INTEGER) IS NOT NULL AS number FROM ({_PAIRS}) t(a, b, s)")
+def e_empty_parse(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(spark).select("s", scalar.is_empty(F.col("s"), "string").alias("empty"), scalar.parses_as(F.col("s"), "int").alias("number"))
+
+
+_NAMES = "VALUES ('userID'), ('address2Line'), ('orderTotalPrice'), ('plain')"
+
+
+@query("e_snake_case", f"SELECT name, lower(regexp_replace(name, '([a-z])([A-Z]+)', '\\1_\\2', 'g')) AS snake, lower(regexp_replace(name, '([A-Z])', '_\\1', 'g')) AS each FROM ({_NAMES}) t(name)")
+def e_snake_case(spark: SparkSession, folder: str) -> DataFrame:
+    names = spark.sql(f"SELECT * FROM {_NAMES} AS t(name)")
+    return names.select("name", naming.snake_column(F.col("name")).alias("snake"), naming.snake_each_column(F.col("name")).alias("each"))
+
+
+# --- truth tables ----------------------------------------------------------------------------------------------------
+
+
+def _counts(df: DataFrame) -> DataFrame:
+    return df.groupBy("result").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _cross(n: int, names: str) -> str:
+    return ", ".join(f"range({n}) t{c}({c})" for c in names)
+
+
+@query("b_truth_ineq", f"SELECT a > b AND c = d AS result, count(*) AS n FROM {_cross(4, 'abcd')} GROUP BY 1")
+def b_truth_ineq(spark: SparkSession, folder: str) -> DataFrame:
+    return _counts(truth.table(spark, "a > b && c == d", width=4))
+
+
+@query("b_truth_chain", f"SELECT a >= b AND b >= c AS result, count(*) AS n FROM {_cross(3, 'abc')} GROUP BY 1")
+def b_truth_chain(spark: SparkSession, folder: str) -> DataFrame:
+    return _counts(truth.table(spark, "a >= b && b >= c"))
+
+
+@query("b_truth_strict", f"SELECT a, b, c FROM {_cross(3, 'abc')} WHERE a > b AND b > c")
+def b_truth_strict(spark: SparkSession, folder: str) -> DataFrame:
+    return truth.satisfying(truth.table(spark, "a > b && b > c")).select(*[F.col(x).cast("long").alias(x) for x in "abc"])
+
+
+@query("b_truth_mixed", f"SELECT a > b AND b < c AS result, count(*) AS n FROM {_cross(3, 'abc')} GROUP BY 1")
+def b_truth_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return _counts(truth.table(spark, "a > b && b < c"))
+
+
+@query("b_truth_null", "SELECT a, a IS NULL AS result FROM (VALUES (NULL), ('T')) t(a)")
+def b_truth_null(spark: SparkSession, folder: str) -> DataFrame:
+    return truth.table(spark, "a == null")
+
+
+@query("b_constrained", f"SELECT a, b, a > b AS result FROM {_cross(6, 'ab')} WHERE a >= 2 AND a <> b")
+def b_constrained(spark: SparkSession, folder: str) -> DataFrame:
+    df = truth.table(spark, "a > b", constraints=["a >= 2", "a != b"], width=6)
+    return df.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "result")
+
+
+@query("b_first", "SELECT 1 AS a, 0 AS b, true AS result")
+def b_first(spark: SparkSession, folder: str) -> DataFrame:
+    return truth.first_satisfying(truth.table(spark, "a > b"))
+
+
+@query("b_path_states", "SELECT 'left=' || l || '|right=' || r AS fingerprint, l AS left, r AS right FROM (VALUES ('T'), ('F'), ('N')) x(l), (VALUES ('T'), ('F')) y(r) WHERE NOT (l = 'T' AND r = 'F')")
+def b_path_states(spark: SparkSession, folder: str) -> DataFrame:
+    tried = spark.createDataFrame([("left=T|right=F",)], "fingerprint string")
+    return truth.path_states(spark, {"left": ["T", "F", "N"], "right": ["T", "F"]}, tried)
+
+
+# --- graphs ----------------------------------------------------------------------------------------------------------
+
+_EDGES = "VALUES ('A','B','FIELD'), ('B','C','CONSTRUCTOR'), ('C','A','SETTER'), ('B','A','FIELD'), ('C','D','FIELD'), ('D','E','BEAN_METHOD'), ('E','D','FIELD'), ('E','F','SETTER'), ('G','G','FIELD')"
+_PATHS = f"WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) t(src, dst, kind)), p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src)"
+
+
+def _edges(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {_EDGES} AS t(src, dst, kind)")
+
+
+@query("g_reachable", f"{_PATHS} SELECT DISTINCT node FROM (SELECT 'D' AS node UNION SELECT dst FROM p WHERE src = 'D')")
+def g_reachable(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.reachable(_edges(spark), spark.createDataFrame([("D",)], "node string"))
+
+
+@query("g_reachable_without", f"{_PATHS} SELECT DISTINCT node FROM (SELECT 'A' AS node UNION SELECT dst FROM p WHERE src = 'A') WHERE node NOT IN ('C', 'F')")
+def g_reachable_without(spark: SparkSession, folder: str) -> DataFrame:
+    one = lambda *x: spark.createDataFrame([(v,) for v in x], "node string")
+    return graph.reachable_without(_edges(spark), one("A"), one("C", "F"))
+
+
+@query("g_closure", f"{_PATHS} SELECT src, dst FROM p")
+def g_closure(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.closure(_edges(spark))
+
+
+@query("g_scc", f"{_PATHS}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, least(node, coalesce((SELECT min(a.dst) FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node), node)) AS component FROM n")
+def g_scc(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.strong_components(_edges(spark))
+
+
+@query("g_has_cycles", "SELECT true AS has_cycles, CAST(2 AS BIGINT) AS n_groups")
+def g_has_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.has_cycles(_edges(spark))
+
+
+@query("g_cycles", f"WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) t(src, dst, kind)), w AS (SELECT src AS s, dst AS cur, [src, dst] AS path FROM e WHERE dst > src UNION ALL SELECT s, e.dst, list_append(path, e.dst) FROM w JOIN e ON cur = e.src WHERE e.dst > s AND NOT list_contains(path, e.dst)) SELECT array_to_string(path, '>') AS cycle FROM w JOIN e ON cur = e.src AND e.dst = s")
+def g_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.elementary_cycles(_edges(spark)).select(F.array_join("cycle", ">").alias("cycle"))
+
+
+@query("g_in_degree", f"SELECT dst AS node, count(*) AS in_degree FROM ({_EDGES}) t(src, dst, kind) GROUP BY dst")
+def g_in_degree(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.in_degrees(_edges(spark))
+
+
+@query("g_weights", f"WITH e AS (SELECT * FROM ({_EDGES}) t(src, dst, kind)) SELECT src, dst, kind, CASE kind WHEN 'FIELD' THEN 1.0::DOUBLE WHEN 'SETTER' THEN 2 WHEN 'CONSTRUCTOR' THEN 3 ELSE 4 END + 0.5::DOUBLE * (SELECT count(*) FROM e x WHERE x.dst = e.dst) AS weight FROM e")
+def g_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.edge_weights(_edges(spark))
+
+
+@query("g_edge_frequency", "SELECT * FROM (VALUES ('A','B',CAST(2 AS BIGINT)), ('B','A',1), ('B','C',1), ('C','A',1), ('D','E',1), ('E','D',1)) t(src, dst, n_cycles)")
+def g_edge_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.edge_frequency(graph.elementary_cycles(_edges(spark)))
+
+
+@query("g_greedy_cut")
+def g_greedy_cut(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.greedy_cut(_edges(spark))
+
+
+@query("g_build", f"SELECT DISTINCT src, dst, kind FROM ({_EDGES}) t(src, dst, kind) WHERE kind <> 'SETTER' AND (src <> dst OR kind = 'BEAN_METHOD')")
+def g_build(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.dependency_edges(_edges(spark).withColumn("lazy", F.col("kind") == "SETTER"))
+
+
+@query("g_subclasses", "SELECT node FROM (VALUES ('B'), ('C'), ('D')) t(node)")
+def g_subclasses(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.subclasses(spark.createDataFrame([("B", "A"), ("C", "B"), ("D", "A"), ("F", "E")], "src string, dst string"), "A")
+
+
+_MEMBERS = "VALUES ('m1', 'method', 'T'), ('m1', 'method', 'T'), ('m2', 'method', 'U'), ('f1', 'field', 'T'), ('m3', 'method', 'T')"
+
+
+@query("g_references", f"SELECT DISTINCT method FROM ({_MEMBERS}) t(method, kind, type) WHERE kind = 'method' AND type = 'T'")
+def g_references(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.references_to(spark.sql(f"SELECT * FROM {_MEMBERS} AS t(method, kind, type)"), "T")
+
+
+@query("g_used_before_ready", "SELECT 'x' AS bean, 'f' AS field, 'y' AS target")
+def g_used_before_ready(spark: SparkSession, folder: str) -> DataFrame:
+    usages = spark.createDataFrame([("x", "f"), ("x", "h"), ("x", "f")], "bean string, field string")
+    return graph.used_before_ready(usages, spark.createDataFrame([("x", "f", "y"), ("x", "g", "z")], "bean string, field string, target string"))
+
+
+# --- report ----------------------------------------------------------------------------------------------------------
+
+_METHODS = "VALUES ('A', 'SUCCESS', 'm1', 'SUCCESS', 3), ('A', 'SUCCESS', 'm2', 'FAILED', 0), ('B', 'SKIPPED', 'm3', 'SUCCESS', 1), ('C', 'SUCCESS', 'm4', 'SKIPPED', 0), ('C', 'SUCCESS', 'm5', 'SUCCESS', 2)"
+_METHOD_COLUMNS = "(class, class_status, method, status, tests)"
+
+
+@query("r_summary", f"WITH m AS (SELECT * FROM ({_METHODS}) t{_METHOD_COLUMNS}), c AS (SELECT class, bool_or(class_status = 'SKIPPED' OR status = 'SKIPPED') AS s, bool_or(class_status = 'FAILED' OR status = 'FAILED') AS f FROM m GROUP BY class) SELECT (SELECT count(*) FROM c) AS classes, (SELECT count(*) FROM c WHERE s) AS classes_skipped, (SELECT count(*) FROM c WHERE f) AS classes_failed, count(*) AS methods, count(*) FILTER (status = 'SUCCESS') AS methods_ok, count(*) FILTER (status = 'SKIPPED') AS methods_skipped, count(*) FILTER (status = 'FAILED') AS methods_failed, CAST(sum(tests) AS BIGINT) AS tests FROM m")
+def r_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return report.summary(report.class_report(spark.sql(f"SELECT * FROM {_METHODS} AS t{_METHOD_COLUMNS}")))
+
+
+@query("r_json")
+def r_json(spark: SparkSession, folder: str) -> DataFrame:
+    return report.as_json(report.class_report(spark.sql(f"SELECT * FROM {_METHODS} AS t{_METHOD_COLUMNS}")))
+
+
+@query("r_version_max", "SELECT 'a' AS artifact, '1.10.0' AS latest UNION ALL SELECT 'b', '2.0'")
+def r_version_max(spark: SparkSession, folder: str) -> DataFrame:
+    versions = [("a", "1.9.3"), ("a", "1.10.0"), ("a", "1.2"), ("b", "2.0"), ("b", "1.99.99")]
+    return report.latest_version(spark.createDataFrame(versions, "artifact string, version string"), "version", "artifact")
