@@ -24,7 +24,7 @@ from declq.llm import pairs
 from declq.llm.common import SIMILARITY, components, cut, mix, plain, slices, small_side, split_words
 
 DISTANCE = 3
-#: Up to DENSE nodes per key every Hamming pair is a link; up to MATRIX the components of a Hamming matrix are linked as stars;
+#: Up to DENSE nodes per key Hamming pairs are found by offsets, up to MATRIX by a matrix, and their components become stars;
 #: a larger key links all its nodes. Links only say what is checked together, so none of this loses or adds a pair.
 DENSE, MATRIX = 256, 8192
 LEAST_LETTERS = 4
@@ -83,11 +83,23 @@ def masks(nodes: int, distance: int = DISTANCE) -> list[int]:
     raise AssertionError("unreachable")
 
 
+def spanning(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least position of each position's component, so that a group of n nodes gives n - 1 links and not all its pairs."""
+    top = np.arange(n)
+    while True:
+        before = top.copy()
+        np.minimum.at(top, high, top[low])
+        np.minimum.at(top, low, top[high])
+        top = top[top]
+        if (top == before).all():
+            return top
+
+
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (key, h, sim) to links (src, dst) between nodes of one key within DISTANCE bits."""
 
     def links(key: np.ndarray, h: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-        src, dst = [], []
+        src, dst, low, high = [], [], [], []
         first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
         size = np.diff(first, append=len(key))
         for at, n in zip(first[size > DENSE], size[size > DENSE]):
@@ -109,9 +121,13 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here = here[key[here] == key[here + step]]
             if not len(here):
                 break
-            near = here[(np.bitwise_count(sim[here] ^ sim[here + step]) <= DISTANCE) & (h[here] != h[here + step])]
-            src.append(h[near])
-            dst.append(h[near + step])
+            near = here[np.bitwise_count(sim[here] ^ sim[here + step]) <= DISTANCE]
+            low.append(near)
+            high.append(near + step)
+        top = spanning(len(key), np.concatenate(low), np.concatenate(high)) if low else np.arange(len(key))
+        linked = np.flatnonzero(top != np.arange(len(key)))
+        src.append(h[linked])
+        dst.append(h[top[linked]])
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(join(src)), pa.array(join(dst))], ["src", "dst"])
 
