@@ -116,7 +116,7 @@ def _encode(vocabulary):
                     [
                         pa.array(np.arange(row, row + n)), part.column(0), part.column(2),
                         pa.array([stream[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary()),
-                        pa.array(np.bincount(of, values, n)), pa.array(np.bincount(of, k >= 0, n).astype(np.int64)),
+                        pa.array(np.bincount(of, values, n).astype(np.float64)), pa.array(np.bincount(of, k >= 0, n).astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(rest, pa.binary())),
                     ],
                     ["row", "doc_id", "held_out", "classes", "log_counts", "n_known", "rare"],

@@ -177,7 +177,7 @@ def fit(texts: list[bytes], y: np.ndarray) -> ConvNet | None:
 def score_toxicity(docs: DataFrame, labels: DataFrame, held: Callable[[Column], Column] | None = None, output: str = "digest") -> DataFrame:
     """Score every whole text (see nn.score_documents for the columns); predicted is 1 from a score of 0.5.
 
-    Null text is empty and is scored like it; without labelled rows of both classes every score is 0. Rows are scored by
+    Null text is empty and is scored like it; without labelled rows of both classes every score is 0 (below 1e-9). Rows are scored by
     themselves, so repeated rows and null ids stay. Fitting uses a bounded sample (nn.TRAIN_PER_CLASS rows of each class).
     """
     held = held or (lambda doc_id: held_out(doc_id, 5, 0))
