@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     """events.parquet of a folder as a stream."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(folder)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a zoned type
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
