@@ -43,6 +43,11 @@ def simhash(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > lens[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of signed hashes; unsigned for the count, as bitwise_count takes absolute values."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def hash_lines(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Indexes of the lines with a word, their 64-bit hashes (in word order), SimHashes and numbers of words."""
     words, ends = split_words([x.lower() for x in lines])
@@ -107,7 +112,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n <= MATRIX:
                 close = np.zeros((n, n), bool)
                 for lo in range(0, n, 512):  # keeps the 64-bit differences small
-                    close[lo : lo + 512] = np.bitwise_count(sim[at + lo : at + min(lo + 512, n), None] ^ sim[None, at : at + n]) <= DISTANCE
+                    close[lo : lo + 512] = bits_apart(sim[at + lo : at + min(lo + 512, n), None], sim[None, at : at + n]) <= DISTANCE
                 top = pairs.roots(n, close)
             else:
                 top = np.zeros(n, np.int64)
@@ -121,7 +126,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here = here[key[here] == key[here + step]]
             if not len(here):
                 break
-            near = here[np.bitwise_count(sim[here] ^ sim[here + step]) <= DISTANCE]
+            near = here[bits_apart(sim[here], sim[here + step]) <= DISTANCE]
             low.append(near)
             high.append(near + step)
         top = spanning(len(key), np.concatenate(low), np.concatenate(high)) if low else np.arange(len(key))
@@ -203,7 +208,7 @@ def _verify(group: dict[str, list]) -> Iterator[pa.RecordBatch]:
     cross = group["lo"][0] != group["hi"][0]
     src, dst = [], []
     for i in range(n):
-        near = np.flatnonzero((np.bitwise_count(sim[i + 1 :] ^ sim[i]) <= DISTANCE) & ((block[i + 1 :] != block[i]) | (not cross))) + i + 1
+        near = np.flatnonzero((bits_apart(sim[i + 1 :], sim[i]) <= DISTANCE) & ((block[i + 1 :] != block[i]) | (not cross))) + i + 1
         for j in near:
             a, b = find(i), find(int(j))
             if a != b and similar(text[i], text[j]):

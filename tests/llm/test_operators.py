@@ -128,6 +128,12 @@ def test_line_dedup_is_brute_force(spark):
     assert line_dedup.dedup_lines(make(spark, [])).count() == 0
 
 
+def test_bits_apart_of_signed_hashes():
+    a = np.array([0, 0, -1, 5], np.int64)
+    b = np.array([-1, -(2**63) + 1, -2, 5], np.int64)
+    assert line_dedup.bits_apart(a, b).tolist() == [64, 2, 1, 0]
+
+
 def test_levenshtein():
     def slow(a, b):
         row = list(range(len(b) + 1))
