@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from declq.llm.common import cut
+
 #: Lengths per block of the two-level suffix sums; a block is one window partition, and block totals are the other level.
 BLOCK = 1024
 
@@ -20,8 +22,9 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     n_docs (of just L), docs_ge and tokens_ge (documents of L tokens or more and their tokens), total_docs, total_tokens,
     truncated_tokens = sum of min(length, L), fits_docs (length <= L), quantile = fits_docs / total_docs.
     Suffix sums run inside blocks of BLOCK lengths; block totals are summed over (longest length / BLOCK) rows.
-    An empty histogram gives no rows.
+    An empty histogram gives no rows. The histogram is cut first: it is read twice, and its texts should be encoded once.
     """
+    histogram = cut(histogram)
     cells = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / BLOCK).cast("long").alias("block"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
