@@ -149,7 +149,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(sketches.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.first("keys").alias("keys")))
     nodes = classes.select("rep", F.posexplode("keys").alias("tree", "key"))
     heads = nodes.groupBy(F.col("tree").alias("t"), F.col("key").alias("k")).agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head <> tail").select("t", "k", "head")
-    stars = nodes.join(heads, (nodes.tree == heads.t) & (nodes.key == heads.k)).select(F.col("rep").alias("src"), F.col("head").alias("dst")).where("src <> dst").distinct()
+    # A node meets at most TREES heads. They and the node are linked to the least of them: one link a node, and a few between heads.
+    met = nodes.join(heads, (nodes.tree == heads.t) & (nodes.key == heads.k)).groupBy("rep").agg(F.collect_set("head").alias("heads"))
+    stars = met.select(F.explode(F.array_append("heads", F.col("rep"))).alias("src"), F.array_min("heads").alias("dst")).where("src <> dst").distinct()
     found = components(stars)
     members = cut(classes.join(found, classes.rep == found.node).select("rep", "s1", "s2", F.col("component"), "copies"))
     wanted = small_side(members)
