@@ -1,10 +1,11 @@
 """Hidden Markov language model: Baum-Welch counts summed over partitions train it, the scaled forward recursion scores.
 
 Tokens are the white-space words in ASCII lower case and one end per text. A state emits a class, the class a word: the
-TOP_CLASSES most frequent words and the end are classes of their own, all other words (also unknown ones) share
-HASH_CLASSES classes by their letters. p(word | class) comes from the exact counts of all training texts, with one count
-more for each word of the class and one unknown word; so p sums to 1 over all words, and everything that must be on every
-executor (states x classes) has a fixed size while the counts, which grow with the corpus, stay distributed.
+TOP_CLASSES most frequent words (fewer if too many words tie, see frequent_words) and the end are classes of their own,
+all other words (also unknown ones) share HASH_CLASSES classes by their letters. p(word | class) comes from the exact
+counts of all training texts, with one count more for each word of the class and one unknown word; so p sums to 1 over all
+words, and everything that must be on every executor (states x classes) has a fixed size while the counts, which grow with
+the corpus, stay distributed.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from declq.llm.common import cut, held_out, plain, slices, split_words
 from declq.llm.nn import Letters
 
 STATES, TOP_CLASSES, HASH_CLASSES, ROUNDS, SEED = 6, 4096, 2048, 4, 3
-#: Words whose counts every task gets; all other counts are joined. A cache bound: results don't depend on it.
-SHARED_COUNTS = 100_000
+#: Words at most whose counts every task gets; all other counts are joined. Up to TOP_CLASSES of them are classes of their own.
+SHARED_COUNTS, LEVELS = 100_000, 8
 #: Word positions of a batch of the recursions; texts of like length share a batch.
 BATCH_TOKENS = 1_200_000
 #: Distinct words that a counting task holds before it passes them on.
@@ -70,6 +71,25 @@ class Vocabulary:
 N_CLASSES = 1 + TOP_CLASSES + HASH_CLASSES
 
 
+def frequent_words(counts: DataFrame, most: int = SHARED_COUNTS) -> list[tuple[bytes, int]]:
+    """(word, count) of the words down to the least count level that at most `most` words reach, most frequent first.
+
+    Levels are LEVELS to a doubling, so the driver gets a row for each level of counts in use and then `most` words at most;
+    a sorted limit would get so many words from every partition.
+    """
+    levelled = counts.withColumn("level", F.floor(F.log2("c") * LEVELS).cast("int"))
+    reached, least = 0, None
+    for r in sorted(levelled.groupBy("level").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["level"]):
+        reached += r["words"]
+        if reached > most:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    found = levelled.where(F.col("level") >= least).select("word", "c").collect()
+    return sorted(((bytes(r["word"]), r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
+
+
 def _class_sizes(vocabulary):
     """Words and their counts to (class, words, tokens): what the denominators of p(word | class) are made of."""
 
@@ -255,7 +275,7 @@ def score_language(docs: DataFrame, modulus: int = 7, remainder: int = 2, rounds
     n_texts = texts.where(~F.col("held_out")).count()
     total = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     train_tokens, distinct = total["n"] + n_texts, total["v"] + bool(n_texts)
-    shared = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.col("c").desc(), "word").limit(SHARED_COUNTS).collect()]
+    shared = frequent_words(counts)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(shared))
     sizes = counts.mapInArrow(_class_sizes(vocabulary), "class long, words long, tokens long").groupBy("class").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect()
     words, tokens = np.zeros(N_CLASSES), np.zeros(N_CLASSES)  # at most N_CLASSES rows

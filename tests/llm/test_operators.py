@@ -239,6 +239,14 @@ def test_hmm_recursions_and_base_score(spark):
     assert all(x.score < 0 for x in rows) and hmm.score_language(make(spark, [])).count() == 0
 
 
+def test_frequent_words_are_bounded(spark):
+    rows = [(f"w{i}".encode(), c) for i, c in enumerate([500, 90, 90, 40, 7, 7, 7, 1, 1, 1, 1])]
+    counts = spark.createDataFrame(rows, "word binary, c long")
+    assert hmm.frequent_words(counts, 100) == sorted(rows, key=lambda x: (-x[1], x[0]))
+    assert hmm.frequent_words(counts, 5) == rows[:4]  # the three words of count 7 don't fit
+    assert hmm.frequent_words(counts, 0) == [] and hmm.frequent_words(counts.limit(0)) == []
+
+
 def test_decontamination_finds_short_items_in_long_texts(spark):
     item = prose(50, 40)
     texts = [(1, prose(51, 5000) + " " + item + " " + prose(52, 5000)), (2, item.upper()), (3, " ".join(item.split()[:20])), (4, None), (5, "two words"), (6, "some two words here"), (7, ""), (None, item)]
