@@ -122,7 +122,7 @@ BROADCAST_ROWS = 1_000_000
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, marked for broadcast only if a count shows at most `rows` rows. Pass a table that is cheap to count (see cut)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df  # a limit before the count would gather its rows in one task
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
