@@ -116,8 +116,8 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-#: Rows of (id) or (id, hash) pairs that may be broadcast: some 50 MB as a hash table. Larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows of (id) or (id, hash) pairs that may be broadcast: some 5 MB as a hash table. Larger sides are shuffled.
+BROADCAST_ROWS = 100_000
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
