@@ -1,18 +1,19 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group.
+"""Fuzzy line deduplication: MinHash keys, SimHash filter, edit similarity, one occurrence per connected group.
 
 A line is normalised to its white-space words in ASCII lower case, joined by single spaces; lines without a word are left
-alone. Equal normal lines are one node. Two nodes are linked if their 64-bit SimHashes differ in at most DISTANCE
-bits and their edit similarity, 1 - Levenshtein distance / length of the longer, is at least SIMILARITY. Of each connected
-group the first occurrence stays, by (doc_id, line number). The SimHash votes with the words of four bytes or more (with all words of a line that has none such):
-short function words would pull all lines towards each other. No Hamming pair is lost: DISTANCE differing bits leave some
-choice of blocks equal, and every choice is a join key. The number of blocks follows the number of nodes, so that keys stay
-selective at any size; a longer key means more choices, never fewer pairs.
+alone. Equal normal lines are one node. Two nodes are linked if their edit similarity, 1 - Levenshtein distance / length of
+the longer, is at least SIMILARITY. Of each connected group the first occurrence stays, by (doc_id, line number).
+
+Candidates share a key, and their 64-bit SimHashes (of letter grams inside the words) differ in at most DISTANCE bits, which
+only spares edit distances. SimHash blocks do not serve as keys: at SIMILARITY a tenth of the pairs is over 10 bits apart, and
+blocks that are equal at such distances are equal for unrelated lines too. A line of up to SHORT characters has keys of its
+letter grams, one of at least SIMILARITY * SHORT has keys of its word pairs; as lengths of linked lines differ by no more, they
+always have keys of one kind in common.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,16 @@ from pyspark.sql import functions as F
 from declq.llm import pairs
 from declq.llm.common import SIMILARITY, components, cut, mix, plain, slices, small_side, split_words
 
-DISTANCE = 3
+DISTANCE = 24
 #: Up to DENSE nodes per key Hamming pairs are found by offsets, up to MATRIX by a matrix, and their components become stars;
 #: a larger key links all its nodes. Links only say what is checked together, so none of this loses or adds a pair.
 DENSE, MATRIX = 256, 8192
-LEAST_LETTERS = 4
+#: Bytes of a letter gram; characters of a short line; MinHash values of a key; keys of letter grams and of word pairs.
+GRAM, SHORT, VALUES, GRAM_KEYS, PAIR_KEYS = 4, 80, 3, 16, 12
+#: Words that a task keeps with their hashes.
+WORDS = 100_000
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
+_ODD = mix(np.arange(1, (GRAM_KEYS + PAIR_KEYS) * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def simhash(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -48,44 +53,106 @@ def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def hash_lines(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Indexes of the lines with a word, their 64-bit hashes (in word order), SimHashes and numbers of words."""
+def letter_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the byte grams of each text with a space at both ends, and where each text's begin."""
+    padded = [(b" " + x + b" ").ljust(GRAM) for x in texts]
+    size = np.fromiter(map(len, padded), np.int64, len(padded))
+    letters = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
+    count = size - GRAM + 1
+    starts = np.cumsum(count) - count
+    at = np.repeat(np.cumsum(size) - size - starts, count) + np.arange(count.sum())
+    grams = np.zeros(len(at), np.uint64)
+    for j in range(GRAM):
+        grams = grams * np.uint64(257) + letters[at + j]
+    return mix(grams), starts
+
+
+class Words:
+    """Hash, length and SimHash of the letter grams of each word, worked out once a word."""
+
+    def __init__(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.hashed, self.chars, self.sims = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        if len(self.at) > WORDS:
+            self.__init__()
+        new = list(set(words).difference(self.at))
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+        if new:
+            self.sims = np.concatenate([self.sims, simhash(*letter_grams(new))])
+            self.hashed = np.concatenate([self.hashed, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
+            self.chars = np.concatenate([self.chars, np.fromiter((len(w.decode(errors="replace")) for w in new), np.int64, len(new))])
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+
+def _least(features: np.ndarray, starts: np.ndarray, first: int, keys: int) -> np.ndarray:
+    """Keys of 32 bits, each of VALUES MinHash values of the feature runs that begin at `starts`."""
+    out = np.zeros((len(starts), keys), np.uint64)
+    for k in range(keys):
+        key = np.full(len(starts), first + k, np.uint64)
+        for v in range(VALUES):
+            key = mix(key * np.uint64(31) + np.minimum.reduceat(features * _ODD[(first + k) * VALUES + v], starts))
+        out[:, k] = key >> np.uint64(32)
+    return out.astype(np.uint32).view(np.int32)
+
+
+def line_keys(words: list[bytes], hashed: np.ndarray, starts: np.ndarray, lens: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of lines (runs of words), and the line of each key, in order."""
+    short, long = np.flatnonzero(chars <= SHORT), np.flatnonzero(chars >= int(SIMILARITY * SHORT))
+    keys, of = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    if len(short):
+        grams, at = letter_grams([b" ".join(words[starts[i] : starts[i] + lens[i]]) for i in short])
+        keys.append(_least(grams, at, 0, GRAM_KEYS).ravel())
+        of.append(np.repeat(short, GRAM_KEYS))
+    if len(long):
+        count = np.maximum(lens[long] - 1, 1)  # a line of one word has that word
+        at = np.cumsum(count) - count
+        here = np.repeat(starts[long] - at, count) + np.arange(count.sum())
+        pair = mix(hashed[here] * np.uint64(31) + hashed[np.minimum(here + 1, len(hashed) - 1)] * np.repeat(lens[long] > 1, count))
+        keys.append(_least(pair, at, GRAM_KEYS, PAIR_KEYS).ravel())
+        of.append(np.repeat(long, PAIR_KEYS))
+    keys, of = np.concatenate(keys), np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return keys[order], of[order]
+
+
+def sketch_lines(lines: list[bytes], known: Words, with_keys: bool = True) -> tuple[np.ndarray, ...]:
+    """Indexes of the lines with a word, their 64-bit hashes (in word order), SimHashes and numbers of words; keys and their lines."""
     words, ends = split_words([x.lower() for x in lines])
     lens = np.diff(ends)
     has = np.flatnonzero(lens)
     if not len(has):
-        return has, np.zeros(0, np.int64), np.zeros(0, np.int64), lens[has]
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    starts = ends[:-1][has]
-    place = np.arange(len(words)) - np.repeat(starts, lens[has])
+        return has, np.zeros(0, np.int64), np.zeros(0, np.int64), lens[has], np.zeros(0, np.int32), has
+    at = known.places(words)
+    hashed, starts, lens = known.hashed[at], ends[:-1][has], lens[has]
+    place = np.arange(len(words)) - np.repeat(starts, lens)
     whole = np.add.reduceat(mix(hashed + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts)
-    of = np.repeat(np.arange(len(has)), lens[has])
-    votes = np.fromiter(map(len, words), np.int64, len(words)) >= LEAST_LETTERS
-    votes |= (np.add.reduceat(votes.astype(np.int64), starts) == 0)[of]
-    count = np.add.reduceat(votes.astype(np.int64), starts)
-    return has, whole.view(np.int64), simhash(hashed[votes], np.cumsum(count) - count).view(np.int64), lens[has]
+    sim = simhash(known.sims[at], starts)
+    keys = line_keys(words, hashed, starts, lens, np.add.reduceat(known.chars[at], starts) + lens - 1) if with_keys else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    return has, whole.view(np.int64), sim.view(np.int64), lens, *keys
+
+
+def hash_lines(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes of the lines with a word, their 64-bit hashes (in word order), SimHashes and numbers of words."""
+    return sketch_lines(lines, Words(), with_keys=False)[:4]
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Words()
     for batch in batches:
         for part, texts in slices(batch, "text", 2 << 20):
             split = [t.split(b"\n") for t in texts]
             count = np.fromiter(map(len, split), np.int64, len(split))
-            has, whole, sim, n = hash_lines([x for lines in split for x in lines])
+            has, whole, sim, n, keys, of = sketch_lines([x for lines in split for x in lines], known)
             row = np.repeat(np.arange(len(split)), count)[has]
             pos = has - (np.cumsum(count) - count)[row]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(whole), pa.array(sim), pa.array(n.astype(np.int32))], ["doc_id", "pos", "h", "sim", "n"])
-
-
-def masks(nodes: int, distance: int = DISTANCE) -> list[int]:
-    """Bit masks that serve as keys: the fewest blocks whose choices keep keys of about 64 nodes or fewer."""
-    for blocks in range(distance + 1, 65):
-        cuts = [64 * i // blocks for i in range(blocks + 1)]
-        choices = list(combinations(range(blocks), blocks - distance))
-        kept = [sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in c) for c in choices]
-        if min(m.bit_count() for m in kept) + 6 >= nodes.bit_length() or blocks == distance + 5:
-            return [m - (1 << 64) if m >> 63 else m for m in kept]
-    raise AssertionError("unreachable")
+            runs = np.searchsorted(of, np.arange(len(has) + 1)).astype(np.int32)
+            columns = [pa.array(pos.astype(np.int32)), pa.array(whole), pa.array(sim), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(runs, pa.array(keys))]
+            every = [x for lines in split for x in lines]
+            grams = np.diff(runs) > PAIR_KEYS
+            columns.append(pa.array([b" ".join(every[i].lower().split()) if g else None for i, g in zip(has, grams)], pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *columns], ["doc_id", "pos", "h", "sim", "n", "keys", "line"])
 
 
 def spanning(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -101,10 +168,24 @@ def spanning(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, h, sim) to links (src, dst) between nodes of one key within DISTANCE bits."""
+    """Sorted (key, h, sim, line) to links (src, dst) between nodes of one key within DISTANCE bits.
+
+    Keys of letter grams carry their short lines, whose links are checked here: unlike pairs of words, the grams of unrelated
+    short lines meet so often that what they link would hang together.
+    """
+
+    def checked(key: np.ndarray, h: np.ndarray, sim: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+        src, dst = [], []
+        for at, to in zip(first := np.flatnonzero(np.diff(key.astype(np.int64), prepend=int(key[0]) - 1)), np.append(first[1:], len(key))):
+            if to - at > 1:
+                for i, j in connect(sim[at:to], list(line[at:to])):
+                    src.append(h[at + i])
+                    dst.append(h[at + j])
+        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     def links(key: np.ndarray, h: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
         src, dst, low, high = [], [], [], []
+        key = key.astype(np.int64)
         first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
         size = np.diff(first, append=len(key))
         for at, n in zip(first[size > DENSE], size[size > DENSE]):
@@ -136,17 +217,27 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(join(src)), pa.array(join(dst))], ["src", "dst"])
 
+    def both(key: np.ndarray, h: np.ndarray, sim: np.ndarray, line: np.ndarray) -> Iterator[pa.RecordBatch]:
+        again = np.zeros(len(key), bool)  # shares its key
+        again[1:] = key[1:] == key[:-1]
+        again[:-1] |= again[1:]
+        carries = np.array([x is not None for x in line], bool)
+        for which, function, columns in ((again & carries, checked, (key, h, sim, line)), (again & ~carries, links, (key, h, sim))):
+            if which.any():
+                yield function(*(c[which] for c in columns))
+
     held: list[np.ndarray] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [np.concatenate(x) for x in zip(held, (c.to_numpy() for c in batch.columns))] if held else [c.to_numpy() for c in batch.columns]
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        now = [np.concatenate(x) for x in zip(held, columns)] if held else columns
         whole = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on in the next batch
         if whole:
-            yield links(*(x[:whole] for x in now))
+            yield from both(*(x[:whole] for x in now))
         held = [x[whole:].copy() for x in now]
     if held:
-        yield links(*held)
+        yield from both(*held)
 
 
 def levenshtein(a: str, b: str) -> int:
@@ -183,6 +274,36 @@ def similar(a: str, b: str, threshold: float = SIMILARITY) -> bool:
     return levenshtein(a, b) <= (1 - threshold) * longest + 1e-9
 
 
+def connect(sim: np.ndarray, text: list[str], block: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Links (i, j) that connect what edit similarity connects, between blocks only if they are given.
+
+    Counts of characters (by code modulo 64) bound the edit distance from below and spare most of the others.
+    """
+    n = len(text)
+    counts = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) & 63, minlength=64) for t in text]).astype(np.int32)
+    size = counts.sum(1)
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(n - 1):
+        may = bits_apart(sim[i + 1 :], sim[i]) <= DISTANCE
+        if block is not None:
+            may &= block[i + 1 :] != block[i]
+        near = np.flatnonzero(may) + i + 1
+        more = counts[near] - counts[i]
+        apart = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+        for j in near[apart <= (1 - SIMILARITY) * np.maximum(size[near], size[i]) + 1e-9]:
+            a, b = find(i), find(int(j))
+            if a != b and similar(text[i], text[int(j)]):
+                root[max(a, b)] = min(a, b)
+                yield i, int(j)
+
+
 def _verify(group: dict[str, list]) -> Iterator[pa.RecordBatch]:
     """Links of two blocks of a component: every Hamming pair is checked unless its nodes are already connected here."""
     at: dict[int, int] = {}
@@ -197,24 +318,11 @@ def _verify(group: dict[str, list]) -> Iterator[pa.RecordBatch]:
         return
     h, block = np.array([group["h"][i] for i in rows]), np.array([group["block"][i] for i in rows])
     sim, text = np.array([group["sim"][i] for i in rows]), [b" ".join(lines[i]).decode() for i in rows]
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     cross = group["lo"][0] != group["hi"][0]
     src, dst = [], []
-    for i in range(n):
-        near = np.flatnonzero((bits_apart(sim[i + 1 :], sim[i]) <= DISTANCE) & ((block[i + 1 :] != block[i]) | (not cross))) + i + 1
-        for j in near:
-            a, b = find(i), find(int(j))
-            if a != b and similar(text[i], text[j]):
-                root[max(a, b)] = min(a, b)
-                src.append(h[i])
-                dst.append(h[j])
+    for i, j in connect(sim, text, block if cross else None):
+        src.append(h[i])
+        dst.append(h[j])
     if src:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(src)), pa.array(np.array(dst))], ["src", "dst"])
 
@@ -226,11 +334,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     without doc_id are left out; rows that share a doc_id count as one document with the lines of all.
     """
     texts = plain(docs).where("doc_id is not null")
-    lines = cut(texts.mapInArrow(_lines, "doc_id long, pos int, h long, sim long, n int"))
+    lines = cut(texts.mapInArrow(_lines, "doc_id long, pos int, h long, sim long, n int, keys array<int>, line string"))
     first = F.min(F.struct("doc_id", "pos")).alias("first")
-    nodes = cut(lines.groupBy("h", "sim", "n").agg(first, F.count(F.lit(1)).alias("times")))
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(nodes.count()))])
-    keyed = nodes.select(F.explode(keys).alias("key"), "h", "sim")
+    nodes = cut(lines.groupBy("h", "sim", "n").agg(first, F.count(F.lit(1)).alias("times"), F.first("keys").alias("keys"), F.first("line").alias("line")))
+    keyed = nodes.select(F.posexplode("keys").alias("k", "key"), "h", "sim", "line").select("key", "h", "sim", F.when(F.col("k") < GRAM_KEYS, F.col("line")).alias("line"))
     stars = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket, "src long, dst long")
     members = nodes.join(components(stars.distinct()), F.col("h") == F.col("node")).select("h", "sim", "component", F.col("first.doc_id").alias("at_doc"), F.col("first.pos").alias("at_pos"))
     members = cut(members)

@@ -128,6 +128,35 @@ def test_line_dedup_is_brute_force(spark):
     assert line_dedup.dedup_lines(make(spark, [])).count() == 0
 
 
+def test_line_dedup_finds_what_edit_similarity_alone_finds(spark):
+    r = random.Random(11)
+    lines = []
+    for i in range(120):
+        words = [r.choice(WORDS) + r.choice(WORDS) for _ in range(r.choice([3, 5, 8, 12, 20, 40, 80, 150]))]
+        lines.append(" ".join(words))
+        letters = list(lines[-1])
+        letters[r.randrange(len(letters))] = "q"
+        lines.append("".join(letters))
+        for k in r.sample(range(len(words)), len(words) // 10):
+            words[k] = r.choice(WORDS)
+        lines.append(" ".join(words))
+    pairs = [(a, b) for a, b in combinations(range(len(lines)), 2) if lines[a] != lines[b] and line_dedup.similar(lines[a], lines[b])]
+    rows = line_dedup.dedup_lines(make(spark, list(enumerate(lines)))).collect()
+    group = {x.doc_id: x.removed[0].first_doc if x.removed else x.doc_id for x in rows}
+    assert len(pairs) > 200 and sum(group[a] == group[b] for a, b in pairs) >= 0.9 * len(pairs)
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    for i, first in group.items():  # what is removed hangs together with the line that stays
+        seen, todo = {first}, [first]
+        while todo:
+            for x in (near[todo.pop()] | {k for k in range(len(lines)) if lines[k] == lines[first]}) - seen:
+                seen.add(x)
+                todo.append(x)
+        assert i in seen
+
+
 def test_bits_apart_of_signed_hashes():
     a = np.array([0, 0, -1, 5], np.int64)
     b = np.array([-1, -(2**63) + 1, -2, 5], np.int64)
