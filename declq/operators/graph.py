@@ -75,22 +75,22 @@ def has_cycles(edges: DataFrame) -> DataFrame:
     return cycle_groups(edges).agg((F.count(F.lit(1)) > 0).alias("has_cycles"), F.count(F.lit(1)).alias("n_groups"))
 
 
-def elementary_cycles(edges: DataFrame, max_length: int = 50) -> DataFrame:
+def elementary_cycles(edges: DataFrame) -> DataFrame:
     """(cycle): every elementary cycle of two nodes or more as an array that starts at its least node.
 
     Only edges inside a strong component are expanded, and a path never goes below its start, so each cycle is found once.
+    Paths are simple, so no round is left after as many as the largest component has nodes.
     """
     comp = _cut(strong_components(edges))
     a, b = comp.select(F.col("node").alias("src"), F.col("component").alias("ca")), comp.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
     inner = _cut(edges.select("src", "dst").where("src <> dst").distinct().join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst"))
     paths = _cut(inner.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path")))
     found = None
-    for _ in range(max_length):
-        if paths.isEmpty():
-            break
+    while not paths.isEmpty():
         step = paths.join(inner, paths.end == inner.src).where("dst >= start")
-        closed = step.where("dst = start").select(F.col("path").alias("cycle"))
-        found = closed if found is None else found.unionByName(closed)
+        closed = _cut(step.where("dst = start").select(F.col("path").alias("cycle")))
+        if not closed.isEmpty():
+            found = closed if found is None else found.unionByName(closed)
         paths = _cut(step.where("dst <> start").where(~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path")))
     return found if found is not None else inner.select(F.array("src", "dst").alias("cycle")).where(F.lit(False))
 

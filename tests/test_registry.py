@@ -25,3 +25,14 @@ def test_greedy_cut_breaks_all_cycles(spark):
     cut = registry.QUERIES["g_greedy_cut"](spark, DATA)
     left = edges.join(cut, ["src", "dst"], "left_anti")
     assert graph.cycle_groups(left).count() == 0
+
+
+def test_long_cycle_is_found_and_cut(spark):
+    from declq.operators import graph
+
+    ring = [(f"n{i:02}", f"n{(i + 1) % 60:02}", "FIELD") for i in range(60)]
+    edges = spark.createDataFrame(ring, "src string, dst string, kind string").coalesce(1)
+    cycles = graph.elementary_cycles(edges).collect()
+    assert [x.cycle for x in cycles] == [[e[0] for e in ring]]
+    assert graph.edge_frequency(spark.createDataFrame(cycles)).count() == 60
+    assert graph.greedy_cut(edges).count() == 1
