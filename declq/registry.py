@@ -75,6 +75,7 @@ _DERIVED: list[tuple[str, str, str, tuple[Any, ...], str]] = [
     ("d_ignore_case", "Customer", "findBySegmentIgnoreCase", ("building",), "* FROM customer WHERE lower(c_mktsegment) = 'building'"),
     ("d_and_or", "Order", "findByOrderStatusAndPriorityOrTotalPriceLessThan", ("F", "1-URGENT", 5000.0), "* FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' OR o_totalprice < 5000"),
     ("d_order_multi", "Customer", "findFirst50ByBalanceGreaterThanOrderBySegmentDescCustKeyAsc", (0.0,), "* FROM customer WHERE c_acctbal > 0 ORDER BY c_mktsegment DESC, c_custkey LIMIT 50"),
+    ("d_order_multi_all", "Customer", "findByBalanceGreaterThanOrderBySegmentDescCustKeyAsc", (0.0,), "* FROM customer WHERE c_acctbal > 0 ORDER BY c_mktsegment DESC, c_custkey"),
     ("d_top_n", "Order", "findTop5ByOrderStatusAndTotalPriceGreaterThanOrderByTotalPriceDescOrderKeyAsc", ("F", 100000.0), "* FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 5"),
     ("d_first", "Order", "findFirstByOrderStatusOrderByOrderKey", ("O",), "* FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 1"),
     ("d_distinct", "Nation", "findDistinctNationByRegionKeyIn", ([1, 2],), "DISTINCT * FROM nation WHERE n_regionkey IN (1, 2)"),
@@ -132,6 +133,7 @@ _TEXTS: list[tuple[str, bool, str, Any, str]] = [
     ("q_named_params", False, "SELECT o FROM Order o WHERE o.orderStatus IN (:statuses) AND o.totalPrice < :high", {"statuses": ["F", "P"], "high": 20000.0}, "SELECT * FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice < 20000"),
     ("q_dotted_params", False, "SELECT c FROM Customer c WHERE c.segment = :#{#filter.getSegment()} AND c.balance > :#{#filter.low}", {"filter": {"segment": "BUILDING", "low": 5000.0}}, "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000"),
     ("q_order_by", False, "SELECT c FROM Customer c ORDER BY c.balance DESC, c.custKey LIMIT 20", {}, "SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20"),
+    ("q_order_by_all", False, "SELECT c FROM Customer c ORDER BY c.balance DESC, c.custKey", {}, "SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey"),
     ("q_native_positional", True, "SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_totalprice BETWEEN ?1 AND ?2 AND o_orderpriority IN (?3) GROUP BY o_orderstatus", [50000.0, 150000.0, ["1-URGENT", "2-HIGH"]], "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 50000 AND 150000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY o_orderstatus"),
     ("q_native_join", True, "SELECT n_name, COUNT(*) AS n FROM customer \\n JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = :segment GROUP BY n_name;", {"segment": "MACHINERY"}, "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'MACHINERY' GROUP BY n_name"),
 ]
@@ -194,8 +196,8 @@ def _sizes(spark: SparkSession, folder: str) -> Pipeline:
     return Pipeline(parquet(spark, folder, "part"), "p_size", "p_partkey")
 
 
-#: name, query, SQL.
-_PIPELINES: list[tuple[str, Query, str]] = [
+#: name, query, SQL. Names in _all take the whole table where their namesake takes its first rows.
+_PIPELINES: list[tuple[str, Query, str | None]] = [
     ("s_filter_map", lambda s, d: _events(s, d).filter(lambda v: v.startswith("c")).map(F.upper).rows(), "SELECT upper(event_type) AS value FROM events WHERE event_type LIKE 'c%'"),
     ("s_flat_map", lambda s, d: Pipeline(parquet(s, d, "customer"), "c_name", "c_custkey").flat_map(lambda v: F.split(v, "#")).rows(), "SELECT unnest(string_split(c_name, '#')) AS value FROM customer"),
     ("s_take_while", lambda s, d: _sizes(s, d).take_while(lambda v: v != 50).rows(), "SELECT p_size AS value FROM part WHERE p_partkey < coalesce((SELECT min(p_partkey) FROM part WHERE p_size = 50), 9e18)"),
@@ -224,6 +226,13 @@ _PIPELINES: list[tuple[str, Query, str]] = [
     ("s_num_stats", lambda s, d: _sizes(s, d).summary(), "SELECT count(*) AS count, CAST(sum(p_size) AS BIGINT) AS sum, min(p_size) AS min, max(p_size) AS max, avg(p_size) AS average FROM part"),
     ("s_num_average_empty", lambda s, d: _sizes(s, d).filter(lambda v: v < 0).average(), "SELECT CAST(NULL AS DOUBLE) AS average"),
     ("s_num_casts", lambda s, d: Pipeline(parquet(s, d, "part"), "p_retailprice", "p_partkey").cast("int").cast("bigint").rows(), "SELECT CAST(trunc(p_retailprice) AS BIGINT) AS value FROM part"),
+    ("s_sorted_all", lambda s, d: _sizes(s, d).sorted().rows(), "SELECT p_size AS value FROM part ORDER BY p_size"),
+    ("s_sorted_by_all", lambda s, d: _sizes(s, d).sorted(lambda v: v % 7, descending=True).rows(), "SELECT p_size AS value FROM part ORDER BY p_size % 7 DESC, p_partkey"),
+    ("s_to_list_all", lambda s, d: _sizes(s, d).to_list().select(F.array_join("list", ",").alias("list")), "SELECT string_agg(p_size, ',' ORDER BY p_partkey) AS list FROM part"),
+    ("s_reduce_all", lambda s, d: _sizes(s, d).reduce(lambda a, x: F.greatest(a, x) - F.least(a, x) % 3), None),  # a recursive query is slow; tested by a loop
+    ("s_fold_text_all", lambda s, d: _events(s, d).reduce(lambda a, x: F.concat(a, F.substring(x, 1, 1)), identity=""), "SELECT string_agg(substr(event_type, 1, 1), '' ORDER BY event_id) AS reduced FROM events"),
+    ("s_collect_fold_all", lambda s, d: _sizes(s, d).collect(F.lit(0), lambda a, x: a + x), "SELECT CAST(sum(p_size) AS INTEGER) AS collected FROM part"),
+    ("s_group_by_all", lambda s, d: _sizes(s, d).group_by(lambda v: v % 5).select("group", F.array_join("values", ",").alias("values")), "SELECT p_size % 5 AS group, string_agg(p_size, ',' ORDER BY p_partkey) AS values FROM part GROUP BY 1"),
     ("s_range", lambda s, d: Pipeline.range(s, 3, 9).map(lambda v: v * v).rows(), "SELECT CAST(x * x AS INTEGER) AS value FROM range(3, 9) t(x)"),
 ]
 for _name, _run, _sql in _PIPELINES:
