@@ -1,9 +1,10 @@
-"""N-gram Jaccard self-join: a MinHash LSH forest finds candidates, exact Jaccard of five-word shingles decides.
+"""N-gram Jaccard self-join: MinHash LSH bands find candidates, exact Jaccard of five-word shingles decides.
 
-Words are the white-space words of the text in ASCII lower case. Every document has TREES labels of LABEL MinHash values;
-documents that share a prefix of a label are neighbours in that label's sorted prefix trie. Prefixes are shortened from the
-whole label until the chance that a pair at the threshold shares one in some tree reaches the target recall; as prefixes
-nest, the tries are read at just that depth. Documents with equal shingle sets are one class throughout.
+Words are the white-space words of the text in ASCII lower case. Bands of a fixed depth stand in for an LSH forest: there are
+no labels of LABEL values and no sorted prefix tries, and nothing adapts to the data. prefix_depth() shortens a prefix of LABEL
+values until the chance that a pair at the threshold shares one in some tree reaches the target recall, which is 4 values for
+these constants; only those are worked out and hashed to one key a tree. As prefixes nest, documents that share a longer prefix
+share this one too, so tries would add no candidate. Documents with equal shingle sets are one class throughout.
 """
 
 from __future__ import annotations
