@@ -5,10 +5,10 @@ and a text of one to four words has one shingle of all its words (so a tiny item
 
 A plain MinHash signature of fixed length can't see a 40-word item inside a 20,000-word document (their Jaccard is below
 0.01), so the sketches are of the kind whose length follows the set: the shingle hashes below a bound. Items are
-partitioned by size, [2^p, 2^(p+1)) shingles, and each partition has its own bound: all hashes up to SKETCH shingles, a
-share SKETCH / 2^p beyond. A document is sketched once at the widest bound in use. One shared sketch hash makes a
-candidate; an item with containment of at least 0.8 and over 32 shingles is missed with a probability below 3e-8, a
-smaller one never.
+partitioned by size, [2^p, 2^(p+1)) shingles, and each partition has its own bound: all hashes below 2 * SKETCH shingles,
+a share SKETCH / 2^p beyond. A document is sketched once at the widest bound in use. One shared sketch hash makes a
+candidate. An item of up to 31 shingles with a containment of at least 0.8 is never missed; one of 32 to 63 is missed with a
+probability below 3e-8, one of 64 or more with one below 3e-6 (3.2e-7 at 64, 2.5e-6 at 1,024, e^-12.8 in the limit).
 """
 
 from __future__ import annotations

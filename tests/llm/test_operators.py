@@ -303,3 +303,12 @@ def test_word_hashes_do_not_depend_on_neighbours():
     words = [b"alpha", b"beta.", b"...", "é".encode(), b"a"]
     together = nn.buckets(words, 18)
     assert (together == np.concatenate([nn.buckets([w], 18) for w in words], 1)).all()
+
+
+def test_decontamination_miss_chance_is_as_stated():
+    def missed(n):
+        return (1 - min(1, decontamination.SKETCH / 2 ** (n.bit_length() - 1))) ** -(-4 * n // 5)
+
+    assert max(map(missed, range(1, 32))) == 0 < missed(32) and max(map(missed, range(32, 64))) < 3e-8
+    assert 3e-8 < missed(64) and max(map(missed, range(64, 20_000))) < 3e-6
+    assert "one of 64 or more with one below 3e-6" in decontamination.__doc__.replace("\n", " ")
