@@ -152,7 +152,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every = [x for lines in split for x in lines]
             grams = np.diff(runs) > PAIR_KEYS
             columns.append(pa.array([b" ".join(every[i].lower().split()) if g else None for i, g in zip(has, grams)], pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *columns], ["doc_id", "pos", "h", "sim", "n", "keys", "line"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), *columns], ["doc_id", "t", "pos", "h", "sim", "n", "keys", "line"])
 
 
 def spanning(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -328,28 +328,28 @@ def _verify(group: dict[str, list]) -> Iterator[pa.RecordBatch]:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): for each document that loses lines, array of (line, first_doc, first_line) in line order.
+    """(doc_id, t, removed), t the xxhash64 of the text: for each document that loses lines, array of (line, first_doc, first_line) in line order.
 
     line counts from 0 at the \\n-separated lines; (first_doc, first_line) is the occurrence of its group that stays. Rows
-    without doc_id are left out; rows that share a doc_id count as one document with the lines of all.
+    without doc_id are left out; of rows that share a doc_id, equal texts count as one and others as documents of their own.
     """
-    texts = plain(docs).where("doc_id is not null")
-    lines = cut(texts.mapInArrow(_lines, "doc_id long, pos int, h long, sim long, n int, keys array<int>, line string"))
-    first = F.min(F.struct("doc_id", "pos")).alias("first")
+    texts = plain(docs).where("doc_id is not null").withColumn("t", F.xxhash64("text"))
+    lines = cut(texts.mapInArrow(_lines, "doc_id long, t long, pos int, h long, sim long, n int, keys array<int>, line string"))
+    first = F.min(F.struct("doc_id", "pos", "t")).alias("first")
     nodes = cut(lines.groupBy("h", "sim", "n").agg(first, F.count(F.lit(1)).alias("times"), F.first("keys").alias("keys"), F.first("line").alias("line")))
     keyed = nodes.select(F.posexplode("keys").alias("k", "key"), "h", "sim", "line").select("key", "h", "sim", F.when(F.col("k") < GRAM_KEYS, F.col("line")).alias("line"))
     stars = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket, "src long, dst long")
-    members = nodes.join(components(stars.distinct()), F.col("h") == F.col("node")).select("h", "sim", "component", F.col("first.doc_id").alias("at_doc"), F.col("first.pos").alias("at_pos"))
+    members = nodes.join(components(stars.distinct()), F.col("h") == F.col("node")).select("h", "sim", "component", F.col("first.doc_id").alias("at_doc"), F.col("first.pos").alias("at_pos"), F.col("first.t").alias("at_t"))
     members = cut(members)
-    carried = texts.join(small_side(members), F.col("doc_id") == F.col("at_doc")).select("h", "sim", "component", F.get(F.split("text", "\n"), F.col("at_pos")).alias("line")).where("line is not null")
+    carried = texts.join(small_side(members), (F.col("doc_id") == F.col("at_doc")) & (F.col("t") == F.col("at_t"))).select("h", "sim", "component", F.get(F.split("text", "\n"), F.col("at_pos")).alias("line")).where("line is not null")
     checked = pairs.map_groups(pairs.block_pairs(cut(carried), "component", "h"), ["component", "lo", "hi"], _verify, "src long, dst long")
     groups = components(checked).withColumnRenamed("component", "g")
     owned = nodes.join(groups, F.col("h") == F.col("node"), "left").select("h", "first", "times", F.coalesce("g", "h").alias("g"))
     kept = owned.groupBy(F.col("g").alias("kg")).agg(F.min("first").alias("keep"), F.sum("times").alias("total")).where("total > 1")
     again = cut(owned.join(kept, F.col("g") == F.col("kg")).select(F.col("h").alias("rh"), "keep"))
-    hits = lines.join(small_side(again), F.col("h") == F.col("rh")).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("pos") != F.col("keep.pos")))
+    hits = lines.join(small_side(again), F.col("h") == F.col("rh")).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("pos") != F.col("keep.pos")) | (F.col("t") != F.col("keep.t")))
     gone = F.struct(F.col("pos").alias("line"), F.col("keep.doc_id").alias("first_doc"), F.col("keep.pos").alias("first_line"))
-    return hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(gone)).alias("removed"))
+    return hits.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(gone)).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -358,10 +358,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     All rows stay in place of a document that loses every line its text becomes empty. Null text stays null. A column named
     removed is replaced.
     """
-    gone = removed_lines(docs).select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_removed"))
-    joined = docs.drop("removed").join(gone, F.col("doc_id") == F.col("_gone_id"), "left")
+    gone = removed_lines(docs).select(F.col("doc_id").alias("_gone_id"), F.col("t").alias("_gone_t"), F.col("removed").alias("_removed"))
+    joined = docs.drop("removed").join(gone, (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_gone_t")), "left")
     lost = F.transform("_removed", lambda x: x["line"])
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
     empty = F.array().cast("array<struct<line:int,first_doc:bigint,first_line:int>>")
-    return joined.withColumn("text", text).withColumn("removed", F.coalesce("_removed", empty)).drop("_gone_id", "_removed")
+    return joined.withColumn("text", text).withColumn("removed", F.coalesce("_removed", empty)).drop("_gone_id", "_gone_t", "_removed")

@@ -157,6 +157,12 @@ def test_line_dedup_finds_what_edit_similarity_alone_finds(spark):
         assert i in seen
 
 
+def test_line_dedup_keeps_other_text_of_a_shared_id(spark):
+    a, b, c, d = (prose(200 + i, 12) for i in range(4))
+    rows = line_dedup.dedup_lines(make(spark, [(1, a), (2, b + "\n" + a), (2, c + "\n" + d), (2, c + "\n" + d)])).collect()
+    assert sorted((x.doc_id, x.text, len(x.removed)) for x in rows) == sorted([(1, a, 0), (2, b, 1), (2, c + "\n" + d, 0), (2, c + "\n" + d, 0)])
+
+
 def test_bits_apart_of_signed_hashes():
     a = np.array([0, 0, -1, 5], np.int64)
     b = np.array([-1, -(2**63) + 1, -2, 5], np.int64)
