@@ -89,26 +89,35 @@ def shingle_hashes(words: np.ndarray, ends: np.ndarray, n: int = SHINGLE) -> tup
     return mix(out), offs
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of `edges` (src, dst: long) as rows (node, component = its least node).
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of `edges` (src, dst: long) as rows (node, component = its least node). No edges give no rows.
 
-    Every round lowers labels along the edges and then jumps to the label's own label, so rounds grow with the logarithm
-    of the longest path. Labels stay distributed and are cut to the shared folder each round; only a count of the
-    changed rows reaches the driver. No edges give no rows.
+    Alternating stars: larger neighbours are tied to a node's least neighbour, then smaller ones, until every node hangs on
+    the least of its component. A round is two grouped minimums (combined before the shuffle) and two joins on the node,
+    which adaptive execution splits where a node is a hub; edges that already are stars need one round. Edges stay
+    distributed and are cut to the shared folder each round; only their number and a checksum reach the driver.
     """
-    spark = edges.sparkSession
-    both = cut(edges.where("src <> dst").select("src", "dst").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label")))
-    for _ in range(max_rounds):
-        near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("label").alias("m"))
-        low = labels.join(near, labels.node == near.src, "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        up = low.select(F.col("node").alias("at"), F.col("label").alias("top"))
-        nxt = cut(low.join(up, low.label == up.at, "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label")))
-        changed = nxt.where("label <> old").limit(1).count()
-        labels = nxt.select("node", "label")
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds on {spark.sparkContext.appName}")
+    pair = lambda a, b: [F.col(a).alias("a"), F.col(b).alias("b")]
+    star = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    mark = None
+    while mark != (mark := tuple(star.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())):
+        both = star.unionByName(star.select(*pair("b", "a")))
+        low = both.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("m")).select("at", F.least("at", "m").alias("m"))
+        large = both.join(low, both.a == low["at"]).where("b > a").select(*pair("b", "m")).distinct()
+        low = large.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("m"))
+        small = large.join(low, large.a == low["at"]).where("b <> m").select(*pair("b", "m"))
+        star = cut(small.unionByName(low.select(*pair("at", "m"))).distinct())
+    nodes = star.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return nodes.unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """`names`, each with as many underscores before it as no column of `df` has (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    depth = 1
+    while any("_" * depth + n.lower() in taken for n in names):
+        depth += 1
+    return ["_" * depth + n for n in names]
 
 
 def plain(docs: DataFrame) -> DataFrame:
@@ -127,5 +136,6 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """`docs` without the rows whose doc_id is in `ids` (one column, doc_id). Null ids in `docs` stay."""
-    gone = cut(ids.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct())
-    return docs.join(small_side(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    (name,) = free_names(docs, "gone")
+    gone = cut(ids.select(F.col("doc_id").alias(name)).where(F.col(name).isNotNull()).distinct())
+    return docs.join(small_side(gone), docs["doc_id"] == F.col(name), "left_anti")

@@ -1,18 +1,23 @@
-"""Fuzzy line deduplication: MinHash keys, SimHash filter, edit similarity, one occurrence per connected group.
+"""Fuzzy line deduplication: SimHash and edit similarity of candidate lines, one occurrence per connected group.
 
 A line is normalised to its white-space words in ASCII lower case, joined by single spaces; lines without a word are left
 alone. Equal normal lines are one node. Two nodes are linked if their edit similarity, 1 - Levenshtein distance / length of
 the longer, is at least SIMILARITY. Of each connected group the first occurrence stays, by (doc_id, line number).
 
-Candidates share a key, and their 64-bit SimHashes (of letter grams inside the words) differ in at most DISTANCE bits, which
-only spares edit distances. SimHash blocks do not serve as keys: at SIMILARITY a tenth of the pairs is over 10 bits apart, and
-blocks that are equal at such distances are equal for unrelated lines too. A line of up to SHORT characters has keys of its
-letter grams, one of at least SIMILARITY * SHORT has keys of its word pairs; as lengths of linked lines differ by no more, they
-always have keys of one kind in common.
+Candidates share a join key, and their 64-bit SimHashes (of letter grams) differ in at most DISTANCE bits. SimHash blocks do
+not serve as keys: at SIMILARITY a tenth of the pairs is over 10 bits apart, and pigeonhole blocks that are equal at such
+distances are equal for unrelated lines too. The keys are MinHash values instead: of letter grams for lines of up to SHORT
+characters, of word pairs for lines of at least SIMILARITY * SHORT; as lengths of linked lines differ by no more, they always
+have keys of one kind in common.
+
+Every node is checked against the least node of each of its keys first: one row a node and head, however large the group.
+Only nodes that fail against a head meet the other nodes of that key, in a grid of blocks, and stop once connected. Links are
+connected after they are verified, so chance meetings never hang together.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,27 +27,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from declq.llm import pairs
-from declq.llm.common import SIMILARITY, components, cut, mix, plain, slices, small_side, split_words
+from declq.llm.common import SIMILARITY, components, cut, free_names, mix, plain, slices, small_side, split_words
 
 DISTANCE = 24
-#: Up to DENSE nodes per key Hamming pairs are found by offsets, up to MATRIX by a matrix, and their components become stars;
-#: a larger key links all its nodes. Links only say what is checked together, so none of this loses or adds a pair.
-DENSE, MATRIX = 256, 8192
 #: Bytes of a letter gram; characters of a short line; MinHash values of a key; keys of letter grams and of word pairs.
 GRAM, SHORT, VALUES, GRAM_KEYS, PAIR_KEYS = 4, 80, 3, 16, 12
-#: Words that a task keeps with their hashes.
-WORDS = 100_000
+#: Nodes that meet one head in a task; in the grid, failed nodes and other nodes of a key that meet in a task.
+FOLLOWERS, FAILED, OTHERS = 4096, 256, 4096
+#: Bytes of lines whose SimHashes are worked out at once (64 bytes of counts a letter).
+SKETCH_BYTES = 1 << 18
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 _ODD = mix(np.arange(1, (GRAM_KEYS + PAIR_KEYS) * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def simhash(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """SimHash of word-hash runs that begin at `starts` (none empty). Bits are counted eight to a 64-bit lane, 255 words a time."""
-    lens = np.diff(starts, append=len(words))
+def simhash(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """SimHash of feature-hash runs that begin at `starts` (none empty). Bits are counted eight to a 64-bit lane, 255 features a time."""
+    lens = np.diff(starts, append=len(features))
     chunks = -(-lens // 255)
     first = np.cumsum(chunks) - chunks
     begin = np.repeat(starts, chunks) + (np.arange(chunks.sum()) - np.repeat(first, chunks)) * 255
-    lanes = _SPREAD[words.view(np.uint8).reshape(-1, 8)]
+    lanes = _SPREAD[features.view(np.uint8).reshape(-1, 8)]
     ones = np.add.reduceat(lanes, begin, axis=0).view(np.uint8).reshape(len(begin), 64).astype(np.int64)
     ones = np.add.reduceat(ones, first, axis=0)
     return np.packbits(ones * 2 > lens[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
@@ -67,42 +71,37 @@ def letter_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(grams), starts
 
 
-class Words:
-    """Hash, length and SimHash of the letter grams of each word, worked out once a word."""
-
-    def __init__(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.hashed, self.chars, self.sims = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        if len(self.at) > WORDS:
-            self.__init__()
-        new = list(set(words).difference(self.at))
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-        if new:
-            self.sims = np.concatenate([self.sims, simhash(*letter_grams(new))])
-            self.hashed = np.concatenate([self.hashed, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
-            self.chars = np.concatenate([self.chars, np.fromiter((len(w.decode(errors="replace")) for w in new), np.int64, len(new))])
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+def line_simhashes(lines: list[bytes]) -> np.ndarray:
+    """SimHashes of the letter grams of normal lines, a bounded number of bytes (or one line) at a time."""
+    out, start, size = [np.zeros(0, np.uint64)], 0, 0
+    for i, x in enumerate(lines):
+        if size and size + len(x) > SKETCH_BYTES:
+            out.append(simhash(*letter_grams(lines[start:i])))
+            start, size = i, 0
+        size += len(x)
+    if start < len(lines):
+        out.append(simhash(*letter_grams(lines[start:])))
+    return np.concatenate(out).view(np.int64)
 
 
 def _least(features: np.ndarray, starts: np.ndarray, first: int, keys: int) -> np.ndarray:
-    """Keys of 32 bits, each of VALUES MinHash values of the feature runs that begin at `starts`."""
+    """Keys of VALUES MinHash values each, of the feature runs that begin at `starts`."""
     out = np.zeros((len(starts), keys), np.uint64)
     for k in range(keys):
         key = np.full(len(starts), first + k, np.uint64)
         for v in range(VALUES):
             key = mix(key * np.uint64(31) + np.minimum.reduceat(features * _ODD[(first + k) * VALUES + v], starts))
-        out[:, k] = key >> np.uint64(32)
-    return out.astype(np.uint32).view(np.int32)
+        out[:, k] = key
+    return out.view(np.int64)
 
 
-def line_keys(words: list[bytes], hashed: np.ndarray, starts: np.ndarray, lens: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of lines (runs of words), and the line of each key, in order."""
+def line_keys(lines: list[bytes], hashed: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of normal lines, whose word hashes are runs of `hashed`, and the line of each key, in order."""
+    chars = np.fromiter((len(x) if x.isascii() else len(x.decode(errors="replace")) for x in lines), np.int64, len(lines))
     short, long = np.flatnonzero(chars <= SHORT), np.flatnonzero(chars >= int(SIMILARITY * SHORT))
-    keys, of = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    keys, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if len(short):
-        grams, at = letter_grams([b" ".join(words[starts[i] : starts[i] + lens[i]]) for i in short])
+        grams, at = letter_grams([lines[i] for i in short])
         keys.append(_least(grams, at, 0, GRAM_KEYS).ravel())
         of.append(np.repeat(short, GRAM_KEYS))
     if len(long):
@@ -117,139 +116,72 @@ def line_keys(words: list[bytes], hashed: np.ndarray, starts: np.ndarray, lens:
     return keys[order], of[order]
 
 
-def sketch_lines(lines: list[bytes], known: Words, with_keys: bool = True) -> tuple[np.ndarray, ...]:
-    """Indexes of the lines with a word, their 64-bit hashes (in word order), SimHashes and numbers of words; keys and their lines."""
+def normal(line: bytes) -> bytes:
+    return b" ".join(line.lower().split())
+
+
+def hash_lines(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes of the lines with a word and their 64-bit hashes (in word order); all word hashes, where each such line's begin, their numbers."""
     words, ends = split_words([x.lower() for x in lines])
     lens = np.diff(ends)
     has = np.flatnonzero(lens)
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    starts, lens = ends[:-1][has], lens[has]
     if not len(has):
-        return has, np.zeros(0, np.int64), np.zeros(0, np.int64), lens[has], np.zeros(0, np.int32), has
-    at = known.places(words)
-    hashed, starts, lens = known.hashed[at], ends[:-1][has], lens[has]
+        return has, np.zeros(0, np.int64), hashed, starts, lens
     place = np.arange(len(words)) - np.repeat(starts, lens)
     whole = np.add.reduceat(mix(hashed + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts)
-    sim = simhash(known.sims[at], starts)
-    keys = line_keys(words, hashed, starts, lens, np.add.reduceat(known.chars[at], starts) + lens - 1) if with_keys else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    return has, whole.view(np.int64), sim.view(np.int64), lens, *keys
-
-
-def hash_lines(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Indexes of the lines with a word, their 64-bit hashes (in word order), SimHashes and numbers of words."""
-    return sketch_lines(lines, Words(), with_keys=False)[:4]
+    return has, whole.view(np.int64), hashed, starts, lens
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = Words()
+    """Rows (doc_id, text, t) to a row with hash and join keys for every line with a word."""
     for batch in batches:
         for part, texts in slices(batch, "text", 2 << 20):
             split = [t.split(b"\n") for t in texts]
             count = np.fromiter(map(len, split), np.int64, len(split))
-            has, whole, sim, n, keys, of = sketch_lines([x for lines in split for x in lines], known)
+            every = [x for lines in split for x in lines]
+            has, whole, hashed, starts, lens = hash_lines(every)
+            keys, of = line_keys([normal(every[i]) for i in has], hashed, starts, lens)
             row = np.repeat(np.arange(len(split)), count)[has]
             pos = has - (np.cumsum(count) - count)[row]
             runs = np.searchsorted(of, np.arange(len(has) + 1)).astype(np.int32)
-            columns = [pa.array(pos.astype(np.int32)), pa.array(whole), pa.array(sim), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(runs, pa.array(keys))]
-            every = [x for lines in split for x in lines]
-            grams = np.diff(runs) > PAIR_KEYS
-            columns.append(pa.array([b" ".join(every[i].lower().split()) if g else None for i, g in zip(has, grams)], pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), *columns], ["doc_id", "t", "pos", "h", "sim", "n", "keys", "line"])
+            columns = [pa.array(pos.astype(np.int32)), pa.array(whole), pa.ListArray.from_arrays(runs, pa.array(keys))]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), *columns], ["doc_id", "t", "pos", "h", "keys"])
 
 
-def spanning(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Least position of each position's component, so that a group of n nodes gives n - 1 links and not all its pairs."""
-    top = np.arange(n)
-    while True:
-        before = top.copy()
-        np.minimum.at(top, high, top[low])
-        np.minimum.at(top, low, top[high])
-        top = top[top]
-        if (top == before).all():
-            return top
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, array of line numbers) to (h, sim, line): the normal lines at these numbers."""
+    for batch in batches:
+        for part, texts in slices(batch, "text", 2 << 20):
+            lines = [normal(of[i]) for of, wanted in zip((t.split(b"\n") for t in texts), part.column(1).to_pylist()) for i in wanted]
+            _, whole, _, _, _ = hash_lines(lines)
+            yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(line_simhashes(lines)), pa.array(lines, pa.binary()).cast(pa.string())], ["h", "sim", "line"])
 
 
-def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, h, sim, line) to links (src, dst) between nodes of one key within DISTANCE bits.
+def _common(a: str, b: str) -> int:
+    """Length of the common beginning, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
 
-    Keys of letter grams carry their short lines, whose links are checked here: unlike pairs of words, the grams of unrelated
-    short lines meet so often that what they link would hang together.
-    """
 
-    def checked(key: np.ndarray, h: np.ndarray, sim: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
-        src, dst = [], []
-        for at, to in zip(first := np.flatnonzero(np.diff(key.astype(np.int64), prepend=int(key[0]) - 1)), np.append(first[1:], len(key))):
-            if to - at > 1:
-                for i, j in connect(sim[at:to], list(line[at:to])):
-                    src.append(h[at + i])
-                    dst.append(h[at + j])
-        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-
-    def links(key: np.ndarray, h: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-        src, dst, low, high = [], [], [], []
-        key = key.astype(np.int64)
-        first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-        size = np.diff(first, append=len(key))
-        for at, n in zip(first[size > DENSE], size[size > DENSE]):
-            own = h[at : at + n]
-            if n <= MATRIX:
-                close = np.zeros((n, n), bool)
-                for lo in range(0, n, 512):  # keeps the 64-bit differences small
-                    close[lo : lo + 512] = bits_apart(sim[at + lo : at + min(lo + 512, n), None], sim[None, at : at + n]) <= DISTANCE
-                top = pairs.roots(n, close)
-            else:
-                top = np.zeros(n, np.int64)
-            src.append(own[top != np.arange(n)])
-            dst.append(own[top[top != np.arange(n)]])
-        dense = np.repeat(size <= DENSE, size)
-        key, h, sim = key[dense], h[dense], sim[dense]
-        here = np.arange(len(key))
-        for step in range(1, DENSE):
-            here = here[here + step < len(key)]
-            here = here[key[here] == key[here + step]]
-            if not len(here):
-                break
-            near = here[bits_apart(sim[here], sim[here + step]) <= DISTANCE]
-            low.append(near)
-            high.append(near + step)
-        top = spanning(len(key), np.concatenate(low), np.concatenate(high)) if low else np.arange(len(key))
-        linked = np.flatnonzero(top != np.arange(len(key)))
-        src.append(h[linked])
-        dst.append(h[top[linked]])
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(join(src)), pa.array(join(dst))], ["src", "dst"])
-
-    def both(key: np.ndarray, h: np.ndarray, sim: np.ndarray, line: np.ndarray) -> Iterator[pa.RecordBatch]:
-        again = np.zeros(len(key), bool)  # shares its key
-        again[1:] = key[1:] == key[:-1]
-        again[:-1] |= again[1:]
-        carries = np.array([x is not None for x in line], bool)
-        for which, function, columns in ((again & carries, checked, (key, h, sim, line)), (again & ~carries, links, (key, h, sim))):
-            if which.any():
-                yield function(*(c[which] for c in columns))
-
-    held: list[np.ndarray] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        now = [np.concatenate(x) for x in zip(held, columns)] if held else columns
-        whole = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on in the next batch
-        if whole:
-            yield from both(*(x[:whole] for x in now))
-        held = [x[whole:].copy() for x in now]
-    if held:
-        yield from both(*held)
-
-
-def levenshtein(a: str, b: str) -> int:
-    """Exact edit distance by Myers' bit vectors (Hyyro's form), on Python integers of any width, after common ends are cut."""
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi and a[lo] == b[lo]:
-        lo += 1
+def trimmed(a: str, b: str) -> tuple[str, str]:
+    """Both without their common beginning and end, which no least edit touches."""
+    lo = _common(a, b)
     a, b = a[lo:], b[lo:]
-    end, hi = 0, min(len(a), len(b))
-    while end < hi and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[: len(a) - end], b[: len(b) - end]
+    end = _common(a[::-1], b[::-1])
+    return a[: len(a) - end], b[: len(b) - end]
+
+
+def levenshtein(a: str, b: str, most: int | None = None) -> int:
+    """Exact edit distance by Myers' bit vectors (Hyyro's form), on Python integers of any width.
+
+    With `most`, it stops as soon as the distance is sure to be larger, and returns some larger number.
+    """
+    a, b = trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
     where: dict[str, int] = {}
@@ -257,74 +189,138 @@ def levenshtein(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     plus, minus, score = full, 0, len(a)
+    slack = (len(a) + len(b) if most is None else most) + len(b)
     for c in b:
         eq = where.get(c, 0)
         d0 = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
         up, down = minus | (full & ~(d0 | plus)), d0 & plus
         score += bool(up & top) - bool(down & top)
+        slack -= 1
+        if score > slack:  # what is left of b lowers the score by one a character at most
+            return score
         up, down = (up << 1 | 1) & full, (down << 1) & full
         plus, minus = down | (full & ~(d0 | up)), up & d0
     return score
 
 
+def distance_bound(a: str, b: str) -> int:
+    """An upper bound of the edit distance: words that are in both once, in the longest order they share, stay; gaps are rewritten."""
+    x, y = a.split(" "), b.split(" ")
+    at: list[dict[str, int]] = [{}, {}]
+    for seen, words in zip(at, (x, y)):
+        for i, w in enumerate(words):
+            seen[w] = -1 if w in seen else i
+    shared = [(i, at[1][w]) for w, i in at[0].items() if i >= 0 and at[1].get(w, -1) >= 0]
+    ends: list[int] = []
+    last: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(shared):
+        d = bisect_left(ends, j)
+        ends[d:], last[d:] = [j, *ends[d + 1 :]], [k, *last[d + 1 :]]
+        before.append(last[d - 1] if d else -1)
+    chain, k = [], last[-1] if last else -1
+    while k >= 0:
+        chain.append(shared[k])
+        k = before[k]
+    total, i, j = 0, len(x), len(y)
+    for p, q in [*chain, (-1, -1)]:
+        total += max(sum(map(len, x[p + 1 : i])) + i - p - 1, sum(map(len, y[q + 1 : j])) + j - q - 1)
+        i, j = p, q
+    return total
+
+
 def similar(a: str, b: str, threshold: float = SIMILARITY) -> bool:
+    """Whether the edit similarity is at least the threshold. Cheap bounds decide most pairs, the exact distance the others."""
     longest = max(len(a), len(b))
-    if longest - min(len(a), len(b)) > (1 - threshold) * longest + 1e-9:
+    most = int((1 - threshold) * longest + 1e-9)
+    if longest - min(len(a), len(b)) > most:
         return False
-    return levenshtein(a, b) <= (1 - threshold) * longest + 1e-9
+    a, b = trimmed(a, b)
+    return max(len(a), len(b)) <= most or distance_bound(a, b) <= most or levenshtein(a, b, most) <= most
 
 
-def connect(sim: np.ndarray, text: list[str], block: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-    """Links (i, j) that connect what edit similarity connects, between blocks only if they are given.
+def letter_counts(lines: list[str]) -> np.ndarray:
+    """Numbers of characters by code modulo 64; their differences bound an edit distance from below."""
+    return np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) & 63, minlength=64) for x in lines]).astype(np.int32)
 
-    Counts of characters (by code modulo 64) bound the edit distance from below and spare most of the others.
-    """
-    n = len(text)
-    counts = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) & 63, minlength=64) for t in text]).astype(np.int32)
-    size = counts.sum(1)
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i in range(n - 1):
-        may = bits_apart(sim[i + 1 :], sim[i]) <= DISTANCE
-        if block is not None:
-            may &= block[i + 1 :] != block[i]
-        near = np.flatnonzero(may) + i + 1
-        more = counts[near] - counts[i]
-        apart = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-        for j in near[apart <= (1 - SIMILARITY) * np.maximum(size[near], size[i]) + 1e-9]:
-            a, b = find(i), find(int(j))
-            if a != b and similar(text[i], text[int(j)]):
-                root[max(a, b)] = min(a, b)
-                yield i, int(j)
-
-
-def _verify(group: dict[str, list]) -> Iterator[pa.RecordBatch]:
-    """Links of two blocks of a component: every Hamming pair is checked unless its nodes are already connected here."""
-    at: dict[int, int] = {}
-    lines = [x.encode().lower().split() for x in group["line"]]
-    _, whole, _, _ = hash_lines([b" ".join(x) or b"-" for x in lines])
-    for i, h in enumerate(group["h"]):
-        if whole[i] == h:  # else the row repeats a doc_id with another text
-            at.setdefault(h, i)
-    rows = sorted(at.values(), key=lambda i: group["h"][i])
-    n = len(rows)
-    if n < 2:
+
+def may_link(i: int, others: np.ndarray, sim: np.ndarray, counts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Those of `others` within DISTANCE bits of i, whose letters leave an edit similarity of SIMILARITY possible, nearest first."""
+    apart = bits_apart(sim[others], sim[i])
+    others = others[near := apart <= DISTANCE]
+    more = counts[others] - counts[i]
+    least = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+    fits = least <= (1 - SIMILARITY) * np.maximum(size[others], size[i]) + 1e-9
+    return others[fits][np.argsort(apart[near][fits], kind="stable")]
+
+
+def _distinct(group: dict[str, list]) -> list[int]:
+    """A row for each node of a group (rows that repeat a document fetch a line twice), least node first."""
+    return sorted({h: i for i, h in enumerate(group["h"])}.values(), key=lambda i: group["h"][i])
+
+
+def _follow(group: dict[str, list]) -> Iterator[pa.RecordBatch]:
+    """A head (the least node) and its nodes to (h, head, linked)."""
+    rows, head = _distinct(group), group["head"][0]
+    if len(rows) < 2 or group["h"][rows[0]] != head:
         return
-    h, block = np.array([group["h"][i] for i in rows]), np.array([group["block"][i] for i in rows])
-    sim, text = np.array([group["sim"][i] for i in rows]), [b" ".join(lines[i]).decode() for i in rows]
-    cross = group["lo"][0] != group["hi"][0]
+    sim, line = np.array([group["sim"][i] for i in rows]), [group["line"][i] for i in rows]
+    counts = letter_counts(line)
+    linked = np.zeros(len(rows), bool)
+    for j in may_link(0, np.arange(1, len(rows)), sim, counts, counts.sum(1)):
+        linked[j] = similar(line[0], line[j])
+    yield pa.RecordBatch.from_arrays([pa.array([group["h"][i] for i in rows[1:]], pa.int64()), pa.array([head] * (len(rows) - 1), pa.int64()), pa.array(linked[1:])], ["h", "head", "linked"])
+
+
+def _meet(group: dict[str, list]) -> Iterator[pa.RecordBatch]:
+    """Failed nodes (own) and other nodes of one key to links (src, dst); what follows the head already counts as connected."""
+    own = {h for h, o in zip(group["h"], group["own"]) if o}
+    rows = _distinct(group)
+    n = len(rows)
+    sim, line, h = np.array([group["sim"][i] for i in rows]), [group["line"][i] for i in rows], [group["h"][i] for i in rows]
+    counts = letter_counts(line)
+    size, mine = counts.sum(1), np.array([x in own for x in h])
+    label = np.where(np.array([group["linked"][i] for i in rows]), n, np.arange(n))
     src, dst = [], []
-    for i, j in connect(sim, text, block if cross else None):
-        src.append(h[i])
-        dst.append(h[j])
+    for i in np.flatnonzero(mine):
+        for j in may_link(i, np.flatnonzero(label != label[i]), sim, counts, size):
+            if label[i] != label[j] and similar(line[i], line[j]):
+                src.append(h[i])
+                dst.append(h[j])
+                label[label == label[j]] = label[i]
     if src:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(src)), pa.array(np.array(dst))], ["src", "dst"])
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+
+def line_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(src, dst): links that connect the nodes (h, first, keys) whose lines are similar; lines are read from `texts` (doc_id, text, t)."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "h")
+    heads = keyed.groupBy(F.col("key").alias("k")).agg(F.min("h").alias("head"), F.max("h").alias("tail")).where("head < tail").select("k", "head")
+    met = cut(keyed.join(heads, F.col("key") == F.col("k")).select("key", "h", "head"))
+    wanted = nodes.join(met.select(F.col("h").alias("w")).distinct(), F.col("h") == F.col("w"), "left_semi")
+    wanted = wanted.groupBy(F.col("first.doc_id").alias("at_doc"), F.col("first.t").alias("at_t")).agg(F.collect_set("first.pos").alias("wanted"))
+    fetched = texts.join(wanted, (F.col("doc_id") == F.col("at_doc")) & (F.col("t") == F.col("at_t"))).select("text", "wanted")
+    lines = cut(fetched.mapInArrow(_fetch, "h long, sim long, line string")).select(F.col("h").alias("lh"), "sim", "line")
+    near = met.where("h <> head").select("h", "head").distinct()
+    crowds = small_side(cut(near.groupBy(F.col("head").alias("crowd")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLLOWERS)))
+    dealt = near.join(crowds, F.col("head") == F.col("crowd"), "left").select("h", "head", F.pmod(F.xxhash64("h"), F.coalesce(F.ceil(F.col("n") / FOLLOWERS), F.lit(1))).cast("int").alias("part"))
+    dealt = dealt.unionByName(dealt.select(F.col("head").alias("h"), "head", "part").distinct())
+    checked = dealt.join(lines, F.col("h") == F.col("lh")).select("head", "part", "h", "sim", "line")
+    checked = cut(pairs.map_groups(checked, ["head", "part"], _follow, "h long, head long, linked boolean"))
+    links = checked.where("linked").select(F.col("h").alias("src"), F.col("head").alias("dst"))
+
+    verdict = checked.select(F.col("h").alias("vh"), F.col("head").alias("vhead"), "linked")
+    judged = met.join(verdict, (F.col("h") == F.col("vh")) & (F.col("head") == F.col("vhead"))).select("key", "h", "head", "linked")
+    # Keys with the same nodes are one. A failed node meets all nodes of the key but the head; a key with one node besides has none.
+    same = judged.groupBy("key", "head").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h")).alias("mark"), F.count_if(~F.col("linked")).alias("failed"))
+    same = same.where("failed > 0 and n > 1").groupBy("head", "n", "mark", "failed").agg(F.min("key").alias("k")).select("k", "n", "failed")
+    rows = judged.join(same, F.col("key") == F.col("k")).withColumns({"tall": F.ceil(F.col("failed") / FAILED).cast("int"), "wide": F.ceil(F.col("n") / OTHERS).cast("int")})
+    high, across = F.pmod(F.xxhash64("h", F.lit(1)), F.col("tall")).cast("int"), F.pmod(F.xxhash64("h", F.lit(2)), F.col("wide")).cast("int")
+    spread = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    own = rows.where("not linked").select("key", "h", "linked", high.alias("high"), spread("wide").alias("across"), F.lit(True).alias("own"))
+    other = rows.select("key", "h", "linked", across.alias("across"), spread("tall").alias("high"), F.lit(False).alias("own"))
+    grid = own.unionByName(other).join(lines, F.col("h") == F.col("lh")).select("key", "high", "across", "h", "linked", "own", "sim", "line")
+    return links.unionByName(pairs.map_groups(grid, ["key", "high", "across"], _meet, "src long, dst long"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -334,20 +330,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     without doc_id are left out; of rows that share a doc_id, equal texts count as one and others as documents of their own.
     """
     texts = plain(docs).where("doc_id is not null").withColumn("t", F.xxhash64("text"))
-    lines = cut(texts.mapInArrow(_lines, "doc_id long, t long, pos int, h long, sim long, n int, keys array<int>, line string"))
+    lines = cut(texts.mapInArrow(_lines, "doc_id long, t long, pos int, h long, keys array<long>"))
     first = F.min(F.struct("doc_id", "pos", "t")).alias("first")
-    nodes = cut(lines.groupBy("h", "sim", "n").agg(first, F.count(F.lit(1)).alias("times"), F.first("keys").alias("keys"), F.first("line").alias("line")))
-    keyed = nodes.select(F.posexplode("keys").alias("k", "key"), "h", "sim", "line").select("key", "h", "sim", F.when(F.col("k") < GRAM_KEYS, F.col("line")).alias("line"))
-    stars = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket, "src long, dst long")
-    members = nodes.join(components(stars.distinct()), F.col("h") == F.col("node")).select("h", "sim", "component", F.col("first.doc_id").alias("at_doc"), F.col("first.pos").alias("at_pos"), F.col("first.t").alias("at_t"))
-    members = cut(members)
-    carried = texts.join(small_side(members), (F.col("doc_id") == F.col("at_doc")) & (F.col("t") == F.col("at_t"))).select("h", "sim", "component", F.get(F.split("text", "\n"), F.col("at_pos")).alias("line")).where("line is not null")
-    checked = pairs.map_groups(pairs.block_pairs(cut(carried), "component", "h"), ["component", "lo", "hi"], _verify, "src long, dst long")
-    groups = components(checked).withColumnRenamed("component", "g")
-    owned = nodes.join(groups, F.col("h") == F.col("node"), "left").select("h", "first", "times", F.coalesce("g", "h").alias("g"))
-    kept = owned.groupBy(F.col("g").alias("kg")).agg(F.min("first").alias("keep"), F.sum("times").alias("total")).where("total > 1")
-    again = cut(owned.join(kept, F.col("g") == F.col("kg")).select(F.col("h").alias("rh"), "keep"))
-    hits = lines.join(small_side(again), F.col("h") == F.col("rh")).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("pos") != F.col("keep.pos")) | (F.col("t") != F.col("keep.t")))
+    nodes = cut(lines.groupBy("h").agg(first, F.count(F.lit(1)).alias("times"), F.first("keys").alias("keys")))
+    groups = components(line_links(nodes, texts))
+    linked = nodes.select("h", "first").join(groups, F.col("h") == F.col("node"))
+    least = linked.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("keep"))
+    linked = linked.join(least, F.col("component") == F.col("c")).select(F.col("node").alias("lh"), "keep")
+    again = nodes.select("h", "first", "times").join(linked, F.col("h") == F.col("lh"), "left").where("times > 1 or keep is not null")
+    again = cut(again.select(F.col("h").alias("rh"), F.coalesce("keep", "first").alias("keep")))
+    hits = lines.select("doc_id", "t", "pos", "h").join(small_side(again), F.col("h") == F.col("rh")).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("pos") != F.col("keep.pos")) | (F.col("t") != F.col("keep.t")))
     gone = F.struct(F.col("pos").alias("line"), F.col("keep.doc_id").alias("first_doc"), F.col("keep.pos").alias("first_line"))
     return hits.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(gone)).alias("removed"))
 
@@ -355,13 +347,18 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """`docs` with `text` less its removed lines and a column `removed` (see removed_lines; empty array if none).
 
-    All rows stay in place of a document that loses every line its text becomes empty. Null text stays null. A column named
-    removed is replaced.
+    All rows stay; the text of a document that loses every line becomes empty. Null and empty texts stay as they are, an
+    empty table gives none, repeated rows lose the same lines. A column named removed is replaced, all others stay.
     """
-    gone = removed_lines(docs).select(F.col("doc_id").alias("_gone_id"), F.col("t").alias("_gone_t"), F.col("removed").alias("_removed"))
-    joined = docs.drop("removed").join(gone, (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_gone_t")), "left")
-    lost = F.transform("_removed", lambda x: x["line"])
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
+    docs = docs.drop("removed")
+    gone_id, gone_t, removed, lines = free_names(docs, "gone_id", "gone_t", "gone", "lines")
+    gone = removed_lines(docs).toDF(gone_id, gone_t, removed)
+    joined = docs.join(gone, (docs["doc_id"].cast("long") == F.col(gone_id)) & (F.xxhash64(docs["text"].cast("string")) == F.col(gone_t)), "left")
+    joined = joined.withColumn(lines, F.when(F.col(removed).isNotNull(), F.split("text", "\n")))
+    # What stays are the runs of lines between removed ones.
+    lost = lambda j: F.get(F.col(removed), j)["line"]
+    after = lambda j: F.coalesce(lost(j - 1), F.lit(-1)) + 1
+    runs = F.transform(F.sequence(F.lit(0), F.size(removed)), lambda j: F.slice(F.col(lines), after(j) + 1, F.coalesce(lost(j), F.size(lines)) - after(j)))
+    text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
     empty = F.array().cast("array<struct<line:int,first_doc:bigint,first_line:int>>")
-    return joined.withColumn("text", text).withColumn("removed", F.coalesce("_removed", empty)).drop("_gone_id", "_gone_t", "_removed")
+    return joined.withColumn("text", text).withColumn("removed", F.coalesce(removed, empty)).drop(gone_id, gone_t, removed, lines)

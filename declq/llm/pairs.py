@@ -34,7 +34,7 @@ def map_groups(df: DataFrame, keys: list[str], function: Callable[[dict[str, lis
     parts: list[Column] = [F.col(k) for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: dict[str, list] = {}
         last = None
         for batch in batches:
             if not batch.num_rows:
@@ -44,17 +44,17 @@ def map_groups(df: DataFrame, keys: list[str], function: Callable[[dict[str, lis
             for c in columns:
                 change[1:] |= c[1:] != c[:-1]
             change[0] = last is not None and tuple(c[0] for c in columns) != last
-            start = 0
-            for at in np.flatnonzero(change):
-                if at > start:
-                    held.append(batch.slice(start, at - start))
-                if held:
-                    yield from function(pa.Table.from_batches(held).to_pydict())
-                held, start = [], at
-            held.append(batch.slice(start))
+            rows, start = batch.to_pydict(), 0
+            for at in [*np.flatnonzero(change), batch.num_rows]:
+                for k, values in rows.items():
+                    held.setdefault(k, []).extend(values[start:at])
+                if at < batch.num_rows and held[keys[0]]:
+                    yield from function(held)
+                    held = {}
+                start = at
             last = tuple(c[-1] for c in columns)
         if held:
-            yield from function(pa.Table.from_batches(held).to_pydict())
+            yield from function(held)
 
     return df.repartition(*parts).sortWithinPartitions(*keys, *also_sort).mapInArrow(run, schema)
 

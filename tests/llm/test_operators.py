@@ -84,6 +84,20 @@ def test_quality_rules_on_odd_rows(spark):
     assert quality_rules.line_frequency_filter(make(spark, [])).count() == 0
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def edit_similar(a, b):
+    longest = max(len(a), len(b))
+    return longest - min(len(a), len(b)) <= 0.2 * longest and edit_distance(a, b) <= 0.2 * longest + 1e-9
+
+
 def test_line_dedup_is_brute_force(spark):
     r = random.Random(7)
     lines = [prose(i, r.randint(1, 25)) for i in range(40)]
@@ -103,7 +117,6 @@ def test_line_dedup_is_brute_force(spark):
             if i is not None and line.split():
                 where[" ".join(line.lower().split()).encode()].append((i, p))
     keys = list(where)
-    _, _, sim, _ = line_dedup.hash_lines(keys)
     root = list(range(len(keys)))
 
     def find(x):
@@ -112,7 +125,7 @@ def test_line_dedup_is_brute_force(spark):
         return x
 
     for a, b in combinations(range(len(keys)), 2):
-        if np.bitwise_count((sim[a : a + 1] ^ sim[b : b + 1]).view(np.uint64))[0] <= line_dedup.DISTANCE and line_dedup.similar(keys[a].decode(), keys[b].decode()):
+        if edit_similar(keys[a].decode(), keys[b].decode()):
             root[max(find(a), find(b))] = min(find(a), find(b))
     groups = defaultdict(list)
     for k, key in enumerate(keys):
@@ -169,19 +182,70 @@ def test_bits_apart_of_signed_hashes():
     assert line_dedup.bits_apart(a, b).tolist() == [64, 2, 1, 0]
 
 
-def test_levenshtein():
-    def slow(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            old, row = row, [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-        return row[-1]
-
+def test_edit_similarity_and_its_bounds():
     r = random.Random(1)
     for _ in range(300):
         a, b = ("".join(r.choices("abç", k=r.randint(0, 25))) for _ in range(2))
-        assert line_dedup.levenshtein(a, b) == slow(a, b)
+        exact = edit_distance(a, b)
+        assert line_dedup.levenshtein(a, b) == exact
+        assert (line_dedup.levenshtein(a, b, 6) <= 6) == (exact <= 6)
+    for _ in range(300):
+        a = r.choices(WORDS, k=r.randint(1, 14))
+        b = [w for w in a if r.random() < 0.8] + r.choices(WORDS, k=r.randint(0, 2))
+        if r.random() < 0.3:
+            r.shuffle(b)
+        a, b = " ".join(a), " ".join(b)
+        assert line_dedup.distance_bound(a, b) >= edit_distance(a, b)
+        assert line_dedup.similar(a, b) == (edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
+
+
+def test_line_dedup_meets_in_blocks(spark, monkeypatch):
+    """A chain of edits: most lines fail against the head of their keys and are linked in the grid, in blocks as without."""
+    r = random.Random(3)
+    words = prose(70, 30).split()
+    lines = [" ".join(words)]
+    for step in range(40):
+        words[step * 7 % 30] = r.choice(WORDS) + str(step)
+        lines.append(" ".join(words))
+    lines += [prose(300 + i, 20) for i in range(10)]
+    r.shuffle(lines)
+    texts = list(enumerate(lines))
+    whole = {x.doc_id: x.removed for x in line_dedup.dedup_lines(make(spark, texts)).collect()}
+    assert sum(bool(x) for x in whole.values()) == 40
+    for name in ("FOLLOWERS", "FAILED", "OTHERS"):
+        monkeypatch.setattr(line_dedup, name, 4)
+    assert {x.doc_id: x.removed for x in line_dedup.dedup_lines(make(spark, texts)).collect()} == whole
+
+
+def test_line_dedup_odd_rows(spark):
+    """Very long lines, repeated rows, nulls, ties and columns of the names that the operator uses."""
+    rows = [(3, prose(5, 9000)), (1, prose(5, 9000) + "\n\n tail"), (2, None), (4, ""), (5, "same line here\nsame  LINE here"), (5, "same line here\nsame  LINE here"), (None, "same line here")]
+    docs = make(spark, rows).selectExpr("doc_id", "text", "'a' as _gone_id", "'b' as _removed", "'c' as __lines", "'d' as h", "'e' as removed")
+    out = line_dedup.dedup_lines(docs)
+    assert sorted(out.columns) == sorted(docs.columns)
+    got = sorted(((x.doc_id or 0, x.text, len(x.removed)) for x in out.collect()), key=str)
+    assert got == sorted([(3, "", 1), (1, rows[1][1], 0), (2, None, 0), (4, "", 0), (5, "same line here", 1), (5, "same line here", 1), (0, "same line here", 0)], key=str)
+
+
+def test_components(spark):
+    from declq.llm.common import components
+
+    r = random.Random(2)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(250)] + [(7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
 def test_ngram_join_is_brute_force(spark):
