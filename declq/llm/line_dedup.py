@@ -31,11 +31,17 @@ from declq.llm.common import SIMILARITY, components, cut, free_names, mix, plain
 
 DISTANCE = 24
 #: Bytes of a letter gram; characters of a short line; MinHash values of a key; keys of letter grams and of word pairs.
-GRAM, SHORT, VALUES, GRAM_KEYS, PAIR_KEYS = 4, 80, 3, 16, 12
+GRAM, SHORT, VALUES, GRAM_KEYS, PAIR_KEYS = 5, 80, 3, 14, 8
 #: Nodes that meet one head in a task; in the grid, failed nodes and other nodes of a key that meet in a task.
 FOLLOWERS, FAILED, OTHERS = 4096, 256, 4096
+#: Characters of two gaps between shared words whose edit distance is worked out for the upper bound.
+GAP = 200
+#: Characters of the lines that are compared with one line at once.
+ABREAST = 1 << 13
 #: Bytes of lines whose SimHashes are worked out at once (64 bytes of counts a letter).
 SKETCH_BYTES = 1 << 18
+#: Lines that a task remembers, so that a frequent line gives its keys a few times and not with every row.
+SEEN = 200_000
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 _ODD = mix(np.arange(1, (GRAM_KEYS + PAIR_KEYS) * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -95,13 +101,19 @@ def _least(features: np.ndarray, starts: np.ndarray, first: int, keys: int) -> n
     return out.view(np.int64)
 
 
+def normal(line: bytes) -> bytes:
+    return b" ".join(line.lower().split())
+
+
 def line_keys(lines: list[bytes], hashed: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of normal lines, whose word hashes are runs of `hashed`, and the line of each key, in order."""
-    chars = np.fromiter((len(x) if x.isascii() else len(x.decode(errors="replace")) for x in lines), np.int64, len(lines))
+    """Join keys of lines, whose word hashes are runs of `hashed`, and the line of each key, in order."""
+    tidy = [normal(x) if n <= SHORT // 2 else b"" for x, n in zip(lines, lens)]  # more words alone are more than SHORT characters
+    chars = np.fromiter((len(x) if x.isascii() else len(x.decode(errors="replace")) for x in tidy), np.int64, len(tidy))
+    chars[chars == 0] = SHORT + 1
     short, long = np.flatnonzero(chars <= SHORT), np.flatnonzero(chars >= int(SIMILARITY * SHORT))
     keys, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if len(short):
-        grams, at = letter_grams([lines[i] for i in short])
+        grams, at = letter_grams([tidy[i] for i in short])
         keys.append(_least(grams, at, 0, GRAM_KEYS).ravel())
         of.append(np.repeat(short, GRAM_KEYS))
     if len(long):
@@ -116,10 +128,6 @@ def line_keys(lines: list[bytes], hashed: np.ndarray, starts: np.ndarray, lens:
     return keys[order], of[order]
 
 
-def normal(line: bytes) -> bytes:
-    return b" ".join(line.lower().split())
-
-
 def hash_lines(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Indexes of the lines with a word and their 64-bit hashes (in word order); all word hashes, where each such line's begin, their numbers."""
     words, ends = split_words([x.lower() for x in lines])
@@ -135,17 +143,27 @@ def hash_lines(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, t) to a row with hash and join keys for every line with a word."""
+    """Rows (doc_id, text, t) to a row with its hash for every line with a word. Join keys come with a line's first row in a task."""
+    seen: set[int] = set()
     for batch in batches:
         for part, texts in slices(batch, "text", 2 << 20):
             split = [t.split(b"\n") for t in texts]
             count = np.fromiter(map(len, split), np.int64, len(split))
             every = [x for lines in split for x in lines]
             has, whole, hashed, starts, lens = hash_lines(every)
-            keys, of = line_keys([normal(every[i]) for i in has], hashed, starts, lens)
             row = np.repeat(np.arange(len(split)), count)[has]
             pos = has - (np.cumsum(count) - count)[row]
-            runs = np.searchsorted(of, np.arange(len(has) + 1)).astype(np.int32)
+            if len(seen) > SEEN:
+                seen = set()
+            known, new = len(seen), []
+            for i, h in enumerate(whole.tolist()):
+                seen.add(h)
+                if len(seen) > known:
+                    known += 1
+                    new.append(i)
+            new = np.array(new, np.int64)
+            keys, of = line_keys([every[i] for i in has[new]], hashed, starts[new], lens[new])
+            runs = np.searchsorted(new[of], np.arange(len(has) + 1)).astype(np.int32)
             columns = [pa.array(pos.astype(np.int32)), pa.array(whole), pa.ListArray.from_arrays(runs, pa.array(keys))]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), *columns], ["doc_id", "t", "pos", "h", "keys"])
 
@@ -176,47 +194,70 @@ def trimmed(a: str, b: str) -> tuple[str, str]:
     return a[: len(a) - end], b[: len(b) - end]
 
 
-def levenshtein(a: str, b: str, most: int | None = None) -> int:
-    """Exact edit distance by Myers' bit vectors (Hyyro's form), on Python integers of any width.
+def edit_distances(text: str, patterns: list[str]) -> list[int]:
+    """Exact edit distances of a text to several patterns at once, by Myers' bit vectors (Hyyro's form).
 
-    With `most`, it stops as soon as the distance is sure to be larger, and returns some larger number.
+    The patterns lie side by side in one Python integer, a spare bit between them that takes the carries.
     """
+    codes = np.frombuffer("\0".join([*patterns, ""]).encode("utf-32-le"), np.uint32)
+    lens = np.fromiter(map(len, patterns), np.int64, len(patterns))
+    ends = np.cumsum(lens + 1) - 1
+    bits = lambda x: int.from_bytes(np.packbits(x, bitorder="little").tobytes(), "little")
+    inside, first = np.ones(len(codes), bool), np.zeros(len(codes), bool)
+    inside[ends], first[(ends - lens)[lens > 0]] = False, True
+    where = {c: bits(codes == ord(c)) for c in set(text)}
+    full, ones = bits(inside), bits(first)
+    plus, minus = full, 0
+    for c in text:
+        eq = where[c]
+        d0 = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
+        up = ((minus | (full ^ (d0 | plus))) << 1 | ones) & full
+        plus, minus = ((d0 & plus) << 1 & full) | (full ^ (d0 | up)), up & d0
+    out = []
+    for start, n in zip((ends - lens).tolist(), lens.tolist()):  # the last column's steps down a pattern add up to its distance
+        lane = (1 << n) - 1
+        out.append(len(text) + (plus >> start & lane).bit_count() - (minus >> start & lane).bit_count())
+    return out
+
+
+def levenshtein(a: str, b: str, most: int | None = None) -> int:
+    """Exact edit distance of two texts. With `most`, it stops once the distance is sure to be larger, and returns some larger number."""
     a, b = trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    plus, minus, score = full, 0, len(a)
-    slack = (len(a) + len(b) if most is None else most) + len(b)
-    for c in b:
-        eq = where.get(c, 0)
-        d0 = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
-        up, down = minus | (full & ~(d0 | plus)), d0 & plus
-        score += bool(up & top) - bool(down & top)
-        slack -= 1
-        if score > slack:  # what is left of b lowers the score by one a character at most
-            return score
-        up, down = (up << 1 | 1) & full, (down << 1) & full
-        plus, minus = down | (full & ~(d0 | up)), up & d0
+    full = (1 << len(a)) - 1
+    plus, minus, score = full, 0, 0
+    for start in range(0, len(b), 64):
+        for c in b[start : start + 64]:
+            eq = where.get(c, 0)
+            d0 = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
+            up = ((minus | (full ^ (d0 | plus))) << 1 | 1) & full
+            plus, minus = ((d0 & plus) << 1 & full) | (full ^ (d0 | up)), up & d0
+        done = min(start + 64, len(b))
+        score = done + plus.bit_count() - minus.bit_count()
+        if most is not None and score - (len(b) - done) > most:  # a character lowers the score by one at most
+            return score - (len(b) - done)
     return score
 
 
 def distance_bound(a: str, b: str) -> int:
-    """An upper bound of the edit distance: words that are in both once, in the longest order they share, stay; gaps are rewritten."""
+    """An upper bound of the edit distance: words that are in both once, in the longest order they share, stay; gaps are edited."""
     x, y = a.split(" "), b.split(" ")
     at: list[dict[str, int]] = [{}, {}]
     for seen, words in zip(at, (x, y)):
         for i, w in enumerate(words):
             seen[w] = -1 if w in seen else i
-    shared = [(i, at[1][w]) for w, i in at[0].items() if i >= 0 and at[1].get(w, -1) >= 0]
+    other = at[1]
+    shared = [(i, other[w]) for w, i in at[0].items() if i >= 0 and other.get(w, -1) >= 0]
     ends: list[int] = []
     last: list[int] = []
     before: list[int] = []
     for k, (_, j) in enumerate(shared):
         d = bisect_left(ends, j)
-        ends[d:], last[d:] = [j, *ends[d + 1 :]], [k, *last[d + 1 :]]
+        ends[d : d + 1], last[d : d + 1] = [j], [k]
         before.append(last[d - 1] if d else -1)
     chain, k = [], last[-1] if last else -1
     while k >= 0:
@@ -224,36 +265,26 @@ def distance_bound(a: str, b: str) -> int:
         k = before[k]
     total, i, j = 0, len(x), len(y)
     for p, q in [*chain, (-1, -1)]:
-        total += max(sum(map(len, x[p + 1 : i])) + i - p - 1, sum(map(len, y[q + 1 : j])) + j - q - 1)
+        if i - p > 1 or j - q > 1:
+            u, v = " ".join(["", *x[p + 1 : i], ""]), " ".join(["", *y[q + 1 : j], ""])
+            total += levenshtein(u, v) if len(u) + len(v) <= GAP else max(len(u), len(v))
         i, j = p, q
     return total
 
 
+def most_edits(a: str, b: str, threshold: float = SIMILARITY) -> int:
+    return int((1 - threshold) * max(len(a), len(b)) + 1e-9)
+
+
 def similar(a: str, b: str, threshold: float = SIMILARITY) -> bool:
     """Whether the edit similarity is at least the threshold. Cheap bounds decide most pairs, the exact distance the others."""
-    longest = max(len(a), len(b))
-    most = int((1 - threshold) * longest + 1e-9)
-    if longest - min(len(a), len(b)) > most:
+    most = most_edits(a, b, threshold)
+    if abs(len(a) - len(b)) > most:
         return False
     a, b = trimmed(a, b)
     return max(len(a), len(b)) <= most or distance_bound(a, b) <= most or levenshtein(a, b, most) <= most
 
 
-def letter_counts(lines: list[str]) -> np.ndarray:
-    """Numbers of characters by code modulo 64; their differences bound an edit distance from below."""
-    return np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) & 63, minlength=64) for x in lines]).astype(np.int32)
-
-
-def may_link(i: int, others: np.ndarray, sim: np.ndarray, counts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Those of `others` within DISTANCE bits of i, whose letters leave an edit similarity of SIMILARITY possible, nearest first."""
-    apart = bits_apart(sim[others], sim[i])
-    others = others[near := apart <= DISTANCE]
-    more = counts[others] - counts[i]
-    least = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-    fits = least <= (1 - SIMILARITY) * np.maximum(size[others], size[i]) + 1e-9
-    return others[fits][np.argsort(apart[near][fits], kind="stable")]
-
-
 def _distinct(group: dict[str, list]) -> list[int]:
     """A row for each node of a group (rows that repeat a document fetch a line twice), least node first."""
     return sorted({h: i for i, h in enumerate(group["h"])}.values(), key=lambda i: group["h"][i])
@@ -262,14 +293,12 @@ def _distinct(group: dict[str, list]) -> list[int]:
 def _follow(group: dict[str, list]) -> Iterator[pa.RecordBatch]:
     """A head (the least node) and its nodes to (h, head, linked)."""
     rows, head = _distinct(group), group["head"][0]
-    if len(rows) < 2 or group["h"][rows[0]] != head:
+    nodes, sims, lines = group["h"], group["sim"], group["line"]
+    if len(rows) < 2 or nodes[rows[0]] != head:
         return
-    sim, line = np.array([group["sim"][i] for i in rows]), [group["line"][i] for i in rows]
-    counts = letter_counts(line)
-    linked = np.zeros(len(rows), bool)
-    for j in may_link(0, np.arange(1, len(rows)), sim, counts, counts.sum(1)):
-        linked[j] = similar(line[0], line[j])
-    yield pa.RecordBatch.from_arrays([pa.array([group["h"][i] for i in rows[1:]], pa.int64()), pa.array([head] * (len(rows) - 1), pa.int64()), pa.array(linked[1:])], ["h", "head", "linked"])
+    sim, line = sims[rows[0]], lines[rows[0]]
+    linked = [((sims[i] ^ sim) & (2**64 - 1)).bit_count() <= DISTANCE and similar(line, lines[i]) for i in rows[1:]]
+    yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in rows[1:]], pa.int64()), pa.array([head] * len(linked), pa.int64()), pa.array(linked, pa.bool_())], ["h", "head", "linked"])
 
 
 def _meet(group: dict[str, list]) -> Iterator[pa.RecordBatch]:
@@ -278,25 +307,43 @@ def _meet(group: dict[str, list]) -> Iterator[pa.RecordBatch]:
     rows = _distinct(group)
     n = len(rows)
     sim, line, h = np.array([group["sim"][i] for i in rows]), [group["line"][i] for i in rows], [group["h"][i] for i in rows]
-    counts = letter_counts(line)
-    size, mine = counts.sum(1), np.array([x in own for x in h])
+    size = np.array(list(map(len, line)))
     label = np.where(np.array([group["linked"][i] for i in rows]), n, np.arange(n))
     src, dst = [], []
-    for i in np.flatnonzero(mine):
-        for j in may_link(i, np.flatnonzero(label != label[i]), sim, counts, size):
-            if label[i] != label[j] and similar(line[i], line[j]):
-                src.append(h[i])
-                dst.append(h[j])
-                label[label == label[j]] = label[i]
+
+    def join(i: int, j: int) -> None:
+        src.append(h[i])
+        dst.append(h[j])
+        label[label == label[j]] = label[i]
+
+    for i in range(n):
+        if h[i] not in own:
+            continue
+        apart = bits_apart(sim, sim[i])
+        near = np.flatnonzero((apart <= DISTANCE) & (label != label[i]) & (np.minimum(size, size[i]) >= SIMILARITY * np.maximum(size, size[i]) - 1e-9))
+        todo = [j for j in near[np.argsort(apart[near], kind="stable")].tolist() if i < j or h[j] not in own]
+        if todo and similar(line[i], line[todo[0]]):  # the nearest mostly connects a node to all there is
+            join(i, todo[0])
+        at = 1
+        while at < len(todo):
+            some, room = [], ABREAST
+            while at < len(todo) and (not some or room >= size[todo[at]]):
+                if label[todo[at]] != label[i]:
+                    some.append(todo[at])
+                    room -= size[todo[at]]
+                at += 1
+            for j, d in zip(some, edit_distances(line[i], [line[j] for j in some])):
+                if label[j] != label[i] and d <= most_edits(line[i], line[j]):
+                    join(i, j)
     if src:
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
-def line_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(src, dst): links that connect the nodes (h, first, keys) whose lines are similar; lines are read from `texts` (doc_id, text, t)."""
-    keyed = nodes.select(F.explode("keys").alias("key"), "h")
+def line_links(lines: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(src, dst): links that connect similar nodes; from `lines` (h, keys), `nodes` (h, first) and the `texts` (doc_id, text, t)."""
+    keyed = lines.select(F.explode("keys").alias("key"), "h")
     heads = keyed.groupBy(F.col("key").alias("k")).agg(F.min("h").alias("head"), F.max("h").alias("tail")).where("head < tail").select("k", "head")
-    met = cut(keyed.join(heads, F.col("key") == F.col("k")).select("key", "h", "head"))
+    met = cut(keyed.join(heads, F.col("key") == F.col("k")).select("key", "h", "head").distinct())
     wanted = nodes.join(met.select(F.col("h").alias("w")).distinct(), F.col("h") == F.col("w"), "left_semi")
     wanted = wanted.groupBy(F.col("first.doc_id").alias("at_doc"), F.col("first.t").alias("at_t")).agg(F.collect_set("first.pos").alias("wanted"))
     fetched = texts.join(wanted, (F.col("doc_id") == F.col("at_doc")) & (F.col("t") == F.col("at_t"))).select("text", "wanted")
@@ -332,8 +379,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     texts = plain(docs).where("doc_id is not null").withColumn("t", F.xxhash64("text"))
     lines = cut(texts.mapInArrow(_lines, "doc_id long, t long, pos int, h long, keys array<long>"))
     first = F.min(F.struct("doc_id", "pos", "t")).alias("first")
-    nodes = cut(lines.groupBy("h").agg(first, F.count(F.lit(1)).alias("times"), F.first("keys").alias("keys")))
-    groups = components(line_links(nodes, texts))
+    nodes = cut(lines.groupBy("h").agg(first, F.count(F.lit(1)).alias("times")))
+    groups = components(line_links(lines, nodes, texts))
     linked = nodes.select("h", "first").join(groups, F.col("h") == F.col("node"))
     least = linked.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("keep"))
     linked = linked.join(least, F.col("component") == F.col("c")).select(F.col("node").alias("lh"), "keep")

@@ -189,6 +189,10 @@ def test_edit_similarity_and_its_bounds():
         exact = edit_distance(a, b)
         assert line_dedup.levenshtein(a, b) == exact
         assert (line_dedup.levenshtein(a, b, 6) <= 6) == (exact <= 6)
+    for _ in range(60):
+        a, *many = ("".join(r.choices("abç ", k=r.randint(0, 90))) for _ in range(r.randint(2, 9)))
+        assert line_dedup.edit_distances(a, many) == [edit_distance(a, b) for b in many]
+        assert line_dedup.levenshtein(a, many[0]) == edit_distance(a, many[0])
     for _ in range(300):
         a = r.choices(WORDS, k=r.randint(1, 14))
         b = [w for w in a if r.random() < 0.8] + r.choices(WORDS, k=r.randint(0, 2))
@@ -283,10 +287,68 @@ def test_ngram_join_is_brute_force(spark):
     assert {x.doc_id: (x.class_id, x.n_links) for x in got if x.doc_id is not None} == {i: (find(i), links[i]) for i in sets}
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns and {x.doc_id for x in kept.select("doc_id").collect()} == {find(i) for i in sets} | {None}
-    assert ngram_join.recall(ngram_join.prefix_depth()) >= ngram_join.TARGET_RECALL
     assert ngram_join.near_duplicates(make(spark, [])).count() == 0
 
 
+def test_matched_prefixes_shorten_until_the_recall():
+    r = random.Random(8)
+    seen = set()
+    for _ in range(200):
+        sizes = {}
+        for tree in r.sample(range(ngram_join.TREES), r.randint(0, ngram_join.TREES)):
+            n, sizes[tree] = r.choice([1, 2, 2, 5, 1000]), {}
+            for depth in range(ngram_join.LABEL, ngram_join.SHORTEST - 1, -1):
+                n += r.choice([0, 0, 1, 300])
+                if n > 1:
+                    sizes[tree][depth] = n
+        depths = ngram_join.matched_depths(sizes)
+        seen |= set(depths.values())
+        assert ngram_join.recall([*depths.values(), *[ngram_join.SHORTEST] * (ngram_join.TREES - len(depths))]) >= ngram_join.TARGET_RECALL
+    assert seen == set(range(ngram_join.SHORTEST, ngram_join.LABEL + 1))
+    crowded = {t: {4: 1000 if t < 2 else 2} for t in range(ngram_join.TREES)}
+    depths = ngram_join.matched_depths(crowded)
+    assert all(depths[t] > ngram_join.SHORTEST for t in (0, 1)) and all(depths[t] == ngram_join.SHORTEST for t in range(4, ngram_join.TREES))
+
+
+def test_forest_keeps_long_prefixes_in_crowded_trees(spark):
+    """All classes agree in the shortest prefix of two trees, which would hang them together; pairs agree in the others."""
+    rows = []
+    for i in range(40):
+        label = []
+        for tree in range(ngram_join.TREES):
+            label += [7, i * 977 << 48] if tree < 2 else [1000 * tree + i // 2, i << 48]
+        rows.append((i, label))
+    stars = ngram_join.candidate_stars(spark.createDataFrame(rows, "id long, labels array<long>"))
+    assert sorted(tuple(x) for x in stars.collect()) == [(i + 1, i) for i in range(0, 40, 2)]
+
+
+def test_ngram_join_recall_at_the_threshold(spark):
+    r = random.Random(9)
+    texts, pairs = [], []
+    for k in range(150):
+        a = prose(5000 + k, 120).split()
+        b = list(a)
+        for at in r.sample(range(120), r.choice([1, 2, 2])):
+            b[at] = "other"
+        texts += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        sets = [{tuple(w[i : i + 5]) for i in range(116)} for w in (a, b)]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            pairs.append(2 * k)
+    got = {x.doc_id: x.class_id for x in ngram_join.near_duplicates(make(spark, texts)).collect()}
+    assert len(pairs) > 100 and sum(got[i] == got[i + 1] for i in pairs) >= 0.99 * len(pairs)
+
+
+def test_ngram_join_odd_rows(spark):
+    """Rows of one doc_id with different texts keep the links of each; very long texts; columns of the operator's names."""
+    long = prose(41, 30000)
+    texts = [(1, prose(42, 50)), (2, prose(43, 50)), (2, prose(42, 50) + " more"), (3, long), (4, long + " end"), (4, long + " end")]
+    docs = make(spark, texts).selectExpr("doc_id", "text", "'a' as _gone", "'b' as id", "'c' as component")
+    got = {(x.doc_id, x.class_id, x.n_links, x.n_copies) for x in ngram_join.near_duplicates(docs).collect()}
+    assert got == {(1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 1, 1), (4, 3, 1, 1)}
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == [1, 3]
+
+
 def test_sharding(spark):
     texts = [(i, "x" * (i % 7)) for i in range(1003)] + [(None, None), (5, "x" * 5)]
     rows = sharding.interleave(make(spark, texts)).collect()
