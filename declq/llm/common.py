@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 from itertools import chain
@@ -34,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the context delete shuffle files and checkpoints of frames that nothing refers to any more.
+
+    It does so when the driver's JVM collects its garbage, which a large heap may put off until the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the decimal id decides the fold; a null id counts as held out, so nothing is learned from it."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(True))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from declq.llm import pairs
-from declq.llm.common import SIMILARITY, components, cut, free_names, mix, plain, slices, small_side, split_words
+from declq.llm.common import SIMILARITY, components, cut, free_names, mix, plain, release, slices, small_side, split_words
 
 DISTANCE = 24
 #: Bytes of a letter gram; characters of a short line; MinHash values of a key; keys of letter grams and of word pairs.
@@ -143,7 +143,10 @@ def hash_lines(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, t) to a row with its hash for every line with a word. Join keys come with a line's first row in a task."""
+    """Rows (doc_id, text, t) to a row (doc_id, t, pos, h, place, keys) for every line with a word.
+
+    place, the line number and 32 bits of t, comes with a line's first row of a document; join keys with its first in a task.
+    """
     seen: set[int] = set()
     for batch in batches:
         for part, texts in slices(batch, "text", 2 << 20):
@@ -164,8 +167,13 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.array(new, np.int64)
             keys, of = line_keys([every[i] for i in has[new]], hashed, starts[new], lens[new])
             runs = np.searchsorted(new[of], np.arange(len(has) + 1)).astype(np.int32)
-            columns = [pa.array(pos.astype(np.int32)), pa.array(whole), pa.ListArray.from_arrays(runs, pa.array(keys))]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), *columns], ["doc_id", "t", "pos", "h", "keys"])
+            t = part.column(2).take(pa.array(row))
+            order = np.lexsort((pos, whole, row))
+            leads = np.ones(len(has), bool)
+            leads[order[1:]] = (whole[order[1:]] != whole[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+            place = pa.array(pos << 32 | t.to_numpy() & 0xFFFFFFFF, mask=~leads)
+            columns = [pa.array(pos.astype(np.int32)), pa.array(whole), place, pa.ListArray.from_arrays(runs, pa.array(keys))]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), t, *columns], ["doc_id", "t", "pos", "h", "place", "keys"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,23 +347,35 @@ def _meet(group: dict[str, list]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
-def line_links(lines: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(src, dst): links that connect similar nodes; from `lines` (h, keys), `nodes` (h, first) and the `texts` (doc_id, text, t)."""
+def meetings(lines: DataFrame) -> DataFrame:
+    """(key, h, head) of the nodes of `lines` (h, keys) that share a key with another: head is the least node of the key."""
     keyed = lines.select(F.explode("keys").alias("key"), "h")
     heads = keyed.groupBy(F.col("key").alias("k")).agg(F.min("h").alias("head"), F.max("h").alias("tail")).where("head < tail").select("k", "head")
-    met = cut(keyed.join(heads, F.col("key") == F.col("k")).select("key", "h", "head").distinct())
-    wanted = nodes.join(met.select(F.col("h").alias("w")).distinct(), F.col("h") == F.col("w"), "left_semi")
-    wanted = wanted.groupBy(F.col("first.doc_id").alias("at_doc"), F.col("first.t").alias("at_t")).agg(F.collect_set("first.pos").alias("wanted"))
-    fetched = texts.join(wanted, (F.col("doc_id") == F.col("at_doc")) & (F.col("t") == F.col("at_t"))).select("text", "wanted")
-    lines = cut(fetched.mapInArrow(_fetch, "h long, sim long, line string")).select(F.col("h").alias("lh"), "sim", "line")
+    return cut(keyed.join(heads.hint("shuffle_hash"), F.col("key") == F.col("k")).select("key", "h", "head").distinct())
+
+
+def candidate_lines(met: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(lh, sim, line) of the nodes of `met`, read where `nodes` (h, doc_id, place) found them, from `texts` (doc_id, text, t)."""
+    wanted = nodes.join(met.select(F.col("h").alias("w")).distinct().hint("shuffle_hash"), F.col("h") == F.col("w"), "left_semi")
+    wanted = wanted.groupBy(F.col("doc_id").alias("at_doc"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at_t")).agg(F.collect_set(F.shiftright("place", 32).cast("int")).alias("wanted"))
+    fetched = texts.join(small_side(cut(wanted)), (F.col("doc_id") == F.col("at_doc")) & (F.col("t").bitwiseAND(0xFFFFFFFF) == F.col("at_t"))).select("text", "wanted")
+    return cut(fetched.mapInArrow(_fetch, "h long, sim long, line string").toDF("lh", "sim", "line"))
+
+
+def head_checks(met: DataFrame, lines: DataFrame) -> DataFrame:
+    """(h, head, linked) for the nodes of `met` that follow a head; `lines` are candidate_lines."""
     near = met.where("h <> head").select("h", "head").distinct()
     crowds = small_side(cut(near.groupBy(F.col("head").alias("crowd")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLLOWERS)))
     dealt = near.join(crowds, F.col("head") == F.col("crowd"), "left").select("h", "head", F.pmod(F.xxhash64("h"), F.coalesce(F.ceil(F.col("n") / FOLLOWERS), F.lit(1))).cast("int").alias("part"))
     dealt = dealt.unionByName(dealt.select(F.col("head").alias("h"), "head", "part").distinct())
-    checked = dealt.join(lines, F.col("h") == F.col("lh")).select("head", "part", "h", "sim", "line")
-    checked = cut(pairs.map_groups(checked, ["head", "part"], _follow, "h long, head long, linked boolean"))
-    links = checked.where("linked").select(F.col("h").alias("src"), F.col("head").alias("dst"))
+    rows = dealt.join(lines, F.col("h") == F.col("lh")).select("head", "part", "h", "sim", "line")
+    return cut(pairs.map_groups(rows, ["head", "part"], _follow, "h long, head long, linked boolean"))
 
+
+def line_links(met: DataFrame, lines: DataFrame) -> DataFrame:
+    """(src, dst): links that connect the similar nodes of `met`; `lines` are candidate_lines."""
+    checked = head_checks(met, lines)
+    links = checked.where("linked").select(F.col("h").alias("src"), F.col("head").alias("dst"))
     verdict = checked.select(F.col("h").alias("vh"), F.col("head").alias("vhead"), "linked")
     judged = met.join(verdict, (F.col("h") == F.col("vh")) & (F.col("head") == F.col("vhead"))).select("key", "h", "head", "linked")
     # Keys with the same nodes are one. A failed node meets all nodes of the key but the head; a key with one node besides has none.
@@ -374,19 +394,29 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, t, removed), t the xxhash64 of the text: for each document that loses lines, array of (line, first_doc, first_line) in line order.
 
     line counts from 0 at the \\n-separated lines; (first_doc, first_line) is the occurrence of its group that stays. Rows
-    without doc_id are left out; of rows that share a doc_id, equal texts count as one and others as documents of their own.
+    without doc_id are left out; of rows that share a doc_id, equal texts count as one and others as documents of their own
+    (if these share their first line of a group, either may keep it).
     """
     texts = plain(docs).where("doc_id is not null").withColumn("t", F.xxhash64("text"))
-    lines = cut(texts.mapInArrow(_lines, "doc_id long, t long, pos int, h long, keys array<long>"))
-    first = F.min(F.struct("doc_id", "pos", "t")).alias("first")
-    nodes = cut(lines.groupBy("h").agg(first, F.count(F.lit(1)).alias("times")))
-    groups = components(line_links(lines, nodes, texts))
-    linked = nodes.select("h", "first").join(groups, F.col("h") == F.col("node"))
+    lines = cut(texts.mapInArrow(_lines, "doc_id long, t long, pos int, h long, place long, keys array<long>"))
+    # Plain longs only, so that the aggregation hashes and combines before the shuffle.
+    nodes = lines.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", F.when(F.col("place").isNotNull(), F.col("doc_id"))).alias("place"), F.count(F.lit(1)).alias("times"))
+    nodes = cut(nodes)
+    met = meetings(lines)
+    release(docs.sparkSession)
+    candidates = candidate_lines(met, nodes, texts)
+    release(docs.sparkSession)
+    groups = components(line_links(met, candidates))
+    first = F.struct("doc_id", F.shiftright("place", 32).cast("int").alias("pos"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("t32")).alias("first")
+    nodes = nodes.select("h", first, "times")
+    linked = nodes.select("h", "first").join(groups.hint("shuffle_hash"), F.col("h") == F.col("node"))
     least = linked.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("keep"))
     linked = linked.join(least, F.col("component") == F.col("c")).select(F.col("node").alias("lh"), "keep")
-    again = nodes.select("h", "first", "times").join(linked, F.col("h") == F.col("lh"), "left").where("times > 1 or keep is not null")
+    again = nodes.join(linked.hint("shuffle_hash"), F.col("h") == F.col("lh"), "left").where("times > 1 or keep is not null")
     again = cut(again.select(F.col("h").alias("rh"), F.coalesce("keep", "first").alias("keep")))
-    hits = lines.select("doc_id", "t", "pos", "h").join(small_side(again), F.col("h") == F.col("rh")).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("pos") != F.col("keep.pos")) | (F.col("t") != F.col("keep.t")))
+    release(docs.sparkSession)
+    hits = lines.select("doc_id", "t", "pos", "h").join(small_side(again).hint("shuffle_hash"), F.col("h") == F.col("rh"))
+    hits = hits.where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("pos") != F.col("keep.pos")) | (F.col("t").bitwiseAND(0xFFFFFFFF) != F.col("keep.t32")))
     gone = F.struct(F.col("pos").alias("line"), F.col("keep.doc_id").alias("first_doc"), F.col("keep.pos").alias("first_line"))
     return hits.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(gone)).alias("removed"))
 
