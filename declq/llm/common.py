@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 from itertools import chain
 
@@ -38,9 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Have the context delete shuffle files and checkpoints of frames that nothing refers to any more.
 
-    It does so when the driver's JVM collects its garbage, which a large heap may put off until the disks are full.
+    It does so when the driver's JVM collects its garbage, which a large heap may put off until the disks are full. Python's
+    bridge tells the JVM which objects it dropped about once a second, hence the pause.
     """
     gc.collect()
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
 
 

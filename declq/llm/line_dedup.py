@@ -23,13 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from declq.llm import pairs
 from declq.llm.common import SIMILARITY, components, cut, free_names, mix, plain, release, slices, small_side, split_words
 
-DISTANCE = 24
+DISTANCE = 20
 #: Bytes of a letter gram; characters of a short line; MinHash values of a key; keys of letter grams and of word pairs.
 GRAM, SHORT, VALUES, GRAM_KEYS, PAIR_KEYS = 5, 80, 3, 14, 8
 #: Nodes that meet one head in a task; in the grid, failed nodes and other nodes of a key that meet in a task.
@@ -143,9 +143,10 @@ def hash_lines(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, t) to a row (doc_id, t, pos, h, place, keys) for every line with a word.
+    """Rows (doc_id, text, t) to a row (doc_id, place, h, keys) for every line with a word.
 
-    place, the line number and 32 bits of t, comes with a line's first row of a document; join keys with its first in a task.
+    place is the line number and 32 bits of t, its sign bit set where the document has the line before. Join keys come with a
+    line's first row in a task.
     """
     seen: set[int] = set()
     for batch in batches:
@@ -171,9 +172,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((pos, whole, row))
             leads = np.ones(len(has), bool)
             leads[order[1:]] = (whole[order[1:]] != whole[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
-            place = pa.array(pos << 32 | t.to_numpy() & 0xFFFFFFFF, mask=~leads)
-            columns = [pa.array(pos.astype(np.int32)), pa.array(whole), place, pa.ListArray.from_arrays(runs, pa.array(keys))]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), t, *columns], ["doc_id", "t", "pos", "h", "place", "keys"])
+            place = pos << 32 | t.to_numpy() & 0xFFFFFFFF | np.where(leads, 0, np.int64(-(2**63)))
+            columns = [pa.array(place), pa.array(whole), pa.ListArray.from_arrays(runs, pa.array(keys))]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *columns], ["doc_id", "place", "h", "keys"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,6 +348,14 @@ def _meet(group: dict[str, list]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
+def _t32(c: Column | str) -> Column:
+    return F.col(c).bitwiseAND(0xFFFFFFFF) if isinstance(c, str) else c.bitwiseAND(0xFFFFFFFF)
+
+
+def _pos(c: str) -> Column:
+    return F.shiftright(F.col(c).bitwiseAND(2**63 - 1), 32).cast("int")
+
+
 def meetings(lines: DataFrame) -> DataFrame:
     """(key, h, head) of the nodes of `lines` (h, keys) that share a key with another: head is the least node of the key."""
     keyed = lines.select(F.explode("keys").alias("key"), "h")
@@ -357,8 +366,8 @@ def meetings(lines: DataFrame) -> DataFrame:
 def candidate_lines(met: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(lh, sim, line) of the nodes of `met`, read where `nodes` (h, doc_id, place) found them, from `texts` (doc_id, text, t)."""
     wanted = nodes.join(met.select(F.col("h").alias("w")).distinct().hint("shuffle_hash"), F.col("h") == F.col("w"), "left_semi")
-    wanted = wanted.groupBy(F.col("doc_id").alias("at_doc"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at_t")).agg(F.collect_set(F.shiftright("place", 32).cast("int")).alias("wanted"))
-    fetched = texts.join(small_side(cut(wanted)), (F.col("doc_id") == F.col("at_doc")) & (F.col("t").bitwiseAND(0xFFFFFFFF) == F.col("at_t"))).select("text", "wanted")
+    wanted = wanted.groupBy(F.col("doc_id").alias("at_doc"), _t32("place").alias("at_t")).agg(F.collect_set(_pos("place")).alias("wanted"))
+    fetched = texts.join(small_side(cut(wanted)), (F.col("doc_id") == F.col("at_doc")) & (_t32("t") == F.col("at_t"))).select("text", "wanted")
     return cut(fetched.mapInArrow(_fetch, "h long, sim long, line string").toDF("lh", "sim", "line"))
 
 
@@ -391,23 +400,23 @@ def line_links(met: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, removed), t the xxhash64 of the text: for each document that loses lines, array of (line, first_doc, first_line) in line order.
+    """(doc_id, t32, removed), t32 the low half of the text's xxhash64: for each document that loses lines, array of (line, first_doc, first_line) in line order.
 
     line counts from 0 at the \\n-separated lines; (first_doc, first_line) is the occurrence of its group that stays. Rows
     without doc_id are left out; of rows that share a doc_id, equal texts count as one and others as documents of their own
     (if these share their first line of a group, either may keep it).
     """
     texts = plain(docs).where("doc_id is not null").withColumn("t", F.xxhash64("text"))
-    lines = cut(texts.mapInArrow(_lines, "doc_id long, t long, pos int, h long, place long, keys array<long>"))
+    lines = cut(texts.mapInArrow(_lines, "doc_id long, place long, h long, keys array<long>"))
     # Plain longs only, so that the aggregation hashes and combines before the shuffle.
-    nodes = lines.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", F.when(F.col("place").isNotNull(), F.col("doc_id"))).alias("place"), F.count(F.lit(1)).alias("times"))
+    nodes = lines.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", F.when(F.col("place") >= 0, F.col("doc_id"))).alias("place"), F.count(F.lit(1)).alias("times"))
     nodes = cut(nodes)
     met = meetings(lines)
     release(docs.sparkSession)
     candidates = candidate_lines(met, nodes, texts)
     release(docs.sparkSession)
     groups = components(line_links(met, candidates))
-    first = F.struct("doc_id", F.shiftright("place", 32).cast("int").alias("pos"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("t32")).alias("first")
+    first = F.struct("doc_id", "place").alias("first")
     nodes = nodes.select("h", first, "times")
     linked = nodes.select("h", "first").join(groups.hint("shuffle_hash"), F.col("h") == F.col("node"))
     least = linked.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("keep"))
@@ -415,10 +424,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     again = nodes.join(linked.hint("shuffle_hash"), F.col("h") == F.col("lh"), "left").where("times > 1 or keep is not null")
     again = cut(again.select(F.col("h").alias("rh"), F.coalesce("keep", "first").alias("keep")))
     release(docs.sparkSession)
-    hits = lines.select("doc_id", "t", "pos", "h").join(small_side(again).hint("shuffle_hash"), F.col("h") == F.col("rh"))
-    hits = hits.where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("pos") != F.col("keep.pos")) | (F.col("t").bitwiseAND(0xFFFFFFFF) != F.col("keep.t32")))
-    gone = F.struct(F.col("pos").alias("line"), F.col("keep.doc_id").alias("first_doc"), F.col("keep.pos").alias("first_line"))
-    return hits.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(gone)).alias("removed"))
+    hits = lines.select("doc_id", "place", "h").join(small_side(again).hint("shuffle_hash"), F.col("h") == F.col("rh"))
+    hits = hits.where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("place") != F.col("keep.place")))
+    gone = F.struct(_pos("place").alias("line"), F.col("keep.doc_id").alias("first_doc"), _pos("keep.place").alias("first_line"))
+    return hits.groupBy("doc_id", _t32("place").alias("t32")).agg(F.sort_array(F.collect_set(gone)).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -430,7 +439,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("removed")
     gone_id, gone_t, removed, lines = free_names(docs, "gone_id", "gone_t", "gone", "lines")
     gone = removed_lines(docs).toDF(gone_id, gone_t, removed)
-    joined = docs.join(gone, (docs["doc_id"].cast("long") == F.col(gone_id)) & (F.xxhash64(docs["text"].cast("string")) == F.col(gone_t)), "left")
+    joined = docs.join(gone, (docs["doc_id"].cast("long") == F.col(gone_id)) & (_t32(F.xxhash64(docs["text"].cast("string"))) == F.col(gone_t)), "left")
     joined = joined.withColumn(lines, F.when(F.col(removed).isNotNull(), F.split("text", "\n")))
     # What stays are the runs of lines between removed ones.
     lost = lambda j: F.get(F.col(removed), j)["line"]
