@@ -17,8 +17,9 @@ from declq.llm.common import slices
 
 #: Texts above so many characters are cut at safe places before they are encoded.
 PIECE_CHARS = 1 << 16
-#: A match of the splitting pattern never crosses from a letter or digit to ASCII white space, so a cut there is safe.
-SAFE_CUT = re.compile(r"(?<=[0-9A-Za-z])(?=[ \n])")
+#: A match of the splitting pattern never crosses from a letter or digit to white space or a punctuation mark, so a cut there
+#: is safe. Only characters that every Unicode version sorts alike: Latin, Cyrillic, kana, Han, Hangul.
+SAFE_CUT = re.compile("(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])(?=[ \n.,;:!?\u3001\u3002\uff0c\uff01\uff1f])")
 
 
 @lru_cache(maxsize=4)

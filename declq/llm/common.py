@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -13,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from declq.checkpoint import cut, ensure_checkpoint_dir
+
+__all__ = ["cut", "ensure_checkpoint_dir"]  # used by the operators, besides what follows
+
 #: ASCII white space that separates words, as a regular expression (a fixed value of the contracts).
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
 SHINGLE = 5
@@ -23,28 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's spark.checkpoint.dir; a temporary folder serves only where none is set (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="declq-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from there; the context drops the files once unused."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Have the context delete shuffle files and checkpoints of frames that nothing refers to any more.
 
     It does so when the driver's JVM collects its garbage, which a large heap may put off until the disks are full. Python's
-    bridge tells the JVM which objects it dropped about once a second, hence the pause.
+    bridge tells the JVM which objects it dropped about once a second, and events that name them are still on their way; hence
+    the pauses and the second round.
     """
-    gc.collect()
-    time.sleep(1.5)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.2)
+        spark.sparkContext._jvm.System.gc()
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -147,6 +139,21 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df  # a limit before the count would gather its rows in one task
 
 
+def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with all columns but the needed ones under names that no operator uses, and a function that names them back.
+
+    That puts the columns of `docs` first, in their order, and columns that were added after them.
+    """
+    names = docs.columns
+    hidden = [n if n in needed else f"column {i} of the input" for i, n in enumerate(names)]
+
+    def back(out: DataFrame) -> DataFrame:
+        added = [c for c in out.columns if c not in hidden]
+        return out.select(*[F.col(f"`{h}`").alias(n) for h, n in zip(hidden, names)], *added)
+
+    return docs.toDF(*hidden), back
+
+
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """`docs` without the rows whose doc_id is in `ids` (one column, doc_id). Null ids in `docs` stay."""
     (name,) = free_names(docs, "gone")

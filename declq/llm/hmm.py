@@ -188,41 +188,73 @@ def _emissions(model: Model, classes: np.ndarray, kind: type) -> np.ndarray:
     return out
 
 
-def forward(model: Model, classes: np.ndarray, lens: np.ndarray, kind: type = np.float64, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward recursion over a batch: log10 likelihoods; states' shares (with `keep`), scales and emissions by time."""
+def stretches(classes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of steps with BATCH_TOKENS cells at most: what is held of a batch at once, however long its texts are."""
     steps, n = classes.shape
-    running = (lens[None, :] > np.arange(steps)[:, None]).sum(1).tolist()
+    size = max(1, BATCH_TOKENS // max(n, 1))
+    return [(lo, min(lo + size, steps)) for lo in range(0, steps, size)]
+
+
+def _stretch(model: Model, classes: np.ndarray, lens: np.ndarray, lo: int, now: np.ndarray | None, kind: type, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forward over the steps of `classes`, the first of which is step `lo` of the texts, from the shares `now` of the step before.
+
+    The shares after the last step, and by step the shares (with `keep`), scales and emissions.
+    """
+    steps, n = classes.shape
+    running = (lens[None, :] > np.arange(lo, lo + steps)[:, None]).sum(1).tolist()
     seen = _emissions(model, classes, kind)
-    alphas = np.zeros((steps, STATES, n), kind) if keep else np.zeros((0, STATES, n), kind)
-    scales = np.ones((steps, n), kind)
-    move, now = np.ascontiguousarray(model.move.T, kind), np.tile(model.start.astype(kind)[:, None], (1, n))
+    alphas, scales = np.zeros((steps if keep else 0, STATES, n), kind), np.ones((steps, n), kind)
+    move = np.ascontiguousarray(model.move.T, kind)
     for t, m in enumerate(running):
-        now = (move @ now[:, :m] if t else now[:, :m]) * seen[t, :, :m]
+        now = (np.tile(model.start.astype(kind)[:, None], (1, m)) if now is None else move @ now[:, :m]) * seen[t, :, :m]
         scale = now.sum(0)
         now /= scale
         scales[t, :m] = scale
         if keep:
             alphas[t, :, :m] = now
-    return np.log10(scales).sum(0, dtype=np.float64), alphas, scales, seen
+    return now, alphas, scales, seen
+
+
+def forward(model: Model, classes: np.ndarray, lens: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """Scaled forward recursion over a batch: the exact log10 likelihoods of its texts."""
+    now, total = None, np.zeros(classes.shape[1])
+    for lo, hi in stretches(classes):
+        now, _, scales, _ = _stretch(model, classes[lo:hi], lens, lo, now, kind, False)
+        total += np.log10(scales).sum(0, dtype=np.float64)
+    return total
 
 
 def expected_counts(model: Model, classes: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of a batch (forward-backward in single precision, sums over texts in double)."""
-    steps, n = classes.shape
-    _, gamma, scales, seen = forward(model, classes, lens, np.float32, keep=True)
-    running = (lens[None, :] > np.arange(steps)[:, None]).sum(1).tolist()
-    seen /= scales[:, None, :]
+    """Expected starts, moves and emissions of a batch (forward-backward in single precision, sums over texts in double).
+
+    Of texts that are longer than a stretch, the shares before each are kept and the shares inside are worked out again on
+    the way back, so memory does not grow with the length of a text but for those few.
+    """
+    n = classes.shape[1]
+    runs = stretches(classes)
+    before: list[np.ndarray | None] = [None]
+    for lo, hi in runs[:-1]:
+        before.append(_stretch(model, classes[lo:hi], lens, lo, before[-1], np.float32, False)[0])
     move, moves, back = model.move.astype(np.float32), np.zeros((STATES, STATES)), np.ones((STATES, n), np.float32)
-    for t in range(steps - 1, -1, -1):
-        m = running[t]
-        ahead = back[:, :m] * seen[t, :, :m]
-        if t:
-            moves += gamma[t - 1, :, :m] @ ahead.T  # still the forward shares: t - 1 is turned into gamma next
-        gamma[t, :, :m] *= back[:, :m]
-        back[:, :m] = move @ ahead
-    flat = classes.ravel().astype(np.int64)  # padding has gamma 0
-    emit = np.stack([np.bincount(flat, gamma[:, k].ravel(), N_CLASSES) for k in range(STATES)], 1)
-    return gamma[0].sum(1, dtype=np.float64), moves * model.move, emit
+    starts, emit = np.zeros(STATES), np.zeros((N_CLASSES, STATES))
+    for (lo, hi), entry in zip(reversed(runs), reversed(before)):
+        _, gamma, scales, seen = _stretch(model, classes[lo:hi], lens, lo, entry, np.float32, True)
+        running = (lens[None, :] > np.arange(lo, hi)[:, None]).sum(1).tolist()
+        seen /= scales[:, None, :]
+        for t in range(hi - lo - 1, -1, -1):
+            m = running[t]
+            ahead = back[:, :m] * seen[t, :, :m]
+            if t:
+                moves += gamma[t - 1, :, :m] @ ahead.T  # still the forward shares: t - 1 is turned into gamma next
+            elif entry is not None:
+                moves += entry[:, :m] @ ahead.T
+            gamma[t, :, :m] *= back[:, :m]
+            back[:, :m] = move @ ahead
+        flat = classes[lo:hi].ravel().astype(np.int64)  # padding has gamma 0
+        emit += np.stack([np.bincount(flat, gamma[:, k].ravel(), N_CLASSES) for k in range(STATES)], 1)
+        if lo == 0:
+            starts = gamma[0].sum(1, dtype=np.float64)
+    return starts, moves * model.move, emit
 
 
 def _streams(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
@@ -255,7 +287,7 @@ def _score(model):
             score = np.zeros(len(streams))
             for lo in range(0, len(streams), 20_000):
                 for some, classes, lens in batches_of(streams[lo : lo + 20_000]):
-                    score[lo + some] = forward(hmm, classes, lens)[0]
+                    score[lo + some] = forward(hmm, classes, lens)
             inside = np.array([log_size[s].sum() for s in streams])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array([len(s) for s in streams], np.int64)), pa.array(score - inside)], ["row", "n_tokens", "class_score"])
 

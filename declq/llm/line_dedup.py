@@ -34,6 +34,8 @@ DISTANCE = 20
 GRAM, SHORT, VALUES, GRAM_KEYS, PAIR_KEYS = 5, 80, 3, 14, 8
 #: Nodes that meet one head in a task; in the grid, failed nodes and other nodes of a key that meet in a task.
 FOLLOWERS, FAILED, OTHERS = 4096, 256, 4096
+#: Bytes of a brief word.
+BRIEF = 3
 #: Characters of two gaps between shared words whose edit distance is worked out for the upper bound.
 GAP = 200
 #: Characters of the lines that are compared with one line at once.
@@ -105,7 +107,25 @@ def normal(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
-def line_keys(lines: list[bytes], hashed: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_pairs(hashed: np.ndarray, brief: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs of neighbouring words of each line, and where each line's begin.
+
+    Pairs of two `brief` words are in most lines of a language and tell nothing apart: they count only in a line without others.
+    A line of one word has that word.
+    """
+    count = np.maximum(lens - 1, 1)
+    at = np.cumsum(count) - count
+    here = np.repeat(starts - at, count) + np.arange(count.sum())
+    after = np.minimum(here + 1, len(hashed) - 1)
+    pair = mix(hashed[here] * np.uint64(31) + hashed[after] * np.repeat(lens > 1, count))
+    telling = ~(brief[here] & brief[after])
+    left = np.add.reduceat(telling, at)
+    telling |= np.repeat(left == 0, count)
+    left = np.where(left == 0, count, left)
+    return pair[telling], np.cumsum(left) - left
+
+
+def line_keys(lines: list[bytes], hashed: np.ndarray, brief: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of lines, whose word hashes are runs of `hashed`, and the line of each key, in order."""
     tidy = [normal(x) if n <= SHORT // 2 else b"" for x, n in zip(lines, lens)]  # more words alone are more than SHORT characters
     chars = np.fromiter((len(x) if x.isascii() else len(x.decode(errors="replace")) for x in tidy), np.int64, len(tidy))
@@ -117,10 +137,7 @@ def line_keys(lines: list[bytes], hashed: np.ndarray, starts: np.ndarray, lens:
         keys.append(_least(grams, at, 0, GRAM_KEYS).ravel())
         of.append(np.repeat(short, GRAM_KEYS))
     if len(long):
-        count = np.maximum(lens[long] - 1, 1)  # a line of one word has that word
-        at = np.cumsum(count) - count
-        here = np.repeat(starts[long] - at, count) + np.arange(count.sum())
-        pair = mix(hashed[here] * np.uint64(31) + hashed[np.minimum(here + 1, len(hashed) - 1)] * np.repeat(lens[long] > 1, count))
+        pair, at = word_pairs(hashed, brief, starts[long], lens[long])
         keys.append(_least(pair, at, GRAM_KEYS, PAIR_KEYS).ravel())
         of.append(np.repeat(long, PAIR_KEYS))
     keys, of = np.concatenate(keys), np.concatenate(of)
@@ -128,18 +145,22 @@ def line_keys(lines: list[bytes], hashed: np.ndarray, starts: np.ndarray, lens:
     return keys[order], of[order]
 
 
-def hash_lines(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Indexes of the lines with a word and their 64-bit hashes (in word order); all word hashes, where each such line's begin, their numbers."""
+def hash_lines(lines: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Indexes of the lines with a word and their 64-bit hashes (in word order).
+
+    Of all words the hashes and whether they are brief; where each such line's begin, and their numbers.
+    """
     words, ends = split_words([x.lower() for x in lines])
     lens = np.diff(ends)
     has = np.flatnonzero(lens)
     hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    brief = np.fromiter(map(len, words), np.int64, len(words)) <= BRIEF
     starts, lens = ends[:-1][has], lens[has]
     if not len(has):
-        return has, np.zeros(0, np.int64), hashed, starts, lens
+        return has, np.zeros(0, np.int64), hashed, brief, starts, lens
     place = np.arange(len(words)) - np.repeat(starts, lens)
     whole = np.add.reduceat(mix(hashed + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts)
-    return has, whole.view(np.int64), hashed, starts, lens
+    return has, whole.view(np.int64), hashed, brief, starts, lens
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +175,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             split = [t.split(b"\n") for t in texts]
             count = np.fromiter(map(len, split), np.int64, len(split))
             every = [x for lines in split for x in lines]
-            has, whole, hashed, starts, lens = hash_lines(every)
+            has, whole, hashed, brief, starts, lens = hash_lines(every)
             row = np.repeat(np.arange(len(split)), count)[has]
             pos = has - (np.cumsum(count) - count)[row]
             if len(seen) > SEEN:
@@ -166,7 +187,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known += 1
                     new.append(i)
             new = np.array(new, np.int64)
-            keys, of = line_keys([every[i] for i in has[new]], hashed, starts[new], lens[new])
+            keys, of = line_keys([every[i] for i in has[new]], hashed, brief, starts[new], lens[new])
             runs = np.searchsorted(new[of], np.arange(len(has) + 1)).astype(np.int32)
             t = part.column(2).take(pa.array(row))
             order = np.lexsort((pos, whole, row))
@@ -182,7 +203,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in slices(batch, "text", 2 << 20):
             lines = [normal(of[i]) for of, wanted in zip((t.split(b"\n") for t in texts), part.column(1).to_pylist()) for i in wanted]
-            _, whole, _, _, _ = hash_lines(lines)
+            whole = hash_lines(lines)[1]
             yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(line_simhashes(lines)), pa.array(lines, pa.binary()).cast(pa.string())], ["h", "sim", "line"])
 
 

@@ -52,14 +52,48 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+class Patience:
+    """One rule for samples of any size: pass over them until the loss on the calibration slice has not fallen for a while."""
+
+    def __init__(self, most: int, wait: int = 2):
+        self.most, self.wait, self.passes, self.since, self.best, self.kept = most, wait, 0, 0, np.inf, None
+
+    def goes_on(self, logits: np.ndarray, y: np.ndarray, parameters: list[np.ndarray]) -> bool:
+        """Note the loss after a pass (both classes weigh the same); the parameters of the best pass are kept."""
+        p = sigmoid(logits.astype(np.float64))
+        loss = -sum(np.log(np.maximum(p[y == k] if k else 1 - p[y == k], 1e-9)).mean() for k in (0, 1) if (y == k).any())
+        self.passes, self.since = self.passes + 1, self.since + 1
+        if loss < self.best - 1e-4:
+            self.best, self.since, self.kept = loss, 0, [x.copy() for x in parameters]
+        return self.since < self.wait and self.passes < self.most
+
+    def restore(self, parameters: list[np.ndarray]) -> None:
+        for x, kept in zip(parameters, self.kept or []):
+            x[...] = kept
+
+
+def best_f1_cut(logits: np.ndarray, y: np.ndarray) -> float:
+    """The logit of greatest F1 for class 1, which a rare class does not buy with many false alarms; the middle of the widest such gap."""
+    order = np.argsort(logits, kind="stable")
+    x, t = logits[order], y[order]
+    hits = t.sum() - np.concatenate([[0], np.cumsum(t)])
+    flagged = len(t) - np.arange(len(t) + 1)
+    return _middle(x, 2 * hits / np.maximum(flagged + t.sum(), 1))
+
+
 def best_cut(logits: np.ndarray, y: np.ndarray) -> float:
-    """The logit that best tells the classes apart (balanced accuracy); the middle between the neighbours of the best gap."""
+    """The logit that best tells the classes apart (balanced accuracy); the middle of the widest such gap."""
     order = np.argsort(logits, kind="stable")
     x, t = logits[order], y[order]
     pos, neg = max(t.sum(), 1), max((1 - t).sum(), 1)
     below = np.concatenate([[0], np.cumsum(1 - t)]) / neg + 1 - np.concatenate([[0], np.cumsum(t)]) / pos
+    return _middle(x, below)
+
+
+def _middle(x: np.ndarray, worth: np.ndarray) -> float:
+    """Of the cuts between sorted logits (and beyond both ends) that are worth most, the middle of the widest gap."""
     edges = np.concatenate([[x[0] - 2], (x[1:] + x[:-1]) / 2, [x[-1] + 2]])
-    good = np.flatnonzero(below >= below.max() - 1e-9)
+    good = np.flatnonzero(worth >= worth.max() - 1e-9)
     gaps = np.concatenate([[0], np.diff(x), [0]])
     return float(edges[good[np.argmax(gaps[good])]])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from declq.llm.common import SPACE_RE, cut
+from declq.llm.common import SPACE_RE, aside, cut
 
 #: Fixed values of the base rules: symbols, window length, least words, greatest percentage of repeated words.
 SYMBOLS = "#*$%&|<>"
@@ -111,6 +111,7 @@ def line_frequency_filter(docs: DataFrame, most_docs: int = MOST_DOCS_PER_HOST,
     texts (kept false) and repeated rows. Columns that a query doesn't use are pruned, so without clean_text no text moves.
     """
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "depleted", "kept", "clean_text")
+    docs, back = aside(docs, "doc_id", "text", "source")
     lines = line_table(docs)
     salted = frequent_lines(lines, most_docs).select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = lines.withColumn("_salt", F.pmod(F.xxhash64("_id", "_key"), F.lit(SALTS)).cast("int"))
@@ -126,4 +127,4 @@ def line_frequency_filter(docs: DataFrame, most_docs: int = MOST_DOCS_PER_HOST,
     joined = joined.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
     is_bad = lambda x: F.array_contains("_bad", F.xxhash64(line_words(x)))
     clean = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x: ~is_bad(x)), "\n"))
-    return joined.withColumn("clean_text", clean).drop("_row_host", "_row_id", "_row_key", "_host", "_id", "_key", "_gone", "_bad")
+    return back(joined.withColumn("clean_text", clean).drop("_row_host", "_row_id", "_row_key", "_host", "_id", "_key", "_gone", "_bad"))

@@ -19,7 +19,9 @@ from declq.llm.common import held_out
 BITS, DIM, FILTERS, WIDTHS = 18, 16, 16, (1, 2, 3)
 #: A bucket gets an embedding if so many texts of the sample use it; all others are zero, so chance words can't be learned.
 LEAST_TEXTS = 4
-EPOCHS, BATCH, RATE, SEED = 6, 32, 0.05, 11
+EPOCHS, BATCH, RATE, SEED = 24, 32, 0.05, 11
+#: Positions whose filter outputs are held at once.
+STRETCH = 1 << 18
 #: Least validation rows of each class for a language to get its own threshold; else the common one holds.
 CALIBRATION_ROWS = 15
 #: Frequent function words of each language.
@@ -67,15 +69,30 @@ class ConvNet:
         ids[np.arange(len(x.ids)) + np.repeat(np.arange(len(lens)) * pad, lens)] = x.ids
         return ids, starts
 
-    def responses(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
-        """Filter outputs at every position but the last few: taps are applied to distinct words once, then looked up."""
-        w = WIDTHS[k]
-        n = len(ids) - max(WIDTHS) + 1
-        total = (vectors @ self.taps[k][0])[ids[:n]]
-        for j in range(1, w):
-            total += (vectors @ self.taps[k][j])[ids[j : n + j]]
+    def tapped(self, vectors: np.ndarray, k: int) -> list[np.ndarray]:
+        """Each tap of a filter width applied to the distinct words, once."""
+        return [vectors @ tap for tap in self.taps[k]]
+
+    def responses(self, ids: np.ndarray, tapped: list[np.ndarray], lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Filter outputs at the positions lo to hi (all but the last few, without hi)."""
+        hi = len(ids) - max(WIDTHS) + 1 if hi is None else hi
+        total = tapped[0][ids[lo:hi]]
+        for j in range(1, len(tapped)):
+            total += tapped[j][ids[lo + j : hi + j]]
         return total
 
+    def pooled(self, ids: np.ndarray, starts: np.ndarray, valid: np.ndarray, tapped: list[np.ndarray]) -> np.ndarray:
+        """The greatest output of every filter over each text, a stretch of positions at a time, so a long text needs no more memory."""
+        out = np.full((len(starts), FILTERS), -np.inf, np.float32)
+        for lo in range(0, len(valid), STRETCH):
+            hi = min(lo + STRETCH, len(valid))
+            r = self.responses(ids, tapped, lo, hi)
+            r[~valid[lo:hi]] = -np.inf
+            first, last = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi, "left")
+            top = np.maximum.reduceat(r, np.maximum(starts[first:last], lo) - lo, axis=0)
+            out[first:last] = np.maximum(out[first:last], top)
+        return out
+
     def logits(self, texts: list[bytes]) -> np.ndarray:
         """Raw logits of whole texts; an empty text is seen as padding."""
         x = nn.Words([t.lower() for t in texts])
@@ -88,11 +105,7 @@ class ConvNet:
         lens = np.maximum(np.diff(x.ends), 1)
         valid = np.zeros(len(ids) - max(WIDTHS) + 1, bool)
         valid[np.repeat(starts, lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)] = True
-        features = []
-        for k in range(len(WIDTHS)):
-            r = self.responses(ids, vectors, k)
-            r[~valid] = -np.inf
-            features.append(np.maximum.reduceat(r, starts, axis=0))
+        features = [self.pooled(ids, starts, valid, self.tapped(vectors, k)) for k in range(len(WIDTHS))]
         self._language = guess_language(x)
         return np.maximum(np.concatenate(features, 1) + self.bias, 0) @ self.out + self.offset
 
@@ -115,7 +128,7 @@ def guess_language(x: nn.Words) -> np.ndarray:
 
 
 def fit(texts: list[bytes], y: np.ndarray) -> ConvNet | None:
-    """Train on four fifths of the sample and calibrate on the rest; None without rows of both classes."""
+    """Train on four fifths of the sample until the rest stops improving, and calibrate on the rest; None without rows of both classes."""
     if len(y) < 8 or y.min() == y.max():
         return None
     rng = np.random.default_rng(SEED)
@@ -128,14 +141,16 @@ def fit(texts: list[bytes], y: np.ndarray) -> ConvNet | None:
     weight = np.where(y == 1, 0.5 / max(y[rows].mean(), 1e-3), 0.5 / max(1 - y[rows].mean(), 1e-3)).astype(np.float32)
     batches = [(some, nn.Words([lowered[i] for i in some])) for some in np.array_split(rows, max(len(rows) // BATCH, 1))]
     batches = [(some, x, net.rows_of(x.unique)) for some, x in batches]
-    for _ in range(EPOCHS if len(rows) >= 1000 else 4 * EPOCHS):
+    held = np.flatnonzero(check)
+    parameters, patience, more = [net.embedding, net.bias, net.out, net.offset, *net.taps], nn.Patience(EPOCHS), True
+    while more:
         for some, x, at in (batches[i] for i in rng.permutation(len(batches))):
             ids, starts = net.layout(x)
             vectors = net.embed(at)
             lens = np.maximum(np.diff(x.ends), 1)
             places, values = [], []
             for k in range(len(WIDTHS)):
-                r = net.responses(ids, vectors, k)
+                r = net.responses(ids, net.tapped(vectors, k))
                 top = np.stack([s + r[s : s + n].argmax(0) for s, n in zip(starts, lens)])
                 places.append(top)
                 values.append(r[top, np.arange(FILTERS)])
@@ -163,13 +178,17 @@ def fit(texts: list[bytes], y: np.ndarray) -> ConvNet | None:
             state["embedding"][cells] += g_cells * g_cells
             net.embedding[cells] -= RATE * g_cells / (np.sqrt(state["embedding"][cells]) + 1e-6)
             net.embedding[0] = 0
-    held = np.flatnonzero(check)
+        if hasattr(net, "_cache"):
+            del net._cache  # of the vectors before this pass
+        more = patience.goes_on(net.logits([texts[i] for i in held]), y[held], parameters)
+    patience.restore(parameters)
+    del net._cache
     raw = net.logits([texts[i] for i in held])
-    language, common = net._language, nn.best_cut(raw, y[held])
+    language, common = net._language, nn.best_f1_cut(raw, y[held])
     for k in range(len(LANGUAGES) + 1):
         own = language == k
         enough = k < len(LANGUAGES) and min(y[held][own].sum(), (1 - y[held][own]).sum()) >= CALIBRATION_ROWS
-        net.cuts[k] = nn.best_cut(raw[own], y[held][own]) if enough else common
+        net.cuts[k] = nn.best_f1_cut(raw[own], y[held][own]) if enough else common
     del net._cache  # its words need not travel
     return net
 
