@@ -8,7 +8,7 @@ from decimal import Decimal
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +26,11 @@ def widest(*types: str) -> str:
     return max(types, key=WIDTHS.index)
 
 
-def arith(op: str, a: Column, b: Column, types: tuple[str, str] = ("int", "int")) -> Column:
-    """+ - * / % in the wider type; integer / and % truncate toward zero; a zero divisor gives null (no error in ANSI mode)."""
+def arith(op: str, a: Column, b: Column, types: tuple[str, str]) -> Column:
+    """+ - * / % in the wider type; integer / and % truncate toward zero; a zero divisor gives null (no error in ANSI mode).
+
+    The types must be those of the columns (see arith_in, which takes them from a frame).
+    """
     to = widest(*types)
     a, b = a.cast(to), b.cast(to)
     if op in "+-*":
@@ -40,6 +43,36 @@ def arith(op: str, a: Column, b: Column, types: tuple[str, str] = ("int", "int")
     return whole.cast(to)
 
 
+def types_in(df: DataFrame, *columns: Column) -> tuple[str, ...]:
+    """Names of the columns' types; one that is no number is an error."""
+    kinds = [f.dataType for f in df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).schema.fields]
+    for k in kinds:
+        if not isinstance(k, (T.NumericType, T.NullType)):
+            raise TypeError(f"a number is needed, not {k.simpleString()}")
+    return tuple("int" if isinstance(k, T.NullType) else "double" if isinstance(k, T.DecimalType) else k.simpleString() for k in kinds)
+
+
+def arith_in(df: DataFrame, op: str, a: Column, b: Column) -> Column:
+    """arith with the types that the columns have in `df`."""
+    return arith(op, a, b, types_in(df, a, b))  # type: ignore[arg-type]
+
+
+def minus(c: Column) -> Column:
+    """Unary minus; the least integer has no negative and gives null."""
+    return F.try_subtract(F.lit(0), c)
+
+
+def ordered_in(df: DataFrame, op: str, a: Column, b: Column) -> Column:
+    """< <= > >= of numbers; another type is an error, null is false."""
+    types_in(df, a, b)
+    return F.coalesce({"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op], F.lit(False))
+
+
+def instance_of(c: Column, kind: str) -> Column:
+    """Whether a value that is not null has this Spark type."""
+    return c.isNotNull() & (F.typeof(c) == kind)
+
+
 def saturate(c: Column, to: str = "int") -> Column:
     """Narrowing as the reference language does it: NaN is 0, out of range is the nearest bound."""
     low, high = {"int": (-(2**31), 2**31 - 1), "bigint": (-(2**63), 2**63 - 1)}[to]

@@ -6,34 +6,27 @@ the greedy cut, which works on the few edges of the cycles that were found.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from declq.checkpoint import cut
+
 #: Weight of an edge by its kind (fixed values), and what each further user of the target adds.
 KIND_WEIGHTS = {"FIELD": 1.0, "SETTER": 2.0, "CONSTRUCTOR": 3.0, "BEAN_METHOD": 4.0}
 IN_DEGREE_WEIGHT = 0.5
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="declq-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def reachable(edges: DataFrame, entry: DataFrame) -> DataFrame:
     """(node): entry points and all that can be reached from them. A frontier round joins edges once and drops known nodes."""
     pairs = edges.select("src", "dst").distinct()
-    seen = _cut(entry.select(F.col(entry.columns[0]).alias("node")).where("node is not null").distinct())
+    seen = cut(entry.select(F.col(entry.columns[0]).alias("node")).where("node is not null").distinct())
     frontier = seen
     while True:
         found = pairs.join(frontier, pairs.src == frontier.node).select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(found.join(seen, "node", "left_anti"))
+        frontier = cut(found.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # every frontier is written once and never again
 
 
 def reachable_without(edges: DataFrame, entry: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -43,26 +36,66 @@ def reachable_without(edges: DataFrame, entry: DataFrame, excluded: DataFrame) -
 
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst) for every path of one edge or more, by doubling: rounds grow with the logarithm of the longest path."""
-    paths = _cut(edges.select("src", "dst").distinct())
+    paths = cut(edges.select("src", "dst").distinct())
     size = paths.count()
     while True:
         second = paths.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
         longer = paths.join(second, paths.dst == second.mid).select("src", F.col("far").alias("dst"))
-        paths = _cut(paths.unionByName(longer).distinct())
+        paths = cut(paths.unionByName(longer).distinct())
         now = paths.count()
         if now == size:
             return paths
         size = now
 
 
+def _least_reaching(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node that reaches it along `edges`, itself included."""
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    labels = cut(nodes.withColumn("label", F.col("node")))
+    while True:
+        sent = edges.join(labels, edges.src == labels.node).groupBy(F.col("dst").alias("at")).agg(F.min("label").alias("low"))
+        low = cut(labels.join(sent, labels.node == sent["at"], "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"), (F.col("low") < F.col("label")).alias("moved")))
+        labels = low.select("node", "label")
+        if low.where("moved").isEmpty():
+            return labels
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges that may lie on a cycle: those that start where no edge ends, or end where none starts, go until none is left to go."""
+    left, n = edges, edges.count()
+    while True:
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        left = cut(inner.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        now = left.count()
+        if now == n:
+            return left
+        n = now
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that it reaches and is reached from; nodes of no cycle are their own component."""
-    paths = closure(edges)
-    back = paths.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    mutual = paths.join(back, (paths.src == back.a) & (paths.dst == back.b)).select(F.col("src").alias("node"), F.col("dst").alias("other"))
+    """(node, component): the least node that it reaches and is reached from; nodes of no cycle are their own component.
+
+    Each round labels nodes with the least node that reaches them; from a node that is its own label, those of its label that
+    lead back to it are its component. Found components and all edges that cannot lie on a cycle go before the next round, so
+    nothing grows with the number of paths.
+    """
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    low = mutual.groupBy("node").agg(F.min("other").alias("low"))
-    return nodes.join(low, "node", "left").select("node", F.least("node", F.coalesce("low", "node")).alias("component"))
+    left = _trimmed(cut(edges.select("src", "dst").where("src <> dst").distinct()))
+    found: DataFrame | None = None
+    while not left.isEmpty():
+        labels = _least_reaching(left)
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        inner = cut(left.join(of("src"), "src").join(of("dst"), "dst").where("src_label = dst_label").select("src", "dst", "src_label"))
+        # Nodes of a label all come from its least node; those that lead back to it are the component.
+        back = reachable(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), labels.where("node = label").select("node"))
+        own = cut(labels.join(back, "node", "left_semi").select("node", F.col("label").alias("component")))
+        found = own if found is None else found.unionByName(own)
+        gone = own.select("node")
+        rest = left.join(gone, left.src == gone.node, "left_anti").join(gone, F.col("dst") == gone.node, "left_anti")
+        left = _trimmed(cut(rest))
+    if found is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def cycle_groups(edges: DataFrame) -> DataFrame:
@@ -81,17 +114,17 @@ def elementary_cycles(edges: DataFrame) -> DataFrame:
     Only edges inside a strong component are expanded, and a path never goes below its start, so each cycle is found once.
     Paths are simple, so no round is left after as many as the largest component has nodes.
     """
-    comp = _cut(strong_components(edges))
+    comp = cut(strong_components(edges))
     a, b = comp.select(F.col("node").alias("src"), F.col("component").alias("ca")), comp.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
-    inner = _cut(edges.select("src", "dst").where("src <> dst").distinct().join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst"))
-    paths = _cut(inner.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path")))
+    inner = cut(edges.select("src", "dst").where("src <> dst").distinct().join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst"))
+    paths = cut(inner.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path")))
     found = None
     while not paths.isEmpty():
         step = paths.join(inner, paths.end == inner.src).where("dst >= start")
-        closed = _cut(step.where("dst = start").select(F.col("path").alias("cycle")))
+        closed = cut(step.where("dst = start").select(F.col("path").alias("cycle")))
         if not closed.isEmpty():
             found = closed if found is None else found.unionByName(closed)
-        paths = _cut(step.where("dst <> start").where(~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path")))
+        paths = cut(step.where("dst <> start").where(~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path")))
     return found if found is not None else inner.select(F.array("src", "dst").alias("cycle")).where(F.lit(False))
 
 
@@ -127,8 +160,8 @@ def greedy_cut(edges: DataFrame) -> DataFrame:
 
     Each step is a grouped aggregate over the cycles that are left; one chosen edge a step comes to the driver.
     """
-    weights = _cut(edge_weights(edges).groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    left = _cut(cycle_edges(elementary_cycles(edges)))
+    weights = cut(edge_weights(edges).groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+    left = cut(cycle_edges(elementary_cycles(edges)))
     chosen: list[tuple[int, str, str]] = []
     while True:
         ranked = left.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).join(weights, ["src", "dst"])
@@ -137,12 +170,19 @@ def greedy_cut(edges: DataFrame) -> DataFrame:
             return edges.sparkSession.createDataFrame(chosen, "step int, src string, dst string")
         chosen.append((len(chosen) + 1, best["src"], best["dst"]))
         hit = left.where((F.col("src") == best["src"]) & (F.col("dst") == best["dst"])).select("cycle")
-        left = _cut(left.join(hit, "cycle", "left_anti"))
+        left = cut(left.join(hit, "cycle", "left_anti"))
 
 
-def used_before_ready(usages: DataFrame, injected: DataFrame) -> DataFrame:
-    """(bean, field): fields of cyclic beans that a post-construct method uses; usages (bean, field), injected (bean, field, target)."""
-    return usages.join(injected, ["bean", "field"]).select("bean", "field", "target").distinct()
+def used_before_ready(usages: DataFrame, injected: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(bean, field, target): injected fields that a post-construct method uses; usages (bean, field), injected (bean, field, target).
+
+    With the edges of the bean graph only beans that lie on a cycle count.
+    """
+    used = usages.join(injected, ["bean", "field"]).select("bean", "field", "target").distinct()
+    if edges is None:
+        return used
+    groups = cycle_groups(edges).select(F.explode("nodes").alias("bean"))
+    return used.join(groups, "bean", "left_semi")
 
 
 def references_to(members: DataFrame, type_name: str) -> DataFrame:
@@ -150,6 +190,23 @@ def references_to(members: DataFrame, type_name: str) -> DataFrame:
     return members.where((F.col("kind") == "method") & (F.col("type") == type_name)).select("method").distinct()
 
 
+def fields_used_by(uses: DataFrame, *methods: str) -> DataFrame:
+    """(field, methods): the fields that the given methods (all, if none is given) use, and by which; uses (method, field)."""
+    wanted = uses.where(F.col("method").isin(*methods)) if methods else uses
+    return wanted.groupBy("field").agg(F.sort_array(F.collect_set("method")).alias("methods"))
+
+
+def members_of(members: DataFrame, kind: str) -> DataFrame:
+    """(name): all members of a kind, "field" or "method"; members (method, kind, type)."""
+    return members.where(F.col("kind") == kind).select(F.col("method").alias("name")).distinct()
+
+
+def signature(owner: Column, name: Column, parameters: Column) -> Column:
+    """Key of a method node: Owner#name(Type,Type); of a field node (null parameters): Owner.name."""
+    call = F.concat(owner, F.lit("#"), name, F.lit("("), F.array_join(parameters, ","), F.lit(")"))
+    return F.when(parameters.isNull(), F.concat(owner, F.lit("."), name)).otherwise(call)
+
+
 def subclasses(parents: DataFrame, root: str) -> DataFrame:
     """(node): all direct and indirect subtypes; parents (src = subtype, dst = supertype)."""
     down = parents.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

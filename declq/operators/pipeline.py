@@ -26,6 +26,34 @@ def _true(c: Column) -> Column:
     return F.coalesce(c.cast("boolean"), F.lit(False))
 
 
+def _call(f: Callable[..., Any], *args: Column) -> Column:
+    """The Column that a stage's function gives; anything else is a wrong kind of function."""
+    if not callable(f):
+        raise TypeError(f"a function is needed, not {f!r}")
+    out = f(*args)
+    if not isinstance(out, Column):
+        raise TypeError(f"the function of a stage gives a Column, not {out!r}")
+    return out
+
+
+def _backward(c: Column, kind: T.DataType) -> Column:
+    """A value whose ascending order is the descending order of `c`, for every type that has an order. Nulls stay first."""
+    if isinstance(kind, T.IntegralType):
+        return F.bitwise_not(c)  # the negative would overflow at the least value
+    if isinstance(kind, T.NumericType):
+        return -c
+    if isinstance(kind, T.BooleanType):
+        return ~c
+    if isinstance(kind, T.DateType):
+        return F.bitwise_not(F.unix_date(c))
+    if isinstance(kind, T.TimestampType):
+        return F.bitwise_not(F.unix_micros(c))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        # Bytes as digits, each turned round, and an end above all digits: a longer text comes before its own beginning.
+        return F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
+    raise TypeError(f"no descending order of {kind.simpleString()}")
+
+
 class Pipeline:
     V, K = "value", "key"
 
@@ -34,16 +62,18 @@ class Pipeline:
         as_column = lambda c: F.col(c) if isinstance(c, str) else c
         one = as_column(keys[0]) if len(keys) == 1 else F.struct(*map(as_column, keys))
         self.df = df.select(as_column(value).alias(self.V), one.alias(self.K))
+        self.kind: str | None = None
 
-    @classmethod
-    def _of(cls, df: DataFrame) -> Pipeline:
-        out = object.__new__(cls)
-        out.df = df.select(cls.V, cls.K)
+    def _of(self, df: DataFrame, kind: str | None = None) -> Pipeline:
+        """The next stage. kind: the type of a primitive stream, which its maps narrow to; other streams have none."""
+        out = object.__new__(type(self))
+        out.df = df.select(self.V, self.K)
+        out.kind = kind or self.kind
         return out
 
     @classmethod
     def range(cls, spark: SparkSession, start: int, end: int) -> Pipeline:
-        return cls(spark.range(start, end), F.col("id").cast("int"), F.col("id"))
+        return cls(spark.range(start, end), F.col("id").cast("int"), F.col("id")).cast("int")
 
     @property
     def v(self) -> Column:
@@ -55,19 +85,33 @@ class Pipeline:
         return _REGISTRY[name](self, *args)
 
     # stages
+    def _test(self, p: Fn) -> Column:
+        """A predicate as a condition; null is false, and a Column of another type than boolean is an error."""
+        c = _call(p, self.v)
+        kind = self.df.select(c).schema[0].dataType
+        if not isinstance(kind, (T.BooleanType, T.NullType)):
+            raise TypeError(f"a predicate is boolean, not {kind.simpleString()}")
+        return _true(c)
+
     def filter(self, p: Fn) -> Pipeline:
-        return self._of(self.df.where(_true(p(self.v))))
+        return self._of(self.df.where(self._test(p)))
 
     def map(self, f: Fn) -> Pipeline:
-        return self._of(self.df.withColumn(self.V, f(self.v)))
+        """On a primitive stream (see cast) the result is narrowed to the stream's own type."""
+        c = _call(f, self.v)
+        return self._of(self.df.withColumn(self.V, c.cast(self.kind) if self.kind else c))
+
+    def map_to_obj(self, f: Fn) -> Pipeline:
+        """From a primitive stream to one of any values."""
+        return self.boxed().map(f)
 
     def flat_map(self, f: Fn) -> Pipeline:
         """f gives an array; its elements follow each other at the place of the value. Nulls and empty arrays vanish."""
-        return self._of(self.df.select(F.col(self.K).alias("k0"), F.posexplode(f(self.v)).alias("pos", self.V)).withColumn(self.K, F.struct("k0", "pos")))
+        return self._of(self.df.select(F.col(self.K).alias("k0"), F.posexplode(_call(f, self.v)).alias("pos", self.V)).withColumn(self.K, F.struct("k0", "pos")))
 
     def _first_failure(self, p: Fn) -> DataFrame:
         """One row: the least key that fails, null if none does. A map-side minimum, not a window over everything."""
-        return self.df.where(~_true(p(self.v))).agg(F.min(self.K).alias("stop"))
+        return self.df.where(~self._test(p)).agg(F.min(self.K).alias("stop"))
 
     def take_while(self, p: Fn) -> Pipeline:
         return self._of(self.df.join(F.broadcast(self._first_failure(p)), F.col("stop").isNull() | (F.col(self.K) < F.col("stop"))))
@@ -85,16 +129,20 @@ class Pipeline:
 
     def sorted(self, key: Fn | None = None, descending: bool = False) -> Pipeline:
         """Stable: equal sort keys keep their order. The new order key is (sort key, old key)."""
-        by = (key or (lambda x: x))(self.v)
+        by = _call(key, self.v) if key else self.v
         if descending:
-            by = -by
+            by = _backward(by, self.df.select(by).schema[0].dataType)
         return self._of(self.df.withColumn(self.K, F.struct(by.alias("by"), F.col(self.K).alias("then"))))
 
     def limit(self, n: int) -> Pipeline:
         return self._of(self.df.orderBy(self.K).limit(n))
 
     def skip(self, n: int) -> Pipeline:
-        return self._of(self.df.orderBy(self.K).offset(n))
+        """Rows above the n-th key: only the first n keys are sorted, never all rows in one task."""
+        if n <= 0:
+            return self
+        last = self.df.select(F.col(self.K).alias("k")).orderBy("k").limit(n).agg(F.max("k").alias("stop"), F.count(F.lit(1)).alias("skipped"))
+        return self._of(self.df.join(F.broadcast(last), (F.col("skipped") == n) & (F.col(self.K) > F.col("stop"))))
 
     def cast(self, to: str) -> Pipeline:
         """mapToInt, mapToLong, mapToDouble, asLongStream, asDoubleStream: floating values narrow toward zero and saturate."""
@@ -102,18 +150,22 @@ class Pipeline:
         if isinstance(kind, (T.FloatType, T.DoubleType)) and to in ("int", "bigint"):
             from declq.functions.scalar import saturate
 
-            return self.map(lambda x: saturate(x, to))
-        return self.map(lambda x: x.cast(to))
+            return self._of(self.df.withColumn(self.V, saturate(self.v, to)), to)
+        return self._of(self.df.withColumn(self.V, self.v.cast(to)), to)
 
     def boxed(self) -> Pipeline:
-        return self
+        """The values as a stream that maps to any type."""
+        out = self._of(self.df)
+        out.kind = None
+        return out
 
     # results: one-row or grouped frames
     def rows(self) -> DataFrame:
         return self.df.orderBy(self.K).select(self.V)
 
     def for_each(self, f: Callable[[Any], None]) -> None:
-        self.rows().foreach(lambda r: f(r[0]))
+        """Calls f on the executors with every value, in no order; a row at a time, as f is any Python function."""
+        self.df.select(self.V).foreach(lambda r: f(r[0]))
 
     def _agg(self, **columns: Column) -> DataFrame:
         return self.df.agg(*[c.alias(n) for n, c in columns.items()])
@@ -135,13 +187,13 @@ class Pipeline:
     find_any = find_first
 
     def any_match(self, p: Fn) -> DataFrame:
-        return self._agg(any=F.coalesce(F.bool_or(_true(p(self.v))), F.lit(False)))
+        return self._agg(any=F.coalesce(F.bool_or(self._test(p)), F.lit(False)))
 
     def all_match(self, p: Fn) -> DataFrame:
-        return self._agg(all=F.coalesce(F.bool_and(_true(p(self.v))), F.lit(True)))
+        return self._agg(all=F.coalesce(F.bool_and(self._test(p)), F.lit(True)))
 
     def none_match(self, p: Fn) -> DataFrame:
-        return self._agg(none=F.coalesce(F.bool_and(~_true(p(self.v))), F.lit(True)))
+        return self._agg(none=F.coalesce(F.bool_and(~self._test(p)), F.lit(True)))
 
     def min(self, key: Fn | None = None) -> DataFrame:
         """The first of the least; null of nothing."""
@@ -151,18 +203,32 @@ class Pipeline:
     def max(self, key: Fn | None = None) -> DataFrame:
         return self._agg(max=F.max_by(self.v, F.struct((key or (lambda x: x))(self.v).alias("by"), F.col(self.K).alias("then"))))
 
-    def reduce(self, op: Callable[[Column, Column], Column], identity: Any = None, finish: Fn | None = None) -> DataFrame:
-        """Ordered fold, for operations that no aggregate expresses: all values meet in one row. Without identity an empty input is null."""
+    def reduce(self, op: Callable[[Column, Column], Column], identity: Any = None, combine: Callable[[Column, Column], Column] | None = None, finish: Fn | None = None) -> DataFrame:
+        """Ordered fold. Without identity an empty input is null.
+
+        With `combine`, which joins two partial results (op itself if it is associative), ranges of the order are folded
+        apart, and only a result a partition meets the others. Without it any operation is right, but all values meet in
+        one row. `finish` is applied to the result. A combiner needs an identity.
+        """
+        if combine is not None and identity is None:
+            raise TypeError("reduce with a combiner needs an identity")
         kind = self.df.schema[self.V].dataType
+        if combine is not None:
+            dealt = self.df.repartitionByRange(self.K).withColumn("part", F.spark_partition_id())
+            pairs = F.sort_array(F.collect_list(F.struct(F.col(self.K).alias("k"), F.col(self.V).alias("v"))))
+            each = dealt.groupBy("part").agg(F.min(self.K).alias("k"), F.aggregate(pairs, F.lit(identity), lambda a, x: op(a, x["v"])).alias("v"))
+            parts = each.agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("list"))
+            folded = F.aggregate("list", F.lit(identity), lambda a, x: combine(a, x["v"]))
+            return parts.select((finish(folded) if finish else folded).alias("reduced"))
         values = self.to_list().select(F.col("list"))
         if identity is None:
             folded = F.aggregate(F.slice("list", F.lit(2), F.greatest(F.size("list") - 1, F.lit(0))), F.get("list", F.lit(0)), lambda a, x: op(a, x).cast(kind))
         else:
-            start = F.lit(identity)
-            folded = F.aggregate("list", start, lambda a, x: op(a, x))
+            folded = F.aggregate("list", F.lit(identity), lambda a, x: op(a, x))
         return values.select((finish(folded) if finish else folded).alias("reduced"))
 
     def collect(self, supplier: Column, accumulator: Callable[[Column, Column], Column]) -> DataFrame:
+        """Any ordered accumulation; all values meet in one row."""
         return self.to_list().select(F.aggregate("list", supplier, accumulator).alias("collected"))
 
     def group_by(self, key: Fn) -> DataFrame:
@@ -174,10 +240,18 @@ class Pipeline:
 
     def partition_by(self, p: Fn) -> DataFrame:
         """Counts for true and for false, both always present."""
-        hit = _true(p(self.v)).cast("int")
+        hit = self._test(p).cast("int")
         sides = F.array(F.struct(F.lit(False).alias("side"), (F.count(F.lit(1)) - F.coalesce(F.sum(hit), F.lit(0))).alias("count")), F.struct(F.lit(True).alias("side"), F.coalesce(F.sum(hit), F.lit(0)).alias("count")))
         return self._agg(sides=sides).select(F.inline("sides"))
 
+    def partition_lists(self, p: Fn) -> DataFrame:
+        """(side, values): the values for true and for false in order, both sides always present."""
+        pairs = F.sort_array(F.collect_list(F.struct(F.col(self.K).alias("k"), F.col(self.V).alias("v"))))
+        lists = self.df.groupBy(self._test(p).alias("s")).agg(F.transform(pairs, lambda x: x["v"]).alias("values"))
+        sides = self.df.sparkSession.createDataFrame([(False,), (True,)], "side boolean")
+        none = F.array().cast(T.ArrayType(self.df.schema[self.V].dataType))
+        return sides.join(lists, F.col("side") == F.col("s"), "left").select("side", F.coalesce("values", none).alias("values"))
+
     # numeric streams
     def sum(self) -> DataFrame:
         return self._agg(sum=F.coalesce(F.sum(self.v), F.lit(0)))

@@ -10,6 +10,7 @@ from declq.plans.catalog import ConversionError
 
 _TEXT = r"'(?:[^']|'')*'"
 _NESTED = re.compile(r":#\{\s*#?([\w.()]+)\s*\}")
+_NOT_IN_NOTHING = re.compile(rf"({_TEXT})|\bNOT\s+IN\s*\(\s*NULL\s*\)", re.I)
 _TOKEN = re.compile(rf"({_TEXT})|(%?):([A-Za-z_]\w*)(%?)|\?(\d*)")
 
 
@@ -39,7 +40,8 @@ def lookup(path: str, values: Mapping[str, Any]) -> Any:
 def bind(sql: str, args: list[Any] | Mapping[str, Any]) -> tuple[str, dict[str, Any]]:
     """Text with only :name markers, and their values, ready for spark.sql(text, args).
 
-    Lists become one marker per element (an empty list a NULL, which matches nothing); wildcards around a marker become a
+    Lists become one marker per element (an empty list a NULL, which matches nothing; NOT IN of an empty list holds for every
+    row, as it does in a derived query); wildcards around a marker become a
     concatenation; string literals are left alone. Every marker needs a value, which is bound and never printed into the text.
     """
     values: dict[str, Any] = {}
@@ -83,7 +85,8 @@ def bind(sql: str, args: list[Any] | Mapping[str, Any]) -> tuple[str, dict[str,
             raise ConversionError("MISSING_PARAMETER", f"?{at}")
         return marker(f"p{at}", given[at - 1])
 
-    return _TOKEN.sub(swap, sql), values
+    # x NOT IN (NULL) would match nothing; x <=> NULL IS NOT NULL holds whatever x is.
+    return _NOT_IN_NOTHING.sub(lambda m: m[1] or "<=> NULL IS NOT NULL", _TOKEN.sub(swap, sql)), values
 
 
 def markers(sql: str) -> list[str]:

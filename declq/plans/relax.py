@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Collection
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from declq.plans.catalog import Catalog
+from declq.plans.catalog import Catalog, ConversionError
 from declq.plans.derive import any_all, column_of, conditions, ordered
 from declq.plans.methodname import Condition, parse
 
@@ -16,19 +17,27 @@ from declq.plans.methodname import Condition, parse
 def relaxed(catalog: Catalog, entity_name: str, name: str, keep: Collection[str] = (), values: dict[str, Any] | None = None) -> tuple[DataFrame, list[Condition]]:
     """The query without its predicates on parameters, and the conditions dropped.
 
-    Kept: conditions without arguments, those on properties in `keep` or with a value in `values` (its list of arguments).
-    Only a conjunction is relaxed; alternatives (Or) stay as they are only if every argument is given, else all are dropped.
+    Only a conjunction is relaxed. Kept: its conditions without arguments, those on a property in `keep` and those with a
+    value in `values`; both need their arguments there (a list a property), a kept condition without any is an error.
+    Alternatives (Or) are left as they are and need the arguments of all their conditions; nothing of them is dropped.
     """
     entity, method = catalog.entity(entity_name), parse(name)
-    df, given, dropped, kept = catalog.frame(entity), values or {}, [], []
-    parts = method.where if len(method.where) == 1 else ()
-    for c in parts[0] if parts else [c for p in method.where for c in p]:
-        if parts and (c.n_args == 0 or c.prop in given):
-            one = parse("findById")
-            kept.append(conditions(type(one)("select", ((c,),)), entity, df, list(given.get(c.prop, [])))[0][0])
-        elif c.prop not in keep:
-            dropped.append(c)
-    return (df.where(any_all([kept])) if kept else df), dropped
+    df, given = catalog.frame(entity), values or {}
+    dropped: list[Condition] = []
+    parts: list[tuple[Condition, ...]] = []
+    for part in method.where:
+        stays = [c for c in part if len(method.where) > 1 or c.n_args == 0 or c.prop in keep or c.prop in given]
+        dropped += [c for c in part if c not in stays]
+        parts.append(tuple(stays))
+    args = {k: list(v) for k, v in given.items()}
+    taken: list[Any] = []
+    for c in [c for part in parts for c in part]:
+        if len(args.get(c.prop, [])) < c.n_args:
+            raise ConversionError("MISSING_PARAMETER", c.prop)
+        taken += [args[c.prop].pop(0) for _ in range(c.n_args)]
+    if not any(parts):
+        return df, dropped
+    return df.where(any_all(conditions(replace(method, where=tuple(parts)), entity, df, taken))), dropped
 
 
 def sample_arguments(catalog: Catalog, entity_name: str, name: str, order: str, **options: Any) -> DataFrame:

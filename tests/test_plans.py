@@ -86,3 +86,80 @@ def test_settings(monkeypatch):
     monkeypatch.setenv("SOME_NAME", "env")
     got = settings.load("variables:\n  base: /x\npath: ${base}/y\nenv: ${SOME_NAME}${NO_SUCH}\nbad: ${open\ndatabase:\n  run_queries: false\n  n: 3\nlist:\n  - a\n  - b\n")
     assert got == {"variables": {"base": "/x"}, "path": "/x/y", "env": "env", "bad": "${open", "database": {"run_queries": False, "n": 3}, "list": ["a", "b"]}
+
+
+@pytest.mark.parametrize("text", ["a + > b", "a == b c", "a @ b", "(a > 1", "a.equals(", "\"x\".size() > 1", ""])
+def test_conditions_outside_the_language(text):
+    with pytest.raises(ConversionError):
+        truth.parse(text)
+
+
+def test_conditions_and_domains():
+    assert truth.domains(truth.parse("a == null || a == \"x\"")) == {"a": [None, "", "x"]}
+    assert truth.domains(truth.parse("a.equals(b)")) == {"a": [True, False], "b": [True, False]}
+    assert truth.domains(truth.parse("a > 5 || a.equals(7)")) == {"a": [4, 5, 6, 7, 8]}
+    assert truth.domains(truth.parse("s == Kind.A || s == Kind.B"))["s"] == ["Kind.A", "Kind.B", "Kind.OTHER"]
+    assert truth.domains(truth.parse("!items.isEmpty()")) == {"items": [[], ["T"]]}
+    assert truth.variables(truth.parse("p.getName(1, x).trim() != null && q.r > -2L")) == ["p.getName(1,x).trim()", "q.r"]
+    assert truth.parse("a * 2 + 1 > b") == truth.parse("((a * 2) + 1) > b")
+
+
+def test_first_rows_and_display(spark):
+    assert truth.first_satisfying(truth.table(spark, "a > 5 || a.equals(7)")).first().a == 6
+    assert truth.first_satisfying(truth.table(spark, "a > 5 && a.equals(7)")).first().a == 7
+    assert truth.satisfying(truth.table(spark, "a.equals(b)")).count() == 2
+    assert truth.shown(truth.table(spark, "!a")).splitlines() == ["a\tresult", "False\tTrue", "True\tFalse"]
+
+
+TWO = Catalog([Entity("A", "a", "id", {"id": "id", "name": "nm"}, {"b": Relation("B")}), Entity("B", "b", "id", {"id": "id"})], lambda t: None)
+
+
+@pytest.mark.parametrize("text,reason", [
+    ("INSERT INTO A VALUES (1)", "UNSUPPORTED_CONSTRUCT"), ("MERGE A", "UNSUPPORTED_CONSTRUCT"), ("", "UNSUPPORTED_CONSTRUCT"),
+    ("SELECT a FROM A a WHERE a.id = 1)", "PARSE_ERROR"), ("UPDATE A a WHERE a.id = 1", "PARSE_ERROR"),
+    ("DELETE FROM A a WHERE a.b.id = 1", "UNSUPPORTED_CONSTRUCT"), ("UPDATE A a SET a.nope = 1", "UNKNOWN_PROPERTY"),
+    ("SELECT a FROM A a INTERSECT SELECT b FROM B b", "UNSUPPORTED_CONSTRUCT"),
+])
+def test_statements_that_are_errors(text, reason):
+    with pytest.raises(ConversionError) as e:
+        objectql.to_sql(TWO, text)
+    assert e.value.reason == reason
+
+
+def test_statements():
+    assert objectql.to_sql(TWO, "DELETE FROM A x WHERE x.name = 'n'") == "SELECT x.* FROM a x WHERE NOT COALESCE((x.nm = 'n'), false)"
+    assert objectql.to_sql(TWO, "SELECT x.id FROM A x UNION ALL SELECT y.id FROM B y") == "SELECT x.id FROM a x UNION ALL SELECT y.id FROM b y"
+
+
+def test_views_do_not_stay(spark):
+    catalog = Catalog([Entity("A", "a", "id", {"id": "id"}), Entity("B", "b", "id", {"id": "id"})], lambda t: spark.range(3) if t == "a" else 1 / 0)
+    before = {t.name for t in spark.catalog.listTables()}
+    df = objectql.run(spark, catalog, "SELECT a FROM A a WHERE a.id > :low", {"low": 0})  # B's table is never opened
+    assert {t.name for t in spark.catalog.listTables()} == before and df.count() == 2
+    assert objectql.run(spark, catalog, "SELECT a.nope FROM A a", on_error="log") is None
+    assert native.run(spark, "SELECT * FROM no_such_table", on_error="log") is None
+    with pytest.raises(ConversionError):
+        objectql.run(spark, catalog, "SELECT a FROM A a WHERE a.id = :missing")
+
+
+def test_not_in_of_an_empty_list():
+    assert params.bind("a NOT IN (:l) AND b = 'NOT IN (NULL)'", {"l": []})[0] == "a <=> NULL IS NOT NULL AND b = 'NOT IN (NULL)'"
+
+
+def test_native_tables_count_together():
+    assert native.is_native("SELECT a FROM user_roles r JOIN role_names n ON r.id = n.id")
+    assert not native.is_native("SELECT a FROM user_roles")
+
+
+def test_relaxed_arguments():
+    from declq.plans import relax
+
+    class Frame:
+        columns = ["id", "nm"]
+
+    catalog = Catalog([Entity("A", "a", "id", {"id": "id", "name": "nm"})], lambda t: Frame())
+    with pytest.raises(ConversionError):
+        relax.relaxed(catalog, "A", "findByName", keep=("name",))
+    with pytest.raises(ConversionError):
+        relax.relaxed(catalog, "A", "findByNameOrId", values={"name": ["x"]})
+    assert [c.prop for c in relax.relaxed(catalog, "A", "findByNameAndId")[1]] == ["name", "id"]

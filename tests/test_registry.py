@@ -45,9 +45,9 @@ def test_whole_tables_are_folded_and_ordered(spark):
     folded = sizes[0]
     for x in sizes[1:]:
         folded = max(folded, x) - min(folded, x) % 3
-    assert len(sizes) > 100 and run("s_reduce_all")[0].reduced == folded
-    assert [x.value for x in run("s_sorted_all")] == sorted(sizes)
-    assert [x.value for x in run("s_sorted_by_all")] == sorted(sizes, key=lambda x: -(x % 7))
-    assert [x.c_custkey for x in run("q_order_by_all")] == [x.c_custkey for x in sorted(customers, key=lambda x: (-x.c_acctbal, x.c_custkey))]
+    assert len(sizes) > 100 and run("s_reduce")[0].reduced == folded
+    assert [x.value for x in run("s_sorted")] == sorted(sizes)
+    assert [x.value for x in run("s_sorted_by")] == sorted(sizes, key=lambda x: -(x % 7))
+    assert [x.c_custkey for x in run("q_order_by")] == [x.c_custkey for x in sorted(customers, key=lambda x: (-x.c_acctbal, x.c_custkey))]
     rich = sorted((x for x in customers if x.c_acctbal > 0), key=lambda x: x.c_custkey)
-    assert [x.c_custkey for x in run("d_order_multi_all")] == [x.c_custkey for x in sorted(rich, key=lambda x: x.c_mktsegment, reverse=True)]
+    assert [x.c_custkey for x in run("d_order_multi")] == [x.c_custkey for x in sorted(rich, key=lambda x: x.c_mktsegment, reverse=True)]
