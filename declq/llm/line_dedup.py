@@ -27,15 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from declq.llm import pairs
-from declq.llm.common import SIMILARITY, components, cut, free_names, mix, plain, release, slices, small_side, split_words
+from declq.llm.common import SIMILARITY, components, cut, free_names, mix, plain, release, slices, small_side
 
 DISTANCE = 20
 #: Bytes of a letter gram; characters of a short line; MinHash values of a key; keys of letter grams and of word pairs.
 GRAM, SHORT, VALUES, GRAM_KEYS, PAIR_KEYS = 5, 80, 3, 14, 8
 #: Nodes that meet one head in a task; in the grid, failed nodes and other nodes of a key that meet in a task.
-FOLLOWERS, FAILED, OTHERS = 4096, 256, 4096
-#: Bytes of a brief word.
-BRIEF = 3
+FOLLOWERS, FAILED, OTHERS = 1024, 128, 1024
+#: Bytes of a brief word; of one that is hashed together with others at most.
+BRIEF, LONG_WORD = 3, 48
 #: Characters of two gaps between shared words whose edit distance is worked out for the upper bound.
 GAP = 200
 #: Characters of the lines that are compared with one line at once.
@@ -44,6 +44,7 @@ ABREAST = 1 << 13
 SKETCH_BYTES = 1 << 18
 #: Lines that a task remembers, so that a frequent line gives its keys a few times and not with every row.
 SEEN = 200_000
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 _ODD = mix(np.arange(1, (GRAM_KEYS + PAIR_KEYS) * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -126,8 +127,8 @@ def word_pairs(hashed: np.ndarray, brief: np.ndarray, starts: np.ndarray, lens:
 
 
 def line_keys(lines: list[bytes], hashed: np.ndarray, brief: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of lines, whose word hashes are runs of `hashed`, and the line of each key, in order."""
-    tidy = [normal(x) if n <= SHORT // 2 else b"" for x, n in zip(lines, lens)]  # more words alone are more than SHORT characters
+    """Join keys of normal lines, whose word hashes are runs of `hashed`, and the line of each key, in order."""
+    tidy = [x if n <= SHORT // 2 else b"" for x, n in zip(lines, lens)]  # more words alone are more than SHORT characters
     chars = np.fromiter((len(x) if x.isascii() else len(x.decode(errors="replace")) for x in tidy), np.int64, len(tidy))
     chars[chars == 0] = SHORT + 1
     short, long = np.flatnonzero(chars <= SHORT), np.flatnonzero(chars >= int(SIMILARITY * SHORT))
@@ -145,22 +146,52 @@ def line_keys(lines: list[bytes], hashed: np.ndarray, brief: np.ndarray, starts:
     return keys[order], of[order]
 
 
-def hash_lines(lines: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Indexes of the lines with a word and their 64-bit hashes (in word order).
+def word_hashes(letters: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes. All words step through their bytes at once, the longest first; very long ones are hashed apart."""
+    order = np.argsort(-np.minimum(lens, LONG_WORD + 1).astype(np.int16), kind="stable")
+    at, size = starts[order], lens[order]
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    active = np.searchsorted(-size, -np.arange(min(int(size[0]), LONG_WORD) if len(size) else 0), "left")
+    for j, m in enumerate(active.tolist()):
+        h[:m] = (h[:m] ^ letters[at[:m] + j]) * np.uint64(0x100000001B3)
+    for i in range(int((size > LONG_WORD).sum())):
+        h[i] = xxhash.xxh3_64_intdigest(letters[at[i] : at[i] + size[i]].tobytes())
+    out = np.empty_like(h)
+    out[order] = mix(h)
+    return out
 
-    Of all words the hashes and whether they are brief; where each such line's begin, and their numbers.
-    """
-    words, ends = split_words([x.lower() for x in lines])
-    lens = np.diff(ends)
-    has = np.flatnonzero(lens)
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    brief = np.fromiter(map(len, words), np.int64, len(words)) <= BRIEF
-    starts, lens = ends[:-1][has], lens[has]
-    if not len(has):
-        return has, np.zeros(0, np.int64), hashed, brief, starts, lens
-    place = np.arange(len(words)) - np.repeat(starts, lens)
-    whole = np.add.reduceat(mix(hashed + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts)
-    return has, whole.view(np.int64), hashed, brief, starts, lens
+
+class Lines:
+    """The lines with a word of some texts: text (row) and line number, the normal line and its 64-bit hash, and the hashes of its words."""
+
+    def __init__(self, texts: list[bytes]):
+        buffer = b"\n".join([*texts, b""]).lower()
+        letters = np.frombuffer(buffer, np.uint8)
+        space = _IS_SPACE[letters]
+        ends = np.flatnonzero(letters == 10)
+        begins = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        before = np.concatenate([[True], space[:-1]])
+        starts, stops = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+        first, last = np.searchsorted(starts, begins), np.searchsorted(starts, ends)
+        has = np.flatnonzero(last > first)
+        self.starts, self.lens = first[has], (last - first)[has]
+        self.row = np.searchsorted(text_ends, ends[has])
+        self.pos = has - np.searchsorted(ends, np.concatenate([[-1], text_ends[:-1]]), "right")[self.row]
+        size = stops - starts
+        self.hashed, self.brief = word_hashes(letters, starts, size), size <= BRIEF
+        # A line is normal as it is if single spaces, and nothing else, are between its words.
+        heads, tails = starts[self.starts], stops[self.starts + self.lens - 1]
+        total = np.concatenate([[0], np.cumsum(size)])
+        plain = tails - heads - (total[self.starts + self.lens] - total[self.starts]) == self.lens - 1
+        odd = np.flatnonzero(space & (letters != 32) & (letters != 10))
+        plain &= np.searchsorted(odd, tails) == np.searchsorted(odd, heads)
+        self.lines = [buffer[a:b] if ok else b" ".join(buffer[a:b].split()) for a, b, ok in zip(heads.tolist(), tails.tolist(), plain.tolist())]
+        self.whole = line_hashes(self.lines)
+
+
+def line_hashes(lines: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,12 +203,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
         for part, texts in slices(batch, "text", 2 << 20):
-            split = [t.split(b"\n") for t in texts]
-            count = np.fromiter(map(len, split), np.int64, len(split))
-            every = [x for lines in split for x in lines]
-            has, whole, hashed, brief, starts, lens = hash_lines(every)
-            row = np.repeat(np.arange(len(split)), count)[has]
-            pos = has - (np.cumsum(count) - count)[row]
+            x = Lines(texts)
+            row, pos, whole = x.row, x.pos, x.whole
             if len(seen) > SEEN:
                 seen = set()
             known, new = len(seen), []
@@ -187,11 +214,11 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known += 1
                     new.append(i)
             new = np.array(new, np.int64)
-            keys, of = line_keys([every[i] for i in has[new]], hashed, brief, starts[new], lens[new])
-            runs = np.searchsorted(new[of], np.arange(len(has) + 1)).astype(np.int32)
+            keys, of = line_keys([x.lines[i] for i in new], x.hashed, x.brief, x.starts[new], x.lens[new])
+            runs = np.searchsorted(new[of], np.arange(len(whole) + 1)).astype(np.int32)
             t = part.column(2).take(pa.array(row))
             order = np.lexsort((pos, whole, row))
-            leads = np.ones(len(has), bool)
+            leads = np.ones(len(whole), bool)
             leads[order[1:]] = (whole[order[1:]] != whole[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
             place = pos << 32 | t.to_numpy() & 0xFFFFFFFF | np.where(leads, 0, np.int64(-(2**63)))
             columns = [pa.array(place), pa.array(whole), pa.ListArray.from_arrays(runs, pa.array(keys))]
@@ -203,8 +230,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in slices(batch, "text", 2 << 20):
             lines = [normal(of[i]) for of, wanted in zip((t.split(b"\n") for t in texts), part.column(1).to_pylist()) for i in wanted]
-            whole = hash_lines(lines)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(line_simhashes(lines)), pa.array(lines, pa.binary()).cast(pa.string())], ["h", "sim", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(line_hashes(lines)), pa.array(line_simhashes(lines)), pa.array(lines, pa.binary()).cast(pa.string())], ["h", "sim", "line"])
 
 
 def _common(a: str, b: str) -> int:
@@ -388,7 +414,7 @@ def candidate_lines(met: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataF
     """(lh, sim, line) of the nodes of `met`, read where `nodes` (h, doc_id, place) found them, from `texts` (doc_id, text, t)."""
     wanted = nodes.join(met.select(F.col("h").alias("w")).distinct().hint("shuffle_hash"), F.col("h") == F.col("w"), "left_semi")
     wanted = wanted.groupBy(F.col("doc_id").alias("at_doc"), _t32("place").alias("at_t")).agg(F.collect_set(_pos("place")).alias("wanted"))
-    fetched = texts.join(small_side(cut(wanted)), (F.col("doc_id") == F.col("at_doc")) & (_t32("t") == F.col("at_t"))).select("text", "wanted")
+    fetched = texts.join(wanted, (F.col("doc_id") == F.col("at_doc")) & (_t32("t") == F.col("at_t"))).select("text", "wanted")
     return cut(fetched.mapInArrow(_fetch, "h long, sim long, line string").toDF("lh", "sim", "line"))
 
 

@@ -56,7 +56,9 @@ def map_groups(df: DataFrame, keys: list[str], function: Callable[[dict[str, lis
         if held:
             yield from function(held)
 
-    return df.repartition(*parts).sortWithinPartitions(*keys, *also_sort).mapInArrow(run, schema)
+    # A number of its own keeps adaptive execution from merging partitions that are small in bytes: their work is not.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *parts).sortWithinPartitions(*keys, *also_sort).mapInArrow(run, schema)
 
 
 def roots(n: int, linked: np.ndarray) -> np.ndarray:

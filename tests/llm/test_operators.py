@@ -372,8 +372,8 @@ def test_sharding_is_a_plain_ranking(spark):
     hashes = docs.selectExpr("doc_id", "source", "text", "xxhash64('shuffle-1', doc_id, crc32(cast(text as binary)), cast(octet_length(text) + 1 as long)) as x").collect()
     by_source = defaultdict(list)
     for r in hashes:
-        by_source[r.source].append((r.x, r.doc_id))
-    order = sorted(((k + 0.5) / len(rows), h, source or "", doc) for source, rows in by_source.items() for k, (h, doc) in enumerate(sorted(rows)))
+        by_source[r.source].append(((r.x >> 20) % sharding.LEAST_RANGES, r.x, r.doc_id))  # the order is that of the hash's range, then the hash
+    order = sorted(((k + 0.5) / len(rows), h, source or "", doc) for source, rows in by_source.items() for k, (_, h, doc) in enumerate(sorted(rows)))
     each, more = divmod(len(order), 16)
     sizes = [each + (k < more) for k in range(16)]
     expected = Counter((doc, shard, slot) for (_, _, _, doc), (shard, slot) in zip(order, ((k, j) for k, n in enumerate(sizes) for j in range(n))))
@@ -485,13 +485,15 @@ def test_hmm_score_is_the_naive_recursion(spark, monkeypatch):
     models = []
     made = hmm.Model.of_counts
     monkeypatch.setattr(hmm.Model, "of_counts", lambda *a: models.append(made(*a)) or models[-1])
-    monkeypatch.setattr(hmm, "SHARED_COUNTS", 40)
+    frequent = hmm.frequent_words
+    monkeypatch.setattr(hmm, "frequent_words", lambda counts: frequent(counts, 40))
     texts = [(i, prose(i % 30, 25)) for i in range(60)] + [(100, None), (101, "never seen"), (102, prose(900, 4000)), (None, "x"), (3, prose(3, 25))]
     rows = hmm.score_language(make(spark, texts), rounds=2).collect()
     model = models[-1]
     train = [t or "" for i, t in texts if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     counts = Counter(w for t in train for w in t.encode().lower().split())
-    shared = hmm.frequent_words(spark.createDataFrame(list(counts.items()), "word binary, c long"), 40)
+    shared = frequent(spark.createDataFrame(list(counts.items()), "word binary, c long"), 40)
+    assert 0 < len(shared) <= 40 < len(counts)
     place = {w: i + 1 for i, (w, _) in enumerate(shared[: hmm.TOP_CLASSES])}
     class_of = lambda w: place.get(w) or int(hmm.hash_class([w])[0])
     words, tokens = Counter(), Counter()
