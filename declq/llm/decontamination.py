@@ -21,6 +21,8 @@ from declq.llm.common import SIMILARITY, cut, plain, small_side
 SKETCH = 16
 #: Bits of a hash that are compared with a partition's bound.
 BOUND_BITS = 20
+#: Hashes of items that are broadcast at most (some 30 MB as a hash table); with more, both sides are shuffled by hash.
+BROADCAST_HASHES = 500_000
 
 
 def with_shingles(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -67,11 +69,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = SI
     widest = items.agg(F.max("bound")).first()[0] or 0
     texts = plain(docs).where("doc_id is not null")
     sketch = with_shingles(texts).select("doc_id", F.explode_outer("shingles").alias("h")).where(_below(F.col("h"), F.lit(widest)))
-    sketch_items = small_side(items.where(_below(F.col("h"), F.col("bound"))).select("item_id", F.col("h").alias("ih")))
+    sketch_items = small_side(items.where(_below(F.col("h"), F.col("bound"))).select("item_id", F.col("h").alias("ih")), BROADCAST_HASHES)
     candidates = cut(sketch.join(sketch_items, sketch.h == F.col("ih")).select("doc_id", "item_id").distinct())
     wanted = small_side(cut(candidates.select(F.col("doc_id").alias("want")).distinct()))
     again = with_shingles(texts.join(wanted, texts.doc_id == F.col("want"), "left_semi")).select("doc_id", F.explode_outer("shingles").alias("h"))
-    full = small_side(items.select(F.col("item_id").alias("full_id"), F.col("h").alias("ih"), "n_item"))
+    full = small_side(items.select(F.col("item_id").alias("full_id"), F.col("h").alias("ih"), "n_item"), BROADCAST_HASHES)
     hits = again.join(full, again.h == F.col("ih")).select("doc_id", "full_id", "n_item", "h").distinct()
     counted = hits.groupBy("doc_id", "full_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"))
     pairs = candidates.select(F.col("doc_id").alias("cd"), F.col("item_id").alias("ci"))

@@ -31,7 +31,7 @@ from declq.llm.common import SIMILARITY, components, cut, free_names, mix, plain
 
 DISTANCE = 20
 #: Bytes of a letter gram; characters of a short line; MinHash values of a key; keys of letter grams and of word pairs.
-GRAM, SHORT, VALUES, GRAM_KEYS, PAIR_KEYS = 5, 80, 3, 14, 8
+GRAM, SHORT, VALUES, GRAM_KEYS, PAIR_KEYS = 5, 80, 3, 16, 12
 #: Nodes that meet one head in a task; in the grid, failed nodes and other nodes of a key that meet in a task.
 FOLLOWERS, FAILED, OTHERS = 1024, 128, 1024
 #: Bytes of a brief word; of one that is hashed together with others at most.

@@ -24,7 +24,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line, first_doc, first_line) per document; the texts follow from them."""
+    """doc_id, n_chars_left, n_removed, removed (line, first_doc, first_line) per document; the texts follow from them."""
     rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_left"), F.size("removed").cast("long").alias("n_removed"), "removed")
 
