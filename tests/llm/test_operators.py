@@ -170,6 +170,28 @@ def test_line_dedup_finds_what_edit_similarity_alone_finds(spark):
         assert i in seen
 
 
+def test_line_dedup_recall_near_the_threshold(spark):
+    """Random lines of several lengths and copies with a letter, a word or every sixth word changed, against edit similarity alone."""
+    r = random.Random(21)
+    vocabulary = ["".join(r.choices("abdefgiklmnoprstu", k=r.randint(2, 9))) for _ in range(3000)]
+    lines, made = [], []
+    for n in (6, 8, 12, 20, 40):
+        for kind in ("letter", "word", "sixth"):
+            for _ in range(40):
+                words = r.choices(vocabulary, k=n)
+                other = list(words)
+                for at in r.sample(range(n), 1 if kind != "sixth" else max(1, n // 6)):
+                    other[at] = r.choice(vocabulary) if kind != "letter" else other[at][:-1] + "q"
+                if words != other and edit_similar(" ".join(words), " ".join(other)):
+                    made.append((kind, len(lines), len(lines) + 1))
+                    lines += [" ".join(words), " ".join(other)]
+    rows = line_dedup.dedup_lines(make(spark, list(enumerate(lines)))).collect()
+    group = {x.doc_id: x.removed[0].first_doc if x.removed else x.doc_id for x in rows}
+    found = {kind: np.mean([group[a] == group[b] for k, a, b in made if k == kind]) for kind in ("letter", "word", "sixth")}
+    assert len(made) > 450 and found["letter"] >= 0.95 and found["word"] >= 0.9 and found["sixth"] >= 0.8, found
+    assert np.mean([group[a] == group[b] for _, a, b in made]) >= 0.9
+
+
 def test_line_dedup_keeps_other_text_of_a_shared_id(spark):
     a, b, c, d = (prose(200 + i, 12) for i in range(4))
     rows = line_dedup.dedup_lines(make(spark, [(1, a), (2, b + "\n" + a), (2, c + "\n" + d), (2, c + "\n" + d)])).collect()
