@@ -68,3 +68,27 @@ def numbered(sql: str) -> str:
     """? to ?1, ?2 ... in order."""
     parts = sql.split("?")
     return "".join(p + (f"?{i}" if i < len(parts) else "") for i, p in enumerate(parts, 1))
+
+
+_LITERAL = r"'(?:[^']|'')*'"
+
+
+def unnumbered(sql: str) -> str:
+    """?1, ?2 ... to ?, outside of literals."""
+    return re.sub(rf"({_LITERAL})|\?\d+", lambda m: m[1] or "?", sql)
+
+
+def placeholders(sql: str) -> int:
+    """How many positional parameters a text has, outside of literals."""
+    return sum(m[0] == "?" for m in re.finditer(rf"{_LITERAL}|\?", sql))
+
+
+def tidy(sql: str) -> str:
+    """A relaxed text for reading: parameters without numbers, and conditions that are always true ('1' IN ('1'), 1 = 1) gone.
+
+    A condition goes with the AND that joins it; one that is all there is stays.
+    """
+    true = r"(?:'(\w+)'\s+IN\s*(?:\(\s*'\1'\s*\)|'\1')|(\b\d+)\s*=\s*\2\b)"
+    sql = unnumbered(sql)
+    sql = re.sub(rf"{true}\s+AND\s+", "", sql, flags=re.I)
+    return re.sub(rf"\s+AND\s+{true}", "", sql, flags=re.I)

@@ -278,3 +278,13 @@ def path_states(spark: SparkSession, branches: Mapping[str, Sequence[str]], atte
     n_left = left.agg(F.count(F.lit(1)).alias("n_left"))
     again = df.orderBy("fingerprint").limit(1).join(F.broadcast(n_left), F.col("n_left") == 0, "left_semi")
     return left.unionByName(again)
+
+
+#: States of a branch from first to last among branches with as many children; one whose both paths were taken comes after all.
+BRANCH_STATES = ("FALSE", "TRUE", "UNTRAVELLED", "BOTH")
+
+
+def branch_order(branches: DataFrame) -> DataFrame:
+    """Branches (state, n_children and any other columns) in the order in which they are tried: fewer children first."""
+    rank = F.array_position(F.array(*map(F.lit, BRANCH_STATES)), F.col("state"))
+    return branches.orderBy(F.col("state") == "BOTH", "n_children", F.when(rank > 0, rank).otherwise(len(BRANCH_STATES)), *[c for c in branches.columns if c not in ("state", "n_children")])

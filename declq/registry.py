@@ -82,6 +82,8 @@ _DERIVED: list[tuple[str, str, str, tuple[Any, ...], str]] = [
     ("d_delete_survivors", "Nation", "deleteByRegionKey", (1,), "* FROM nation WHERE n_regionkey <> 1"),
     ("d_delete_by_ids", "Nation", "deleteAllByIdInBatch", ([3, 4],), "* FROM nation WHERE n_nationkey NOT IN (3, 4)"),
     ("d_insert_default", "Region", "saveAndFlush", (), "* FROM region UNION ALL SELECT NULL, NULL"),
+    ("d_related_property", "Order", "findByCustomer_SegmentAndCustomer_Nation_NameInOrderByOrderKey", ("BUILDING", ["GERMANY", "FRANCE"]), "orders.* FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND n_name IN ('GERMANY', 'FRANCE')"),
+    ("d_related_count", "Customer", "countByNation_Region_Name", ("ASIA",), "count(*) AS count FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"),
     ("d_nested_property", "Order", "findByCustomer_CustKey", (10,), "* FROM orders WHERE o_custkey = 10"),
 ]
 
@@ -451,6 +453,14 @@ def b_path_states_reused(spark: SparkSession, folder: str) -> DataFrame:
     return truth.path_states(spark, {"left": ["T", "F"]}, tried, reuse=True)
 
 
+_BRANCHES = "VALUES ('a', 'BOTH', 0), ('b', 'TRUE', 2), ('c', 'UNTRAVELLED', 1), ('d', 'FALSE', 1), ('e', 'FALSE', 2), ('f', 'TRUE', 1), ('g', 'BOTH', 1)"
+
+
+@query("b_branch_order", f"SELECT CAST(row_number() OVER (ORDER BY state = 'BOTH', n_children, CASE state WHEN 'FALSE' THEN 1 WHEN 'TRUE' THEN 2 WHEN 'UNTRAVELLED' THEN 3 ELSE 4 END, branch) - 1 AS INTEGER) AS place, branch, state FROM ({_BRANCHES}) t(branch, state, n_children)")
+def b_branch_order(spark: SparkSession, folder: str) -> DataFrame:
+    return _numbered(truth.branch_order(spark.sql(f"SELECT * FROM {_BRANCHES} AS t(branch, state, n_children)")).select("branch", "state"))
+
+
 @query("b_first", f"SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, a > b AS result FROM {_cross(2, 'ab')} WHERE a > b ORDER BY a, b LIMIT 1")
 def b_first(spark: SparkSession, folder: str) -> DataFrame:
     return truth.first_satisfying(truth.table(spark, "a > b"))

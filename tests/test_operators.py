@@ -48,6 +48,13 @@ def test_functions_of_the_wrong_kind(spark):
         p.apply("no such operation")
 
 
+def test_registered_operations(spark):
+    from declq.operators import pipeline
+
+    pipeline.register("every_second", lambda p: p.filter(lambda v: v % 2 == 0))
+    assert [x.value for x in stream(spark, [1, 2, 3, 4], "int").apply("every_second").rows().collect()] == [2, 4]
+
+
 def test_primitive_streams_narrow(spark):
     p = stream(spark, [1.9, -1.9], "double").cast("int")
     assert [x.value for x in p.map(lambda v: v * 2.6).rows().collect()] == [2, -2]

@@ -146,6 +146,13 @@ def test_not_in_of_an_empty_list():
     assert params.bind("a NOT IN (:l) AND b = 'NOT IN (NULL)'", {"l": []})[0] == "a <=> NULL IS NOT NULL AND b = 'NOT IN (NULL)'"
 
 
+def test_tidy_texts():
+    assert render.placeholders("a = ?1 AND b = '?' AND c IN (?, ?)") == 3
+    assert render.unnumbered("a = ?1 AND b = '?2' AND c = ?12") == "a = ? AND b = '?2' AND c = ?"
+    assert render.tidy("SELECT * FROM t WHERE '1' IN ('1') AND a = ?1 AND 1 = 1 AND b = ?2") == "SELECT * FROM t WHERE a = ? AND b = ?"
+    assert render.tidy("SELECT * FROM t WHERE '1' IN ('1')") == "SELECT * FROM t WHERE '1' IN ('1')"
+
+
 def test_native_tables_count_together():
     assert native.is_native("SELECT a FROM user_roles r JOIN role_names n ON r.id = n.id")
     assert not native.is_native("SELECT a FROM user_roles")
@@ -163,3 +170,33 @@ def test_relaxed_arguments():
     with pytest.raises(ConversionError):
         relax.relaxed(catalog, "A", "findByNameOrId", values={"name": ["x"]})
     assert [c.prop for c in relax.relaxed(catalog, "A", "findByNameAndId")[1]] == ["name", "id"]
+
+
+def test_declared_queries(spark):
+    from declq.plans.spec import QuerySpec
+
+    spark.range(4).createOrReplaceTempView("declared_items")
+    try:
+        assert QuerySpec(["SELECT COUNT(*) AS n ", "FROM declared_items WHERE id > ?1"]).run(spark, TWO, [0]).first().n == 3
+    finally:
+        spark.catalog.dropTempView("declared_items")
+    spec = QuerySpec("SELECT a FROM A a \\\n WHERE a.id = :i")
+    assert not spec.native and QuerySpec("SELECT 1", is_native=True).native
+    catalog = Catalog([Entity("A", "a", "id", {"id": "id"})], lambda t: spark.range(3))
+    assert spec.run(spark, catalog, {"i": 2}).count() == 1
+    assert spec.run(spark, catalog, {}, on_error="log") is None
+
+
+def test_every_reason_of_failure():
+    many = Catalog([Entity("Red.Box", "r", "id", {"id": "id"}), Entity("Blue.Box", "b", "id", {"id": "id"})], lambda t: None)
+    for reason, call in {
+        "PARSE_ERROR": lambda: objectql.to_sql(TWO, "SELECT 1"),
+        "UNKNOWN_ENTITY": lambda: objectql.to_sql(TWO, "SELECT x FROM Nope x"),
+        "UNKNOWN_PROPERTY": lambda: objectql.to_sql(TWO, "SELECT a.nope FROM A a"),
+        "UNSUPPORTED_CONSTRUCT": lambda: objectql.to_sql(TWO, "SELECT a FROM A a WHERE a.id MEMBER OF a.b"),
+        "MISSING_PARAMETER": lambda: params.bind("a = ?", []),
+        "AMBIGUOUS_NAME": lambda: many.entity("Box"),
+    }.items():
+        with pytest.raises(ConversionError) as e:
+            call()
+        assert e.value.reason == reason
