@@ -57,6 +57,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20, lower:
         size += len(text)
     if start < len(texts):
         yield batch.slice(start), [x.lower() for x in texts[start:]] if lower else texts[start:]
+    pa.default_memory_pool().release_unused()  # workers are used again by later stages, and Arrow would keep what it freed
 
 
 def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:

@@ -157,9 +157,9 @@ def buckets(words: list[bytes], bits: int) -> np.ndarray:
 
 
 class WordCache:
-    """Rows of features per word, kept between slices of a task; emptied when `limit` words are held (some 50 MB)."""
+    """Rows of features per word, kept between slices of a task; emptied when `limit` words are held (some 30 MB)."""
 
-    def __init__(self, compute: Callable[[list[bytes]], np.ndarray], limit: int = 250_000):
+    def __init__(self, compute: Callable[[list[bytes]], np.ndarray], limit: int = 150_000):
         self.compute, self.limit, self.at, self.rows = compute, limit, {}, None
 
     def features(self, words: list[bytes]) -> np.ndarray:
