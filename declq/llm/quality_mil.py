@@ -17,7 +17,9 @@ from declq.llm.common import held_out
 
 PASSAGE = 64
 BITS, DIM, STATS, HIDDEN, GATE = 14, 16, 7, 24, 12
-EPOCHS, BATCH, RATE, SEED = 32, 32, 0.05, 5
+BATCH, RATE, SEED = 32, 0.05, 5
+#: Rows that training sees in all; passes over the sample at least and at most.
+SEEN, LEAST_PASSES, MOST_PASSES = 24_000, 8, 32
 #: Score from which a document is kept; the best cut of the calibration slice is moved there.
 KEEP_AT = 0.7
 #: Class of each byte in a word's shape: 0 capital, 1 other letter (or part of one), 2 digit, else the symbol itself.
@@ -138,7 +140,7 @@ class Mil:
 
 
 def fit(texts: list[bytes], y: np.ndarray) -> Mil | None:
-    """Train on four fifths of the sample until the rest stops improving, place the cut with the rest; None without rows of both classes."""
+    """Train on four fifths of the sample, place the cut with the rest; None without rows of both classes."""
     if len(y) < 8 or y.min() == y.max():
         return None
     net, rng = Mil(), np.random.default_rng(SEED)
@@ -148,11 +150,7 @@ def fit(texts: list[bytes], y: np.ndarray) -> Mil | None:
     cell_state = np.zeros_like(net.embedding)
     weight = np.where(y == 1, 0.5 / max(y[rows].mean(), 1e-3), 0.5 / max(1 - y[rows].mean(), 1e-3)).astype(np.float32)
     batches = [(some, Bag([texts[i] for i in some])) for some in np.array_split(rng.permutation(rows), max(len(rows) // BATCH, 1))]
-    held = np.flatnonzero(check)
-    checked = [Bag([texts[i] for i in some]) for some in np.array_split(held, max(len(held) // BATCH, 1))]
-    logits = lambda: np.concatenate([net.forward(bag)["logit"] for bag in checked])
-    parameters, patience, more = [net.embedding, *net.p.values()], nn.Patience(EPOCHS), True
-    while more:
+    for _ in range(nn.passes(len(rows), SEEN, LEAST_PASSES, MOST_PASSES)):
         for some, bag in (batches[i] for i in rng.permutation(len(batches))):
             f = net.forward(bag)
             error = ((nn.sigmoid(f["logit"]) - y[some]) * weight[some] / len(some)).astype(np.float32)
@@ -166,9 +164,8 @@ def fit(texts: list[bytes], y: np.ndarray) -> Mil | None:
             g_cells = np.stack([np.bincount(inverse.ravel(), np.tile(g_words[:, k], len(bag.at)), len(cells)) for k in range(DIM)], 1).astype(np.float32)
             cell_state[cells] += g_cells * g_cells
             net.embedding[cells] -= RATE * g_cells / (np.sqrt(cell_state[cells]) + 1e-6)
-        more = patience.goes_on(logits(), y[held], parameters)
-    patience.restore(parameters)
-    cut = nn.best_cut(logits(), y[held])
+    held = np.flatnonzero(check)
+    cut = nn.best_cut(net.forward(Bag([texts[i] for i in held]))["logit"], y[held])
     net.shift = float(np.log(KEEP_AT / (1 - KEEP_AT)) - cut)
     return net
 

@@ -19,7 +19,9 @@ from declq.llm.common import held_out
 BITS, DIM, FILTERS, WIDTHS = 18, 16, 16, (1, 2, 3)
 #: A bucket gets an embedding if so many texts of the sample use it; all others are zero, so chance words can't be learned.
 LEAST_TEXTS = 4
-EPOCHS, BATCH, RATE, SEED = 24, 32, 0.05, 11
+BATCH, RATE, SEED = 32, 0.05, 11
+#: Rows that training sees in all; passes over the sample at least and at most.
+SEEN, LEAST_PASSES, MOST_PASSES = 18_000, 6, 24
 #: Positions whose filter outputs are held at once.
 STRETCH = 1 << 18
 #: Least validation rows of each class for a language to get its own threshold; else the common one holds.
@@ -128,7 +130,7 @@ def guess_language(x: nn.Words) -> np.ndarray:
 
 
 def fit(texts: list[bytes], y: np.ndarray) -> ConvNet | None:
-    """Train on four fifths of the sample until the rest stops improving, and calibrate on the rest; None without rows of both classes."""
+    """Train on four fifths of the sample and calibrate on the rest; None without rows of both classes."""
     if len(y) < 8 or y.min() == y.max():
         return None
     rng = np.random.default_rng(SEED)
@@ -141,9 +143,7 @@ def fit(texts: list[bytes], y: np.ndarray) -> ConvNet | None:
     weight = np.where(y == 1, 0.5 / max(y[rows].mean(), 1e-3), 0.5 / max(1 - y[rows].mean(), 1e-3)).astype(np.float32)
     batches = [(some, nn.Words([lowered[i] for i in some])) for some in np.array_split(rows, max(len(rows) // BATCH, 1))]
     batches = [(some, x, net.rows_of(x.unique)) for some, x in batches]
-    held = np.flatnonzero(check)
-    parameters, patience, more = [net.embedding, net.bias, net.out, net.offset, *net.taps], nn.Patience(EPOCHS), True
-    while more:
+    for _ in range(nn.passes(len(rows), SEEN, LEAST_PASSES, MOST_PASSES)):
         for some, x, at in (batches[i] for i in rng.permutation(len(batches))):
             ids, starts = net.layout(x)
             vectors = net.embed(at)
@@ -178,11 +178,7 @@ def fit(texts: list[bytes], y: np.ndarray) -> ConvNet | None:
             state["embedding"][cells] += g_cells * g_cells
             net.embedding[cells] -= RATE * g_cells / (np.sqrt(state["embedding"][cells]) + 1e-6)
             net.embedding[0] = 0
-        if hasattr(net, "_cache"):
-            del net._cache  # of the vectors before this pass
-        more = patience.goes_on(net.logits([texts[i] for i in held]), y[held], parameters)
-    patience.restore(parameters)
-    del net._cache
+    held = np.flatnonzero(check)
     raw = net.logits([texts[i] for i in held])
     language, common = net._language, nn.best_f1_cut(raw, y[held])
     for k in range(len(LANGUAGES) + 1):
