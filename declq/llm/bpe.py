@@ -20,6 +20,11 @@ PIECE_CHARS = 1 << 16
 #: A match of the splitting pattern never crosses from a letter or digit to white space or a punctuation mark, so a cut there
 #: is safe. Only characters that every Unicode version sorts alike: Latin, Cyrillic, kana, Han, Hangul.
 SAFE_CUT = re.compile("(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])(?=[ \n.,;:!?\u3001\u3002\uff0c\uff01\uff1f])")
+#: Characters of a run of white space (the Unicode property that the pattern's \\s means) that is encoded apart, as the pattern's
+#: look-ahead goes back over a run letter by letter and breaks down on a million of them.
+RUN_CHARS = 4096
+LONG_RUN = re.compile(f"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{RUN_CHARS},}}")
+ONE_PIECE = "(?s:.+)"
 
 
 @lru_cache(maxsize=4)
@@ -46,10 +51,25 @@ def pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(encoding: tiktoken.Encoding, text: str) -> list[int]:
-    if len(text) <= PIECE_CHARS:
-        return encoding.encode_ordinary(text)
-    return [i for piece in pieces(text) for i in encoding.encode_ordinary(piece)]
+class Encoder:
+    """Encodes texts of any length. `pattern` must treat white space as the public patterns do: a run is one match, less its last
+    character where a character of another kind follows (`\\s+(?!\\S)|\\s+`), and no other match ends in white space."""
+
+    def __init__(self, ranks: bytes, pattern: str):
+        self.encoding, self._run = _encoding(ranks, pattern), _encoding(ranks, ONE_PIECE)
+
+    def ids(self, text: str) -> list[int]:
+        if len(text) <= PIECE_CHARS:
+            return self.encoding.encode_ordinary(text)
+        out, start = [], 0
+        for run in LONG_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))  # the last one goes with what follows it
+            out += self._plain(text[start : run.start()]) + self._run.encode_ordinary(text[run.start() : end])
+            start = end
+        return out + self._plain(text[start:])
+
+    def _plain(self, text: str) -> list[int]:
+        return [i for piece in pieces(text) for i in self.encoding.encode_ordinary(piece)]
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, output: str = "ids") -> DataFrame:
@@ -58,7 +78,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, output: str
     output="ids": the input's columns and `token_ids` array<int>, `decoded` binary (columns of these names are replaced).
     output="digest": doc_id, n_tokens, ids_sha256, decoded_sha256 only.
     Null text is empty; an empty text has no ids. Each row is handled by itself, so repeated rows and null ids stay.
-    One map over the scan, no shuffle; memory is one slice of a batch.
+    One map over the scan, no shuffle; memory is one slice of a batch. A long text is encoded a piece at a time: pieces end at
+    safe places, and long runs of white space are pieces of their own; letters or marks without any safe place stay one piece.
+    An empty table gives an empty one.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
@@ -71,12 +93,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, output: str
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields] + ["token_ids array<int>", "decoded binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(ranks.value, pattern)
+        encoder = Encoder(ranks.value, pattern)
+        encoding = encoder.encoding
         names = [str(i) for i in range(encoding.n_vocab)]
         sha = hashlib.sha256
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                ids = [encode(encoding, t.decode("utf-8", "replace")) for t in texts]
+                ids = [encoder.ids(t.decode("utf-8", "replace")) for t in texts]
                 back = [encoding.decode_bytes(x) for x in ids]
                 if digest:
                     yield pa.RecordBatch.from_arrays(
@@ -95,14 +118,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, output: str
 
 
 def encoded_lengths(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens of every row; null text has 0 tokens."""
+    """doc_id, n_tokens of every row; null text has 0 tokens, an empty table no rows. Long texts as in encode_documents."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(ranks.value, pattern)
+        encoder = Encoder(ranks.value, pattern)
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(encode(encoding, t.decode("utf-8", "replace"))) for t in texts], pa.int64())], ["doc_id", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(encoder.ids(t.decode("utf-8", "replace"))) for t in texts], pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")

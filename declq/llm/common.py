@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -41,6 +43,25 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df`, written as compressed Parquet to the shared folder and read again: for tables that a checkpoint would hold uncompressed.
+
+    The files go when the driver exits.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        if spark.sparkContext._jsc is not None:  # else the session is gone, and with it the way to the folder
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(remove)
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the decimal id decides the fold; a null id counts as held out, so nothing is learned from it."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(True))

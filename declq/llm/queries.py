@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declq.llm import bpe, decontamination, hmm, line_dedup, ngram_join, quality_mil, quality_rules, sharding, token_counts, toxicity
+from declq.llm import alignment, bpe, conversations, decontamination, fingerprints, hmm, line_dedup, ngram_join, oracles, quality_mil, quality_rules, sharding, token_counts, toxicity
 from declq.llm.common import SHINGLE, SIMILARITY, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,9 +59,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, output="digest")
 
 
-QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_line_dedup, op4_ngram_jaccard_join, op5_quality_classifier, op6_sharding, op7_token_counts, op8_lm_scoring, op9_benchmark_decontamination, op10_byte_bpe)
-}
+def op11_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return alignment.scored_links(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+_OPERATORS: tuple[Query, ...] = (
+    *(op1_toxicity, op2_quality_rules, op3_line_dedup, op4_ngram_jaccard_join, op5_quality_classifier, op6_sharding, op7_token_counts),
+    *(op8_lm_scoring, op9_benchmark_decontamination, op10_byte_bpe, op11_spotsigs_fingerprints, op12_tokenizer_alignment, op13_conversation_repair),
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _OPERATORS}
 
 _OP2_SQL = f"""
 WITH words AS (
@@ -112,4 +127,9 @@ SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
 FROM hits JOIN n USING (item_id) WHERE n_shared >= {SIMILARITY} * n_item
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _OP2_SQL, "op9_benchmark_decontamination": _OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": _OP2_SQL,
+    "op9_benchmark_decontamination": _OP9_SQL,
+    "op11_spotsigs_fingerprints": oracles.FINGERPRINTS,
+    "op13_conversation_repair": oracles.REPAIR,
+}

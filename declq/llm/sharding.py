@@ -19,8 +19,10 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = "shuffle-1") -> Da
     Rows of a source are ranked in the order of a seeded hash; the row of rank r (from 0) of n sits at (r + 1/2) / n.
     All rows are sorted by that fraction and cut into `shards` runs whose row counts differ by one at most; slot counts
     from 0 in each run. Ties in the fraction go by the row's hash, so no source always comes first.
-    Null text has size 1; null source is a source of its own; repeated rows stay separate rows.
-    Ranking never gathers a source in one task: rows are dealt by hash range, counted per range, and ranked inside it.
+    Null text has size 1; null source is a source of its own; repeated rows stay separate rows; of a long text only the size
+    and the checksum are shuffled; an empty table gives an empty one.
+    Ranking never gathers a source in one task: rows are dealt by hash range, counted per range, and ranked inside it. The
+    order of the whole is ranked the same way, by ranges of (fraction, hash).
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -34,6 +36,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = "shuffle-1") -> Da
     ranges = LEAST_RANGES
     while ranges * ROWS_PER_RANGE < n:
         ranges *= 2
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_RANGE))
     ranged = rows.withColumn("r", F.pmod(F.shiftright("h", 20), F.lit(ranges)).cast("int"))
     before = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("source")
@@ -42,7 +45,9 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = "shuffle-1") -> Da
     inside = Window.partitionBy("source", "r").orderBy("h", "doc_id", "text_crc32", "size")
     ranked = ranged.withColumn("k", F.row_number().over(inside))
     placed = ranked.join(counts, ranked.source.eqNullSafe(counts.s) & (ranked.r == counts.q)).withColumn("fraction", (F.col("base") + F.col("k") - F.lit(0.5)) / F.col("n"))
-    placed = cut(placed.select("doc_id", "source", "size", "text_crc32", "h", "fraction", F.least(F.floor(F.col("fraction") * ranges), F.lit(ranges - 1)).cast("int").alias("g")))
+    placed = placed.select("doc_id", "source", "size", "text_crc32", "h", "fraction")
+    # Ranges of the whole order: many sources of one row share the fraction 1/2, but not the hash.
+    placed = cut(placed.repartitionByRange(parts, "fraction", "h", "source", "doc_id", "text_crc32", "size").withColumn("g", F.spark_partition_id()))
     cells = placed.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     cells = cells.select(F.col("g").alias("cell"), F.coalesce(F.sum("c").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     order = Window.partitionBy("g").orderBy("fraction", "h", "source", "doc_id", "text_crc32", "size")
