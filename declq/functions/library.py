@@ -1,4 +1,4 @@
-"""Methods of the expression language that queries call: String, Math, dates and Optional, as Column builders.
+"""Methods of the expression language that queries call: String, Math, dates, Optional, List, Set and Map, as Column builders.
 
 call("substring", s, 1, 3) is s.substring(1, 3): the scope comes first, arguments may be values or Columns, positions count
 from 0. A null scope or argument gives null, where the language would fail. The list is closed; another name is an error.
@@ -73,7 +73,37 @@ OPTIONAL: dict[str, Callable[..., Column]] = {
     "isEmpty": lambda x: x.isNull(),
     "orElse": lambda x, other: F.coalesce(x, other),
 }
-KINDS = {"String": STRING, "Math": MATH, "LocalDate": DATE, "Optional": OPTIONAL}
+#: Lists are arrays and are never changed: what adds or removes gives the new list. A position outside the list gives null.
+LIST: dict[str, Callable[..., Column]] = {
+    "size": F.size,
+    "isEmpty": lambda x: F.size(x) == 0,
+    "get": lambda x, i: F.get(x, i),
+    "getFirst": lambda x: F.get(x, F.lit(0)),
+    "getLast": lambda x: F.get(x, F.size(x) - 1),
+    "contains": lambda x, v: F.coalesce(F.exists(x, lambda y: y.eqNullSafe(v)), F.lit(False)),
+    "containsAll": lambda x, y: F.size(F.array_except(y, x)) == 0,
+    "indexOf": lambda x, v: F.coalesce(F.array_position(x, v), F.lit(0)) - 1,
+    "lastIndexOf": lambda x, v: F.when(F.array_contains(x, v), F.size(x) - F.array_position(F.reverse(x), v)).otherwise(F.lit(-1)),
+    "subList": lambda x, begin, end: F.when((begin >= 0) & (begin <= end) & (end <= F.size(x)), F.slice(x, begin + 1, end - begin)),
+    "add": lambda x, v: F.concat(x, F.array(v)),
+    "addAll": lambda x, y: F.concat(x, y),
+    "removeAll": lambda x, y: F.filter(x, lambda v: ~F.coalesce(F.array_contains(y, v), F.lit(False))),
+    "reversed": F.reverse,
+}
+#: Maps likewise; a key that is missing gives null.
+MAP: dict[str, Callable[..., Column]] = {
+    "size": F.size,
+    "isEmpty": lambda m: F.size(m) == 0,
+    "get": lambda m, k: F.try_element_at(m, k),
+    "getOrDefault": lambda m, k, other: F.when(F.map_contains_key(m, k), F.try_element_at(m, k)).otherwise(other),
+    "containsKey": lambda m, k: F.map_contains_key(m, k),
+    "containsValue": lambda m, v: F.exists(F.map_values(m), lambda x: x.eqNullSafe(v)),
+    "keySet": F.map_keys,
+    "values": F.map_values,
+    "put": lambda m, k, v: F.map_concat(F.map_filter(m, lambda x, _: x != k), F.create_map(k, v)),
+    "remove": lambda m, k: F.map_filter(m, lambda x, _: x != k),
+}
+KINDS = {"String": STRING, "Math": MATH, "LocalDate": DATE, "Optional": OPTIONAL, "List": LIST, "Set": LIST, "Map": MAP}
 
 
 def call(kind: str, name: str, *args: Any) -> Column:

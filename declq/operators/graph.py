@@ -35,17 +35,19 @@ def reachable_without(edges: DataFrame, entry: DataFrame, excluded: DataFrame) -
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) for every path of one edge or more, by doubling: rounds grow with the logarithm of the longest path."""
-    paths = cut(edges.select("src", "dst").distinct())
-    size = paths.count()
+    """(src, dst) for every path of one edge or more. A round leads the pairs that the last one found one edge on and keeps the new ones.
+
+    The result has a row for every pair that is connected; where that is too many, ask `reachable` from some nodes instead.
+    """
+    steps = cut(edges.select(F.col("src").alias("mid"), F.col("dst").alias("far")).distinct())
+    fresh = steps.select(F.col("mid").alias("src"), F.col("far").alias("dst"))
+    found = fresh
     while True:
-        second = paths.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
-        longer = paths.join(second, paths.dst == second.mid).select("src", F.col("far").alias("dst"))
-        paths = cut(paths.unionByName(longer).distinct())
-        now = paths.count()
-        if now == size:
-            return paths
-        size = now
+        longer = fresh.join(steps, F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst")).distinct()
+        fresh = cut(longer.join(found, ["src", "dst"], "left_anti"))
+        if fresh.isEmpty():
+            return found
+        found = found.unionByName(fresh)  # every pair is written once
 
 
 def _least_reaching(edges: DataFrame) -> DataFrame:

@@ -13,6 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from declq.checkpoint import cut
+from declq.operators.ranges import number_rows
+
+#: Values or partial results that a fold with a combiner holds in one row; distinct values that a comparator sorts in one row; values
+#: that are sampled for each splitter.
+FOLD, BUCKET, OVERSAMPLED = 4096, 4096, 8
 Fn = Callable[[Column], Column]
 _REGISTRY: dict[str, Callable[..., Any]] = {}
 
@@ -134,11 +140,35 @@ class Pipeline:
             by = _backward(by, self.df.select(by).schema[0].dataType)
         return self._of(self.df.withColumn(self.K, F.struct(by.alias("by"), F.col(self.K).alias("then"))))
 
+    def sorted_with(self, compare: Callable[[Column, Column], Column], per_bucket: int = BUCKET) -> Pipeline:
+        """Stable order of any comparator: compare(a, b) is a number, below, equal to or above 0.
+
+        A comparator has no sort key, so the values are dealt by it: about one value in `per_bucket`, sorted with it, are
+        splitters; a value goes behind all splitters that are not above it, and each bucket is sorted with the comparator. A
+        bucket is one row of about `per_bucket` values, equal values counted together. Values may not be null.
+        """
+        kinds = self.df.groupBy(self.V).agg(F.count(F.lit(1)).alias("n")).select(self.V)
+        kinds = cut(kinds)
+        total = kinds.count()
+        share = min(OVERSAMPLED * (total // per_bucket) / max(total, 1), 1.0)
+        sign = lambda a, b: F.when(_call(compare, a, b) < 0, -1).when(compare(a, b) > 0, 1).otherwise(0)
+        some = kinds.sample(share, seed=1) if share else kinds.where(F.lit(False))
+        ranked = cut(some.agg(F.array_sort(F.collect_list(self.V), sign).alias("all")))
+        splitters = ranked.select(F.filter("all", lambda x, i: i % OVERSAMPLED == OVERSAMPLED - 1)).scalar()
+        bucket = F.size(F.filter(F.col("_splitters"), lambda s: sign(s, self.v) <= 0))
+        buckets = kinds.withColumn("_splitters", splitters).select(self.V, bucket.alias("bucket")).groupBy("bucket").agg(F.array_sort(F.collect_list(self.V), sign).alias("all"))
+        # Values that compare as equal share a rank, so that their old order decides.
+        step = lambda a, x: F.struct(F.array_append(a["ranks"], F.when(F.size(a["ranks"]) == 0, 0).otherwise(F.element_at(a["ranks"], -1) + F.when(sign(a["last"], x) == 0, 0).otherwise(1))).alias("ranks"), x.alias("last"))
+        ranks = F.aggregate("all", F.struct(F.array().cast("array<int>").alias("ranks"), F.get("all", F.lit(0)).alias("last")), step)["ranks"]
+        placed = buckets.select("bucket", F.explode(F.arrays_zip(F.col("all"), ranks.alias("ranks"))).alias("x")).select(F.col("x.all").alias("_of"), F.struct("bucket", F.col("x.ranks").alias("rank")).alias("by"))
+        joined = self.df.join(placed, self.v == F.col("_of"))
+        return self._of(joined.withColumn(self.K, F.struct("by", F.col(self.K).alias("then"))))
+
     def limit(self, n: int) -> Pipeline:
         return self._of(self.df.orderBy(self.K).limit(n))
 
     def skip(self, n: int) -> Pipeline:
-        """Rows above the n-th key: only the first n keys are sorted, never all rows in one task."""
+        """Rows above the n-th key. The first n keys are sorted apart, so n should be small against all rows."""
         if n <= 0:
             return self
         last = self.df.select(F.col(self.K).alias("k")).orderBy("k").limit(n).agg(F.max("k").alias("stop"), F.count(F.lit(1)).alias("skipped"))
@@ -206,20 +236,16 @@ class Pipeline:
     def reduce(self, op: Callable[[Column, Column], Column], identity: Any = None, combine: Callable[[Column, Column], Column] | None = None, finish: Fn | None = None) -> DataFrame:
         """Ordered fold. Without identity an empty input is null.
 
-        With `combine`, which joins two partial results (op itself if it is associative), ranges of the order are folded
-        apart, and only a result a partition meets the others. Without it any operation is right, but all values meet in
-        one row. `finish` is applied to the result. A combiner needs an identity.
+        With `combine`, which joins two partial results (op itself if it is associative), stretches of FOLD values are folded
+        apart, and FOLD partial results at a time until one is left: no row holds more than FOLD. Without it any operation is
+        right, but all values meet in one row. `finish` is applied to the result. A combiner needs an identity.
         """
         if combine is not None and identity is None:
             raise TypeError("reduce with a combiner needs an identity")
         kind = self.df.schema[self.V].dataType
         if combine is not None:
-            dealt = self.df.repartitionByRange(self.K).withColumn("part", F.spark_partition_id())
-            pairs = F.sort_array(F.collect_list(F.struct(F.col(self.K).alias("k"), F.col(self.V).alias("v"))))
-            each = dealt.groupBy("part").agg(F.min(self.K).alias("k"), F.aggregate(pairs, F.lit(identity), lambda a, x: op(a, x["v"])).alias("v"))
-            parts = each.agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("list"))
-            folded = F.aggregate("list", F.lit(identity), lambda a, x: combine(a, x["v"]))
-            return parts.select((finish(folded) if finish else folded).alias("reduced"))
+            folded = self._tree(op, identity, combine)
+            return folded.select((finish(F.col("v")) if finish else F.col("v")).alias("reduced"))
         values = self.to_list().select(F.col("list"))
         if identity is None:
             folded = F.aggregate(F.slice("list", F.lit(2), F.greatest(F.size("list") - 1, F.lit(0))), F.get("list", F.lit(0)), lambda a, x: op(a, x).cast(kind))
@@ -227,10 +253,35 @@ class Pipeline:
             folded = F.aggregate("list", F.lit(identity), lambda a, x: op(a, x))
         return values.select((finish(folded) if finish else folded).alias("reduced"))
 
-    def collect(self, supplier: Column, accumulator: Callable[[Column, Column], Column]) -> DataFrame:
-        """Any ordered accumulation; all values meet in one row."""
+    def _tree(self, op: Callable[[Column, Column], Column], identity: Any, combine: Callable[[Column, Column], Column]) -> DataFrame:
+        """(v): the fold of all values, one row, also of none. Values are numbered over ranges of the order, never in one task."""
+        start = identity if isinstance(identity, Column) else F.lit(identity)
+        ordered = F.sort_array(F.collect_list(F.struct("at", "v")))
+        level = lambda at: F.floor((F.col(at) - 1) / FOLD) + 1
+        numbered = number_rows(self.df.select(F.col(self.V).alias("v"), F.col(self.K).alias("k")), [], ["k"])
+        parts = numbered.withColumn("at", F.col("number")).groupBy(level("number").alias("place")).agg(F.aggregate(ordered, start, lambda a, x: op(a, x["v"])).alias("v"))
+        left = self.df.count()
+        while left > FOLD:
+            left = -(-left // FOLD)
+            parts = parts.withColumnRenamed("place", "at").groupBy(level("at").alias("place")).agg(F.aggregate(ordered, start, lambda a, x: combine(a, x["v"])).alias("v"))
+        last = parts.withColumnRenamed("place", "at").agg(ordered.alias("list"))
+        return last.select(F.aggregate("list", start, lambda a, x: combine(a, x["v"])).alias("v"))
+
+    def collect(self, supplier: Column, accumulator: Callable[[Column, Column], Column], combiner: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+        """Any ordered accumulation. With a combiner of two states as in reduce; without one all values meet in one row."""
+        if combiner is not None:
+            return self._tree(accumulator, supplier, combiner).select(F.col("v").alias("collected"))
         return self.to_list().select(F.aggregate("list", supplier, accumulator).alias("collected"))
 
+    def listed(self) -> DataFrame:
+        """(place, value): the list as rows, places from 0 in order. No task holds all of them."""
+        return number_rows(self.df, [], [self.K]).select((F.col("number") - 1).alias("place"), self.V)
+
+    def grouped(self, key: Fn) -> DataFrame:
+        """(group, place, value): the lists of group_by as rows; no task holds a group."""
+        rows = self.df.withColumn("group", _call(key, self.v))
+        return number_rows(rows, ["group"], [self.K]).select("group", (F.col("number") - 1).alias("place"), self.V)
+
     def group_by(self, key: Fn) -> DataFrame:
         pairs = F.sort_array(F.collect_list(F.struct(F.col(self.K).alias("k"), F.col(self.V).alias("v"))))
         return self.df.groupBy(key(self.v).alias("group")).agg(F.transform(pairs, lambda x: x["v"]).alias("values"))

@@ -36,6 +36,15 @@ class Relation:
         return "left" if self.optional or self.many else "inner"
 
 
+@dataclass(frozen=True)
+class Parent:
+    """Joined inheritance: the parent's row has the value of `column` of this entity's table in its column `referenced`."""
+
+    entity: str
+    column: str
+    referenced: str
+
+
 @dataclass(frozen=True)
 class Entity:
     name: str
@@ -44,6 +53,7 @@ class Entity:
     columns: Mapping[str, str] = field(default_factory=dict)
     relations: Mapping[str, Relation] = field(default_factory=dict)
     discriminator: tuple[str, str] | None = None
+    parent: Parent | None = None
 
     def __post_init__(self) -> None:
         if not self.table:
@@ -80,10 +90,16 @@ class Catalog:
         return ends[0]
 
     def frame(self, entity: str | Entity) -> DataFrame:
-        """The entity's rows: its table, less other types of a shared table."""
+        """The entity's rows: its table, less other types of a shared table, with the parents' columns that it doesn't have itself."""
         e = entity if isinstance(entity, Entity) else self.entity(entity)
         df = self._load(e.table)
-        return df.where(df[e.discriminator[0]] == e.discriminator[1]) if e.discriminator else df
+        df = df.where(df[e.discriminator[0]] == e.discriminator[1]) if e.discriminator else df
+        if not e.parent:
+            return df
+        above = self.frame(e.parent.entity)
+        own = {c.lower() for c in df.columns}
+        joined = df.join(above, df[e.parent.column] == above[e.parent.referenced])
+        return joined.select(*[df[c] for c in df.columns], *[above[c] for c in above.columns if c.lower() not in own])
 
     def relation(self, entity: Entity, prop: str) -> Relation:
         """The relation with its column filled in (default: property and _id)."""

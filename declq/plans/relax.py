@@ -40,12 +40,26 @@ def relaxed(catalog: Catalog, entity_name: str, name: str, keep: Collection[str]
     return df.where(any_all(conditions(replace(method, where=tuple(parts)), entity, df, taken))), dropped
 
 
-def sample_arguments(catalog: Catalog, entity_name: str, name: str, order: str, **options: Any) -> DataFrame:
-    """One row: for each dropped condition a value of its column, from the first row of the relaxed query by property `order`."""
-    rows, dropped = relaxed(catalog, entity_name, name, **options)
+def sample_arguments(catalog: Catalog, entity_name: str, name: str, order: str, rows: int = 1, **options: Any) -> DataFrame:
+    """For each dropped condition a value of its column, from the first `rows` rows of the relaxed query by property `order`."""
+    found, dropped = relaxed(catalog, entity_name, name, **options)
     entity = catalog.entity(entity_name)
-    columns: list[Column] = [column_of(entity, rows, c.prop).alias(c.prop) for c in dropped]
-    return ordered(rows, [(column_of(entity, rows, order), False)]).limit(1).select(*columns)
+    columns: list[Column] = [column_of(entity, found, c.prop).alias(c.prop) for c in dropped]
+    return ordered(found, [(column_of(entity, found, order), False)]).limit(rows).select(*columns)
+
+
+def matching(catalog: Catalog, entity_name: str, arguments: DataFrame) -> DataFrame:
+    """The entity's rows that have the values of any row of `arguments` (columns named by properties, see sample_arguments).
+
+    The correlated look-up of later calls: one semi-join for all argument rows, nulls being equal; no row comes twice.
+    """
+    entity = catalog.entity(entity_name)
+    rows = catalog.frame(entity)
+    wanted = arguments.select(*[F.col(c).alias(f"argument {c}") for c in arguments.columns])
+    on: Column = F.lit(True)
+    for c in arguments.columns:
+        on &= column_of(entity, rows, c).eqNullSafe(F.col(f"`argument {c}`"))
+    return rows.join(wanted, on, "left_semi")
 
 
 def hit_and_miss(catalog: Catalog, entity_name: str, name: str) -> DataFrame:

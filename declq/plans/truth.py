@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from declq.operators.ranges import small_side
 from declq.plans.catalog import ConversionError
 
 _TOKEN = re.compile(r"""\s*(&&|\|\||==|!=|<=|>=|[<>!()+*/%,.-]|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)'|\d+(?:\.\d+)?[lLfFdD]?|[A-Za-z_$][\w$]*)""")
@@ -149,7 +150,7 @@ def conditions(n: Node) -> list[Node]:
 def domains(n: Node, width: int | None = None) -> dict[str, list[Any]]:
     """Values of each variable: from the literals it is compared with, else booleans, else integers that can be told apart.
 
-    Numbers: every literal and its neighbours. Strings: the literals and the empty string. Enums: the constants and another
+    A variable that is compared with literals of different kinds is an error. Numbers: every literal and its neighbours. Strings: the literals and the empty string. Enums: the constants and another
     one. A variable that is only asked for isEmpty() is an empty or a filled list; one that is compared with null has null
     besides its other values (or a text, if it has none).
     """
@@ -163,6 +164,9 @@ def domains(n: Node, width: int | None = None) -> dict[str, list[Any]]:
         lits = [a.args[0] for x in mine for a in x.args if a.op == "lit"]
         enums = [a.args[0] for x in mine for a in x.args if a.op == "enum"]
         given = list(dict.fromkeys(v for v in lits if v is not None))
+        kinds = {"enum" for _ in enums} | {"text" if isinstance(v, str) else "boolean" if isinstance(v, bool) else "number" for v in given}
+        if len(kinds) > 1:
+            raise ConversionError("UNSUPPORTED_CONSTRUCT", f"{name} is compared with {' and '.join(sorted(kinds))} literals")
         if enums:
             values: list[Any] = [*dict.fromkeys(enums), enums[0].partition(".")[0] + ".OTHER"]
         elif any(isinstance(v, bool) for v in given):
@@ -239,6 +243,23 @@ def table(spark: SparkSession, text: str, given: Mapping[str, Sequence[Any]] | N
     return df.withColumn("result", _logical(n, lists))
 
 
+def located(df: DataFrame, rows: DataFrame, bindings: Mapping[str, Column]) -> DataFrame:
+    """`rows` with the variables, bound to columns, and the `result` of the truth table's row that they fall in.
+
+    Rows whose values are in no row of the table (outside the domains or the constraints) are left out. The table's size is
+    fixed by the condition; it is counted and broadcast if small, so the rows are read once, without a shuffle.
+    """
+    names = [c for c in df.columns if c != "result"]
+    if set(names) != set(bindings):
+        raise ValueError(f"bindings for {sorted(names)} are needed, not for {sorted(bindings)}")
+    cases = df.select(*[F.col(f"`{c}`").alias(f"case {c}") for c in names], "result")
+    on: Column = F.lit(True)
+    for c in names:
+        on &= F.col(f"`{c}`").eqNullSafe(F.col(f"`case {c}`"))
+    bound = rows.withColumns({c: bindings[c] for c in names})
+    return bound.join(small_side(cases), on).drop(*[f"case {c}" for c in names])
+
+
 def satisfying(df: DataFrame, value: bool = True) -> DataFrame:
     return df.where(F.col("result") == F.lit(value))
 

@@ -9,9 +9,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from declq.checkpoint import cut
 from declq.functions import library, naming, scalar
 from declq.operators import graph, report
 from declq.operators.pipeline import Pipeline
+from declq.operators.ranges import number_rows
 from declq.plans import native, objectql, relax, truth
 from declq.plans.catalog import Catalog, Entity, Relation
 from declq.plans.derive import derive
@@ -176,9 +178,14 @@ def _text(is_native: bool, text: str, args: Any) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         if not is_native:
             return objectql.run(spark, catalog(spark, folder), text, args)
-        for table in ("orders", "customer", "nation"):
+        tables = ("orders", "customer", "nation")
+        for table in tables:
             parquet(spark, folder, table).createOrReplaceTempView(table)
-        return native.run(spark, text, args)
+        try:
+            return native.run(spark, text, args)  # analysed here, so the views have served
+        finally:
+            for table in tables:
+                spark.catalog.dropTempView(table)
 
     return run
 
@@ -296,29 +303,33 @@ for _name, _run, _sql in _PIPELINES:
 
 # --- scalar expressions ----------------------------------------------------------------------------------------------
 
-_PAIRS = "VALUES (1, 1, 'a'), (2, CAST(NULL AS INT), NULL), (CAST(NULL AS INT), CAST(NULL AS INT), 'c'), (-7, 2, 'd'), (7, -2, 'e'), (5, 0, 'f')"
+#: Small numbers of both signs, zeros and nulls, and short texts, from every part: in both engines' SQL.
+_A = "CAST(nullif(p_partkey % 19 - 9, 4) AS INT)"
+_B = "CAST(nullif(p_size % 7 - 3, 2) AS INT)"
+_S = "CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN CAST(p_size AS VARCHAR(9)) ELSE substr(p_name, 1, CAST(p_partkey % 4 AS INT)) END"
+_PAIRS = f"SELECT p_partkey, {_A} AS a, {_B} AS b, {_S} AS s FROM part"
 
 
-def _pairs(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {_PAIRS} AS t(a, b, s)")
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return parquet(spark, folder, "part").selectExpr("p_partkey", f"{_A} AS a", f"{_B} AS b", f"{_S} AS s")
 
 
-@query("e_null_safe_eq", f"SELECT a, b, a IS NOT DISTINCT FROM b AS eq, a IS DISTINCT FROM b AS ne FROM ({_PAIRS}) t(a, b, s)")
+@query("e_null_safe_eq", f"SELECT a, b, a IS NOT DISTINCT FROM b AS eq, a IS DISTINCT FROM b AS ne FROM ({_PAIRS}) t")
 def e_null_safe_eq(spark: SparkSession, folder: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    return _pairs(spark).select("a", "b", scalar.equal(a, b).alias("eq"), scalar.not_equal(a, b).alias("ne"))
+    return _pairs(spark, folder).select("a", "b", scalar.equal(a, b).alias("eq"), scalar.not_equal(a, b).alias("ne"))
 
 
-@query("e_truthy_logic", f"SELECT a, b, coalesce(a > 0, false) AND coalesce(b > 0, false) AS both, coalesce(a > 0, false) OR coalesce(b > 0, false) AS either, NOT coalesce(a > 0, false) AS neg FROM ({_PAIRS}) t(a, b, s)")
+@query("e_truthy_logic", f"SELECT a, b, coalesce(a > 0, false) AND coalesce(b > 0, false) AS both, coalesce(a > 0, false) OR coalesce(b > 0, false) AS either, NOT coalesce(a > 0, false) AS neg FROM ({_PAIRS}) t")
 def e_truthy_logic(spark: SparkSession, folder: str) -> DataFrame:
     a, b = F.col("a") > 0, F.col("b") > 0
-    return _pairs(spark).select("a", "b", scalar.both(a, b).alias("both"), scalar.either(a, b).alias("either"), scalar.negate(a).alias("neg"))
+    return _pairs(spark, folder).select("a", "b", scalar.both(a, b).alias("both"), scalar.either(a, b).alias("either"), scalar.negate(a).alias("neg"))
 
 
-@query("e_int_arith", f"SELECT a, b, a + b AS plus, a - b AS minus, a * b AS times, CASE WHEN b <> 0 THEN a // b END AS quot, CASE WHEN b <> 0 THEN a % b END AS rest FROM ({_PAIRS}) t(a, b, s)")
+@query("e_int_arith", f"SELECT a, b, a + b AS plus, a - b AS minus, a * b AS times, CASE WHEN b <> 0 THEN a // b END AS quot, CASE WHEN b <> 0 THEN a % b END AS rest FROM ({_PAIRS}) t")
 def e_int_arith(spark: SparkSession, folder: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    return _pairs(spark).select("a", "b", *[scalar.arith(op, a, b, ("int", "int")).alias(n) for op, n in (("+", "plus"), ("-", "minus"), ("*", "times"), ("/", "quot"), ("%", "rest"))])
+    return _pairs(spark, folder).select("a", "b", *[scalar.arith(op, a, b, ("int", "int")).alias(n) for op, n in (("+", "plus"), ("-", "minus"), ("*", "times"), ("/", "quot"), ("%", "rest"))])
 
 
 @query("e_mixed_arith", "SELECT p_partkey, p_size * p_retailprice AS times, p_retailprice / p_size AS quot, p_size // 7 AS whole, p_size % 7 AS rest, -p_size AS neg, p_retailprice > p_size AS more FROM part")
@@ -343,40 +354,41 @@ def e_math_dates(spark: SparkSession, folder: str) -> DataFrame:
     return parquet(spark, folder, "orders").select("o_orderkey", *[x.alias(n) for n, x in columns.items()])
 
 
-@query("e_optional_instance", f"SELECT a, coalesce(a, -1) AS value, a IS NOT NULL AS present, a IS NOT NULL AS whole, false AS text FROM ({_PAIRS}) t(a, b, s)")
+@query("e_optional_instance", f"SELECT a, coalesce(a, -1) AS value, a IS NOT NULL AS present, a IS NOT NULL AS whole, false AS text FROM ({_PAIRS}) t")
 def e_optional_instance(spark: SparkSession, folder: str) -> DataFrame:
     a = F.col("a")
-    return _pairs(spark).select("a", library.call("Optional", "orElse", a, -1).alias("value"), library.call("Optional", "isPresent", a).alias("present"), scalar.instance_of(a, "int").alias("whole"), scalar.instance_of(a, "string").alias("text"))
+    return _pairs(spark, folder).select("a", library.call("Optional", "orElse", a, -1).alias("value"), library.call("Optional", "isPresent", a).alias("present"), scalar.instance_of(a, "int").alias("whole"), scalar.instance_of(a, "string").alias("text"))
 
 
-@query("e_concat_null", f"SELECT coalesce(s, 'null') || coalesce(CAST(a AS VARCHAR), 'null') AS joined FROM ({_PAIRS}) t(a, b, s)")
+@query("e_concat_null", f"SELECT coalesce(s, 'null') || coalesce(CAST(a AS VARCHAR), 'null') AS joined FROM ({_PAIRS}) t")
 def e_concat_null(spark: SparkSession, folder: str) -> DataFrame:
-    return _pairs(spark).select(scalar.concat(F.col("s"), F.col("a")).alias("joined"))
+    return _pairs(spark, folder).select(scalar.concat(F.col("s"), F.col("a")).alias("joined"))
 
 
-@query("e_compare", f"SELECT a, b, CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN a < b THEN -1 WHEN a > b THEN 1 WHEN a = b THEN 0 END AS sign FROM ({_PAIRS}) t(a, b, s)")
+@query("e_compare", f"SELECT a, b, CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN a < b THEN -1 WHEN a > b THEN 1 WHEN a = b THEN 0 END AS sign FROM ({_PAIRS}) t")
 def e_compare(spark: SparkSession, folder: str) -> DataFrame:
-    return _pairs(spark).select("a", "b", scalar.compare(F.col("a"), F.col("b")).alias("sign"))
+    return _pairs(spark, folder).select("a", "b", scalar.compare(F.col("a"), F.col("b")).alias("sign"))
 
 
-@query("e_ternary_item", f"SELECT a, CASE WHEN coalesce(a > 1, false) THEN 'yes' ELSE 'no' END AS choice, CASE WHEN a = 1 THEN 20 END AS item FROM ({_PAIRS}) t(a, b, s)")
+@query("e_ternary_item", f"SELECT a, CASE WHEN coalesce(a > 1, false) THEN 'yes' ELSE 'no' END AS choice, CASE WHEN a = 1 THEN 20 END AS item FROM ({_PAIRS}) t")
 def e_ternary_item(spark: SparkSession, folder: str) -> DataFrame:
     array = F.array(F.lit(10), F.lit(20))
     at = F.when(F.col("a") == 1, F.lit(1)).otherwise(F.lit(9))
-    return _pairs(spark).select("a", scalar.choose(F.col("a") > 1, F.lit("yes"), F.lit("no")).alias("choice"), scalar.item(array, at).alias("item"))
+    return _pairs(spark, folder).select("a", scalar.choose(F.col("a") > 1, F.lit("yes"), F.lit("no")).alias("choice"), scalar.item(array, at).alias("item"))
 
 
-@query("e_empty_parse", f"SELECT s, coalesce(length(s) = 0, true) AS empty, try_cast(s AS INTEGER) IS NOT NULL AS number FROM ({_PAIRS}) t(a, b, s)")
+@query("e_empty_parse", f"SELECT s, coalesce(length(s) = 0, true) AS empty, try_cast(s AS INTEGER) IS NOT NULL AS number FROM ({_PAIRS}) t")
 def e_empty_parse(spark: SparkSession, folder: str) -> DataFrame:
-    return _pairs(spark).select("s", scalar.is_empty(F.col("s"), "string").alias("empty"), scalar.parses_as(F.col("s"), "int").alias("number"))
+    return _pairs(spark, folder).select("s", scalar.is_empty(F.col("s"), "string").alias("empty"), scalar.parses_as(F.col("s"), "int").alias("number"))
 
 
-_NAMES = "VALUES ('userID'), ('address2Line'), ('orderTotalPrice'), ('plain')"
+_CAMEL = "concat('part', upper(substr(p_name, 1, 1)), substr(p_name, 2, 3), CASE p_size % 3 WHEN 0 THEN 'ID' WHEN 1 THEN '2Line' ELSE 'TotalPrice' END)"
+_NAMES = f"SELECT p_partkey, {_CAMEL} AS name FROM part"
 
 
-@query("e_snake_case", f"SELECT name, lower(regexp_replace(name, '([a-z])([A-Z]+)', '\\1_\\2', 'g')) AS snake, lower(regexp_replace(name, '([A-Z])', '_\\1', 'g')) AS each FROM ({_NAMES}) t(name)")
+@query("e_snake_case", f"SELECT name, lower(regexp_replace(name, '([a-z])([A-Z]+)', '\\1_\\2', 'g')) AS snake, lower(regexp_replace(name, '([A-Z])', '_\\1', 'g')) AS each FROM ({_NAMES}) t")
 def e_snake_case(spark: SparkSession, folder: str) -> DataFrame:
-    names = spark.sql(f"SELECT * FROM {_NAMES} AS t(name)")
+    names = parquet(spark, folder, "part").selectExpr(f"{_CAMEL} AS name")
     return names.select("name", naming.snake_column(F.col("name")).alias("snake"), naming.snake_each_column(F.col("name")).alias("each"))
 
 
@@ -387,64 +399,88 @@ def _counts(df: DataFrame) -> DataFrame:
     return df.groupBy("result").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _cross(n: int, names: str) -> str:
-    return ", ".join(f"range({n}) t{c}({c})" for c in names)
+#: Variables of conditions as columns of part: digits of its size and key, texts and lists by remainders, in both engines' SQL.
+_DIGITS = {"a": "p_size", "b": "p_partkey", "c": "p_size // 10", "d": "p_partkey // 10"}
+_CASES = {
+    "name": "CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'T' END",
+    "letter": "CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'b' ELSE 'c' END",
+    "letter or null": "CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'x' WHEN 2 THEN NULL ELSE 'y' END",
+    "age": "16 + p_size % 5",
+    "status": "CASE WHEN p_size % 2 = 0 THEN 'Status.OPEN' ELSE 'Status.OTHER' END",
+}
 
 
-@query("b_truth_ineq", f"SELECT a > b AND c = d AS result, count(*) AS n FROM {_cross(4, 'abcd')} GROUP BY 1")
+def _digits_sql(n: int, names: str) -> str:
+    """Part with digits to the base n as variables."""
+    return "(SELECT p_partkey, " + ", ".join(f"({_DIGITS[x]}) % {n} AS {x}" for x in names) + " FROM part)"
+
+
+def _located(spark: SparkSession, folder: str, table: DataFrame, base: int = 0, **cases: str) -> DataFrame:
+    """Parts with the row of a truth table that each falls in; variables are digits to a base or cases."""
+    bindings = {x: F.expr(f"CAST(({_DIGITS[x]}) % {base} AS INT)".replace("//", "div")) for x in table.columns if base and x in _DIGITS}
+    bindings |= {x: F.expr(_CASES[c]) for x, c in cases.items()}
+    return truth.located(table, parquet(spark, folder, "part").select("p_partkey", "p_size"), bindings)
+
+
+@query("b_truth_ineq", f"SELECT a > b AND c = d AS result, count(*) AS n FROM {_digits_sql(4, 'abcd')} GROUP BY 1")
 def b_truth_ineq(spark: SparkSession, folder: str) -> DataFrame:
-    return _counts(truth.table(spark, "a > b && c == d", width=4))
+    return _counts(_located(spark, folder, truth.table(spark, "a > b && c == d", width=4), 4))
 
 
-@query("b_truth_chain", f"SELECT a >= b AND b >= c AS result, count(*) AS n FROM {_cross(3, 'abc')} GROUP BY 1")
+@query("b_truth_chain", f"SELECT a >= b AND b >= c AS result, count(*) AS n FROM {_digits_sql(3, 'abc')} GROUP BY 1")
 def b_truth_chain(spark: SparkSession, folder: str) -> DataFrame:
-    return _counts(truth.table(spark, "a >= b && b >= c"))
+    return _counts(_located(spark, folder, truth.table(spark, "a >= b && b >= c"), 3))
 
 
-@query("b_truth_strict", f"SELECT a, b, c FROM {_cross(3, 'abc')} WHERE a > b AND b > c")
+@query("b_truth_strict", f"SELECT p_partkey, a, b, c FROM {_digits_sql(3, 'abc')} WHERE a > b AND b > c")
 def b_truth_strict(spark: SparkSession, folder: str) -> DataFrame:
-    return truth.satisfying(truth.table(spark, "a > b && b > c")).select(*[F.col(x).cast("long").alias(x) for x in "abc"])
+    found = _located(spark, folder, truth.satisfying(truth.table(spark, "a > b && b > c")), 3)
+    return found.select("p_partkey", *[F.col(x).cast("long").alias(x) for x in "abc"])
 
 
-@query("b_truth_mixed", f"SELECT a > b AND b < c AS result, count(*) AS n FROM {_cross(3, 'abc')} GROUP BY 1")
+@query("b_truth_mixed", f"SELECT a > b AND b < c AS result, count(*) AS n FROM {_digits_sql(3, 'abc')} GROUP BY 1")
 def b_truth_mixed(spark: SparkSession, folder: str) -> DataFrame:
-    return _counts(truth.table(spark, "a > b && b < c"))
+    return _counts(_located(spark, folder, truth.table(spark, "a > b && b < c"), 3))
 
 
-@query("b_truth_null", "SELECT a, a IS NULL AS result FROM (VALUES (NULL), ('T')) t(a)")
+@query("b_truth_null", f"SELECT p_partkey, a IS NULL AS result FROM (SELECT p_partkey, {_CASES['name']} AS a FROM part)")
 def b_truth_null(spark: SparkSession, folder: str) -> DataFrame:
-    return truth.table(spark, "a == null")
+    return _located(spark, folder, truth.table(spark, "a == null"), a="name").select("p_partkey", "result")
 
 
-@query("b_constrained", f"SELECT a, b, a > b AS result FROM {_cross(6, 'ab')} WHERE a >= 2 AND a <> b")
+@query("b_constrained", f"SELECT p_partkey, a > b AS result FROM {_digits_sql(6, 'ab')} WHERE a >= 2 AND a <> b")
 def b_constrained(spark: SparkSession, folder: str) -> DataFrame:
-    df = truth.table(spark, "a > b", constraints=["a >= 2", "a != b"], width=6)
-    return df.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "result")
+    """Parts outside the constraints are in no row of the table."""
+    return _located(spark, folder, truth.table(spark, "a > b", constraints=["a >= 2", "a != b"], width=6), 6).select("p_partkey", "result")
 
 
-@query("b_truth_equals", "SELECT a, a = 'b' AS result FROM (VALUES (''), ('b')) t(a)")
+@query("b_truth_equals", f"SELECT p_partkey, a = 'b' AS result FROM (SELECT p_partkey, {_CASES['letter']} AS a FROM part) WHERE a <> 'c'")
 def b_truth_equals(spark: SparkSession, folder: str) -> DataFrame:
-    return truth.table(spark, 'a.equals("b")')
+    return _located(spark, folder, truth.table(spark, 'a.equals("b")'), a="letter").select("p_partkey", "result")
 
 
-@query("b_truth_calls", 'SELECT n AS "person.getName()", age AS "person.age", n IS NOT NULL AND age > 18 AS result FROM (VALUES (NULL), (\'T\')) t(n), (VALUES (17), (18), (19)) u(age)')
+@query("b_truth_calls", f"SELECT p_partkey, n IS NOT NULL AND age > 18 AS result FROM (SELECT p_partkey, {_CASES['name']} AS n, {_CASES['age']} AS age FROM part) WHERE age BETWEEN 17 AND 19")
 def b_truth_calls(spark: SparkSession, folder: str) -> DataFrame:
-    return truth.table(spark, "person.getName() != null && person.age > 18L")
+    table = truth.table(spark, "person.getName() != null && person.age > 18L")
+    return _located(spark, folder, table, **{"person.getName()": "name", "person.age": "age"}).select("p_partkey", "result")
 
 
-@query("b_truth_null_or", "SELECT a, a IS NULL OR coalesce(a = 'x', false) AS result FROM (VALUES (NULL), (''), ('x')) t(a)")
+@query("b_truth_null_or", f"SELECT p_partkey, a IS NULL OR a = 'x' AS result FROM (SELECT p_partkey, {_CASES['letter or null']} AS a FROM part) WHERE a IS NULL OR a <> 'y'")
 def b_truth_null_or(spark: SparkSession, folder: str) -> DataFrame:
-    return truth.table(spark, 'a == null || a == "x"')
+    return _located(spark, folder, truth.table(spark, 'a == null || a == "x"'), a="letter or null").select("p_partkey", "result")
 
 
-@query("b_truth_enum_list", "SELECT s AS status, len(l) AS items, s = 'Status.OPEN' AND len(l) > 0 AS result FROM (VALUES ('Status.OPEN'), ('Status.OTHER')) t(s), (VALUES ([]), (['T'])) u(l)")
+@query("b_truth_enum_list", f"SELECT p_partkey, s = 'Status.OPEN' AND filled AS result FROM (SELECT p_partkey, {_CASES['status']} AS s, p_size % 3 > 0 AS filled FROM part)")
 def b_truth_enum_list(spark: SparkSession, folder: str) -> DataFrame:
-    return truth.table(spark, "status == Status.OPEN && !items.isEmpty()").select("status", F.size("items").cast("long").alias("items"), "result")
+    table = truth.table(spark, "status == Status.OPEN && !items.isEmpty()")
+    items = F.when(F.col("p_size") % 3 > 0, F.array(F.lit("T"))).otherwise(F.array().cast("array<string>"))
+    rows = parquet(spark, folder, "part").select("p_partkey", "p_size")
+    return truth.located(table, rows, {"status": F.expr(_CASES["status"]), "items": items}).select("p_partkey", "result")
 
 
-@query("b_truth_arith", f"SELECT a + 1 > b * 2 AS result, count(*) AS n FROM {_cross(4, 'ab')} GROUP BY 1")
+@query("b_truth_arith", f"SELECT a + 1 > b * 2 AS result, count(*) AS n FROM {_digits_sql(4, 'ab')} GROUP BY 1")
 def b_truth_arith(spark: SparkSession, folder: str) -> DataFrame:
-    return _counts(truth.table(spark, "a + 1 > b * 2", width=4))
+    return _counts(_located(spark, folder, truth.table(spark, "a + 1 > b * 2", width=4), 4))
 
 
 @query("b_path_states_reused", "SELECT 'left=F' AS fingerprint, 'F' AS left")
@@ -461,9 +497,10 @@ def b_branch_order(spark: SparkSession, folder: str) -> DataFrame:
     return _numbered(truth.branch_order(spark.sql(f"SELECT * FROM {_BRANCHES} AS t(branch, state, n_children)")).select("branch", "state"))
 
 
-@query("b_first", f"SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, a > b AS result FROM {_cross(2, 'ab')} WHERE a > b ORDER BY a, b LIMIT 1")
+@query("b_first", f"SELECT p_partkey, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM {_digits_sql(2, 'ab')} WHERE a = 1 AND b = 0")
 def b_first(spark: SparkSession, folder: str) -> DataFrame:
-    return truth.first_satisfying(truth.table(spark, "a > b"))
+    """Parts that fall in the first row that satisfies the condition."""
+    return _located(spark, folder, truth.first_satisfying(truth.table(spark, "a > b")), 2).select("p_partkey", "a", "b")
 
 
 @query("b_path_states", "SELECT 'left=' || l || '|right=' || r AS fingerprint, l AS left, r AS right FROM (VALUES ('T'), ('F'), ('N')) x(l), (VALUES ('T'), ('F')) y(r) WHERE NOT (l = 'T' AND r = 'F')")
@@ -474,33 +511,53 @@ def b_path_states(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- graphs ----------------------------------------------------------------------------------------------------------
 
-_EDGES = "VALUES ('A','B','FIELD'), ('B','C','CONSTRUCTOR'), ('C','A','SETTER'), ('B','A','FIELD'), ('C','D','FIELD'), ('D','E','BEAN_METHOD'), ('E','D','FIELD'), ('E','F','SETTER'), ('G','G','FIELD')"
+#: Kind of the edge to a user's event, by its type (the kinds that weights know).
+_KIND = "CASE {} WHEN 'view' THEN 'FIELD' WHEN 'click' THEN 'SETTER' WHEN 'purchase' THEN 'CONSTRUCTOR' ELSE 'BEAN_METHOD' END"
+_FOLLOWING = "SELECT user_id, event_type, ts, lead(user_id) OVER o AS next_user, lead(event_type) OVER o AS next_type, lead(ts) OVER o AS next_ts FROM events WINDOW o AS (ORDER BY ts, event_id)"
+#: Users of whom one's event follows the other's at once: within a sixtieth of the mean time between events, so that a user has about one edge.
+_EDGES = f"SELECT DISTINCT 'u' || user_id AS src, 'u' || next_user AS dst, {_KIND.format('next_type')} AS kind FROM ({_FOLLOWING}) WHERE epoch_us(next_ts) - epoch_us(ts) <= (SELECT (max(epoch_us(ts)) - min(epoch_us(ts))) // count(*) // 60 FROM events)"
+#: Event types that follow each other.
+_TYPES = f"SELECT DISTINCT event_type AS src, next_type AS dst, {_KIND.format('next_type')} AS kind FROM ({_FOLLOWING}) WHERE next_type IS NOT NULL"
 _PATHS = f"WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) t(src, dst, kind)), p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src)"
 
 
-def _edges(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {_EDGES} AS t(src, dst, kind)")
+def _following(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event with the one that follows it: events are numbered over ranges of time, so that no task holds them all."""
+    events = parquet(spark, folder, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    numbered = number_rows(events, [], ["at", "event_id"])
+    after = numbered.select((F.col("number") - 1).alias("before"), F.col("user_id").alias("next_user"), F.col("event_type").alias("next_type"), F.col("at").alias("next_at"))
+    return numbered.join(after, F.col("number") == F.col("before"))
+
+
+def _edges(spark: SparkSession, folder: str) -> DataFrame:
+    gap = parquet(spark, folder, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).agg(F.expr("(max(at) - min(at)) div count(*) div 60"))
+    near = _following(spark, folder).where(F.col("next_at") - F.col("at") <= gap.scalar())
+    return cut(near.selectExpr("concat('u', user_id) AS src", "concat('u', next_user) AS dst", f"{_KIND.format('next_type')} AS kind").distinct())
 
 
-@query("g_reachable", f"{_PATHS} SELECT DISTINCT node FROM (SELECT 'D' AS node UNION SELECT dst FROM p WHERE src = 'D')")
+def _types(spark: SparkSession, folder: str) -> DataFrame:
+    return cut(_following(spark, folder).selectExpr("event_type AS src", "next_type AS dst", f"{_KIND.format('next_type')} AS kind").distinct())
+
+
+@query("g_reachable", f"{_PATHS} SELECT DISTINCT node FROM (SELECT 'u1' AS node UNION SELECT dst FROM p WHERE src = 'u1')")
 def g_reachable(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.reachable(_edges(spark), spark.createDataFrame([("D",)], "node string"))
+    return graph.reachable(_edges(spark, folder), spark.createDataFrame([("u1",)], "node string"))
 
 
-@query("g_reachable_without", f"{_PATHS} SELECT DISTINCT node FROM (SELECT 'A' AS node UNION SELECT dst FROM p WHERE src = 'A') WHERE node NOT IN ('C', 'F')")
+@query("g_reachable_without", f"{_PATHS} SELECT DISTINCT node FROM (SELECT 'u1' AS node UNION SELECT dst FROM p WHERE src = 'u1') WHERE node NOT IN ('u3', 'u7')")
 def g_reachable_without(spark: SparkSession, folder: str) -> DataFrame:
     one = lambda *x: spark.createDataFrame([(v,) for v in x], "node string")
-    return graph.reachable_without(_edges(spark), one("A"), one("C", "F"))
+    return graph.reachable_without(_edges(spark, folder), one("u1"), one("u3", "u7"))
 
 
 @query("g_closure", f"{_PATHS} SELECT src, dst FROM p")
 def g_closure(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.closure(_edges(spark))
+    return graph.closure(_edges(spark, folder))
 
 
 @query("g_scc", f"{_PATHS}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, least(node, coalesce((SELECT min(a.dst) FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node), node)) AS component FROM n")
 def g_scc(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.strong_components(_edges(spark))
+    return graph.strong_components(_edges(spark, folder))
 
 
 _SCC = "m AS (SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)"
@@ -508,106 +565,131 @@ _SCC = "m AS (SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM p
 
 @query("g_has_cycles", f"{_PATHS}, {_SCC} SELECT count(*) > 0 AS has_cycles, count(DISTINCT component) AS n_groups FROM m")
 def g_has_cycles(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.has_cycles(_edges(spark))
+    return graph.has_cycles(_edges(spark, folder))
 
 
-_CYCLES = f"WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) t(src, dst, kind)), w AS (SELECT src AS s, dst AS cur, [src, dst] AS path FROM e WHERE dst > src UNION ALL SELECT s, e.dst, list_append(path, e.dst) FROM w JOIN e ON cur = e.src WHERE e.dst > s AND NOT list_contains(path, e.dst)), cycles AS (SELECT path FROM w JOIN e ON cur = e.src AND e.dst = s)"
+_CYCLES = f"WITH RECURSIVE e AS (SELECT * FROM ({_TYPES}) t(src, dst, kind)), w AS (SELECT src AS s, dst AS cur, [src, dst] AS path FROM e WHERE dst > src UNION ALL SELECT s, e.dst, list_append(path, e.dst) FROM w JOIN e ON cur = e.src WHERE e.dst > s AND NOT list_contains(path, e.dst)), cycles AS (SELECT path FROM w JOIN e ON cur = e.src AND e.dst = s)"
 
 
 @query("g_cycles", f"{_CYCLES} SELECT array_to_string(path, '>') AS cycle FROM cycles")
 def g_cycles(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.elementary_cycles(_edges(spark)).select(F.array_join("cycle", ">").alias("cycle"))
+    return graph.elementary_cycles(_types(spark, folder)).select(F.array_join("cycle", ">").alias("cycle"))
 
 
 @query("g_in_degree", f"SELECT dst AS node, count(*) AS in_degree FROM ({_EDGES}) t(src, dst, kind) GROUP BY dst")
 def g_in_degree(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.in_degrees(_edges(spark))
+    return graph.in_degrees(_edges(spark, folder))
 
 
 @query("g_weights", f"WITH e AS (SELECT * FROM ({_EDGES}) t(src, dst, kind)) SELECT src, dst, kind, CASE kind WHEN 'FIELD' THEN 1.0::DOUBLE WHEN 'SETTER' THEN 2 WHEN 'CONSTRUCTOR' THEN 3 ELSE 4 END + 0.5::DOUBLE * (SELECT count(*) FROM e x WHERE x.dst = e.dst) AS weight FROM e")
 def g_weights(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.edge_weights(_edges(spark))
+    return graph.edge_weights(_edges(spark, folder))
 
 
 @query("g_edge_frequency", f"{_CYCLES}, steps AS (SELECT path, unnest(generate_series(1, len(path))) AS i FROM cycles) SELECT path[i] AS src, path[CASE WHEN i = len(path) THEN 1 ELSE i + 1 END] AS dst, count(*) AS n_cycles FROM steps GROUP BY 1, 2")
 def g_edge_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.edge_frequency(graph.elementary_cycles(_edges(spark)))
+    return graph.edge_frequency(graph.elementary_cycles(_types(spark, folder)))
 
 
 @query("g_greedy_cut")
 def g_greedy_cut(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.greedy_cut(_edges(spark))
+    return graph.greedy_cut(_types(spark, folder))
 
 
 @query("g_build", f"SELECT DISTINCT src, dst, kind FROM ({_EDGES}) t(src, dst, kind) WHERE kind <> 'SETTER' AND (src <> dst OR kind = 'BEAN_METHOD')")
 def g_build(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.dependency_edges(_edges(spark).withColumn("lazy", F.col("kind") == "SETTER"))
+    return graph.dependency_edges(_edges(spark, folder).withColumn("lazy", F.col("kind") == "SETTER"))
 
 
-_PARENTS = "VALUES ('B', 'A'), ('C', 'B'), ('D', 'A'), ('F', 'E')"
+#: Customers under their nations, nations under their regions.
+_PARENTS = "SELECT c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"
 
 
-@query("g_subclasses", f"WITH RECURSIVE p AS (SELECT * FROM ({_PARENTS}) t(src, dst)), d AS (SELECT src AS node FROM p WHERE dst = 'A' UNION SELECT p.src FROM p JOIN d ON p.dst = d.node) SELECT node FROM d")
+@query("g_subclasses", f"WITH RECURSIVE p AS (SELECT * FROM ({_PARENTS}) t(src, dst)), d AS (SELECT src AS node FROM p WHERE dst = 'ASIA' UNION SELECT p.src FROM p JOIN d ON p.dst = d.node) SELECT node FROM d")
 def g_subclasses(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.subclasses(spark.sql(f"SELECT * FROM {_PARENTS} AS t(src, dst)"), "A")
+    of = lambda name: parquet(spark, folder, name)
+    low = of("customer").join(of("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("src"), F.col("n_name").alias("dst"))
+    high = of("nation").join(of("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"))
+    return graph.subclasses(low.unionByName(high), "ASIA")
 
 
-_MEMBERS = "VALUES ('m1', 'method', 'T'), ('m1', 'method', 'T'), ('m2', 'method', 'U'), ('f1', 'field', 'T'), ('m3', 'method', 'T')"
+#: Parts as members: of an odd size fields, else methods; their brand is the type.
+_MEMBER_COLUMNS = ("p_name AS method", "CASE WHEN p_size % 2 = 1 THEN 'field' ELSE 'method' END AS kind", "p_brand AS type")
+_MEMBERS = f"SELECT {', '.join(_MEMBER_COLUMNS)} FROM part"
 
 
-@query("g_references", f"SELECT DISTINCT method FROM ({_MEMBERS}) t(method, kind, type) WHERE kind = 'method' AND type = 'T'")
+@query("g_references", f"SELECT DISTINCT method FROM ({_MEMBERS}) t(method, kind, type) WHERE kind = 'method' AND type = 'Brand#11'")
 def g_references(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.references_to(spark.sql(f"SELECT * FROM {_MEMBERS} AS t(method, kind, type)"), "T")
+    return graph.references_to(parquet(spark, folder, "part").selectExpr(*_MEMBER_COLUMNS), "Brand#11")
 
 
 @query("g_members", f"SELECT DISTINCT method AS name FROM ({_MEMBERS}) t(method, kind, type) WHERE kind = 'field'")
 def g_members(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.members_of(spark.sql(f"SELECT * FROM {_MEMBERS} AS t(method, kind, type)"), "field")
+    return graph.members_of(parquet(spark, folder, "part").selectExpr(*_MEMBER_COLUMNS), "field")
 
 
-_FIELD_USES = "VALUES ('m1', 'f1'), ('m1', 'f2'), ('m2', 'f1'), ('m3', 'f3')"
+#: Orders' priorities as methods, their customers as fields.
+_FIELD_USES = "SELECT o_orderpriority, concat('c', o_custkey) FROM orders"
 
 
-@query("g_fields_used", f"SELECT field, string_agg(DISTINCT method, ',' ORDER BY method) AS methods FROM ({_FIELD_USES}) t(method, field) WHERE method IN ('m1', 'm2') GROUP BY field")
+@query("g_fields_used", f"SELECT field, string_agg(DISTINCT method, ',' ORDER BY method) AS methods FROM ({_FIELD_USES}) t(method, field) WHERE method IN ('1-URGENT', '2-HIGH') GROUP BY field")
 def g_fields_used(spark: SparkSession, folder: str) -> DataFrame:
-    used = graph.fields_used_by(spark.sql(f"SELECT * FROM {_FIELD_USES} AS t(method, field)"), "m1", "m2")
+    used = graph.fields_used_by(parquet(spark, folder, "orders").selectExpr("o_orderpriority AS method", "concat('c', o_custkey) AS field"), "1-URGENT", "2-HIGH")
     return used.select("field", F.array_join("methods", ",").alias("methods"))
 
 
-@query("g_signatures", "SELECT CASE WHEN p IS NULL THEN c || '.' || n ELSE c || '#' || n || '(' || replace(p, ' ', ',') || ')' END AS node FROM (VALUES ('A', 'go', 'int String'), ('A', 'go', ''), ('B', 'field', NULL)) t(c, n, p)")
+_PARAMETERS = "CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 5 = 1 THEN '' ELSE replace(p_type, ' ', ',') END"
+
+
+@query("g_signatures", f"SELECT p_partkey, CASE WHEN p IS NULL THEN p_brand || '.' || p_name ELSE p_brand || '#' || p_name || '(' || p || ')' END AS node FROM (SELECT *, {_PARAMETERS} AS p FROM part)")
 def g_signatures(spark: SparkSession, folder: str) -> DataFrame:
-    df = spark.createDataFrame([("A", "go", ["int", "String"]), ("A", "go", []), ("B", "field", None)], "c string, n string, p array<string>")
-    return df.select(graph.signature(F.col("c"), F.col("n"), F.col("p")).alias("node"))
+    """Parts as methods of their brand, the words of their type as parameters; some without any, some as fields."""
+    words = F.when(F.col("p_size") % 5 == 0, F.lit(None)).when(F.col("p_size") % 5 == 1, F.array().cast("array<string>")).otherwise(F.split("p_type", " "))
+    return parquet(spark, folder, "part").select("p_partkey", graph.signature(F.col("p_brand"), F.col("p_name"), words).alias("node"))
 
 
-_USAGES, _INJECTED = "VALUES ('A', 'f'), ('A', 'h'), ('A', 'f'), ('F', 'f')", "VALUES ('A', 'f', 'B'), ('A', 'g', 'C'), ('F', 'f', 'A')"
+#: An edge's target is injected into a field of its source; all but plain fields are used at once.
+_USAGES, _INJECTED = "SELECT src, 'f' || dst FROM e WHERE kind <> 'FIELD'", "SELECT src, 'f' || dst, dst FROM e"
 
 
 @query("g_used_before_ready", f"{_PATHS}, {_SCC} SELECT DISTINCT bean, field, target FROM ({_USAGES}) u(bean, field) JOIN ({_INJECTED}) i(bean, field, target) USING (bean, field) WHERE bean IN (SELECT node FROM m)")
 def g_used_before_ready(spark: SparkSession, folder: str) -> DataFrame:
-    usages, injected = spark.sql(f"SELECT * FROM {_USAGES} AS t(bean, field)"), spark.sql(f"SELECT * FROM {_INJECTED} AS t(bean, field, target)")
-    return graph.used_before_ready(usages, injected, _edges(spark))
+    edges = _edges(spark, folder)
+    usages = edges.where("kind <> 'FIELD'").selectExpr("src AS bean", "concat('f', dst) AS field")
+    return graph.used_before_ready(usages, edges.selectExpr("src AS bean", "concat('f', dst) AS field", "dst AS target"), edges)
 
 
 # --- report ----------------------------------------------------------------------------------------------------------
 
-_METHODS = "VALUES ('A', 'SUCCESS', 'm1', 'SUCCESS', 3), ('A', 'SUCCESS', 'm2', 'FAILED', 0), ('B', 'SKIPPED', 'm3', 'SUCCESS', 1), ('C', 'SUCCESS', 'm4', 'SKIPPED', 0), ('C', 'SUCCESS', 'm5', 'SUCCESS', 2)"
-_METHOD_COLUMNS = "(class, class_status, method, status, tests)"
+#: Orders as classes, their lines as methods.
+_METHOD_PARTS = (
+    "l_orderkey AS class",
+    "CASE WHEN l_orderkey % 7 = 0 THEN 'SKIPPED' WHEN l_orderkey % 11 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS class_status",
+    "l_linenumber AS method",
+    "CASE WHEN l_returnflag = 'R' THEN 'FAILED' WHEN l_returnflag = 'N' AND l_linenumber = 3 THEN 'SKIPPED' ELSE 'SUCCESS' END AS status",
+    "CAST(l_quantity AS INT) AS tests",
+)
+_METHODS = f"SELECT {', '.join(_METHOD_PARTS)} FROM lineitem"
+
+
+def _report(spark: SparkSession, folder: str) -> DataFrame:
+    return report.class_report(parquet(spark, folder, "lineitem").selectExpr(*_METHOD_PARTS))
 
 
-@query("r_summary", f"WITH m AS (SELECT * FROM ({_METHODS}) t{_METHOD_COLUMNS}), c AS (SELECT class, bool_or(class_status = 'SKIPPED' OR status = 'SKIPPED') AS s, bool_or(class_status = 'FAILED' OR status = 'FAILED') AS f FROM m GROUP BY class) SELECT (SELECT count(*) FROM c) AS classes, (SELECT count(*) FROM c WHERE s) AS classes_skipped, (SELECT count(*) FROM c WHERE f) AS classes_failed, count(*) AS methods, count(*) FILTER (status = 'SUCCESS') AS methods_ok, count(*) FILTER (status = 'SKIPPED') AS methods_skipped, count(*) FILTER (status = 'FAILED') AS methods_failed, CAST(sum(tests) AS BIGINT) AS tests FROM m")
+@query("r_summary", f"WITH m AS (SELECT * FROM ({_METHODS}) t), c AS (SELECT class, bool_or(class_status = 'SKIPPED' OR status = 'SKIPPED') AS s, bool_or(class_status = 'FAILED' OR status = 'FAILED') AS f FROM m GROUP BY class) SELECT (SELECT count(*) FROM c) AS classes, (SELECT count(*) FROM c WHERE s) AS classes_skipped, (SELECT count(*) FROM c WHERE f) AS classes_failed, count(*) AS methods, count(*) FILTER (status = 'SUCCESS') AS methods_ok, count(*) FILTER (status = 'SKIPPED') AS methods_skipped, count(*) FILTER (status = 'FAILED') AS methods_failed, CAST(sum(tests) AS BIGINT) AS tests FROM m")
 def r_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return report.summary(report.class_report(spark.sql(f"SELECT * FROM {_METHODS} AS t{_METHOD_COLUMNS}")))
+    return report.summary(_report(spark, folder))
 
 
 @query("r_json")
 def r_json(spark: SparkSession, folder: str) -> DataFrame:
-    return report.as_json(report.class_report(spark.sql(f"SELECT * FROM {_METHODS} AS t{_METHOD_COLUMNS}")))
+    return report.as_json(_report(spark, folder))
 
 
-_VERSIONS = "VALUES ('a', '1.9.3'), ('a', '1.10.0'), ('a', '1.2'), ('b', '2.0'), ('b', '1.99.99')"
+_VERSION = "concat(p_size % 3, '.', p_partkey % 23, '.', p_size)"
+_VERSIONS = f"SELECT p_brand, {_VERSION} FROM part"
 
 
 @query("r_version_max", f"SELECT artifact, arg_max(version, list_transform(string_split(version, '.'), lambda x: CAST(x AS INTEGER))) AS latest FROM ({_VERSIONS}) t(artifact, version) GROUP BY artifact")
 def r_version_max(spark: SparkSession, folder: str) -> DataFrame:
-    return report.latest_version(spark.sql(f"SELECT * FROM {_VERSIONS} AS t(artifact, version)"), "version", "artifact")
+    return report.latest_version(parquet(spark, folder, "part").selectExpr("p_brand AS artifact", f"{_VERSION} AS version"), "version", "artifact")

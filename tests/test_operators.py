@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from declq import registry
 from declq.functions import library, scalar
+from declq.operators import graph, report
 from declq.operators.pipeline import Pipeline
 from declq.plans.catalog import ConversionError
 from declq.sources import tables
@@ -79,17 +80,21 @@ def test_for_each_and_observed(spark):
 
 
 def test_report_json(spark):
-    got = [json.loads(x.json) for x in registry.QUERIES["r_json"](spark, DATA).collect()]
+    rows = [("A", "SUCCESS", "m1", "SUCCESS", 3), ("A", "SUCCESS", "m2", "FAILED", 0), ("B", "SKIPPED", "m3", "SUCCESS", 1), ("C", "SUCCESS", "m4", "SKIPPED", 0), ("C", "SUCCESS", "m5", "SUCCESS", 2)]
+    df = spark.createDataFrame(rows, "class string, class_status string, method string, status string, tests int")
+    got = [json.loads(x.json) for x in report.as_json(report.class_report(df)).collect()]
     assert sorted((x["class"], x["status"], [(m["method"], m["status"], m["tests"]) for m in x["methods"]]) for x in got) == [
         ("A", "SUCCESS", [("m1", "SUCCESS", 3), ("m2", "FAILED", 0)]), ("B", "SKIPPED", [("m3", "SUCCESS", 1)]), ("C", "SUCCESS", [("m4", "SKIPPED", 0), ("m5", "SUCCESS", 2)]),
     ]
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert sum(len(json.loads(x.json)["methods"]) for x in registry.QUERIES["r_json"](spark, DATA).collect()) == lines
 
 
 def test_greedy_cut_is_brute_force(spark):
     """Step by step with sets: the edge with most cycles per weight, ties by name."""
     cycles = [x.cycle.split(">") for x in registry.QUERIES["g_cycles"](spark, DATA).collect()]
     weights = {}
-    for x in registry.QUERIES["g_weights"](spark, DATA).collect():
+    for x in graph.edge_weights(registry._types(spark, DATA)).collect():
         weights[x.src, x.dst] = min(x.weight, weights.get((x.src, x.dst), 99))
     left, chosen = [set(zip(c, c[1:] + c[:1])) for c in cycles], []
     while left:

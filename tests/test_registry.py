@@ -2,7 +2,7 @@
 
 import pytest
 
-from declq import registry
+from declq import registry, registry_analytics  # noqa: F401 - adds its queries
 from tests.conftest import DATA, same_rows
 
 
@@ -21,7 +21,7 @@ def test_entry_module():
 def test_greedy_cut_breaks_all_cycles(spark):
     from declq.operators import graph
 
-    edges = registry._edges(spark)
+    edges = registry._types(spark, DATA)
     cut = registry.QUERIES["g_greedy_cut"](spark, DATA)
     left = edges.join(cut, ["src", "dst"], "left_anti")
     assert graph.cycle_groups(left).count() == 0
