@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from declq.llm.common import cut
+from declq.llm.common import cut, small_side
 
 #: Common words of English, French, German and Spanish (fixed list).
 ANCHORS = (
@@ -133,7 +133,7 @@ def with_next(rows: DataFrame, add: Callable[[DataFrame], DataFrame]) -> DataFra
     ranged = known.withColumn("range", F.col("_block") + begun(F.slice("_starts", F.col("_block") + 1, F.col("_step"))) - 1).drop("_starts", "_step", "_block")
     n = starts.agg(F.count(F.lit(1))).scalar()
     first = starts.select(F.col("place").alias("_at"), F.pmod(F.col("range") - 1, n).cast("int").alias("range"))
-    heads = rows.join(first, F.col("place") == F.col("_at")).drop("_at").dropDuplicates(["range"])
+    heads = rows.join(small_side(first), F.col("place") == F.col("_at")).drop("_at").dropDuplicates(["range"])
     both = add(ranged.withColumn("_head", F.lit(False)).unionByName(heads.withColumn("_head", F.lit(True))))
     order = Window.partitionBy("range").orderBy("_head", "place")
     names = [c for c in both.columns if c not in ("place", "range", "_head")]
