@@ -77,6 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    atexit.register(_remove_at_exit, spark, folder)  # also where a stage fails
     docs = table(spark, sf_dir, "documents")
     before = None
     for k, (name, stage) in enumerate(STAGES[:-1]):
@@ -87,5 +88,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             _remove(spark, before)
         before = at
         release(spark)
-    atexit.register(_remove_at_exit, spark, folder)
     return STAGES[-1][1](spark, docs, sf_dir)

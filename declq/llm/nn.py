@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from declq.llm.common import mix, plain, slices, small_side, split_words
+from declq.llm.common import cut, mix, plain, slices, small_side, split_words
 
 #: Labelled rows per class that a model is fitted on at most, and the longest text among them: bounds the driver's share.
 TRAIN_PER_CLASS = 1500
@@ -18,17 +18,21 @@ PUNCTUATION = b".,;:!?\"'()[]"
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, held: Callable[[Column], Column], per_class: int = TRAIN_PER_CLASS) -> tuple[list[bytes], np.ndarray]:
-    """Texts and 0/1 labels: the `per_class` labelled rows of each class whose hash is least, from outside the held-out fold.
+    """Texts and 0/1 labels: of each class the `per_class` labelled documents whose id's hash is least, from outside the held-out fold.
 
-    Null ids and labels are left out, repeated labels count once (the greater wins), texts over TRAIN_MAX_BYTES are left out.
-    Both classes come in a fixed order, so equal input gives an equal model.
+    Null ids and labels are left out, repeated labels count once (the greater wins). Texts over TRAIN_MAX_BYTES and null ones are
+    no candidates; of an id with several texts the one of least hash is. So there are `per_class` rows of a class wherever so
+    many short texts are labelled. Both classes come in a fixed order, so equal input gives an equal model.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    known = known.where(~held(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id", F.lit(17)))
-    picked = known.where("y = 0").orderBy("h", "doc_id").limit(per_class).unionByName(known.where("y = 1").orderBy("h", "doc_id").limit(per_class))
-    picked = picked.select(F.col("doc_id").alias("id"), "y", "h")
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    known = known.where(~held(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id", F.lit(17)))
     texts = plain(docs).where(F.octet_length("text") <= TRAIN_MAX_BYTES)
-    rows = texts.join(small_side(picked), F.col("doc_id") == F.col("id")).select("h", "id", "text", "y").distinct().collect()  # at most 2 * per_class texts
+    short = texts.select("doc_id", F.xxhash64("text").alias("t")).join(known.hint("shuffle_hash"), F.col("doc_id") == F.col("id"))
+    short = cut(short.groupBy("id", "y", "h").agg(F.min("t").alias("t")))
+    first = [short.where(F.col("y") == y).orderBy("h", "id").limit(per_class) for y in (0, 1)]
+    picked = first[0].unionByName(first[1])
+    same = (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("t"))
+    rows = texts.join(small_side(picked), same).select("h", "id", "text", "y").distinct().collect()  # one text an id, 2 * per_class at most
     rows.sort(key=lambda r: (r["h"], r["id"], r["text"]))
     return [r["text"].encode() for r in rows], np.array([r["y"] for r in rows], np.float32)
 
