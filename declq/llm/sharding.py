@@ -9,6 +9,8 @@ from declq.llm.common import cut
 
 #: Rows that a window partition has on average; the number of hash ranges follows from it and the number of rows.
 ROWS_PER_RANGE = 100_000
+#: Bits of the hash that places a source's first row.
+OFFSET_BITS = 20
 #: Ranges at least, so that a hot source is spread over tasks even on small tables.
 LEAST_RANGES = 256
 
@@ -16,7 +18,9 @@ LEAST_RANGES = 256
 def interleave(docs: DataFrame, shards: int = 16, seed: str = "shuffle-1") -> DataFrame:
     """doc_id, source, size, text_crc32, fraction, shard, slot for every row of `docs`.
 
-    Rows of a source are ranked in the order of a seeded hash; the row of rank r (from 0) of n sits at (r + 1/2) / n.
+    Rows of a source are ranked in the order of a seeded hash; the row of rank r (from 0) of n sits at (r + u) / n, u a
+    seeded hash of the source in (0, 1): a source of many rows has its share of every stretch whatever u is, and sources of a few
+    rows, which would all sit at the same fractions, are spread as one source of their rows together would be.
     All rows are sorted by that fraction and cut into `shards` runs whose row counts differ by one at most; slot counts
     from 0 in each run. Ties in the fraction go by the row's hash, so no source always comes first.
     Null text has size 1; null source is a source of its own; repeated rows stay separate rows; of a long text only the size
@@ -42,11 +46,12 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = "shuffle-1") -> Da
     whole = Window.partitionBy("source")
     counts = ranged.groupBy("source", "r").agg(F.count(F.lit(1)).alias("c"))
     counts = counts.select(F.col("source").alias("s"), F.col("r").alias("q"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"), F.sum("c").over(whole).alias("n"))
+    offset = (F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << OFFSET_BITS)) + 0.5) / (1 << OFFSET_BITS)
     inside = Window.partitionBy("source", "r").orderBy("h", "doc_id", "text_crc32", "size")
     ranked = ranged.withColumn("k", F.row_number().over(inside))
-    placed = ranked.join(counts, ranked.source.eqNullSafe(counts.s) & (ranked.r == counts.q)).withColumn("fraction", (F.col("base") + F.col("k") - F.lit(0.5)) / F.col("n"))
+    placed = ranked.join(counts, ranked.source.eqNullSafe(counts.s) & (ranked.r == counts.q)).withColumn("fraction", (F.col("base") + F.col("k") - 1 + offset) / F.col("n"))
     placed = placed.select("doc_id", "source", "size", "text_crc32", "h", "fraction")
-    # Ranges of the whole order: many sources of one row share the fraction 1/2, but not the hash.
+    # Ranges of the whole order, fraction and hash, so that no fraction that many rows share is one task's work.
     placed = cut(placed.repartitionByRange(parts, "fraction", "h", "source", "doc_id", "text_crc32", "size").withColumn("g", F.spark_partition_id()))
     cells = placed.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     cells = cells.select(F.col("g").alias("cell"), F.coalesce(F.sum("c").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))

@@ -151,7 +151,7 @@ def test_scored_links_are_brute_force(spark, encoders, shared):
         expected[i, sum(len(x) for x, _ in g), sum(len(y) for _, y in g), len(g), sum(pairs.values()), n_best, sum(n * count[p] for p, n in pairs.items()), digest] += 1
     got = alignment.scored_links(make(spark, ALIGNED), JSON, PIECES, P.PATTERN, shared).collect()
     assert Counter((x.doc_id, x.n_a, x.n_b, x.n_groups, x.n_links, x.n_best, x.count_sum, x.groups_sha256) for x in got) == expected
-    assert sum(not g for _, g in groups) == 4  # null, empty, and two that B does not spell
+    assert sum(not g for _, g in groups) == 3  # null, empty, and one that B does not spell
 
 
 def test_owner_arrays_give_cuts_and_overlaps(spark, encoders):
@@ -338,6 +338,7 @@ def test_many_sources_of_one_row_are_spread_over_ranges(spark, monkeypatch):
     assert len(sizes) > 30 and max(sizes) < 2000
     counts = Counter(x.shard for x in rows)
     assert len(rows) == 23_000 and max(counts.values()) - min(counts.values()) <= 1
-    assert max(Counter(x.shard for x in rows if x.source == "hot").values()) - min(Counter(x.shard for x in rows if x.source == "hot").values()) <= 2
+    hot = Counter(x.shard for x in rows if x.source == "hot")  # its share of every shard, though all other sources are of one row
+    assert all(abs(hot[k] - 3000 / 16) < 25 for k in range(16))
     for shard in (0, 7, 15):
         assert sorted(x.slot for x in rows if x.shard == shard) == list(range(counts[shard]))

@@ -388,14 +388,14 @@ def test_sharding(spark):
 
 
 def test_sharding_is_a_plain_ranking(spark):
-    """Sorted in Python from the definition: seeded hash rank inside each source (null is one), then the fraction."""
+    """Sorted in Python from the definition: seeded hash rank inside each source (null is one) behind its offset, then the fraction."""
     texts = [(i, "y" * (i % 5), None if i % 3 == 0 else f"s{i % 4}") for i in range(200)] + [(7, "y" * 2, "s3"), (7, "y" * 2, "s3")]
     docs = spark.createDataFrame(texts, "doc_id long, text string, source string").selectExpr("*", "'a' as h", "'b' as fraction")
-    hashes = docs.selectExpr("doc_id", "source", "text", "xxhash64('shuffle-1', doc_id, crc32(cast(text as binary)), cast(octet_length(text) + 1 as long)) as x").collect()
-    by_source = defaultdict(list)
+    hashes = docs.selectExpr("doc_id", "source", "text", "xxhash64('shuffle-1', doc_id, crc32(cast(text as binary)), cast(octet_length(text) + 1 as long)) as x", f"(pmod(xxhash64('shuffle-1', source), {1 << sharding.OFFSET_BITS}L) + 0.5D) / {1 << sharding.OFFSET_BITS} as u").collect()
+    by_source, first = defaultdict(list), {r.source: r.u for r in hashes}
     for r in hashes:
         by_source[r.source].append(((r.x >> 20) % sharding.LEAST_RANGES, r.x, r.doc_id))  # the order is that of the hash's range, then the hash
-    order = sorted(((k + 0.5) / len(rows), h, source or "", doc) for source, rows in by_source.items() for k, (_, h, doc) in enumerate(sorted(rows)))
+    order = sorted(((k + first[source]) / len(rows), h, source or "", doc) for source, rows in by_source.items() for k, (_, h, doc) in enumerate(sorted(rows)))
     each, more = divmod(len(order), 16)
     sizes = [each + (k < more) for k in range(16)]
     expected = Counter((doc, shard, slot) for (_, _, _, doc), (shard, slot) in zip(order, ((k, j) for k, n in enumerate(sizes) for j in range(n))))
