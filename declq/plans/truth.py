@@ -305,7 +305,12 @@ def path_states(spark: SparkSession, branches: Mapping[str, Sequence[str]], atte
 BRANCH_STATES = ("FALSE", "TRUE", "UNTRAVELLED", "BOTH")
 
 
-def branch_order(branches: DataFrame) -> DataFrame:
-    """Branches (state, n_children and any other columns) in the order in which they are tried: fewer children first."""
+def branch_rank() -> dict[str, Column]:
+    """Columns, from (state, n_children), whose ascending order is that in which branches are tried: fewer children first."""
     rank = F.array_position(F.array(*map(F.lit, BRANCH_STATES)), F.col("state"))
-    return branches.orderBy(F.col("state") == "BOTH", "n_children", F.when(rank > 0, rank).otherwise(len(BRANCH_STATES)), *[c for c in branches.columns if c not in ("state", "n_children")])
+    return {"taken": F.col("state") == "BOTH", "children": F.col("n_children"), "state_rank": F.when(rank > 0, rank).otherwise(len(BRANCH_STATES))}
+
+
+def branch_order(branches: DataFrame) -> DataFrame:
+    """Branches (state, n_children and any other columns) in the order in which they are tried, then by the other columns."""
+    return branches.orderBy(*branch_rank().values(), *[c for c in branches.columns if c not in ("state", "n_children")])

@@ -295,7 +295,7 @@ _PIPELINES: list[tuple[str, Query, str | None]] = [
     ("s_fold_text", lambda s, d: _events(s, d).reduce(lambda a, x: F.concat(a, F.substring(x, 1, 1)), identity=""), "SELECT string_agg(substr(event_type, 1, 1), '' ORDER BY event_id) AS reduced FROM events"),
     ("s_collect_fold", lambda s, d: _sizes(s, d).collect(F.lit(0), lambda a, x: a + x), "SELECT CAST(sum(p_size) AS INTEGER) AS collected FROM part"),
     ("s_group_by", lambda s, d: _sizes(s, d).group_by(lambda v: v % 5).select("group", F.array_join("values", ",").alias("values")), "SELECT p_size % 5 AS group, string_agg(p_size, ',' ORDER BY p_partkey) AS values FROM part GROUP BY 1"),
-    ("s_range", lambda s, d: Pipeline.range(s, 3, 9).map(lambda v: v * v).rows(), "SELECT CAST(x * x AS INTEGER) AS value FROM range(3, 9) t(x)"),
+    ("s_range", lambda s, d: Pipeline.range(s, 3, parquet(s, d, "part").count()).map(lambda v: v % 7 * v).rows(), "SELECT CAST(x % 7 * x AS INTEGER) AS value FROM range(3, (SELECT count(*) FROM part)) t(x)"),
 ]
 for _name, _run, _sql in _PIPELINES:
     query(_name, _sql)(_run)
@@ -483,18 +483,27 @@ def b_truth_arith(spark: SparkSession, folder: str) -> DataFrame:
     return _counts(_located(spark, folder, truth.table(spark, "a + 1 > b * 2", width=4), 4))
 
 
-@query("b_path_states_reused", "SELECT 'left=F' AS fingerprint, 'F' AS left")
+#: Fingerprints of paths that parts stand for; large parts are of paths that are not asked for.
+_TRIED = "concat('left=', CASE p_size % 3 WHEN 0 THEN 'T' ELSE 'F' END, '|right=', CASE WHEN p_size > 25 THEN 'X' WHEN p_size % 2 = 0 THEN 'T' ELSE 'F' END)"
+
+
+@query("b_path_states_reused", f"SELECT 'left=' || l || '|right=T' AS fingerprint, l AS left, 'T' AS right FROM (VALUES ('T'), ('F')) t(l) WHERE 'left=' || l || '|right=T' IN (SELECT {_TRIED} FROM part) ORDER BY fingerprint LIMIT 1")
 def b_path_states_reused(spark: SparkSession, folder: str) -> DataFrame:
-    tried = spark.createDataFrame([("left=T",), ("left=F",)], "fingerprint string")
-    return truth.path_states(spark, {"left": ["T", "F"]}, tried, reuse=True)
+    """Paths that parts have tried, once all that are asked for are: the first is given again."""
+    tried = parquet(spark, folder, "part").selectExpr(f"{_TRIED} AS fingerprint").distinct()
+    return truth.path_states(spark, {"left": ["T", "F"], "right": ["T"]}, tried, reuse=True)
 
 
-_BRANCHES = "VALUES ('a', 'BOTH', 0), ('b', 'TRUE', 2), ('c', 'UNTRAVELLED', 1), ('d', 'FALSE', 1), ('e', 'FALSE', 2), ('f', 'TRUE', 1), ('g', 'BOTH', 1)"
+#: Branches made of customers' orders: a state by the orders' number, children by their greatest key.
+_BRANCHES = "SELECT concat('b', o_custkey) AS branch, CASE count(*) % 4 WHEN 0 THEN 'BOTH' WHEN 1 THEN 'TRUE' WHEN 2 THEN 'FALSE' ELSE 'UNTRAVELLED' END AS state, CAST(max(o_orderkey) % 5 AS INT) AS n_children FROM orders GROUP BY o_custkey"
 
 
-@query("b_branch_order", f"SELECT CAST(row_number() OVER (ORDER BY state = 'BOTH', n_children, CASE state WHEN 'FALSE' THEN 1 WHEN 'TRUE' THEN 2 WHEN 'UNTRAVELLED' THEN 3 ELSE 4 END, branch) - 1 AS INTEGER) AS place, branch, state FROM ({_BRANCHES}) t(branch, state, n_children)")
+@query("b_branch_order", f"SELECT row_number() OVER (ORDER BY state = 'BOTH', n_children, CASE state WHEN 'FALSE' THEN 1 WHEN 'TRUE' THEN 2 WHEN 'UNTRAVELLED' THEN 3 ELSE 4 END, branch) AS number, branch, state FROM ({_BRANCHES}) t")
 def b_branch_order(spark: SparkSession, folder: str) -> DataFrame:
-    return _numbered(truth.branch_order(spark.sql(f"SELECT * FROM {_BRANCHES} AS t(branch, state, n_children)")).select("branch", "state"))
+    orders = parquet(spark, folder, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("k"))
+    state = F.when(F.col("n") % 4 == 0, "BOTH").when(F.col("n") % 4 == 1, "TRUE").when(F.col("n") % 4 == 2, "FALSE").otherwise("UNTRAVELLED")
+    branches = orders.select(F.concat(F.lit("b"), F.col("o_custkey")).alias("branch"), state.alias("state"), (F.col("k") % 5).cast("int").alias("n_children"))
+    return number_rows(branches.withColumns(truth.branch_rank()), [], [*truth.branch_rank(), "branch"]).select("number", "branch", "state")
 
 
 @query("b_first", f"SELECT p_partkey, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM {_digits_sql(2, 'ab')} WHERE a = 1 AND b = 0")
@@ -503,9 +512,10 @@ def b_first(spark: SparkSession, folder: str) -> DataFrame:
     return _located(spark, folder, truth.first_satisfying(truth.table(spark, "a > b")), 2).select("p_partkey", "a", "b")
 
 
-@query("b_path_states", "SELECT 'left=' || l || '|right=' || r AS fingerprint, l AS left, r AS right FROM (VALUES ('T'), ('F'), ('N')) x(l), (VALUES ('T'), ('F')) y(r) WHERE NOT (l = 'T' AND r = 'F')")
+@query("b_path_states", f"SELECT * FROM (SELECT 'left=' || l || '|right=' || r AS fingerprint, l AS left, r AS right FROM (VALUES ('T'), ('F'), ('N')) x(l), (VALUES ('T'), ('F')) y(r)) WHERE fingerprint NOT IN (SELECT {_TRIED} FROM part)")
 def b_path_states(spark: SparkSession, folder: str) -> DataFrame:
-    tried = spark.createDataFrame([("left=T|right=F",)], "fingerprint string")
+    """Paths that no part has tried."""
+    tried = parquet(spark, folder, "part").selectExpr(f"{_TRIED} AS fingerprint").distinct()
     return truth.path_states(spark, {"left": ["T", "F", "N"], "right": ["T", "F"]}, tried)
 
 
