@@ -559,7 +559,7 @@ def test_bpe_round_trip(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoding = bpe._encoding(bpe.read_ranks(path), public_tokenizers.PATTERN)
     long = prose(9, 30000) + "  \n\n " + "é" * 1000
-    assert bpe.encode(encoding, long) == encoding.encode_ordinary(long) and "".join(bpe.pieces(long, 500)) == long
+    assert bpe.Encoder(bpe.read_ranks(path), public_tokenizers.PATTERN).ids(long) == encoding.encode_ordinary(long) and "".join(bpe.pieces(long, 500)) == long
     rows = bpe.encode_documents(make(spark, odd_texts() + [(12, long), (13, "<|endoftext|> 日本 \x00")]), path, public_tokenizers.PATTERN).collect()
     for x in rows:
         assert bytes(x.decoded).decode() == (x.text or "") and x.token_ids == encoding.encode_ordinary(x.text or "")
