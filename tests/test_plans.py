@@ -118,7 +118,7 @@ TWO = Catalog([Entity("A", "a", "id", {"id": "id", "name": "nm"}, {"b": Relation
     ("INSERT INTO A VALUES (1)", "UNSUPPORTED_CONSTRUCT"), ("MERGE A", "UNSUPPORTED_CONSTRUCT"), ("", "UNSUPPORTED_CONSTRUCT"),
     ("SELECT a FROM A a WHERE a.id = 1)", "PARSE_ERROR"), ("UPDATE A a WHERE a.id = 1", "PARSE_ERROR"),
     ("DELETE FROM A a WHERE a.b.id = 1", "UNSUPPORTED_CONSTRUCT"), ("UPDATE A a SET a.nope = 1", "UNKNOWN_PROPERTY"),
-    ("SELECT a FROM A a INTERSECT SELECT b FROM B b", "UNSUPPORTED_CONSTRUCT"),
+    ("SELECT a FROM A a MINUS SELECT b FROM B b", "UNSUPPORTED_CONSTRUCT"),
 ])
 def test_statements_that_are_errors(text, reason):
     with pytest.raises(ConversionError) as e:
