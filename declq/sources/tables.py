@@ -98,10 +98,11 @@ def is_write(method: str) -> bool:
     return any(word in method.lower() for word in ("save", "delete", "update", "remove"))
 
 
-def cached(df: DataFrame, cache: dict[Any, DataFrame], key: Any) -> DataFrame:
-    """The frame under `key`, cached on first use."""
-    if key not in cache:
-        cache[key] = df.cache()
+def cached(df: DataFrame, cache: dict[Any, DataFrame], key: Any, most: int = 16) -> DataFrame:
+    """The frame under `key`, cached on first use. Of more than `most` frames the one that was not asked for longest is given up."""
+    cache[key] = cache.pop(key) if key in cache else df.cache()  # the latest is last
+    while len(cache) > most:
+        cache.pop(next(iter(cache))).unpersist()
     return cache[key]
 
 

@@ -149,6 +149,9 @@ def test_display_and_writes(spark, tmp_path):
     assert tables.is_write("saveAll") and not tables.is_write("findAll")
     cache = {}
     assert tables.cached(df, cache, "k") is tables.cached(df, cache, "k")
+    for k in "ab":
+        tables.cached(spark.range(3), cache, k, most=2)
+    assert list(cache) == ["a", "b"] and not df.is_cached and tables.cached(df, cache, "k") is df
     cache["k"].unpersist()
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from declq import registry, registry_analytics  # noqa: F401 - adds its queries
+from declq import registry, registry_analytics, registry_details  # noqa: F401 - the others add their queries
 from tests.conftest import DATA, same_rows
 
 
