@@ -164,6 +164,15 @@ def test_sketch_states_are_kept_and_merged(spark, tmp_path):
         assert abs(df.where(F.col("v") <= got[str(q)]).count() / 30_000 - q) <= aggregates.RANK_ERROR
 
 
+def test_sketch_estimates_do_not_depend_on_how_rows_were_dealt(spark):
+    rows = spark.range(40_000).selectExpr("id % 7 AS day", "id % 1500 AS v")
+    estimate = lambda states: aggregates.merge_distinct(states, []).select(aggregates.distinct_estimate(F.col("state"))).first()[0]
+    one = estimate(aggregates.distinct_states(rows.coalesce(1), [], "v"))
+    assert one == estimate(aggregates.distinct_states(rows.repartition(6), [], "v")) == estimate(aggregates.distinct_states(rows, ["day"], "v"))
+    few = spark.range(20).selectExpr("id % 3 AS day", "id % 5 AS v")
+    assert estimate(aggregates.distinct_states(few.coalesce(1), [], "v")) == estimate(aggregates.distinct_states(few, ["day"], "v")) == 5
+
+
 def test_grouping_sets_with_distinct_counts(spark):
     r = random.Random(5)
     rows = [(r.choice(["a", "b", None]), r.choice([1, 2, None]), r.randrange(6), r.choice([*range(5), None])) for _ in range(300)]
