@@ -35,19 +35,22 @@ def reachable_without(edges: DataFrame, entry: DataFrame, excluded: DataFrame) -
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) for every path of one edge or more. A round leads the pairs that the last one found one edge on and keeps the new ones.
+    """(src, dst) for every path of one edge or more. A round doubles the length up to which shortest paths are known.
 
+    A shortest path of more than `reach` edges and at most twice as many has a node after `reach` edges, so pairs of just that
+    length are led on by known pairs: there are few such nodes for a pair, and rounds grow with the logarithm of the longest path.
     The result has a row for every pair that is connected; where that is too many, ask `reachable` from some nodes instead.
     """
-    steps = cut(edges.select(F.col("src").alias("mid"), F.col("dst").alias("far")).distinct())
-    fresh = steps.select(F.col("mid").alias("src"), F.col("far").alias("dst"))
-    found = fresh
+    found = cut(edges.select("src", "dst").distinct().withColumn("steps", F.lit(1)))
+    reach, last = 1, found
     while True:
-        longer = fresh.join(steps, F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst")).distinct()
-        fresh = cut(longer.join(found, ["src", "dst"], "left_anti"))
-        if fresh.isEmpty():
-            return found
-        found = found.unionByName(fresh)  # every pair is written once
+        ends = last.where(F.col("steps") == reach).select("src", F.col("dst").alias("mid"))
+        on = found.select(F.col("src").alias("mid"), "dst", (F.col("steps") + reach).alias("steps"))
+        longer = ends.join(on, "mid").groupBy("src", "dst").agg(F.min("steps").alias("steps"))
+        last = cut(longer.join(found, ["src", "dst"], "left_anti"))
+        if last.isEmpty():
+            return found.select("src", "dst")
+        found, reach = found.unionByName(last), 2 * reach  # every pair is written once
 
 
 def _least_reaching(edges: DataFrame) -> DataFrame:

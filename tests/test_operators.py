@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 from collections import Counter
 from decimal import Decimal
 
@@ -175,3 +176,23 @@ def test_sessions(spark):
     rows = [(1, at(0)), (1, at(20)), (1, at(45)), (1, at(100)), (2, at(10))]
     got = events.sessions(spark.createDataFrame(rows, "user_id long, ts timestamp")).collect()
     assert sorted((x.user_id, x.start, x.end, x.n) for x in got) == [(1, at(0), at(75), 3), (1, at(100), at(130), 1), (2, at(10), at(40), 1)]
+
+
+def test_closure_takes_few_rounds_along_a_long_path(spark, monkeypatch):
+    rounds, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or write(df))
+    n = 70
+    path = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(n)], "src string, dst string").coalesce(1)
+    assert sorted(tuple(x) for x in graph.closure(path).collect()) == [(f"n{i:02}", f"n{k:02}") for i in range(n + 1) for k in range(i + 1, n + 1)]
+    assert len(rounds) <= 9  # 1, 2, 4, ... 128 edges and the last, empty one
+
+
+@pytest.mark.parametrize("nodes,edges", [(12, 14), (9, 30), (20, 18)])
+def test_closure_is_brute_force(spark, nodes, edges):
+    r = random.Random(nodes)
+    pairs = [(f"n{r.randrange(nodes)}", f"n{r.randrange(nodes)}") for _ in range(edges)]
+    known = set(pairs)
+    while more := {(a, d) for a, b in known for c, d in pairs if b == c} - known:
+        known |= more
+    got = [tuple(x) for x in graph.closure(spark.createDataFrame(pairs, "src string, dst string").coalesce(1)).collect()]
+    assert sorted(got) == sorted(known)
