@@ -292,7 +292,7 @@ _PIPELINES: list[tuple[str, Query, str | None]] = [
     ("s_sorted_by", lambda s, d: _sizes(s, d).sorted(lambda v: v % 7, descending=True).rows(), "SELECT p_size AS value FROM part ORDER BY p_size % 7 DESC, p_partkey"),
     ("s_to_list", lambda s, d: _sizes(s, d).to_list().select(F.array_join("list", ",").alias("list")), "SELECT string_agg(p_size, ',' ORDER BY p_partkey) AS list FROM part"),
     ("s_reduce", lambda s, d: _sizes(s, d).reduce(lambda a, x: F.greatest(a, x) - F.least(a, x) % 3), None),  # a recursive query is slow; tested by a loop
-    ("s_fold_text", lambda s, d: _events(s, d).reduce(lambda a, x: F.concat(a, F.substring(x, 1, 1)), identity=""), "SELECT string_agg(substr(event_type, 1, 1), '' ORDER BY event_id) AS reduced FROM events"),
+    ("s_fold_text", lambda s, d: _events(s, d).reduce(lambda a, x: F.concat(a, F.substring(x, 1, 1)), identity="", combine=F.concat), "SELECT string_agg(substr(event_type, 1, 1), '' ORDER BY event_id) AS reduced FROM events"),
     ("s_collect_fold", lambda s, d: _sizes(s, d).collect(F.lit(0), lambda a, x: a + x), "SELECT CAST(sum(p_size) AS INTEGER) AS collected FROM part"),
     ("s_group_by", lambda s, d: _sizes(s, d).group_by(lambda v: v % 5).select("group", F.array_join("values", ",").alias("values")), "SELECT p_size % 5 AS group, string_agg(p_size, ',' ORDER BY p_partkey) AS values FROM part GROUP BY 1"),
     ("s_range", lambda s, d: Pipeline.range(s, 3, parquet(s, d, "part").count()).map(lambda v: v % 7 * v).rows(), "SELECT CAST(x % 7 * x AS INTEGER) AS value FROM range(3, (SELECT count(*) FROM part)) t(x)"),

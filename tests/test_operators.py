@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from declq import registry, registry_details  # noqa: F401 - the second adds its queries to the first
 from declq.functions import library, scalar
-from declq.operators import graph, report
+from declq.operators import graph, pipeline, report
 from declq.operators.pipeline import Pipeline
 from declq.plans.catalog import ConversionError
 from declq.sources import tables
@@ -196,3 +196,10 @@ def test_closure_is_brute_force(spark, nodes, edges):
         known |= more
     got = [tuple(x) for x in graph.closure(spark.createDataFrame(pairs, "src string, dst string").coalesce(1)).collect()]
     assert sorted(got) == sorted(known)
+
+
+def test_text_fold_never_holds_all_values(spark, monkeypatch):
+    monkeypatch.setattr(Pipeline, "to_list", lambda self: pytest.fail("all values in one row"))
+    monkeypatch.setattr(pipeline, "FOLD", 7)
+    types = [x.event_type for x in spark.read.parquet(f"{DATA}/events.parquet").orderBy("event_id").select("event_type").collect()]
+    assert registry.QUERIES["s_fold_text"](spark, DATA).first().reduced == "".join(t[0] for t in types)
