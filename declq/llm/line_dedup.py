@@ -404,9 +404,12 @@ def _pos(c: str) -> Column:
 
 
 def meetings(lines: DataFrame) -> DataFrame:
-    """(key, h, head) of the nodes of `lines` (h, keys) that share a key with another: head is the least node of the key."""
-    keyed = lines.select(F.explode("keys").alias("key"), "h")
-    heads = keyed.groupBy(F.col("key").alias("k")).agg(F.min("h").alias("head"), F.max("h").alias("tail")).where("head < tail").select("k", "head")
+    """(key, h, head) of the nodes of `lines` (h, keys) that share a key with another: head is the least node of the key.
+
+    Keys are most of what is shuffled. They are dealt by key once, and both the grouping and the join back read that shuffle.
+    """
+    keyed = lines.select(F.explode("keys").alias("key"), "h").where("key is not null").repartition("key")
+    heads = keyed.groupBy("key").agg(F.min("h").alias("head"), F.max("h").alias("tail")).where("head < tail").select(F.col("key").alias("k"), "head")
     return cut(keyed.join(heads.hint("shuffle_hash"), F.col("key") == F.col("k")).select("key", "h", "head").distinct())
 
 

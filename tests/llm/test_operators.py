@@ -581,3 +581,14 @@ def test_decontamination_miss_chance_is_as_stated():
     assert max(map(missed, range(1, 32))) == 0 < missed(32) and max(map(missed, range(32, 64))) < 3e-8
     assert 3e-8 < missed(64) and max(map(missed, range(64, 20_000))) < 3e-6
     assert "one of 64 or more with one below 3e-6" in decontamination.__doc__.replace("\n", " ")
+
+
+def test_line_keys_are_shuffled_once(spark, monkeypatch):
+    frames, write = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df: frames.append(df) or write(df))
+    lines = spark.createDataFrame([(1, [10, 11]), (2, [11, 12]), (3, [12]), (4, [13]), (5, []), (6, None)], "h long, keys array<long>").repartition(3)
+    met = line_dedup.meetings(write(lines))
+    assert sorted(tuple(x) for x in met.collect()) == [(11, 1, 1), (11, 2, 1), (12, 2, 2), (12, 3, 2)]
+    frames[0].collect()
+    final = frames[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Generate explode(") == 1 and "ReusedExchange" in final
