@@ -149,7 +149,7 @@ def e_literals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("e_long_precision", "SELECT o_orderkey, o_orderkey + 9007199254740993 AS plus, (o_orderkey + 9007199254740993) // 3 AS quot, (o_orderkey + 9007199254740993) % 1000 AS rest, (o_orderkey + 1) * 9007199254741 AS times FROM orders")
 def e_long_precision(spark: SparkSession, folder: str) -> DataFrame:
-    """Long arithmetic is exact beyond 2^53, and past 2^63 in decimals (o_orderkey from 1,024,000 on)."""
+    """Long arithmetic is exact beyond 2^53, and past 2^63 in decimals (o_orderkey from 1,023,999 on)."""
     orders, key, both = parquet(spark, folder, "orders"), F.col("o_orderkey"), ("bigint", "bigint")
     high = scalar.arith("+", key, F.lit((1 << 53) + 1), both)
     columns = {"plus": high, "quot": scalar.arith("/", high, F.lit(3), both), "rest": scalar.arith("%", high, F.lit(1000), both), "times": scalar.exact_in(orders, "*", key + 1, F.lit(9007199254741))}
