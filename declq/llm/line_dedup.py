@@ -38,8 +38,12 @@ FOLLOWERS, FAILED, OTHERS = 1024, 128, 1024
 BRIEF, LONG_WORD = 3, 48
 #: Characters of two gaps between shared words whose edit distance is worked out for the upper bound.
 GAP = 200
-#: Characters of the lines that are compared with one line at once.
-ABREAST = 1 << 13
+#: Characters of the lines that are compared with one line at once; pairs with one line from which that pays.
+ABREAST, SHARED = 1 << 13, 3
+#: Characters of lines that are compared side by side; pairs a word of pattern from which that pays; cells of its tables.
+MODEST, WORTH, TOGETHER = 256, 32, 1 << 20
+#: Characters of the pairs, or bytes of the groups, that wait to be compared together.
+WAITING = 1 << 22
 #: Bytes of lines whose SimHashes are worked out at once (64 bytes of counts a letter).
 SKETCH_BYTES = 1 << 18
 #: Lines that a task remembers, so that a frequent line gives its keys a few times and not with every row.
@@ -294,13 +298,24 @@ def levenshtein(a: str, b: str, most: int | None = None) -> int:
             plus, minus = ((d0 & plus) << 1 & full) | (full ^ (d0 | up)), up & d0
         done = min(start + 64, len(b))
         score = done + plus.bit_count() - minus.bit_count()
-        if most is not None and score - (len(b) - done) > most:  # a character lowers the score by one at most
+        if most is None:
+            continue
+        if score - (len(b) - done) > most:  # a character lowers the score by one at most
             return score - (len(b) - done)
+        if len(b) - done >= 64:  # every way to the end leads through this column, and on over as many steps as lengths differ by
+            up, down = (np.unpackbits(np.frombuffer(x.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little", count=len(a)).view(np.int8) for x in (plus, minus))
+            column = np.cumsum(up - down, dtype=np.int64) + np.abs(np.arange(len(a) - 1, -1, -1) - (len(b) - done)) + done
+            least = min(int(column.min()), done + abs(len(a) - (len(b) - done)))
+            if least > most:
+                return least
     return score
 
 
-def distance_bound(a: str, b: str) -> int:
-    """An upper bound of the edit distance: words that are in both once, in the longest order they share, stay; gaps are edited."""
+def distance_bound(a: str, b: str, most: int | None = None) -> int:
+    """An upper bound of the edit distance: words that are in both once, in the longest order they share, stay; gaps are edited.
+
+    With `most`, it stops once the bound is larger, and returns some larger number.
+    """
     x, y = a.split(" "), b.split(" ")
     at: list[dict[str, int]] = [{}, {}]
     for seen, words in zip(at, (x, y)):
@@ -324,6 +339,8 @@ def distance_bound(a: str, b: str) -> int:
         if i - p > 1 or j - q > 1:
             u, v = " ".join(["", *x[p + 1 : i], ""]), " ".join(["", *y[q + 1 : j], ""])
             total += levenshtein(u, v) if len(u) + len(v) <= GAP else max(len(u), len(v))
+            if most is not None and total > most:
+                break
         i, j = p, q
     return total
 
@@ -338,7 +355,123 @@ def similar(a: str, b: str, threshold: float = SIMILARITY) -> bool:
     if abs(len(a) - len(b)) > most:
         return False
     a, b = trimmed(a, b)
-    return max(len(a), len(b)) <= most or distance_bound(a, b) <= most or levenshtein(a, b, most) <= most
+    return max(len(a), len(b)) <= most or distance_bound(a, b, most) <= most or levenshtein(a, b, most) <= most
+
+
+def side_by_side(texts: list[str], patterns: list[str], most: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs, exact where at most `most`, else some number above it, for lengths no further apart than that.
+
+    Myers' bit vectors in 64-bit words, each step for all pairs whose texts are that long. Only words within the largest bound of
+    the diagonal are worked out: above them distances grow by one a step, below them by one a row, so none is too small.
+    """
+    n, size, rows = len(texts), np.fromiter(map(len, texts), np.int64, len(texts)), np.fromiter(map(len, patterns), np.int64, len(patterns))
+    order = np.argsort(-size, kind="stable")
+    size, rows = size[order], rows[order]
+    words = -(-int(rows.max()) // 64)
+    codes = [np.frombuffer("".join([x[i] for i in order.tolist()]).encode("utf-32-le"), np.uint32) for x in (texts, patterns)]
+    letters = np.zeros(max(int(x.max()) for x in codes) + 1, bool)
+    for x in codes:
+        letters[x] = True
+    dense, kinds = np.cumsum(letters) - 1, int(letters.sum())
+    if n > 1 and n * kinds * words > 2 * TOGETHER:  # many letters: the tables of a part of the pairs at a time
+        out, half = np.empty(n, np.int64), n // 2
+        for some in (order[:half], order[half:]):
+            out[some] = side_by_side([texts[i] for i in some], [patterns[i] for i in some], most[some])
+        return out
+    of = [np.repeat(np.arange(n), lens) for lens in (size, rows)]
+    step, row = (np.arange(len(x)) - np.repeat(np.cumsum(lens) - lens, lens) for x, lens in zip(codes, (size, rows)))
+    at = np.zeros((int(size[0]), n), np.int64)
+    at[step, of[0]] = of[0] * kinds + dense[codes[0]]
+    table = np.zeros(words * n * kinds, np.uint64)
+    np.add.at(table, (row >> 6) * (n * kinds) + of[1] * kinds + dense[codes[1]], np.uint64(1) << (row & 63).astype(np.uint64))
+    table = table.reshape(words, n * kinds)
+    plus, minus = np.full((words, n), 2**64 - 1, np.uint64), np.zeros((words, n), np.uint64)
+    one, top, band = np.uint64(1), np.uint64(63), int(most.max())
+    for j, m in enumerate(np.searchsorted(-size, -np.arange(int(size[0])), "left").tolist()):
+        carry, up_in, down_in = None, one, None
+        last = min(words, (j + 1 + band) // 64 + 1)
+        for w in range(max(0, (j + 1 - band) // 64 - 1), last):
+            p, q, eq = plus[w, :m], minus[w, :m], table[w].take(at[j, :m])
+            d0 = eq & p
+            d0 += p
+            if w + 1 < last:
+                over = d0 < p
+            if carry is not None:
+                d0 += carry
+                if w + 1 < last:
+                    over |= d0 < carry
+            if w + 1 < last:
+                carry = over.astype(np.uint64)
+            d0 ^= p
+            d0 |= eq
+            d0 |= q
+            up = d0 | p
+            np.invert(up, out=up)
+            up |= q
+            down = p & d0
+            shifted = up << one
+            shifted |= up_in
+            lower = down << one
+            if down_in is not None:
+                lower |= down_in
+            if w + 1 < last:
+                up_in, down_in = up >> top, down >> top
+            np.bitwise_and(d0, shifted, out=q)
+            d0 |= shifted
+            np.invert(d0, out=d0)
+            np.bitwise_or(lower, d0, out=p)
+    total = size.copy()  # the last column's steps down a pattern add up to its distance
+    for w in range(words):
+        left = np.clip(rows - 64 * w, 0, 64)
+        inside = np.where(left > 0, np.uint64(2**64 - 1) >> (64 - np.maximum(left, 1)).astype(np.uint64), np.uint64(0))
+        total += np.bitwise_count(plus[w] & inside).astype(np.int64) - np.bitwise_count(minus[w] & inside)
+    out = np.empty(n, np.int64)
+    out[order] = total
+    return out
+
+
+def similar_pairs(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """`similar` of many pairs. Short ones are compared side by side, long ones that share their first line in one integer."""
+    out = np.zeros(len(pairs), bool)
+    brief: list[tuple[int, int, str, str, int]] = []
+    long: dict[str, list[tuple[int, int, str, str, int]]] = {}
+    for i, (x, y) in enumerate(pairs):
+        most = most_edits(x, y)
+        if abs(len(x) - len(y)) > most:
+            continue
+        a, b = trimmed(x, y)
+        if len(a) > len(b):
+            a, b = b, a
+        if len(b) <= most:
+            out[i] = True
+        elif len(b) <= MODEST:
+            brief.append((len(b), i, a, b, most))
+        else:
+            long.setdefault(x, []).append((len(b), i, a, b, most))
+    alone: list[tuple[int, int, str, str, int]] = []
+    for text, of in long.items():
+        while len(of) >= SHARED:
+            room = ABREAST
+            some = [of.pop()]
+            while of and (room := room - len(pairs[some[-1][1]][1])) > 0:
+                some.append(of.pop())
+            for (_, i, _, _, most), d in zip(some, edit_distances(text, [pairs[x[1]][1] for x in some])):
+                out[i] = d <= most
+        alone += of
+    brief.sort(key=lambda x: x[0])
+    start = 0
+    while start < len(brief):
+        end = bisect_left(brief, max(brief[start][0] + 24, brief[start][0] * 4 // 3), start + 1, key=lambda x: x[0])
+        end = min(end, start + TOGETHER // MODEST)
+        _, at, a, b, bounds = zip(*brief[start:end])
+        if len(at) >= WORTH * -(-max(map(len, a)) // 64):
+            out[list(at)] = side_by_side(list(b), list(a), np.array(bounds)) <= np.array(bounds)
+        else:
+            alone += brief[start:end]
+        start = end
+    for _, i, a, b, most in alone:
+        out[i] = (len(b) > MODEST // 2 and distance_bound(a, b, most) <= most) or levenshtein(a, b, most) <= most
+    return out
 
 
 def _distinct(group: dict[str, list]) -> list[int]:
@@ -346,53 +479,154 @@ def _distinct(group: dict[str, list]) -> list[int]:
     return sorted({h: i for i, h in enumerate(group["h"])}.values(), key=lambda i: group["h"][i])
 
 
-def _follow(group: dict[str, list]) -> Iterator[pa.RecordBatch]:
-    """A head (the least node) and its nodes to (h, head, linked)."""
-    rows, head = _distinct(group), group["head"][0]
-    nodes, sims, lines = group["h"], group["sim"], group["line"]
-    if len(rows) < 2 or nodes[rows[0]] != head:
-        return
-    sim, line = sims[rows[0]], lines[rows[0]]
-    linked = [((sims[i] ^ sim) & (2**64 - 1)).bit_count() <= DISTANCE and similar(line, lines[i]) for i in rows[1:]]
-    yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in rows[1:]], pa.int64()), pa.array([head] * len(linked), pa.int64()), pa.array(linked, pa.bool_())], ["h", "head", "linked"])
-
-
-def _meet(group: dict[str, list]) -> Iterator[pa.RecordBatch]:
-    """Failed nodes (own) and other nodes of one key to links (src, dst); what follows the head already counts as connected."""
-    own = {h for h, o in zip(group["h"], group["own"]) if o}
-    rows = _distinct(group)
-    n = len(rows)
-    sim, line, h = np.array([group["sim"][i] for i in rows]), [group["line"][i] for i in rows], [group["h"][i] for i in rows]
-    size = np.array(list(map(len, line)))
-    label = np.where(np.array([group["linked"][i] for i in rows]), n, np.arange(n))
-    src, dst = [], []
-
-    def join(i: int, j: int) -> None:
-        src.append(h[i])
-        dst.append(h[j])
-        label[label == label[j]] = label[i]
-
-    for i in range(n):
-        if h[i] not in own:
+def _follow(groups: Iterator[dict[str, list]]) -> Iterator[pa.RecordBatch]:
+    """Groups of a head (the least node) and its nodes to (h, head, linked)."""
+    h: list[int] = []
+    heads: list[int] = []
+    apart: list[int] = []
+    lines: list[tuple[str, str]] = []
+    waiting = 0
+
+    def decided() -> pa.RecordBatch:
+        linked = np.array(apart) <= DISTANCE
+        linked[linked] = similar_pairs([x for x, near in zip(lines, linked.tolist()) if near])
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(heads, pa.int64()), pa.array(linked)], ["h", "head", "linked"])
+
+    for group in groups:
+        first, *rest = _distinct(group)
+        nodes, sims, texts = group["h"], group["sim"], group["line"]
+        if nodes[first] != group["head"][0]:
             continue
-        apart = bits_apart(sim, sim[i])
-        near = np.flatnonzero((apart <= DISTANCE) & (label != label[i]) & (np.minimum(size, size[i]) >= SIMILARITY * np.maximum(size, size[i]) - 1e-9))
-        todo = [j for j in near[np.argsort(apart[near], kind="stable")].tolist() if i < j or h[j] not in own]
-        if todo and similar(line[i], line[todo[0]]):  # the nearest mostly connects a node to all there is
-            join(i, todo[0])
-        at = 1
-        while at < len(todo):
-            some, room = [], ABREAST
-            while at < len(todo) and (not some or room >= size[todo[at]]):
-                if label[todo[at]] != label[i]:
-                    some.append(todo[at])
-                    room -= size[todo[at]]
-                at += 1
-            for j, d in zip(some, edit_distances(line[i], [line[j] for j in some])):
-                if label[j] != label[i] and d <= most_edits(line[i], line[j]):
-                    join(i, j)
-    if src:
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+        sim, line = sims[first], texts[first]
+        for i in rest:
+            h.append(nodes[i])
+            heads.append(nodes[first])
+            apart.append(((sims[i] ^ sim) & (2**64 - 1)).bit_count())
+            lines.append((line, texts[i]))
+            waiting += len(line) + len(texts[i])
+        if waiting > WAITING:
+            yield decided()
+            h, heads, apart, lines, waiting = [], [], [], [], 0
+    if h:
+        yield decided()
+
+
+class _Met:
+    """A group of failed nodes (own) and other nodes of one key: candidate pairs in rounds, nearest first for each failed node, and what is connected.
+
+    What follows the head counts as connected already.
+    """
+
+    def __init__(self, group: dict[str, list]):
+        own = {h for h, o in zip(group["h"], group["own"]) if o}
+        rows = _distinct(group)
+        self.h, self.line = [group["h"][i] for i in rows], [group["line"][i] for i in rows]
+        n = len(rows)
+        sim, size, mine = np.array([group["sim"][i] for i in rows]), np.array(list(map(len, self.line))), np.array([h in own for h in self.h])
+        self.label = np.where(np.array([group["linked"][i] for i in rows]), n, np.arange(n))
+        found = []
+        of = np.flatnonzero(mine)
+        for part in np.array_split(of, -(-len(of) * n // OTHERS**2)) if len(of) else []:
+            apart = bits_apart(sim[part, None], sim)
+            near = (apart <= DISTANCE) & (self.label[part, None] != self.label) & ((part[:, None] < np.arange(n)) | ~mine)
+            near &= np.minimum(size[part, None], size) >= SIMILARITY * np.maximum(size[part, None], size) - 1e-9
+            a, b = np.nonzero(near)
+            found.append((part[a], b, apart[a, b]))
+        i, j, apart = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((apart, i))
+        i, j = i[order], j[order]
+        long = np.maximum(size[i], size[j]) > MODEST
+        self.long = (i[long], j[long])
+        # The nearest mostly connects a node to all there is: rounds of its next one, two, four and so on, each after what the last one joined.
+        i, j = i[~long], j[~long]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        order = np.argsort(rank, kind="stable")
+        self.brief, rank = (i[order], j[order]), rank[order]
+        self.rounds = np.searchsorted(rank, [0, *(2**r - 1 for r in range(1, int(rank.max(initial=0) + 1).bit_length() + 1))]) if len(i) else [0]
+        self.text = int(size.sum())
+
+    def apart(self, r: int) -> list[tuple[int, int]]:
+        """The pairs of short lines of a round that are not connected yet."""
+        i, j = (x[self.rounds[r] : self.rounds[r + 1]] for x in self.brief)
+        left = self.label[i] != self.label[j]
+        return list(zip(i[left].tolist(), j[left].tolist()))
+
+    def far(self) -> Iterator[tuple[int, int]]:
+        """Pairs with a long line that are similar and not connected yet, to be joined as they come: a node's nearest, then many at once."""
+        of, js = self.long
+        bounds = np.flatnonzero(np.diff(of, prepend=-1, append=-1)).tolist() if len(of) else []
+        for start, end in zip(bounds, bounds[1:]):
+            i, todo = int(of[start]), js[start:end]
+            line, todo = self.line[i], todo[self.label[todo] != self.label[i]].tolist()
+            if todo and similar(line, self.line[todo[0]]):
+                yield i, todo[0]
+            at = 1
+            while at < len(todo):
+                some, room = [], ABREAST
+                while at < len(todo) and (not some or room >= len(self.line[todo[at]])):
+                    if self.label[todo[at]] != self.label[i]:
+                        some.append(todo[at])
+                        room -= len(self.line[todo[at]])
+                    at += 1
+                if len(some) >= SHARED:
+                    near = [d <= most_edits(line, self.line[j]) for j, d in zip(some, edit_distances(line, [self.line[j] for j in some]))]
+                else:
+                    near = [similar(line, self.line[j]) for j in some]
+                for j, linked in zip(some, near):
+                    if linked and self.label[j] != self.label[i]:
+                        yield i, j
+
+    def join(self, i: int, j: int) -> None:
+        self.label[self.label == self.label[j]] = self.label[i]
+
+
+def _meet(groups: Iterator[dict[str, list]]) -> Iterator[pa.RecordBatch]:
+    """Groups of failed nodes (own) and other nodes of one key to links (src, dst) that connect what is similar."""
+
+    def links(some: list[_Met]) -> Iterator[pa.RecordBatch]:
+        src: list[int] = []
+        dst: list[int] = []
+
+        def link(x: _Met, i: int, j: int) -> None:
+            src.append(x.h[i])
+            dst.append(x.h[j])
+            x.join(i, j)
+
+        def decide(waiting: list[tuple[_Met, int, int]]) -> None:
+            for (x, i, j), linked in zip(waiting, similar_pairs([(x.line[i], x.line[j]) for x, i, j in waiting]).tolist()):
+                if linked and x.label[i] != x.label[j]:
+                    link(x, i, j)
+
+        r, left = 0, some
+        while left := [x for x in left if r + 1 < len(x.rounds)]:
+            waiting, chars = [], 0
+            for x in left:
+                for i, j in x.apart(r):
+                    waiting.append((x, i, j))
+                    chars += len(x.line[i]) + len(x.line[j])
+                    if chars > WAITING:
+                        decide(waiting)
+                        waiting, chars = [], 0
+            decide(waiting)
+            r += 1
+        for x in some:
+            for i, j in x.far():
+                link(x, i, j)
+        if src:
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    held: list[_Met] = []
+    size = 0
+    for group in groups:
+        x = _Met(group)
+        pairs_of = len(x.brief[0]) + len(x.long[0])
+        if pairs_of:
+            held.append(x)
+            size += x.text + 16 * pairs_of
+        if size > WAITING:
+            yield from links(held)
+            held, size = [], 0
+    yield from links(held)
 
 
 def _t32(c: Column | str) -> Column:
@@ -428,7 +662,7 @@ def head_checks(met: DataFrame, lines: DataFrame) -> DataFrame:
     dealt = near.join(crowds, F.col("head") == F.col("crowd"), "left").select("h", "head", F.pmod(F.xxhash64("h"), F.coalesce(F.ceil(F.col("n") / FOLLOWERS), F.lit(1))).cast("int").alias("part"))
     dealt = dealt.unionByName(dealt.select(F.col("head").alias("h"), "head", "part").distinct())
     rows = dealt.join(lines, F.col("h") == F.col("lh")).select("head", "part", "h", "sim", "line")
-    return cut(pairs.map_groups(rows, ["head", "part"], _follow, "h long, head long, linked boolean"))
+    return cut(pairs.map_all_groups(rows, ["head", "part"], _follow, "h long, head long, linked boolean"))
 
 
 def line_links(met: DataFrame, lines: DataFrame) -> DataFrame:
@@ -446,7 +680,7 @@ def line_links(met: DataFrame, lines: DataFrame) -> DataFrame:
     own = rows.where("not linked").select("key", "h", "linked", high.alias("high"), spread("wide").alias("across"), F.lit(True).alias("own"))
     other = rows.select("key", "h", "linked", across.alias("across"), spread("tall").alias("high"), F.lit(False).alias("own"))
     grid = own.unionByName(other).join(lines, F.col("h") == F.col("lh")).select("key", "high", "across", "h", "linked", "own", "sim", "line")
-    return links.unionByName(pairs.map_groups(grid, ["key", "high", "across"], _meet, "src long, dst long"))
+    return links.unionByName(pairs.map_all_groups(grid, ["key", "high", "across"], _meet, "src long, dst long"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

@@ -31,9 +31,19 @@ def block_pairs(members: DataFrame, component: str, key: str) -> DataFrame:
 
 def map_groups(df: DataFrame, keys: list[str], function: Callable[[dict[str, list]], Iterator[pa.RecordBatch]], schema: str, also_sort: tuple[str, ...] = ()) -> DataFrame:
     """Apply `function` to the columns of each group of `keys`. Groups stream through a sorted partition, one in memory at a time."""
+
+    def each(groups: Iterator[dict[str, list]]) -> Iterator[pa.RecordBatch]:
+        for group in groups:
+            yield from function(group)
+
+    return map_all_groups(df, keys, each, schema, also_sort)
+
+
+def map_all_groups(df: DataFrame, keys: list[str], function: Callable[[Iterator[dict[str, list]]], Iterator[pa.RecordBatch]], schema: str, also_sort: tuple[str, ...] = ()) -> DataFrame:
+    """As map_groups, with a `function` that takes all groups of a partition one after the other and may work on several together."""
     parts: list[Column] = [F.col(k) for k in keys]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         held: dict[str, list] = {}
         last = None
         for batch in batches:
@@ -49,12 +59,15 @@ def map_groups(df: DataFrame, keys: list[str], function: Callable[[dict[str, lis
                 for k, values in rows.items():
                     held.setdefault(k, []).extend(values[start:at])
                 if at < batch.num_rows and held[keys[0]]:
-                    yield from function(held)
+                    yield held
                     held = {}
                 start = at
             last = tuple(c[-1] for c in columns)
         if held:
-            yield from function(held)
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(grouped(batches))
 
     # A number of its own keeps adaptive execution from merging partitions that are small in bytes: their work is not.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -592,3 +592,35 @@ def test_line_keys_are_shuffled_once(spark, monkeypatch):
     frames[0].collect()
     final = frames[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("Generate explode(") == 1 and "ReusedExchange" in final
+
+
+def test_line_pairs_are_compared_together():
+    """Many pairs at once give what single ones give, and small groups share a batch of results."""
+    r = random.Random(9)
+
+    def edited(text, edits):
+        letters = list(text)
+        for _ in range(edits):
+            letters[r.randrange(len(letters))] = r.choice(["", "x", "yz", "ç"])
+        return "".join(letters) or "x"
+
+    for size in (3, 63, 64, 65, 150, 300):
+        a = ["".join(r.choices("abcç ", k=r.randint(max(1, size - 9), size))) for _ in range(120)]
+        b = [edited(x, r.randint(0, max(1, len(x) // 3))) for x in a]
+        exact = np.array([edit_distance(x, y) for x, y in zip(a, b)])
+        most = np.array([max(line_dedup.most_edits(x, y), abs(len(x) - len(y))) for x, y in zip(a, b)])
+        got = line_dedup.side_by_side(a, b, most)
+        assert (got >= exact).all() and (got[exact <= most] == exact[exact <= most]).all() and ((got <= most) == (exact <= most)).all()
+        assert line_dedup.similar_pairs(list(zip(a, b))).tolist() == [line_dedup.similar(x, y) for x, y in zip(a, b)]
+    words = [prose(400 + i, 12) for i in range(30)]
+    groups = [{"head": [i * 10] * 2, "part": [0] * 2, "h": [i * 10, i * 10 + 1], "sim": [5, 5], "line": [x, edited(x, 2 if i % 2 else 60)]} for i, x in enumerate(words)]
+    batches = list(line_dedup._follow(iter(groups)))
+    assert len(batches) == 1
+    assert batches[0].to_pydict() == {"h": [i * 10 + 1 for i in range(30)], "head": [i * 10 for i in range(30)], "linked": [line_dedup.similar(*g["line"]) for g in groups]}
+    key = {"key": [1] * 40, "h": list(range(40)), "sim": [5] * 40, "line": [edited(prose(500 + i % 4, 12 if i % 2 else 90), 3) for i in range(40)], "linked": [False] * 40, "own": [True] * 40}
+    (links,) = line_dedup._meet(iter([key]))
+    root = list(range(40))
+    for a, b in zip(*(x.to_pylist() for x in links.columns)):
+        assert line_dedup.similar(key["line"][a], key["line"][b])
+        root = [root[a] if x == root[b] else x for x in root]
+    assert len(links) == 36 and len(set(root)) == 4 and all(root[i] == root[i % 4] for i in range(40))
