@@ -14,6 +14,12 @@ from declq.checkpoint import cut
 #: Weight of an edge by its kind (fixed values), and what each further user of the target adds.
 KIND_WEIGHTS = {"FIELD": 1.0, "SETTER": 2.0, "CONSTRUCTOR": 3.0, "BEAN_METHOD": 4.0}
 IN_DEGREE_WEIGHT = 0.5
+#: A round of the closure makes no more paths than so many an edge, or so many at all, before hubs are taken; a hub's bit is in a long.
+PATHS_AN_EDGE, LEAST_PATHS, HUBS = 16, 100_000, 62
+#: A hub that leaves more than this share of the paths is the last one of its round.
+HUB_LEAVES = 0.75
+#: Sources of a block of a hub, pairs of a task and tasks at most.
+HUB_BLOCK, HUB_PAIRS, HUB_TASKS = 512, 1_000_000, 4_096
 
 
 def reachable(edges: DataFrame, entry: DataFrame) -> DataFrame:
@@ -34,23 +40,98 @@ def reachable_without(edges: DataFrame, entry: DataFrame, excluded: DataFrame) -
     return reachable(edges, entry).join(excluded.select(F.col(excluded.columns[0]).alias("node")), "node", "left_anti")
 
 
+def _crowding(found: DataFrame, reach: int) -> tuple[float, str | None]:
+    """How many paths the next round of the closure would make, and the node in the middle of most of them."""
+    into = found.where(F.col("steps") == reach).groupBy(F.col("dst").alias("mid")).agg(F.count(F.lit(1)).cast("double").alias("n_in"))
+    out = found.groupBy(F.col("src").alias("mid")).agg(F.count(F.lit(1)).cast("double").alias("n_out"))
+    through = into.join(out, "mid").select("mid", (F.col("n_in") * F.col("n_out")).alias("paths"))
+    row = through.agg(F.sum("paths").alias("paths"), F.max_by("mid", F.struct("paths", "mid")).alias("mid")).first()
+    return row["paths"] or 0.0, row["mid"]
+
+
+def _sides(pairs: DataFrame, found: DataFrame, hub: str, bit: int) -> tuple[DataFrame, bool]:
+    """(node, up, down): nodes that reach the hub have its bit in `up`, those that it reaches in `down`; the hub has both.
+    And whether the hub lies on a cycle. Found pairs are shortcuts: a step leads as far as they do."""
+    near = pairs.unionByName(found.select("src", "dst"))
+    steps = near.select("src", "dst", F.lit(False).alias("back")).unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("back")))
+    seen = cut(pairs.sparkSession.createDataFrame([(hub, False), (hub, True)], "node string, back boolean").coalesce(1))
+    frontier = seen
+    while True:
+        on = steps.join(frontier.withColumnRenamed("node", "src"), ["src", "back"]).select(F.col("dst").alias("node"), "back").distinct()
+        frontier = cut(on.join(seen, ["node", "back"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    side = lambda back: F.bit_or(F.when(F.col("back") == back, 1 << bit).otherwise(0).cast("long"))
+    sides = cut(seen.groupBy("node").agg(side(True).alias("up"), side(False).alias("down")))
+    last = pairs.where(F.col("dst") == hub).join(sides.where("down <> 0"), F.col("src") == F.col("node"), "left_semi")
+    return sides, not last.isEmpty()
+
+
+def _with_side(frame: DataFrame, sides: DataFrame | None, end: str, side: str) -> DataFrame:
+    """`frame` with the bits of the node in column `end` as column `side`."""
+    if sides is None:
+        return frame.withColumn(side, F.lit(0).cast("long"))
+    of = sides.select(F.col("node").alias(end), F.col(side).alias("_bits"))
+    return frame.join(of, end, "left").withColumn(side, F.coalesce("_bits", F.lit(0).cast("long"))).drop("_bits")
+
+
+def _through_hubs(sides: DataFrame, hubs: dict[str, bool]) -> DataFrame:
+    """(src, dst): who reaches a hub with whom that hub reaches, each pair at its first hub only, so that no pair is shuffled.
+
+    The sources of a hub are dealt over blocks of about HUB_BLOCK and its targets are copied to each block.
+    """
+    bits = lambda side: F.explode(F.expr(f"filter(sequence(0, {len(hubs) - 1}), i -> getbit({side}, i) = 1)")).alias("hub")
+    sources = sides.where("up <> 0").select(F.col("node").alias("src"), "up", bits("up"))
+    targets = sides.where("down <> 0").select(F.col("node").alias("dst"), "down", bits("down"))
+    n_sources = sources.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / HUB_BLOCK).cast("long").alias("blocks"))
+    sizes = cut(n_sources.join(targets.groupBy("hub").agg(F.count(F.lit(1)).alias("m")), "hub"))
+    tasks = min(HUB_TASKS, int(sizes.agg(F.sum(F.col("n").cast("double") * F.col("m")) / HUB_PAIRS).first()[0]) + 1)
+    blocks = sizes.select("hub", "blocks")
+    dealt = sources.join(F.broadcast(blocks), "hub").withColumn("block", F.pmod(F.xxhash64("src"), "blocks")).drop("blocks").repartition(tasks, "hub", "block")
+    copied = targets.join(F.broadcast(blocks), "hub").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks").repartition(tasks, "hub", "block")
+    met = dealt.join(copied.hint("shuffle_hash"), ["hub", "block"]).where("up & down & (shiftleft(1L, hub) - 1L) = 0")
+    alone = [hub for hub, cyclic in hubs.items() if not cyclic]
+    return met.where((F.col("src") != F.col("dst")) | ~F.col("src").isin(alone)).select("src", "dst")
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst) for every path of one edge or more. A round doubles the length up to which shortest paths are known.
 
     A shortest path of more than `reach` edges and at most twice as many has a node after `reach` edges, so pairs of just that
     length are led on by known pairs: there are few such nodes for a pair, and rounds grow with the logarithm of the longest path.
+
+    Where a round would make many paths, the node in the middle of most of them becomes a hub: all that reach it are connected
+    with all that it reaches, so these pairs are not found one by one; they are made at the end, from both sides. A shortest path
+    between nodes that no hub connects has no part that a hub connects, so rounds need only the pairs that are left.
     The result has a row for every pair that is connected; where that is too many, ask `reachable` from some nodes instead.
     """
-    found = cut(edges.select("src", "dst").distinct().withColumn("steps", F.lit(1)))
-    reach, last = 1, found
+    # A null node begins or ends paths but leads none on: as a source and as a target it has two different names.
+    pairs = cut(edges.select(F.coalesce(F.concat(F.lit("="), "src"), F.lit("<")).alias("src"), F.coalesce(F.concat(F.lit("="), "dst"), F.lit(">")).alias("dst")).distinct())
+    most = max(LEAST_PATHS, PATHS_AN_EDGE * pairs.count())
+    found, reach = pairs.withColumn("steps", F.lit(1)), 1
+    hubs: dict[str, bool] = {}
+    sides: DataFrame | None = None
     while True:
-        ends = last.where(F.col("steps") == reach).select("src", F.col("dst").alias("mid"))
-        on = found.select(F.col("src").alias("mid"), "dst", (F.col("steps") + reach).alias("steps"))
-        longer = ends.join(on, "mid").groupBy("src", "dst").agg(F.min("steps").alias("steps"))
+        paths, mid = _crowding(found, reach)
+        while paths > most and mid is not None and len(hubs) < HUBS:
+            own, hubs[mid] = _sides(pairs, found, mid, len(hubs))
+            sides = own if sides is None else cut(sides.unionByName(own).groupBy("node").agg(F.bit_or("up").alias("up"), F.bit_or("down").alias("down")))
+            found = cut(_with_side(_with_side(found, sides, "src", "up"), sides, "dst", "down").where("up & down = 0").select("src", "dst", "steps"))
+            before, (paths, mid) = paths, _crowding(found, reach)
+            if paths > HUB_LEAVES * before:  # no node is in the middle of many
+                break
+        ends = _with_side(found.where(F.col("steps") == reach).select("src", F.col("dst").alias("mid")), sides, "src", "up")
+        on = _with_side(found.select(F.col("src").alias("mid"), "dst", (F.col("steps") + reach).alias("steps")), sides, "dst", "down")
+        longer = ends.join(on, "mid").where("up & down = 0").groupBy("src", "dst").agg(F.min("steps").alias("steps"))
         last = cut(longer.join(found, ["src", "dst"], "left_anti"))
         if last.isEmpty():
-            return found.select("src", "dst")
+            break
         found, reach = found.unionByName(last), 2 * reach  # every pair is written once
+    out = found.select("src", "dst")
+    if sides is not None:
+        out = out.unionByName(_through_hubs(sides, hubs))
+    return out.select(*[F.when(F.col(end).startswith("="), F.substring(end, 2, 2**31 - 1)).alias(end) for end in ("src", "dst")])
 
 
 def _least_reaching(edges: DataFrame) -> DataFrame:

@@ -203,3 +203,35 @@ def test_text_fold_never_holds_all_values(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "FOLD", 7)
     types = [x.event_type for x in spark.read.parquet(f"{DATA}/events.parquet").orderBy("event_id").select("event_type").collect()]
     assert registry.QUERIES["s_fold_text"](spark, DATA).first().reduced == "".join(t[0] for t in types)
+
+
+def test_closure_through_a_hub_writes_few_rows(spark, monkeypatch):
+    written, write = [], graph.cut
+
+    def counted(df):
+        out = write(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    n = 400
+    sources, targets = [f"s{i}" for i in range(n)], [f"t{i}" for i in range(n)]
+    edges = spark.createDataFrame([*((s, "hub") for s in sources), *(("hub", t) for t in targets)], "src string, dst string").coalesce(1)
+    expected = {(s, t) for s in sources for t in targets} | {(s, "hub") for s in sources} | {("hub", t) for t in targets}
+    got = [tuple(x) for x in graph.closure(edges).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    assert sum(written) < 20 * n  # not the n * n pairs
+
+
+@pytest.mark.parametrize("nodes,edges,hubs", [(12, 14, 62), (9, 30, 62), (20, 18, 1), (30, 36, 2), (14, 22, 3)])
+def test_closure_through_hubs_is_brute_force(spark, monkeypatch, nodes, edges, hubs):
+    for name, value in (("LEAST_PATHS", 0), ("PATHS_AN_EDGE", 0), ("HUBS", hubs), ("HUB_LEAVES", 1), ("HUB_BLOCK", 2), ("HUB_PAIRS", 5)):
+        monkeypatch.setattr(graph, name, value)
+    r = random.Random(nodes + hubs)
+    name = lambda: f"n{r.randrange(nodes)}" if r.random() < 0.95 else None
+    pairs = [(name(), name()) for _ in range(edges)] + [(None, "n1"), ("n2", None)]
+    known = set(pairs)
+    while more := {(a, d) for a, b in known for c, d in pairs if b == c and b is not None} - known:
+        known |= more
+    got = [tuple(x) for x in graph.closure(spark.createDataFrame(pairs, "src string, dst string").coalesce(1)).collect()]
+    assert Counter(got) == Counter(known)
